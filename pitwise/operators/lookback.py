@@ -119,17 +119,17 @@ def lookback_raw(commits: DataFrame, scenarios: DataFrame, windows=WINDOWS,
     at = probe_scan(ev, pr, "business_id", "t", ["seq"], sums=SUMS, lasts=POINTS,
                     firsts=POINTS, first_t="first_t", period_us=period_us)
     whiches = [0, *windows]
-    aggs = [F.max("b").alias("b")]
+    aggs = ["max(b) AS b"]
     for w in whiches:
-        for s in SUMS:
-            aggs.append(F.max(F.when(F.col("which") == w, F.col(f"at_{s}"))).alias(f"{s}@{w}"))
+        for x in SUMS:
+            aggs.append(f"max(CASE WHEN which = {w} THEN `at_{x}` END) AS `{x}@{w}`")
         if w:
-            for s in POINTS:
-                aggs.append(F.max(F.when(F.col("which") == w, F.col(f"at_first_{s}")))
-                            .alias(f"first_{s[:-3]}@{w}"))
-    aggs += [F.max(F.when(F.col("which") == 0, F.col("at_cash_pt"))).alias("last_cash"),
-             F.max(F.when(F.col("which") == 0, F.col("at_inv_pt"))).alias("last_inv"),
-             F.max(F.when(F.col("which") == 0, F.col("first_t"))).alias("first_t")]
+            for x in POINTS:
+                aggs.append(f"max(CASE WHEN which = {w} THEN `at_first_{x}` END) AS `first_{x[:-3]}@{w}`")
+    aggs += ["max(CASE WHEN which = 0 THEN at_cash_pt END) AS last_cash",
+             "max(CASE WHEN which = 0 THEN at_inv_pt END) AS last_inv",
+             "max(CASE WHEN which = 0 THEN first_t END) AS first_t"]
+    aggs = [F.expr(a) for a in aggs]
     return at.groupBy("branch_id").agg(*aggs)
 
 

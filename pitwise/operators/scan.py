@@ -69,64 +69,69 @@ def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
     order = _cols(order)
     sums, lasts, firsts = _cols(sums), _cols(lasts), _cols(firsts)
 
-    d = df.withColumn(P, floor_div(F.col(t), period_us))
+    # One explicit shuffle on (key, period): the window below and the
+    # per-period aggregate both consume it (identical exchanges are reused),
+    # so the input is scanned and its expressions evaluated once.
+    d = df.withColumn(P, floor_div(F.col(t), period_us)).repartition(*keys, P)
+
+    def q(c):
+        return f"`{c}`"
+
+    part_by = ", ".join(q(k) for k in [*keys, P])
+    asc = ", ".join([q(t)] + [q(o) for o in order])
+    desc = ", ".join([f"{q(t)} DESC"] + [f"{q(o)} DESC" for o in order])
+    hi = "CURRENT ROW" if inclusive else "1 PRECEDING"
+    w_in = f"(PARTITION BY {part_by} ORDER BY {asc} ROWS BETWEEN UNBOUNDED PRECEDING AND {hi})"
+    w_desc = f"(PARTITION BY {part_by} ORDER BY {desc} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
     # -- step 1: running values inside (key, period) --------------------------
-    asc = [F.col(t).asc()] + [F.col(o).asc() for o in order]
-    desc = [F.col(t).desc()] + [F.col(o).desc() for o in order]
-    w_in = (Window.partitionBy(*keys, P).orderBy(*asc)
-            .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    w_in_desc = (Window.partitionBy(*keys, P).orderBy(*desc)
-                 .rowsBetween(Window.unboundedPreceding, 0))
-    part_cols = ([F.sum(s).over(w_in).alias(f"_ps_{s}") for s in sums]
-                 + [F.max(s).over(w_in).alias(f"_pl_{s}") for s in lasts]
-                 + [F.min(s).over(w_in_desc).alias(f"_pf_{s}") for s in firsts])
+    part_cols = ([F.expr(f"sum({q(x)}) OVER {w_in} AS `_ps_{x}`") for x in sums]
+                 + [F.expr(f"max({q(x)}) OVER {w_in} AS `_pl_{x}`") for x in lasts]
+                 + [F.expr(f"min({q(x)}) OVER {w_desc} AS `_pf_{x}`") for x in firsts])
     part = d.select("*", *part_cols)
     if target is not None:
         part = part.filter(F.col(target))
 
     # -- step 2: carried-in values from the per-(key, period) table -----------
-    aggs = ([F.sum(s).alias(f"_AS_{s}") for s in sums]
-            + [F.max(s).alias(f"_AL_{s}") for s in lasts]
-            + [F.min(s).alias(f"_AF_{s}") for s in firsts])
+    aggs = ([f"sum({q(x)}) AS `_AS_{x}`" for x in sums]
+            + [f"max({q(x)}) AS `_AL_{x}`" for x in lasts]
+            + [f"min({q(x)}) AS `_AF_{x}`" for x in firsts])
     if first_t:
-        aggs.append(F.min(first_t[0]).alias("_mint"))
+        aggs.append(f"min({q(first_t[0])}) AS `_mint`")
     if target is not None:
-        aggs.append(F.max(F.col(target).cast("int")).alias("_tgt"))
+        aggs.append(f"max(CAST({q(target)} AS INT)) AS `_tgt`")
     if not aggs:
-        aggs.append(F.count(F.lit(1)).alias("_n"))
-    per = d.groupBy(*keys, P).agg(*aggs)
-    before = (Window.partitionBy(*keys).orderBy(F.col(P).asc())
-              .rowsBetween(Window.unboundedPreceding, -1))
-    upto = (Window.partitionBy(*keys).orderBy(F.col(P).asc())
-            .rowsBetween(Window.unboundedPreceding, 0))
-    after = (Window.partitionBy(*keys).orderBy(F.col(P).desc())
-             .rowsBetween(Window.unboundedPreceding, -1))
-    car_cols = ([F.sum(f"_AS_{s}").over(before).alias(f"_cs_{s}") for s in sums]
-                + [F.max(f"_AL_{s}").over(before).alias(f"_cl_{s}") for s in lasts]
-                + [F.min(f"_AF_{s}").over(after).alias(f"_cf_{s}") for s in firsts])
+        aggs.append("count(1) AS `_n`")
+    per = d.groupBy(*keys, P).agg(*[F.expr(a) for a in aggs])
+    kb = ", ".join(q(k) for k in keys)
+    before = f"(PARTITION BY {kb} ORDER BY `{P}` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    upto = f"(PARTITION BY {kb} ORDER BY `{P}` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    after = f"(PARTITION BY {kb} ORDER BY `{P}` DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    car_cols = ([f"sum(`_AS_{x}`) OVER {before} AS `_cs_{x}`" for x in sums]
+                + [f"max(`_AL_{x}`) OVER {before} AS `_cl_{x}`" for x in lasts]
+                + [f"min(`_AF_{x}`) OVER {after} AS `_cf_{x}`" for x in firsts])
     if first_t:
-        car_cols.append(F.min("_mint").over(upto).alias("_cmint"))
-    carried = per.select(*keys, P, *( ["_tgt"] if target is not None else []), *car_cols)
+        car_cols.append(f"min(`_mint`) OVER {upto} AS `_cmint`")
+    sel = [*keys, P] + (["_tgt"] if target is not None else [])
+    carried = per.select(*[F.col(c) for c in sel], *[F.expr(c) for c in car_cols])
     if target is not None:
         carried = carried.filter(F.col("_tgt") == 1).drop("_tgt")
 
     # -- step 3: combine ------------------------------------------------------
     out = part.join(carried, on=[*keys, P], how="left")
     final = []
-    for s in sums:
-        final.append((F.coalesce(F.col(f"_cs_{s}"), F.lit(0))
-                      + F.coalesce(F.col(f"_ps_{s}"), F.lit(0))).alias(prefix + s))
-    for s in lasts:
-        final.append(F.greatest(F.col(f"_cl_{s}"), F.col(f"_pl_{s}")).alias(prefix + s))
-    for s in firsts:
-        final.append(F.least(F.col(f"_cf_{s}"), F.col(f"_pf_{s}")).alias(prefix + "first_" + s))
+    for x in sums:
+        final.append(f"coalesce(`_cs_{x}`, 0) + coalesce(`_ps_{x}`, 0) AS `{prefix}{x}`")
+    for x in lasts:
+        final.append(f"greatest(`_cl_{x}`, `_pl_{x}`) AS `{prefix}{x}`")
+    for x in firsts:
+        final.append(f"least(`_cf_{x}`, `_pf_{x}`) AS `{prefix}first_{x}`")
     if first_t:
-        final.append(F.col("_cmint").alias(first_t[1]))
-    drop = set([P] + [c for c in out.columns if c.startswith(("_ps_", "_pl_", "_pf_", "_cs_", "_cl_", "_cf_"))]
-               + ["_cmint"])
-    keep = [c for c in out.columns if c not in drop]
-    return out.select(*keep, *final)
+        final.append(f"`_cmint` AS `{first_t[1]}`")
+    drop = set([P, "_cmint"] + [c for c in out.columns
+                                if c.startswith(("_ps_", "_pl_", "_pf_", "_cs_", "_cl_", "_cf_"))])
+    keep = [F.col(q(c)) for c in out.columns if c not in drop]
+    return out.select(*keep, *[F.expr(f) for f in final])
 
 
 def probe_scan(events: DataFrame, probes: DataFrame, keys, t: str,

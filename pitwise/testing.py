@@ -65,3 +65,44 @@ def compare(spark_df, oracle: pd.DataFrame, digits: int = 6, show: int = 5) -> d
     res["ok"] = len(a) == len(b) and not bad
     res["diffs"] = bad
     return res
+
+
+def run_checks(names=None, sf_dir: str = "/root/testdata/sf0.01", digits: int = 6,
+               verbose: bool = True) -> dict:
+    """Run registered queries and their oracles; return name -> result."""
+    import time
+
+    from pitwise.plans.registry import ORACLES, QUERIES, load_all
+    from pitwise.session import get_session
+    load_all()
+    spark = get_session("local[8]")
+    out = {}
+    for name in (names or sorted(QUERIES)):
+        t = time.time()
+        try:
+            sdf = QUERIES[name](spark, sf_dir).toPandas()
+            ts = time.time() - t
+            if name in ORACLES:
+                o = duck(ORACLES[name], sf_dir)
+                r = compare(sdf, o, digits=digits)
+            else:
+                r = {"ok": None, "rows_spark": len(sdf), "rows_only": True}
+            r["sec"] = round(ts, 2)
+        except Exception as e:  # report and continue
+            r = {"ok": False, "error": f"{type(e).__name__}: {str(e)[:400]}"}
+        out[name] = r
+        if verbose:
+            brief = {k: v for k, v in r.items() if k not in ("diffs",)}
+            print(name, brief, flush=True)
+            for x in r.get("diffs", [])[:3]:
+                print("   ", str(x)[:600], flush=True)
+    return out
+
+
+if __name__ == "__main__":
+    import sys
+    args = [a for a in sys.argv[1:] if not a.startswith("--")]
+    sf = next((a.split("=", 1)[1] for a in sys.argv[1:] if a.startswith("--sf=")), "/root/testdata/sf0.01")
+    res = run_checks(args or None, sf_dir=sf)
+    bad = [k for k, v in res.items() if v.get("ok") is False]
+    print("FAILED:", bad)
