@@ -35,8 +35,15 @@ def _norm(v, digits):
     return v
 
 
-def compare(spark_df, oracle: pd.DataFrame, digits: int = 6, show: int = 5) -> dict:
-    """Order-insensitive comparison; floats rounded to ``digits`` decimals."""
+def _close(x, y, rel=1e-9) -> bool:
+    if isinstance(x, float) and isinstance(y, (float, int)) or isinstance(y, float) and isinstance(x, (float, int)):
+        return math.isclose(float(x), float(y), rel_tol=rel, abs_tol=rel)
+    return x == y
+
+
+def compare(spark_df, oracle: pd.DataFrame, digits: int = 6, show: int = 5, rel: float = 1e-9) -> dict:
+    """Order-insensitive comparison. Rows are sorted on values rounded to
+    ``digits`` decimals; floats then compare with relative tolerance ``rel``."""
     left = spark_df.toPandas() if hasattr(spark_df, "toPandas") else spark_df
     cols_l, cols_r = sorted(left.columns), sorted(oracle.columns)
     res = {"rows_spark": len(left), "rows_oracle": len(oracle),
@@ -46,19 +53,28 @@ def compare(spark_df, oracle: pd.DataFrame, digits: int = 6, show: int = 5) -> d
         res["ok"] = False
         return res
 
-    def rows(df):
+    def key(r):
         out = []
-        for rec in df[cols_l].itertuples(index=False, name=None):
-            out.append(tuple(_norm(v, digits) for v in rec))
-        return sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0)
-                                               if not isinstance(x, (list, dict)) else (False, "", str(x))
-                                               for x in r))
+        for x in r:
+            if x is None:
+                out.append((1, "", 0))
+            elif isinstance(x, float):
+                out.append((0, "f", round(x, digits)))
+            elif isinstance(x, (int,)):
+                out.append((0, "f", float(x)))
+            else:
+                out.append((0, type(x).__name__, str(x)))
+        return tuple(out)
+
+    def rows(df):
+        recs = [tuple(_norm(v, 15) for v in rec) for rec in df[cols_l].itertuples(index=False, name=None)]
+        return sorted(recs, key=key)
 
     a, b = rows(left), rows(oracle)
     bad = []
     for i, (x, y) in enumerate(zip(a, b)):
-        if x != y:
-            diffs = {c: (p, q) for c, p, q in zip(cols_l, x, y) if p != q}
+        if not all(_close(p, q, rel) for p, q in zip(x, y)):
+            diffs = {c: (p, q) for c, p, q in zip(cols_l, x, y) if not _close(p, q, rel)}
             bad.append((i, diffs))
             if len(bad) >= show:
                 break
