@@ -161,6 +161,8 @@ def _closure(names: list[str]) -> list[str]:
     out: list[str] = []
 
     def add(n):
+        if n not in VIEWS:      # a base table of the driver
+            return
         for d in DEPS[n]:
             add(d)
         if n not in out:
@@ -177,4 +179,6 @@ def with_views(names: list[str], body: str, extra_ctes: str = "") -> str:
     ctes = [f"{n} AS ({VIEWS[n]})" for n in _closure(names)]
     if extra_ctes.strip():
         ctes.append(extra_ctes.strip().rstrip(","))
+    if not ctes:
+        return body
     return "WITH " + ",\n".join(ctes) + "\n" + body
