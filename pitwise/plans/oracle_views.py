@@ -63,7 +63,7 @@ SELECT CAST(event_id AS VARCHAR) AS branch_id, event_id AS seq,
        END AS branch_params,
        ts AS committed_at,
        CASE WHEN event_id % 10 < 7 THEN 'committed' ELSE 'discarded' END AS status,
-       k
+       k, value
 FROM ev WHERE event_type = 'signup'
 """
 DEPS["branches"] = ["ev"]

@@ -129,6 +129,7 @@ def branches(spark: SparkSession, d: str) -> DataFrame:
         F.col("ts").alias("committed_at"),
         F.when(eid % 10 < 7, "committed").otherwise("discarded").alias("status"),
         k.alias("k"),
+        F.col("value").alias("value"),
     )
 
 
