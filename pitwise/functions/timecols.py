@@ -70,3 +70,18 @@ def iso_text(ts) -> Column:
     return F.when(F.date_format(t, "SSSSSS") == "000000",
                   F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")) \
         .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+# Exact sums as scaled integers: money in cents, other quantities in
+# millionths. Long arithmetic stays in generated code (Spark widens
+# decimal sums past 18 digits onto BigDecimal) and is order independent.
+CENTS = 100
+MICRO_UNITS = 1_000_000
+
+
+def to_scaled(x, scale: int) -> Column:
+    return F.round(_c(x) * F.lit(float(scale))).cast("long")
+
+
+def from_scaled(x, scale: int) -> Column:
+    return _c(x).cast("double") / F.lit(float(scale))

@@ -1,7 +1,7 @@
 """Ledger reconciliation from the event log (L1-L4).
 
 Balances are running sums in (timestamp, seq) order per business computed
-with the skew-safe :func:`segmented_scan`; money is summed as decimal so
+with the skew-safe :func:`segmented_scan`; money is summed as scaled integers (cents) so
 results do not depend on the order partial sums are combined.
 """
 
@@ -10,12 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pitwise.functions.payload import field, parse_payload
-from pitwise.functions.timecols import DAY_US, floor_div, micros
+from pitwise.functions.timecols import CENTS, DAY_US, MICRO_UNITS, floor_div, from_scaled, micros, to_scaled
 from pitwise.operators.scan import segmented_scan
 
-MONEY = "decimal(18,2)"
-UNITS = "decimal(24,8)"
-
 
 def ledger_deltas(commits: DataFrame) -> DataFrame:
     """Signed cash and unit deltas per commit.
@@ -28,14 +25,14 @@ def ledger_deltas(commits: DataFrame) -> DataFrame:
     c = commits.select("commit_id", "business_id", "seq", "timestamp", et,
                        micros(F.col("timestamp")).alias("t"), parse_payload("payload").alias("_p"))
     p = F.col("_p")
-    cash = (F.when(et == "ORDER_RECEIVED", field(p, "revenue", 0.0).cast(MONEY))
-             .when(et == "ORDER_CANCELLED", -field(p, "revenue_reversed", 0.0).cast(MONEY))
-             .when(et == "SUPPLIER_PO_CREATED", -field(p, "cost", 0.0).cast(MONEY))
-             .otherwise(F.lit(0).cast(MONEY)))
-    units = (F.when(et == "ORDER_RECEIVED", -field(p, "quantity", 0.0).cast(UNITS))
-              .when(et == "ORDER_CANCELLED", field(p, "quantity", 0.0).cast(UNITS))
-              .when(et == "INVENTORY_RESTOCK", field(p, "quantity_added", 0.0).cast(UNITS))
-              .otherwise(F.lit(0).cast(UNITS)))
+    cash = (F.when(et == "ORDER_RECEIVED", to_scaled(field(p, "revenue", 0.0), CENTS))
+             .when(et == "ORDER_CANCELLED", -to_scaled(field(p, "revenue_reversed", 0.0), CENTS))
+             .when(et == "SUPPLIER_PO_CREATED", -to_scaled(field(p, "cost", 0.0), CENTS))
+             .otherwise(F.lit(0).cast("long")))
+    units = (F.when(et == "ORDER_RECEIVED", -to_scaled(field(p, "quantity", 0.0), MICRO_UNITS))
+              .when(et == "ORDER_CANCELLED", to_scaled(field(p, "quantity", 0.0), MICRO_UNITS))
+              .when(et == "INVENTORY_RESTOCK", to_scaled(field(p, "quantity_added", 0.0), MICRO_UNITS))
+              .otherwise(F.lit(0).cast("long")))
     return c.select("commit_id", "business_id", "seq", "timestamp", "t",
                     cash.alias("d_cash"), units.alias("d_units"))
 
@@ -47,8 +44,8 @@ def running_balances(commits: DataFrame, opening_cash: float = 0.0,
     r = segmented_scan(d, "business_id", "t", ["seq"], sums=["d_cash", "d_units"], inclusive=True,
                        prefix="bal_")
     return r.select("commit_id", "business_id", "seq", "timestamp", "t",
-                    (F.col("bal_d_cash").cast("double") + F.lit(float(opening_cash))).alias("cash_balance"),
-                    (F.col("bal_d_units").cast("double") + F.lit(float(opening_units))).alias("inventory_units"))
+                    (from_scaled(F.col("bal_d_cash"), CENTS) + F.lit(float(opening_cash))).alias("cash_balance"),
+                    (from_scaled(F.col("bal_d_units"), MICRO_UNITS) + F.lit(float(opening_units))).alias("inventory_units"))
 
 
 def weekly_snapshot(commits: DataFrame) -> DataFrame:

@@ -16,14 +16,12 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwise.functions.payload import field, json_valid, parse_payload
-from pitwise.functions.timecols import DAY_US, floor_days, micros
+from pitwise.functions.timecols import CENTS, DAY_US, MICRO_UNITS, floor_days, from_scaled, micros, to_scaled
 from pitwise.operators.scan import DEFAULT_PERIOD_US, point, probe_scan
 
 # Lookback windows (days), decay half-life (days).
 WINDOWS = (7, 30, 90)
 HALF_LIFE_DAYS = 30
-MONEY = "decimal(18,2)"
-NUM = "decimal(24,8)"
 
 # Decayed sums are prefix sums of exp(lambda (t - T0)); T0 = 2000-01-01 keeps
 # exp() finite for times within ~84 years of it (1916..2084).
@@ -44,18 +42,25 @@ SUMS = ["n_all", "n_order", "rev", "n_cancel", "n_blocked", "n_restock", "n_pric
 POINTS = ["cash_pt", "inv_pt"]
 
 
+def commit_events(commits: DataFrame) -> DataFrame:
+    """The commit columns the lookback needs: key, t (micros), seq, type, payload."""
+    return commits.select(F.col("business_id"), micros(F.col("timestamp")).alias("t"),
+                          F.col("seq"), F.col("event_type"), F.col("payload"))
+
+
 def commit_contributions(commits: DataFrame) -> DataFrame:
     """One row per commit: key, t (micros), seq and its contributions."""
-    et = F.col("event_type")
-    c = commits.select(
-        F.col("business_id"),
-        micros(F.col("timestamp")).alias("t"),
-        F.col("seq"),
-        et,
-        F.col("payload"),
-        parse_payload(F.col("payload")).alias("_p"),
-    )
+    return add_contributions(commit_events(commits).withColumn("_kind", F.lit(1))).drop(
+        "_kind", "event_type", "payload")
+
+
+def add_contributions(c: DataFrame) -> DataFrame:
+    """Adds the contribution columns to rows with ``_kind`` = 1 (commits);
+    other rows (probes) get NULLs. Row-local: parses each payload once."""
+    c = c.withColumn("_p", parse_payload(F.col("payload")))
     p = F.col("_p")
+    is_ev = F.col("_kind") == 1
+    et = F.when(is_ev, F.col("event_type"))
     is_order = et == "ORDER_RECEIVED"
     is_ful = et == "ORDER_FULFILLED"
     is_price = et == "PRICE_CHANGE"
@@ -71,19 +76,19 @@ def commit_contributions(commits: DataFrame) -> DataFrame:
         return cond.cast("long")
 
     return c.select(
-        "business_id", "t", "seq",
-        F.lit(1).cast("long").alias("n_all"),
+        *[x for x in c.columns if x != "_p"],
+        F.when(is_ev, F.lit(1).cast("long")).alias("n_all"),
         flag(is_order).alias("n_order"),
-        F.when(is_order, field(p, "revenue", 0.0).cast(MONEY)).alias("rev"),
+        F.when(is_order, to_scaled(field(p, "revenue", 0.0), CENTS)).alias("rev"),
         flag(et == "ORDER_CANCELLED").alias("n_cancel"),
         flag(et == "FULFILLMENT_BLOCKED").alias("n_blocked"),
         flag(et.isin("INVENTORY_RESTOCK", "SUPPLIER_PO_CREATED")).alias("n_restock"),
         flag(is_price).alias("n_price"),
-        F.when(is_price, pct.cast(NUM)).alias("price_sum"),
+        F.when(is_price, to_scaled(pct, MICRO_UNITS)).alias("price_sum"),
         flag(is_price & valid).alias("n_price_valid"),
-        F.when(is_price & valid, pct.cast(NUM)).alias("price_valid_sum"),
+        F.when(is_price & valid, to_scaled(pct, MICRO_UNITS)).alias("price_valid_sum"),
         flag(is_rs & valid).alias("n_rs_valid"),
-        F.when(is_rs & valid, field(p, "quantity_added", 0.0).cast(NUM)).alias("rs_sum"),
+        F.when(is_rs & valid, to_scaled(field(p, "quantity_added", 0.0), MICRO_UNITS)).alias("rs_sum"),
         F.when(is_order, F.exp((F.col("t") - F.lit(T0_US)).cast("double") * F.lit(LAMBDA_PER_US)))
          .alias("w_order"),
         flag(is_ledger).alias("n_cash"),
@@ -114,10 +119,11 @@ def lookback_raw(commits: DataFrame, scenarios: DataFrame, windows=WINDOWS,
     ``first_cash@w`` / ``first_inv@w`` (first points at or after b - w),
     ``first_t`` (the business's first commit time, if before b).
     """
-    ev = commit_contributions(commits)
+    ev = commit_events(commits)
     pr = scenario_probes(scenarios, windows)
     at = probe_scan(ev, pr, "business_id", "t", ["seq"], sums=SUMS, lasts=POINTS,
-                    firsts=POINTS, first_t="first_t", period_us=period_us)
+                    firsts=POINTS, first_t="first_t", period_us=period_us,
+                    derive=add_contributions)
     whiches = [0, *windows]
     aggs = ["max(b) AS b"]
     for w in whiches:
@@ -154,7 +160,7 @@ def rolling_columns(raw: DataFrame, windows=WINDOWS, rounded: bool = False) -> d
             return F.col(f"{s}@0") - F.col(f"{s}@{w}")
 
         orders = win("n_order")
-        rev = _d(win("rev"))
+        rev = from_scaled(win("rev"), CENTS)
         n_price = win("n_price")
         n_cash = win("n_cash")
         n_inv = win("n_inv")
@@ -169,7 +175,7 @@ def rolling_columns(raw: DataFrame, windows=WINDOWS, rounded: bool = False) -> d
         out[f"w{w}_restock_count"] = win("n_restock")
         out[f"w{w}_price_change_count"] = n_price
         out[f"w{w}_avg_price_change_pct"] = r(
-            F.when(n_price > 0, _d(win("price_sum")) / n_price).otherwise(F.lit(0.0)), 4)
+            F.when(n_price > 0, from_scaled(win("price_sum"), MICRO_UNITS) / n_price).otherwise(F.lit(0.0)), 4)
         out[f"w{w}_latest_cash_balance"] = r(
             F.when(n_cash >= 1, last_cash.getField("v")).otherwise(F.lit(0.0)), 2)
         out[f"w{w}_cash_trend"] = r(_trend(last_cash, F.col(f"first_cash@{w}"), n_cash), 4)
@@ -210,9 +216,9 @@ def history_columns(raw: DataFrame) -> dict[str, Column]:
     nrs = F.col("n_rs_valid@0")
     return {
         "n_prior": n_prior,
-        "hist_avg_price_change": F.when(npv > 0, _d(F.col("price_valid_sum@0")) / npv).otherwise(F.lit(0.0)),
+        "hist_avg_price_change": F.when(npv > 0, from_scaled(F.col("price_valid_sum@0"), MICRO_UNITS) / npv).otherwise(F.lit(0.0)),
         "n_past_price_changes": npv,
-        "avg_restock": F.when(nrs > 0, _d(F.col("rs_sum@0")) / nrs),
+        "avg_restock": F.when(nrs > 0, from_scaled(F.col("rs_sum@0"), MICRO_UNITS) / nrs),
         "history_depth_days": F.when(n_prior > 0, floor_days(F.col("b") - F.col("first_t")))
                                .otherwise(F.lit(0).cast("long")),
     }

@@ -6,18 +6,22 @@ index, lag, point-in-time lookbacks) reduces to *prefix aggregates in
 whole key into one task, which fails when one key holds a third of all rows.
 So the scan is split by (key, period):
 
-1. ``period = floor(t / period_us)``; a window partitioned by
-   (key, period) computes the running value *inside* the period.
-2. The rows are also pre-aggregated to one row per (key, period) (partial
-   aggregation happens map-side, so this shuffle is small), and a window over
-   that small table gives the *carried-in* value of all earlier periods
-   (or, for suffix minima, all later periods).
+1. Hot keys are found with one cheap aggregate (rows and time span per
+   key); the set of keys with more than ``heavy_rows`` rows is bounded by
+   rows / heavy_rows and is broadcast. A hot key's time axis is cut into
+   periods sized for ~``target_rows`` rows each; every other key is one
+   period. A window partitioned by (key, period) computes the running value
+   *inside* the period.
+2. The rows are also pre-aggregated to one row per (key, period), and a
+   window over that small table gives the *carried-in* value of all earlier
+   periods (or, for suffix minima, all later periods).
 3. result = carried-in (+) partial; joined on (key, period). The big side is
    already hash-partitioned on (key, period) by step 1, so only the small
-   carried table is shuffled for the join.
+   carried table moves.
 
 A hot key is therefore spread over as many tasks as it has periods, and each
-task sorts only one period of one key.
+task sorts only one period of one key; ordinary keys pay one sort.
+``heavy_rows=None`` splits every key by fixed ``period_us`` periods instead.
 
 Aggregates:
 * ``sums``  - running sum of a numeric column (NULL contributes nothing);
@@ -34,11 +38,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pitwise.functions.timecols import DAY_US, floor_div
 
 DEFAULT_PERIOD_US = DAY_US
+HEAVY_KEY_ROWS = 2_000_000       # keys with more rows are split into periods
+TARGET_PERIOD_ROWS = 1_000_000   # rows aimed at per (hot key, period)
 
 P = "_period"
 
@@ -56,23 +63,35 @@ def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
                    firsts: Sequence[str] = (), first_t: tuple[str, str] | None = None,
                    inclusive: bool = True, target: str | None = None,
                    period_us: int = DEFAULT_PERIOD_US,
-                   prefix: str = "run_") -> DataFrame:
+                   prefix: str = "run_", persist: bool = True,
+                   derive=None, heavy_rows: int | None = HEAVY_KEY_ROWS,
+                   target_rows: int = TARGET_PERIOD_ROWS) -> DataFrame:
     """Prefix aggregates per key in ``(t, *order)`` order.
 
     ``t`` is a long (microseconds). For each row that is a target (all rows
     when ``target`` is None) adds ``{prefix}{name}`` for every name in sums
     and lasts, ``{prefix}first_{name}`` for every name in firsts, and, when ``first_t = (src, name)``, ``name`` = the min
     of column ``src`` over the key's periods up to the current one. ``inclusive`` decides
-    whether sums/lasts include the current row (firsts always do).
+    whether sums/lasts include the current row (firsts always do). ``derive``
+    (DataFrame -> DataFrame, row-local) runs after the exchange and may add
+    the aggregated columns.
     """
     keys = _cols(keys)
     order = _cols(order)
     sums, lasts, firsts = _cols(sums), _cols(lasts), _cols(firsts)
 
-    # One explicit shuffle on (key, period): the window below and the
-    # per-period aggregate both consume it (identical exchanges are reused),
-    # so the input is scanned and its expressions evaluated once.
-    d = df.withColumn(P, floor_div(F.col(t), period_us)).repartition(*keys, P)
+    # One explicit shuffle on (key, period), persisted: the window below and
+    # the per-period aggregate both read it, so the input is scanned, its
+    # expressions evaluated and shuffled once (column pruning would otherwise
+    # give the two branches different exchanges). MEMORY_AND_DISK spills;
+    # lost blocks are recomputed from lineage.
+    d = with_periods(df, keys, t, heavy_rows, target_rows, period_us).repartition(*keys, P)
+    if derive is not None:
+        # Row-local work (e.g. payload parsing) placed after the exchange
+        # runs in every shuffle partition, not only in the scan tasks.
+        d = derive(d)
+    if persist:
+        d = d.persist(StorageLevel.MEMORY_AND_DISK)
 
     def q(c):
         return f"`{c}`"
@@ -134,11 +153,31 @@ def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
     return out.select(*keep, *[F.expr(f) for f in final])
 
 
+def with_periods(df: DataFrame, keys: list[str], t: str, heavy_rows: int | None,
+                 target_rows: int, period_us: int) -> DataFrame:
+    """Adds the period column (see module doc)."""
+    if heavy_rows is None:
+        return df.withColumn(P, floor_div(F.col(t), period_us))
+    st = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"),
+                               F.max(t).alias("_t1"))
+    width = F.greatest(F.lit(1), ((F.col("_t1") - F.col("_t0") + 1).cast("double")
+                                  * F.lit(float(target_rows)) / F.col("_n")).cast("long"))
+    # At most rows / heavy_rows keys: a provably small broadcast.
+    hot = st.filter(F.col("_n") > heavy_rows).select(*keys, width.alias("_pw"))
+    d = df.join(F.broadcast(hot), on=keys, how="left")
+    # floor(t / width) is monotone in t, which is all the split needs.
+    per = F.when(F.col("_pw").isNull(), F.lit(0).cast("long")) \
+        .otherwise(F.floor(F.col(t).cast("double") / F.col("_pw").cast("double")).cast("long"))
+    return d.withColumn(P, per).drop("_pw")
+
+
 def probe_scan(events: DataFrame, probes: DataFrame, keys, t: str,
                order: Sequence[str] = (), *, sums: Sequence[str] = (),
                lasts: Sequence[str] = (), firsts: Sequence[str] = (),
                first_t: str | None = None, period_us: int = DEFAULT_PERIOD_US,
-               prefix: str = "at_") -> DataFrame:
+               prefix: str = "at_", derive=None,
+               heavy_rows: int | None = HEAVY_KEY_ROWS,
+               target_rows: int = TARGET_PERIOD_ROWS) -> DataFrame:
     """Point-in-time lookups for probe rows (design "probe-union prefix").
 
     ``events`` carry keys, ``t``, ``order`` and the aggregate columns;
@@ -158,7 +197,8 @@ def probe_scan(events: DataFrame, probes: DataFrame, keys, t: str,
     u = u.withColumn("_is_probe", F.col("_kind") == 0)
     res = segmented_scan(u, keys, t, ["_kind", *_cols(order)], sums=sums, lasts=lasts,
                          firsts=firsts, first_t=("_evt_t", first_t) if first_t else None,
-                         inclusive=True,
+                         inclusive=True, derive=derive, heavy_rows=heavy_rows,
+                         target_rows=target_rows,
                          target="_is_probe", period_us=period_us, prefix=prefix)
     drop = set(_cols(order)) | {"_kind", "_is_probe", "_evt_t"} | set(_cols(sums)) | set(_cols(lasts)) | set(_cols(firsts))
     return res.select(*[c for c in res.columns if c not in drop])

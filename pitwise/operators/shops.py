@@ -20,11 +20,12 @@ Shape of the work:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwise.functions.encode import BT_COLS, CAT_COLS, infer_category, map_category, onehot_category
 from pitwise.functions.season import SEASON_COLS, season_shop
-from pitwise.functions.timecols import DAY_US, coerce_num, floor_days, micros
+from pitwise.functions.timecols import CENTS, DAY_US, coerce_num, floor_days, from_scaled, micros, to_scaled
 from pitwise.operators.scan import probe_scan, segmented_scan
 from pitwise.sources.schemas import LABELS
 
@@ -33,7 +34,6 @@ HORIZON_DAYS = 14
 FIRST_SAMPLE = 30
 SAMPLE_EVERY = 7
 MIN_SHOP_ROWS = 45
-MONEY = "decimal(18,2)"
 
 SHOP_ROLL = ["order_count", "order_velocity", "revenue_total", "revenue_per_day", "cancel_rate",
              "blocked_rate", "restock_count", "price_change_count", "avg_price_change_pct",
@@ -92,11 +92,11 @@ def prepare_shop_orders(df: DataFrame, tie: list[str] | None = None) -> DataFram
 
 
 def _running_cash(df: DataFrame, pos: str, order: list[str]) -> DataFrame:
-    """Per-shop running total of total_price in file order (decimal sum)."""
-    d = df.withColumn("_amt", F.col("total_price").cast(MONEY))
+    """Per-shop running total of total_price in file order (exact, in cents)."""
+    d = df.withColumn("_amt", to_scaled(F.col("total_price"), CENTS))
     run = segmented_scan(d, "shop_id", pos, order, sums=["_amt"], inclusive=True,
                          period_us=1 << 20, prefix="cum")
-    return run.withColumn("cash_balance", F.col("cum_amt").cast("double")).drop("_amt", "cum_amt")
+    return run.withColumn("cash_balance", from_scaled(F.col("cum_amt"), CENTS)).drop("_amt", "cum_amt")
 
 
 def normalize_retail(df: DataFrame, pos: str = "pos", order: list[str] | None = None) -> DataFrame:
@@ -208,7 +208,7 @@ def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS) -> DataFr
         prev_in = c & F.col("prev").isNotNull() & (F.col("prev.t") >= F.col("a") - F.lit(w * DAY_US))
         aggs += [
             n.alias(f"w{w}_order_count"),
-            F.sum(F.when(c, F.col("total_price").cast(MONEY))).alias(f"_rev{w}"),
+            F.sum(F.when(c, to_scaled(F.col("total_price"), CENTS))).alias(f"_rev{w}"),
             F.avg(F.when(c, cancelled.cast("double"))).alias(f"w{w}_cancel_rate"),
             F.avg(F.when(c, (cancelled & (F.col("total_price") > F.col(f"_q{w}"))).cast("double")))
              .alias(f"w{w}_blocked_rate"),
@@ -223,7 +223,7 @@ def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS) -> DataFr
     out = [F.col("shop_id"), F.col("idx")]
     for w in windows:
         n = F.coalesce(F.col(f"w{w}_order_count"), F.lit(0)).cast("long")
-        rev = F.coalesce(F.col(f"_rev{w}").cast("double"), F.lit(0.0))
+        rev = F.coalesce(from_scaled(F.col(f"_rev{w}"), CENTS), F.lit(0.0))
         out += [
             n.alias(f"w{w}_order_count"),
             (n / F.lit(float(w))).alias(f"w{w}_order_velocity"),
@@ -280,9 +280,14 @@ def labels(shops: DataFrame, probes: DataFrame, horizon_days: int = HORIZON_DAYS
 def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
                  min_rows: int | None = None, horizon_check: bool = False,
                  horizon_days: int = HORIZON_DAYS) -> DataFrame:
-    """Shared body of T2/T3 on a prepared shop frame."""
+    """Shared body of T2/T3 on a prepared shop frame.
+
+    The shop frame and its indexed form each feed several consumers (stats,
+    sampling, pairs, labels); they are persisted (memory, spilling to disk)
+    so the export is scanned and sorted once."""
+    shops = shops.persist(StorageLevel.MEMORY_AND_DISK)
     stats = shop_stats(shops)
-    ix = indexed(shops)
+    ix = indexed(shops).persist(StorageLevel.MEMORY_AND_DISK)
     probes = sample_points(ix, stats, min_rows=min_rows,
                            horizon_days=horizon_days if horizon_check else None)
     feats = window_features(ix, probes)

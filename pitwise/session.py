@@ -16,8 +16,12 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Plans here are wide (dozens of feature columns); per-call call-site
-    # capture costs several JVM round trips per expression while building.
+}
+
+# Static (builder-time) settings. Plans here are wide (dozens of feature
+# columns); per-call call-site capture costs several JVM round trips per
+# expression while a plan is built.
+STATIC_CONF = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
@@ -32,7 +36,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
           .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.driver.memory", "8g"))
-    for k, v in SESSION_CONF.items():
+    for k, v in {**SESSION_CONF, **STATIC_CONF}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -45,11 +49,6 @@ def apply_conf(spark: SparkSession) -> None:
     for k, v in SESSION_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
-    try:  # the debugging flag is cached on first use; let it be re-read
-        import pyspark.errors.utils as _eu
-        _eu._enable_debugging_cache = None
-    except (ImportError, AttributeError):
-        pass
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -17,10 +17,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pitwise.functions.timecols import micros
+from pitwise.functions.timecols import CENTS, from_scaled, micros, to_scaled
 from pitwise.operators.scan import segmented_scan
 
-MONEY = "decimal(18,2)"
 
 # Tie key of lineitem rows within one supplier and ship date; unique at all
 # scale factors ((l_orderkey, l_linenumber) alone is not).
@@ -178,12 +177,12 @@ def shop_orders(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("inventory_qty"),
         F.struct(*[F.col(c) for c in LINEITEM_TIE]).alias("tie"),
         micros(F.col("l_shipdate")).alias("_t"),
-        F.col("l_extendedprice").cast(MONEY).alias("_amt"),
+        to_scaled(F.col("l_extendedprice"), CENTS).alias("_amt"),
     )
     run = segmented_scan(base, "shop_id", "_t", ["tie"], sums=["_amt"], inclusive=True,
                          prefix="cum")
     return run.select("shop_id", "created_at", "total_price", "cancelled_at", "product_type",
-                      "inventory_qty", F.col("cum_amt").cast("double").alias("cash_balance"),
+                      "inventory_qty", from_scaled(F.col("cum_amt"), CENTS).alias("cash_balance"),
                       "tie")
 
 
