@@ -64,8 +64,8 @@ def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
                    inclusive: bool = True, target: str | None = None,
                    period_us: int = DEFAULT_PERIOD_US,
                    prefix: str = "run_", persist: bool = True,
-                   derive=None, heavy_rows: int | None = HEAVY_KEY_ROWS,
-                   target_rows: int = TARGET_PERIOD_ROWS) -> DataFrame:
+                   derive=None, heavy_rows: int | None | str = "auto",
+                   target_rows: int | None = None) -> DataFrame:
     """Prefix aggregates per key in ``(t, *order)`` order.
 
     ``t`` is a long (microseconds). For each row that is a target (all rows
@@ -79,6 +79,10 @@ def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
     keys = _cols(keys)
     order = _cols(order)
     sums, lasts, firsts = _cols(sums), _cols(lasts), _cols(firsts)
+    if heavy_rows == "auto":
+        heavy_rows = HEAVY_KEY_ROWS
+    if target_rows is None:
+        target_rows = TARGET_PERIOD_ROWS
 
     # One explicit shuffle on (key, period), persisted: the window below and
     # the per-period aggregate both read it, so the input is scanned, its
@@ -176,8 +180,8 @@ def probe_scan(events: DataFrame, probes: DataFrame, keys, t: str,
                lasts: Sequence[str] = (), firsts: Sequence[str] = (),
                first_t: str | None = None, period_us: int = DEFAULT_PERIOD_US,
                prefix: str = "at_", derive=None,
-               heavy_rows: int | None = HEAVY_KEY_ROWS,
-               target_rows: int = TARGET_PERIOD_ROWS) -> DataFrame:
+               heavy_rows: int | None | str = "auto",
+               target_rows: int | None = None) -> DataFrame:
     """Point-in-time lookups for probe rows (design "probe-union prefix").
 
     ``events`` carry keys, ``t``, ``order`` and the aggregate columns;
