@@ -44,6 +44,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pitwise.functions.timecols import DAY_US, floor_div
 
 DEFAULT_PERIOD_US = DAY_US
+PERSIST_SHUFFLED = False         # persist the (key, period)-shuffled input once
 HEAVY_KEY_ROWS = 2_000_000       # keys with more rows are split into periods
 TARGET_PERIOD_ROWS = 1_000_000   # rows aimed at per (hot key, period)
 
@@ -63,7 +64,7 @@ def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
                    firsts: Sequence[str] = (), first_t: tuple[str, str] | None = None,
                    inclusive: bool = True, target: str | None = None,
                    period_us: int = DEFAULT_PERIOD_US,
-                   prefix: str = "run_", persist: bool = True,
+                   prefix: str = "run_", persist: bool | None = None,
                    derive=None, heavy_rows: int | None | str = "auto",
                    target_rows: int | None = None) -> DataFrame:
     """Prefix aggregates per key in ``(t, *order)`` order.
@@ -81,6 +82,8 @@ def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
     sums, lasts, firsts = _cols(sums), _cols(lasts), _cols(firsts)
     if heavy_rows == "auto":
         heavy_rows = HEAVY_KEY_ROWS
+    if persist is None:
+        persist = PERSIST_SHUFFLED
     if target_rows is None:
         target_rows = TARGET_PERIOD_ROWS
 

@@ -34,6 +34,7 @@ HORIZON_DAYS = 14
 FIRST_SAMPLE = 30
 SAMPLE_EVERY = 7
 MIN_SHOP_ROWS = 45
+PERSIST_SHARED = False
 
 SHOP_ROLL = ["order_count", "order_velocity", "revenue_total", "revenue_per_day", "cancel_rate",
              "blocked_rate", "restock_count", "price_change_count", "avg_price_change_pct",
@@ -185,41 +186,78 @@ def sample_points(ix: DataFrame, stats: DataFrame | None = None, *, min_rows: in
     return s.select("shop_id", "idx", F.col("pos").alias("a"), F.col("created_at").alias("as_of"))
 
 
-def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS) -> DataFrame:
-    """B1-B8 per probe (shop_id, idx, a) for each window, from the bucketed
-    range join of probes with the shop's rows in [a - max(w), a)."""
+def shop_lookups(shops: DataFrame, probes: DataFrame, horizon_days: int = HORIZON_DAYS) -> DataFrame:
+    """Point-in-time lookups per probe at a and a + h (one probe scan):
+    ``n_pre`` rows before a, ``n_hi`` rows before a + h, ``pre`` / ``post`` the
+    last row (t, tie, cash, inv) before a / before a + h, ``first_t``."""
+    ev = shops.select("shop_id", F.col("pos").alias("t"), "tie",
+                      F.lit(1).cast("long").alias("_one"),
+                      F.struct(F.col("pos").alias("t"), F.col("tie").alias("o0"),
+                               F.col("cash_balance").alias("cash"),
+                               F.col("inventory_qty").alias("inv")).alias("_pt"))
+    h = horizon_days * DAY_US
+    pr = (probes.select("shop_id", "idx", "a")
+          .withColumn("which", F.explode(F.array(F.lit(0), F.lit(1))))
+          .withColumn("t", F.col("a") + F.col("which").cast("long") * F.lit(h)))
+    at = probe_scan(ev, pr, "shop_id", "t", ["tie"], sums=["_one"], lasts=["_pt"],
+                    first_t="first_t")
+    return at.groupBy("shop_id", "idx").agg(
+        F.max("a").alias("a"),
+        F.max(F.when(F.col("which") == 0, F.col("at__one"))).alias("n_pre"),
+        F.max(F.when(F.col("which") == 1, F.col("at__one"))).alias("n_hi"),
+        F.max(F.when(F.col("which") == 0, F.col("at__pt"))).alias("pre"),
+        F.max(F.when(F.col("which") == 1, F.col("at__pt"))).alias("post"),
+        F.max(F.when(F.col("which") == 0, F.col("first_t"))).alias("first_t"))
+
+
+def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS,
+                    lookups: DataFrame | None = None, with_latest: bool = True) -> DataFrame:
+    """B1-B8 per probe (shop_id, idx, a) for each window.
+
+    Additive parts and the non-additive q75 (B5), consecutive differences
+    (B7) and harmonic recency weight (B8) come from the bucketed range join
+    of probes with the shop's rows in [a - max(w), a); only the narrow
+    columns those aggregates need are shuffled. The latest cash (B6) is the
+    last row before a (from the point-in-time lookup) when the window is not
+    empty."""
     wmax = max(windows) * DAY_US
-    rows = (ix.select("shop_id", F.col("pos").alias("t"), "tie", "total_price", "cancelled_at",
-                      "cash_balance", "inventory_qty", "prev")
-            .withColumn("_bk", F.explode(F.array(F.floor(F.col("t") / F.lit(wmax)).cast("long"),
-                                                 F.floor(F.col("t") / F.lit(wmax)).cast("long") + 1))))
+    if lookups is None and with_latest:
+        lookups = shop_lookups(ix, probes)
+    bk = F.floor(F.col("t") / F.lit(wmax)).cast("long")
+    rows = (ix.select("shop_id", F.col("pos").alias("t"), F.col("total_price").alias("price"),
+                      F.col("cancelled_at").isNotNull().alias("canc"),
+                      F.col("cash_balance").alias("cash"), F.col("inventory_qty").alias("inv"),
+                      F.col("prev.t").alias("prev_t"), F.col("prev.cash").alias("prev_cash"),
+                      F.col("prev.inv").alias("prev_inv"))
+            .withColumn("_bk", F.explode(F.array(bk, bk + 1))))
     pr = probes.select("shop_id", "idx", "a", F.floor(F.col("a") / F.lit(wmax)).cast("long").alias("_bk"))
     pairs = (pr.join(rows, ["shop_id", "_bk"], "inner")
                .filter((F.col("t") < F.col("a")) & (F.col("t") >= F.col("a") - F.lit(wmax))))
     inw = {w: F.col("t") >= F.col("a") - F.lit(w * DAY_US) for w in windows}
-    q = {w: F.expr(f"percentile(CASE WHEN t >= a - {w * DAY_US} THEN total_price END, 0.75) "
+    q = {w: F.expr(f"percentile(CASE WHEN t >= a - {w * DAY_US} THEN price END, 0.75) "
                    f"OVER (PARTITION BY shop_id, idx)") for w in windows}
     pairs = pairs.select("*", *[q[w].alias(f"_q{w}") for w in windows])
-    cancelled = F.col("cancelled_at").isNotNull()
     aggs = []
     for w in windows:
         c = inw[w]
-        n = F.count(F.when(c, F.lit(1)))
-        prev_in = c & F.col("prev").isNotNull() & (F.col("prev.t") >= F.col("a") - F.lit(w * DAY_US))
+        prev_in = c & (F.col("prev_t") >= F.col("a") - F.lit(w * DAY_US))
         aggs += [
-            n.alias(f"w{w}_order_count"),
-            F.sum(F.when(c, to_scaled(F.col("total_price"), CENTS))).alias(f"_rev{w}"),
-            F.avg(F.when(c, cancelled.cast("double"))).alias(f"w{w}_cancel_rate"),
-            F.avg(F.when(c, (cancelled & (F.col("total_price") > F.col(f"_q{w}"))).cast("double")))
+            F.count(F.when(c, F.lit(1))).alias(f"w{w}_order_count"),
+            F.sum(F.when(c, to_scaled(F.col("price"), CENTS))).alias(f"_rev{w}"),
+            F.avg(F.when(c, F.col("canc").cast("double"))).alias(f"w{w}_cancel_rate"),
+            F.avg(F.when(c, (F.col("canc") & (F.col("price") > F.col(f"_q{w}"))).cast("double")))
              .alias(f"w{w}_blocked_rate"),
-            F.max_by(F.when(c, F.struct(F.col("cash_balance").alias("v"))),
-                     F.when(c, F.struct("t", "tie"))).alias(f"_last{w}"),
-            F.avg(F.when(prev_in, F.col("cash_balance") - F.col("prev.cash"))).alias(f"_ct{w}"),
-            F.avg(F.when(prev_in, F.col("inventory_qty") - F.col("prev.inv"))).alias(f"_it{w}"),
+            F.avg(F.when(prev_in, F.col("cash") - F.col("prev_cash"))).alias(f"_ct{w}"),
+            F.avg(F.when(prev_in, F.col("inv") - F.col("prev_inv"))).alias(f"_it{w}"),
             F.sum(F.when(c, F.lit(1.0) / F.greatest(floor_days(F.col("a") - F.col("t")), F.lit(1))))
              .alias(f"w{w}_weighted_order_count"),
         ]
     g = pairs.groupBy("shop_id", "idx").agg(*aggs)
+    if with_latest:
+        g = lookups.select("shop_id", "idx", F.col("pre.cash").alias("_pre_cash")).join(
+            g, ["shop_id", "idx"], "left")
+    else:
+        g = probes.select("shop_id", "idx").join(g, ["shop_id", "idx"], "left")
     out = [F.col("shop_id"), F.col("idx")]
     for w in windows:
         n = F.coalesce(F.col(f"w{w}_order_count"), F.lit(0)).cast("long")
@@ -234,7 +272,8 @@ def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS) -> DataFr
             F.lit(0).cast("long").alias(f"w{w}_restock_count"),
             F.lit(0).cast("long").alias(f"w{w}_price_change_count"),
             F.lit(0.0).alias(f"w{w}_avg_price_change_pct"),
-            F.when(n > 0, F.col(f"_last{w}.v")).otherwise(F.lit(0.0)).alias(f"w{w}_latest_cash_balance"),
+            (F.when(n > 0, F.col("_pre_cash")).otherwise(F.lit(0.0)) if with_latest
+             else n.alias(f"_n{w}")).alias(f"w{w}_latest_cash_balance"),
             F.coalesce(F.col(f"_ct{w}"), F.lit(0.0)).alias(f"w{w}_cash_trend"),
             F.coalesce(F.col(f"_it{w}"), F.lit(0.0)).alias(f"w{w}_inventory_trend"),
             F.coalesce(F.col(f"w{w}_weighted_order_count"), F.lit(0.0)).alias(f"w{w}_weighted_order_count"),
@@ -242,29 +281,13 @@ def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS) -> DataFr
     return g.select(*out)
 
 
-def labels(shops: DataFrame, probes: DataFrame, horizon_days: int = HORIZON_DAYS) -> DataFrame:
+def labels(shops: DataFrame, probes: DataFrame, horizon_days: int = HORIZON_DAYS,
+           lookups: DataFrame | None = None, keep_pre_cash: bool = False) -> DataFrame:
     """14-day outcome labels by point-in-time lookups at a and a + h.
 
     pre = rows before a, post = rows in [a, a + h); NULL when either is
     empty (those rows are dropped later, F8)."""
-    ev = shops.select("shop_id", F.col("pos").alias("t"), "tie",
-                      F.lit(1).cast("long").alias("_one"),
-                      F.struct(F.col("pos").alias("t"), F.col("tie").alias("o0"),
-                               F.col("cash_balance").alias("cash"),
-                               F.col("inventory_qty").alias("inv")).alias("_pt"))
-    h = horizon_days * DAY_US
-    pr = (probes.select("shop_id", "idx", "a")
-          .withColumn("which", F.explode(F.array(F.lit(0), F.lit(1))))
-          .withColumn("t", F.col("a") + F.col("which").cast("long") * F.lit(h)))
-    at = probe_scan(ev, pr, "shop_id", "t", ["tie"], sums=["_one"], lasts=["_pt"],
-                    first_t="first_t")
-    g = at.groupBy("shop_id", "idx").agg(
-        F.max("a").alias("a"),
-        F.max(F.when(F.col("which") == 0, F.col("at__one"))).alias("n_pre"),
-        F.max(F.when(F.col("which") == 1, F.col("at__one"))).alias("n_hi"),
-        F.max(F.when(F.col("which") == 0, F.col("at__pt"))).alias("pre"),
-        F.max(F.when(F.col("which") == 1, F.col("at__pt"))).alias("post"),
-        F.max(F.when(F.col("which") == 0, F.col("first_t"))).alias("first_t"))
+    g = lookups if lookups is not None else shop_lookups(shops, probes, horizon_days)
     n_pre = F.coalesce(F.col("n_pre"), F.lit(0))
     n_post = F.coalesce(F.col("n_hi"), F.lit(0)) - n_pre
     ok = (n_pre > 0) & (n_post > 0)
@@ -274,7 +297,8 @@ def labels(shops: DataFrame, probes: DataFrame, horizon_days: int = HORIZON_DAYS
         "shop_id", "idx",
         F.when(ok, F.col("post.inv") - F.col("pre.inv")).alias("label_inventory_delta"),
         F.when(ok, F.col("post.cash") - F.col("pre.cash")).alias("label_cashflow_delta"),
-        F.when(ok, post_v - pre_v).alias("label_order_velocity_delta"))
+        F.when(ok, post_v - pre_v).alias("label_order_velocity_delta"),
+        *([F.col("pre.cash").alias("_pre_cash")] if keep_pre_cash else []))
 
 
 def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
@@ -285,13 +309,18 @@ def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
     The shop frame and its indexed form each feed several consumers (stats,
     sampling, pairs, labels); they are persisted (memory, spilling to disk)
     so the export is scanned and sorted once."""
-    shops = shops.persist(StorageLevel.MEMORY_AND_DISK)
+    if PERSIST_SHARED:
+        shops = shops.persist(StorageLevel.MEMORY_AND_DISK)
     stats = shop_stats(shops)
-    ix = indexed(shops).persist(StorageLevel.MEMORY_AND_DISK)
+    ix = indexed(shops)
+    if PERSIST_SHARED:
+        ix = ix.persist(StorageLevel.MEMORY_AND_DISK)
     probes = sample_points(ix, stats, min_rows=min_rows,
                            horizon_days=horizon_days if horizon_check else None)
-    feats = window_features(ix, probes)
-    labs = labels(shops, probes, horizon_days)
+    # One point-in-time lookup per probe gives both the labels and the latest
+    # cash of each window (the last row before as_of, when the window has rows).
+    labs = labels(shops, probes, horizon_days, keep_pre_cash=True)
+    feats = window_features(ix, probes, with_latest=False)
     cat = categorize(F.col("mode_type"))
     p = (probes.join(stats.select("shop_id", "first_t", "mode_type"), "shop_id")
          .join(feats, ["shop_id", "idx"], "left")
@@ -311,6 +340,10 @@ def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
             zero = F.lit(0).cast("long") if c in ("order_count", "restock_count", "price_change_count") \
                 else F.lit(0.0)
             cols[name] = F.coalesce(F.col(name), zero)
+        # feats carries the window's row count in this slot (with_latest=False)
+        cols[f"w{w}_latest_cash_balance"] = F.when(
+            F.coalesce(F.col(f"w{w}_latest_cash_balance"), F.lit(0)) > 0,
+            F.col("_pre_cash")).otherwise(F.lit(0.0))
     cols.update(season)
     cols.update({
         "scenario_magnitude": F.lit(0.0),

@@ -11,13 +11,24 @@ from pitwise.operators.scan import segmented_scan
 from pitwise.plans.oracle_shops import adapter_sql, fd, map_category_sql, shop_sql, so_sql
 from pitwise.plans.oracle_views import with_views
 from pitwise.plans.registry import query
+from pitwise.session import materialize
 from pitwise.sources import views as V
 
 W3 = (7, 30, 90)
 
 
+CHECKPOINT_INPUT = True
+
+
+def _input(df: DataFrame) -> DataFrame:
+    # The prepared export feeds stats, indexing, sampling, pairs and labels;
+    # one reliable checkpoint replaces recomputing it for each consumer and
+    # cuts its lineage.
+    return materialize(df) if CHECKPOINT_INPUT else df
+
+
 def shops(spark, d) -> DataFrame:
-    return S.prepare_shop_orders(V.shop_orders(spark, d))
+    return _input(S.prepare_shop_orders(V.shop_orders(spark, d)))
 
 
 def _with_pos(df: DataFrame) -> DataFrame:
@@ -27,14 +38,14 @@ def _with_pos(df: DataFrame) -> DataFrame:
 
 
 def retail(spark, d) -> DataFrame:
-    return S.normalize_retail(_with_pos(V.retail_txn(spark, d)), pos="pos", order=["row_seq"])
+    return _input(S.normalize_retail(_with_pos(V.retail_txn(spark, d)), pos="pos", order=["row_seq"]))
 
 
 def fashion(spark, d, drop: tuple[str, ...] = ()) -> DataFrame:
     df = _with_pos(V.fashion_sales(spark, d))
     if drop:
         df = df.drop(*drop)
-    return S.normalize_fashion(df, pos="pos", order=["row_seq"])
+    return _input(S.normalize_fashion(df, pos="pos", order=["row_seq"]))
 
 
 _NORM_COLS = ["shop_id", "created_at", "total_price", "cancelled_at", "product_type",
