@@ -66,7 +66,8 @@ def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
                    period_us: int = DEFAULT_PERIOD_US,
                    prefix: str = "run_", persist: bool | None = None,
                    derive=None, heavy_rows: int | None | str = "auto",
-                   target_rows: int | None = None) -> DataFrame:
+                   target_rows: int | None = None,
+                   stats_from: DataFrame | None = None) -> DataFrame:
     """Prefix aggregates per key in ``(t, *order)`` order.
 
     ``t`` is a long (microseconds). For each row that is a target (all rows
@@ -92,7 +93,8 @@ def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
     # expressions evaluated and shuffled once (column pruning would otherwise
     # give the two branches different exchanges). MEMORY_AND_DISK spills;
     # lost blocks are recomputed from lineage.
-    d = with_periods(df, keys, t, heavy_rows, target_rows, period_us).repartition(*keys, P)
+    d = with_periods(df, keys, t, heavy_rows, target_rows, period_us,
+                     stats_from).repartition(*keys, P)
     if derive is not None:
         # Row-local work (e.g. payload parsing) placed after the exchange
         # runs in every shuffle partition, not only in the scan tasks.
@@ -161,11 +163,13 @@ def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
 
 
 def with_periods(df: DataFrame, keys: list[str], t: str, heavy_rows: int | None,
-                 target_rows: int, period_us: int) -> DataFrame:
-    """Adds the period column (see module doc)."""
+                 target_rows: int, period_us: int, stats_from: DataFrame | None = None) -> DataFrame:
+    """Adds the period column (see module doc). Key statistics come from
+    ``stats_from`` when given (e.g. only the event side of a probe union, so
+    the statistics stage does not wait for the probes)."""
     if heavy_rows is None:
         return df.withColumn(P, floor_div(F.col(t), period_us))
-    st = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"),
+    st = (stats_from if stats_from is not None else df).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"),
                                F.max(t).alias("_t1"))
     width = F.greatest(F.lit(1), ((F.col("_t1") - F.col("_t0") + 1).cast("double")
                                   * F.lit(float(target_rows)) / F.col("_n")).cast("long"))
@@ -205,7 +209,7 @@ def probe_scan(events: DataFrame, probes: DataFrame, keys, t: str,
     res = segmented_scan(u, keys, t, ["_kind", *_cols(order)], sums=sums, lasts=lasts,
                          firsts=firsts, first_t=("_evt_t", first_t) if first_t else None,
                          inclusive=True, derive=derive, heavy_rows=heavy_rows,
-                         target_rows=target_rows,
+                         target_rows=target_rows, stats_from=events,
                          target="_is_probe", period_us=period_us, prefix=prefix)
     drop = set(_cols(order)) | {"_kind", "_is_probe", "_evt_t"} | set(_cols(sums)) | set(_cols(lasts)) | set(_cols(firsts))
     return res.select(*[c for c in res.columns if c not in drop])
