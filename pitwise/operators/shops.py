@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwise.functions.encode import BT_COLS, CAT_COLS, infer_category, map_category, onehot_category
 from pitwise.functions.season import SEASON_COLS, season_shop
-from pitwise.functions.timecols import CENTS, DAY_US, coerce_num, floor_days, from_scaled, micros, to_scaled
+from pitwise.functions.timecols import (CENTS, DAY_US, MICRO_UNITS, coerce_num, floor_days, from_scaled,
+                                        micros, to_scaled)
 from pitwise.operators.scan import probe_scan, segmented_scan
 from pitwise.sources.schemas import LABELS
 
@@ -247,7 +248,10 @@ def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS,
             F.avg(F.when(c, F.col("canc").cast("double"))).alias(f"w{w}_cancel_rate"),
             F.avg(F.when(c, (F.col("canc") & (F.col("price") > F.col(f"_q{w}"))).cast("double")))
              .alias(f"w{w}_blocked_rate"),
-            F.avg(F.when(prev_in, F.col("cash") - F.col("prev_cash"))).alias(f"_ct{w}"),
+            # mean consecutive cash difference, summed exactly in millionths
+            (F.avg(F.when(prev_in, to_scaled(F.col("cash"), MICRO_UNITS)
+                          - to_scaled(F.col("prev_cash"), MICRO_UNITS)))
+             / F.lit(float(MICRO_UNITS))).alias(f"_ct{w}"),
             F.avg(F.when(prev_in, F.col("inv") - F.col("prev_inv"))).alias(f"_it{w}"),
             F.sum(F.when(c, F.lit(1.0) / F.greatest(floor_days(F.col("a") - F.col("t")), F.lit(1))))
              .alias(f"w{w}_weighted_order_count"),

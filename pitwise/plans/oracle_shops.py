@@ -120,7 +120,9 @@ agg AS (
     coalesce(avg(CASE WHEN r.created_at IS NULL THEN NULL
                       WHEN r.cancelled_at IS NOT NULL AND r.total_price > q.q75 THEN 1.0 ELSE 0.0 END), 0.0) AS blocked_rate,
     CASE WHEN count(r.created_at) > 0 THEN arg_max(r.cash_balance, {KEY}) ELSE 0.0 END AS latest_cash_balance,
-    coalesce(avg(CASE WHEN r.prev_t >= r.as_of - to_days(r.w) THEN r.cash_balance - r.prev_cash END), 0.0) AS cash_trend,
+    coalesce(avg(CASE WHEN r.prev_t >= r.as_of - to_days(r.w)
+                      THEN CAST(round(r.cash_balance * 1000000) AS BIGINT) - CAST(round(r.prev_cash * 1000000) AS BIGINT) END)
+             / 1000000.0, 0.0) AS cash_trend,
     coalesce(avg(CASE WHEN r.prev_t >= r.as_of - to_days(r.w) THEN r.inventory_qty - r.prev_inv END), 0.0) AS inventory_trend,
     coalesce(sum(CASE WHEN r.created_at IS NOT NULL THEN 1.0 / greatest({fd('r.as_of', 'r.created_at')}, 1) END), 0.0) AS weighted_order_count
   FROM pw r JOIN q ON q.shop_id = r.shop_id AND q.idx = r.idx AND q.w = r.w

@@ -36,6 +36,11 @@ def _norm(v, digits):
 
 
 def _close(x, y, rel=1e-9) -> bool:
+    if rel < 0:             # strict mode: equality after rounding to -rel digits
+        d = int(-rel)
+        rx = round(float(x), d) if isinstance(x, float) else x
+        ry = round(float(y), d) if isinstance(y, float) else y
+        return rx == ry
     if isinstance(x, float) and isinstance(y, (float, int)) or isinstance(y, float) and isinstance(x, (float, int)):
         return math.isclose(float(x), float(y), rel_tol=rel, abs_tol=rel)
     return x == y
@@ -100,7 +105,9 @@ def run_checks(names=None, sf_dir: str = "/root/testdata/sf0.01", digits: int =
             ts = time.time() - t
             if name in ORACLES:
                 o = duck(ORACLES[name], sf_dir)
-                r = compare(sdf, o, digits=digits)
+                import os
+                strict = os.environ.get("PITWISE_STRICT_DIGITS")
+                r = compare(sdf, o, digits=digits, rel=-float(strict) if strict else 1e-9)
             else:
                 r = {"ok": None, "rows_spark": len(sdf), "rows_only": True}
             r["sec"] = round(ts, 2)
