@@ -80,7 +80,9 @@ MICRO_UNITS = 1_000_000
 
 
 def to_scaled(x, scale: int) -> Column:
-    return F.round(_c(x) * F.lit(float(scale))).cast("long")
+    # rint (double arithmetic) rather than round(), which Spark evaluates via
+    # BigDecimal per row; inputs are decimal numbers, never exact half units.
+    return F.rint(_c(x) * F.lit(float(scale))).cast("long")
 
 
 def from_scaled(x, scale: int) -> Column:

@@ -226,10 +226,12 @@ def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS,
         lookups = shop_lookups(ix, probes)
     bk = F.floor(F.col("t") / F.lit(wmax)).cast("long")
     rows = (ix.select("shop_id", F.col("pos").alias("t"), F.col("total_price").alias("price"),
+                      to_scaled(F.col("total_price"), CENTS).alias("price_c"),
                       F.col("cancelled_at").isNotNull().alias("canc"),
-                      F.col("cash_balance").alias("cash"), F.col("inventory_qty").alias("inv"),
-                      F.col("prev.t").alias("prev_t"), F.col("prev.cash").alias("prev_cash"),
-                      F.col("prev.inv").alias("prev_inv"))
+                      F.col("prev.t").alias("prev_t"),
+                      (to_scaled(F.col("cash_balance"), MICRO_UNITS)
+                       - to_scaled(F.col("prev.cash"), MICRO_UNITS)).alias("d_cash_u"),
+                      (F.col("inventory_qty") - F.col("prev.inv")).alias("d_inv"))
             .withColumn("_bk", F.explode(F.array(bk, bk + 1))))
     pr = probes.select("shop_id", "idx", "a", F.floor(F.col("a") / F.lit(wmax)).cast("long").alias("_bk"))
     pairs = (pr.join(rows, ["shop_id", "_bk"], "inner")
@@ -244,15 +246,13 @@ def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS,
         prev_in = c & (F.col("prev_t") >= F.col("a") - F.lit(w * DAY_US))
         aggs += [
             F.count(F.when(c, F.lit(1))).alias(f"w{w}_order_count"),
-            F.sum(F.when(c, to_scaled(F.col("price"), CENTS))).alias(f"_rev{w}"),
+            F.sum(F.when(c, F.col("price_c"))).alias(f"_rev{w}"),
             F.avg(F.when(c, F.col("canc").cast("double"))).alias(f"w{w}_cancel_rate"),
             F.avg(F.when(c, (F.col("canc") & (F.col("price") > F.col(f"_q{w}"))).cast("double")))
              .alias(f"w{w}_blocked_rate"),
             # mean consecutive cash difference, summed exactly in millionths
-            (F.avg(F.when(prev_in, to_scaled(F.col("cash"), MICRO_UNITS)
-                          - to_scaled(F.col("prev_cash"), MICRO_UNITS)))
-             / F.lit(float(MICRO_UNITS))).alias(f"_ct{w}"),
-            F.avg(F.when(prev_in, F.col("inv") - F.col("prev_inv"))).alias(f"_it{w}"),
+            (F.avg(F.when(prev_in, F.col("d_cash_u"))) / F.lit(float(MICRO_UNITS))).alias(f"_ct{w}"),
+            F.avg(F.when(prev_in, F.col("d_inv"))).alias(f"_it{w}"),
             F.sum(F.when(c, F.lit(1.0) / F.greatest(floor_days(F.col("a") - F.col("t")), F.lit(1))))
              .alias(f"w{w}_weighted_order_count"),
         ]
