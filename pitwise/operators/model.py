@@ -45,11 +45,14 @@ def temporal_cutoff(df: DataFrame, ts: str = "committed_at", train_ratio: float
     lo, hi, r = None, None, k          # search range [lo, hi) and rank inside it
     for g in _LEVELS:
         sub = t if lo is None else t.filter((F.col("_t") >= lo) & (F.col("_t") < hi))
-        buckets = sorted((row["_b"], row["n"]) for row in
+        buckets = sorted((row["_b"], row["n"], row["t0"], row["t1"]) for row in
                          sub.groupBy(floor_div(F.col("_t"), g).alias("_b"))
-                            .agg(F.count(F.lit(1)).alias("n")).collect())
-        for b, cnt in buckets:
+                            .agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("t0"),
+                                 F.max("_t").alias("t1")).collect())
+        for b, cnt, t0, t1 in buckets:
             if r < cnt:
+                if t0 == t1:           # one distinct time in the bucket: found
+                    return int(t0)
                 lo, hi = b * g, (b + 1) * g
                 break
             r -= cnt
