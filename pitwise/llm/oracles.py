@@ -59,4 +59,13 @@ SELECT r.doc_id, r.size, t.source_size, t.target,
   (r.size * least(whole + CASE WHEN r.cum::DOUBLE + r.size / 2.0 <= greatest(target - (whole * source_size)::DOUBLE, 0) THEN 1 ELSE 0 END, 3))::BIGINT AS taken
 FROM run r JOIN rates t ON r.source IS NOT DISTINCT FROM t.source"""
 
-SQL: dict[str, str] = {"op1_sharding": OP1, "op7_mixing": OP7}
+OP3 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
+                  sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS nth,
+             count(*) OVER (PARTITION BY text_sha256) AS group_size
+      FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM r"""
+
+SQL: dict[str, str] = {"op1_sharding": OP1, "op3_exact_dedup": OP3, "op7_mixing": OP7}
