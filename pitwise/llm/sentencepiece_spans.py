@@ -301,7 +301,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             sizes = np.diff(blocks_ends(batch.column(body)))
             for values, head, tail in ((ids, bos, eos), (begin, 0, None), (end, 0, None)):
                 tails = sizes if tail is None else np.full(len(sizes), tail)
-                wide = np.insert(values, np.concatenate((first[:-1], first[1:])), np.concatenate((np.full(len(sizes), head), tails)))
+                wide = np.insert(values, np.repeat(first, 2)[1:-1], np.stack((np.full(len(sizes), head), tails), 1).ravel())
                 lists.append(_lists(wide, first + 2 * np.arange(len(first))))
             columns = [batch.column(c) for c in kept] + lists
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", "span_begin", "span_end"])
