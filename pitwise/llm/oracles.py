@@ -68,4 +68,30 @@ r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS nt
                           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM r"""
 
-SQL: dict[str, str] = {"op1_sharding": OP1, "op3_exact_dedup": OP3, "op7_mixing": OP7}
+OP8 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(role = 'assistant', false) AS trained
+  FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+        VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (trained), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (trained), '')) AS loss_sha256,
+  -- each turn: 4 + role + 2 + text + 8 characters, and a backslash for each escaped one
+  sum(14 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+OP10 = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rn, x, sha256(array_to_string(ws[x:x + 34], ' ')) AS h
+      FROM (SELECT rn, ws, unnest(range(1, len(ws) - 33)) AS x FROM d)),
+again AS (SELECT rn, x FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+gone AS (SELECT DISTINCT rn, unnest(range(x, x + 35)) AS i FROM again),
+words AS (SELECT rn, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+left_ AS (SELECT rn, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (rn, i) GROUP BY rn)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_ USING (rn)"""
+
+SQL: dict[str, str] = {"op1_sharding": OP1, "op3_exact_dedup": OP3, "op7_mixing": OP7, "op8_chat": OP8,
+                       "op10_substring": OP10}
