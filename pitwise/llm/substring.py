@@ -162,6 +162,8 @@ def repeated_lists(rows: DataFrame, size: int) -> DataFrame:
     found = rows.mapInArrow(_unit_rows(size), "rk long, anchor long, unit long")
     shared = (found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("unit").alias("a"), F.max("unit").alias("b"))
               .where("n > 1").select("anchor", (F.col("a") == F.col("b")).alias("same")))
+    # written apart, the counts leave the other side of the join free to be split at hot anchors
+    shared = written(shared, "seeds")
     mine = (found.select("rk", "anchor").join(shared, "anchor").groupBy("rk")
             .agg(F.collect_set(F.when(F.col("same"), F.col("anchor"))).alias("pure"),
                  F.collect_set(F.when(~F.col("same"), F.col("anchor"))).alias("mixed")))
@@ -170,6 +172,7 @@ def repeated_lists(rows: DataFrame, size: int) -> DataFrame:
     ends = (_only(rows, some).join(some, "rk").select("rk", "body", "mixed")
             .mapInArrow(_window_rows(size), "rk long, anchor long, wh long"))
     twice = ends.groupBy("anchor", "wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    twice = written(twice, "windows")
     again = ends.join(twice, ["anchor", "wh"]).groupBy("rk").agg(F.collect_set("wh").alias("again"))
     out = mine.select("rk", "pure").join(again, "rk", "left").where((F.size("pure") > 0) | F.col("again").isNotNull())
     return written(out, "repeats")

@@ -44,14 +44,14 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def split_words(texts: pa.Array) -> Words:
-    """Word spans of every text."""
+def split_words(texts: pa.Array, letters: np.ndarray | None = None, lower: bool = False) -> Words:
+    """Word spans of every text; ``letters`` (256 booleans) says which bytes words consist of, ``lower`` makes A-Z a-z."""
     raw, offsets = text_buffer(texts)
     n = len(raw)
     buf = np.zeros(n + 16, np.uint8)
-    buf[:n] = raw
+    buf[:n] = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32) if lower else raw
     inside = np.zeros(n + 1, bool)
-    np.logical_not((raw == 32) | ((raw >= 9) & (raw <= 13)), out=inside[:n])
+    inside[:n] = ~((raw == 32) | ((raw >= 9) & (raw <= 13))) if letters is None else letters[raw]
     begin = inside[:n].copy()
     begin[1:] &= ~inside[: n - 1] if n else inside[:0]
     edges = offsets[(offsets > 0) & (offsets < n)]      # a text's first byte begins a word
