@@ -36,8 +36,10 @@ SAMPLE = 20_000
 #: Words and stems in the model, at most (those that stand out most).
 FEATURES = 50_000
 STEMS = (4, 5, 6)                # bytes
-PRIOR = 1_000.0                  # words that the prior is worth
-STANDS_OUT = 4.0                 # standard errors of the log-odds
+PRIOR = 0.1                      # weight of the prior, as a share of the counts
+SIGNATURES = 4                   # of runs of RUN words, by which copies in the sample are found
+RUN = 5
+STANDS_OUT = 3.5                 # standard errors of the log-odds
 DRIFT = 0.1                      # score of other words, negated
 THRESHOLD = 0.7
 
@@ -132,35 +134,71 @@ def held_out(key: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int) -> DataFrame:
-    """(y, text): texts of at most ``sample`` labelled rows of each class that are not held out."""
+    """(y, text): texts of at most ``sample`` labelled rows of each class that are not held out, one of each group of copies.
+
+    Copies would count their words many times over.  Texts that share one of a few least hashes of word runs
+    (as near copies nearly surely do) are taken for copies; the first by key is learnt from.
+    """
     known = (labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
              .groupBy(key).agg(F.max("toxic").alias("y")))
     order = [F.xxhash64(key), F.col(key)]
     some = known.where("y = 1").orderBy(*order).limit(sample).unionByName(known.where("y = 0").orderBy(*order).limit(sample))
     some = cut(some.withColumnRenamed(key, "labelled"))          # at most 2 * sample narrow rows
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(
-        F.broadcast(some), F.col("k") == F.col("labelled")).select(F.col("y").cast("int").alias("y"), "text")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(
+        F.broadcast(some), F.col("k") == F.col("labelled")).select("k", F.col("y").cast("int").alias("y"), "text")
+    kind = docs.schema[key].dataType.simpleString()
+    marks = cut(rows.select("k", "text").mapInArrow(_signatures, f"k {kind}, place int, mark long"))
+    first = marks.groupBy("place", "mark").agg(F.min("k").alias("first"))
+    other = marks.join(first, ["place", "mark"]).where("k != first").select("k").distinct()
+    other = cut(other)                                           # at most 2 * sample keys
+    return rows.join(F.broadcast(other), "k", "left_anti").select("y", "text")
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few least hashes of each text's runs of RUN words; none for shorter texts."""
+    for batch in blocks(batches, "text"):
+        w = letters(batch.column("text"))
+        h = word_hashes(w)
+        counts = np.diff(w.first)
+        some = np.flatnonzero(counts >= RUN)
+        if not len(some):
+            continue
+        runs = h[: len(h) - RUN + 1]
+        for k in range(1, RUN):
+            runs = mix(runs * np.uint64(3) + h[k:len(h) - RUN + 1 + k])
+        doc = np.repeat(np.arange(batch.num_rows), counts)
+        own = doc[: len(runs)] == doc[RUN - 1:]                  # runs within one text
+        runs, at = runs[own], np.searchsorted(doc[: len(own)][own], some)
+        for place in range(SIGNATURES):
+            least = np.minimum.reduceat(mix(runs + np.uint64(place)), at)
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(some)), pa.array(np.full(len(some), place), pa.int32()),
+                                              pa.array(least.view(np.int64))], names=["k", "place", "mark"])
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and clean texts each feature occurs (once a text: words recur within a text)."""
     for batch in blocks(batches, "text"):
         w = letters(batch.column("text"))
-        y = np.repeat(batch.column("y").to_numpy(zero_copy_only=False), np.diff(w.first))
-        rows = features(w)
-        both = rows.ravel()
-        values, back = np.unique(both, return_inverse=True)
-        toxic = np.bincount(back, weights=np.tile(y, len(rows)), minlength=len(values)).astype(np.int64)
-        total = np.bincount(back, minlength=len(values))
-        some = values != 0
-        yield pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(toxic[some]), pa.array((total - toxic)[some])],
-                                         names=["feature", "toxic", "clean"])
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(w.first))
+        toxic = batch.column("y").to_numpy(zero_copy_only=False)
+        both, owner = features(w).ravel(), np.tile(doc, 1 + len(STEMS))
+        order = np.lexsort((owner, both))
+        both, owner = both[order], owner[order]
+        new = (both != 0) & np.append(True, (both[1:] != both[:-1]) | (owner[1:] != owner[:-1]))[: len(both)]
+        both, owner = both[new], owner[new]
+        if len(both):
+            at = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+            bad = np.add.reduceat(toxic[owner].astype(np.int64), at)
+            total = np.diff(np.append(at, len(both)))
+            yield pa.RecordBatch.from_arrays([pa.array(both[at].view(np.int64)), pa.array(bad), pa.array(total - bad)],
+                                             names=["feature", "toxic", "clean"])
 
 
 def log_odds(counts: DataFrame, toxic_words: int, clean_words: int) -> DataFrame:
-    """(feature, odds, z) from (feature, toxic, clean): log-odds with an informative Dirichlet prior."""
-    prior = (F.col("toxic") + F.col("clean")) * F.lit(PRIOR / max(toxic_words + clean_words, 1))
+    """(feature, odds, z) from (feature, toxic, clean): log-odds with a Dirichlet prior of PRIOR times the counts of both."""
+    prior, whole = (F.col("toxic") + F.col("clean")) * PRIOR, (toxic_words + clean_words) * PRIOR
     a, b = F.col("toxic") + prior, F.col("clean") + prior
-    na, nb = F.lit(toxic_words + PRIOR), F.lit(clean_words + PRIOR)
+    na, nb = F.lit(toxic_words + whole), F.lit(clean_words + whole)
     odds = F.log(a / (na - a)) - F.log(b / (nb - b))
     return counts.select("feature", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
 
