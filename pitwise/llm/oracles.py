@@ -59,6 +59,23 @@ SELECT r.doc_id, r.size, t.source_size, t.target,
   (r.size * least(whole + CASE WHEN r.cum::DOUBLE + r.size / 2.0 <= greatest(target - (whole * source_size)::DOUBLE, 0) THEN 1 ELSE 0 END, 3))::BIGINT AS taken
 FROM run r JOIN rates t ON r.source IS NOT DISTINCT FROM t.source"""
 
+OP2 = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98),
+reach AS (
+  SELECT vec_id AS u, vec_id AS v FROM embeddings
+  UNION
+  SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+least AS (SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY u) USING (vec_id)"""
+
 OP3 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
@@ -93,5 +110,5 @@ left_ AS (SELECT rn, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FRO
 SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN left_ USING (rn)"""
 
-SQL: dict[str, str] = {"op1_sharding": OP1, "op3_exact_dedup": OP3, "op7_mixing": OP7, "op8_chat": OP8,
+SQL: dict[str, str] = {"op1_sharding": OP1, "op2_nn_descent": OP2, "op3_exact_dedup": OP3, "op7_mixing": OP7, "op8_chat": OP8,
                        "op10_substring": OP10}

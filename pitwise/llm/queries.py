@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwise.llm import chat, golomb, mixing, oracles, rans, sentencepiece_spans, shard, simhash, substring, toxicity
+from pitwise.llm import chat, golomb, mixing, nndescent, oracles, rans, sentencepiece_spans, shard, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -33,6 +33,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_manifest(table(spark, sf_dir, "documents"), 40)
 
 
+@query
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golomb.exact_duplicates(table(spark, sf_dir, "documents"))
