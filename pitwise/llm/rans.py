@@ -33,8 +33,8 @@ LANES = 1024
 STEPS = 128
 BLOCK = 1 << 18                  # ids after which a block ends (a longer document is a block of its own)
 _LOW = np.uint64(1 << 31)        # states are in [2^31, 2^63)
-#: Words a Python worker remembers with their ids.
-REMEMBERED = 400_000
+#: Words a Python worker remembers with their ids: as many that it has met lately, and as many from before.
+REMEMBERED = 300_000
 
 BLOCKS = ("part long, block int, start long, n long, crc32 long, keys array<{kind}>, counts array<int>, "
           "stream binary, states binary, checkpoints binary, places array<int>")
@@ -123,40 +123,103 @@ def decode_block(n: int, stream: bytes, states: bytes, checkpoints: bytes, place
 
 # --- tokens of whole texts ---
 
-def _tokenizer(path: str):
-    cache = worker_cache()
-    if ("tokenizer", path) not in cache:
+#: Rules (normaliser and pre-tokenizer) under which words may be encoded apart: white space only separates, runs of letters and
+#: runs of punctuation are tokens' bounds, and case does not matter.  Fixed values of the tokenizer file.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def words_apart(path: str) -> bool:
+    """Whether the tokenizer file has the rules above."""
+    import json
+
+    with open(path) as file:
+        rules = json.load(file)
+    normal = (rules["normalizer"] or {}).get("normalizers", [])
+    split = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+    return ([r["type"] for r in normal] == NORMALIZERS and normal[1]["pattern"] == {"Regex": "\\s+"} and normal[1]["content"] == " "
+            and split.get("type") == "Split" and split["pattern"] == {"Regex": SPLIT} and split["behavior"] == "Removed" and split["invert"]
+            and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or not t["content"].startswith("<|") for t in rules["added_tokens"]))
+
+
+class WordCoder:
+    """A tokenizer that remembers the ids of words it has met lately."""
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        cache["tokenizer", path] = Tokenizer.from_file(path), {}
-    return cache["tokenizer", path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @classmethod
+    def at(cls, path: str) -> WordCoder:
+        cache = worker_cache()
+        if ("tokenizer", path) not in cache:
+            cache["tokenizer", path] = cls(path)
+        return cache["tokenizer", path]
+
+    def _together(self, words: list[str]) -> None:
+        """Words of letters only, each of which is one unit of the pre-tokenizer: many in one call."""
+        for at in range(0, len(words), 2000):
+            some = words[at:at + 2000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            units = np.array(found.word_ids, np.int64)
+            if len(units) and (units[-1] + 1 != len(some) or (np.diff(units) < 0).any()):
+                self._apart(some)
+                continue
+            data = np.array(found.ids, np.uint32).tobytes()
+            ends = np.cumsum(np.bincount(units, minlength=len(some)) * 4).tolist()
+            self.young.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _apart(self, words: list[str]) -> None:
+        for at in range(0, len(words), 50_000):
+            some = words[at:at + 50_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.young[w] = np.array(e.ids, np.uint32).tobytes()
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the distinct words, as little-endian 32-bit integers."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        cores, tails = [], []
+        for w in words:
+            core = w.rstrip(".,;:!?")
+            if core and core[-1] < "\u0250" and core[-1].lower().isalpha():
+                cores.append(core.lower() if core.isascii() and core.isalpha() else core)
+                tails.append(w[len(core):])
+            else:
+                cores.append(w)
+                tails.append("")
+        young, old = self.young, self.old
+        new = [w for w in {*cores, *tails} if w not in young]
+        unknown = []
+        for w in new:
+            if w in old:
+                young[w] = old[w]
+            else:
+                unknown.append(w)
+        plain = [w.isalpha() and max(w) < "\u0250" for w in unknown]
+        self._together([w for w, p in zip(unknown, plain, strict=True) if p])
+        self._apart([w for w, p in zip(unknown, plain, strict=True) if not p])
+        return [young[c] + young[t] if t else young[c] for c, t in zip(cores, tails, strict=True)]
 
 
 def token_ids(texts: pa.Array, path: str, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts (uint32, no special tokens added) and each text's first id.
 
-    ``by_words``: the tokenizer drops white space and no token spans it, so each distinct word is
-    encoded once and its ids are copied.
+    ``by_words``: see words_apart(); each distinct word is encoded once and its ids are copied.
     """
-    tokenizer, known = _tokenizer(path)
+    coder = WordCoder.at(path)
     texts = pc.fill_null(texts, "")
     if not by_words:
-        lists = [e.ids for e in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        lists = [e.ids for e in coder.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         first = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
         return np.fromiter((i for x in lists for i in x), np.uint32, int(first[-1])), first
     split = pc.ascii_split_whitespace(texts)
     packed = split.flatten().dictionary_encode()
-    words = packed.dictionary.to_pylist()
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = words
-    for at in range(0, len(new), 50_000):
-        some = new[at:at + 50_000]
-        for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
-    coded = [known[w] for w in words]
+    coded = coder.ids(packed.dictionary.to_pylist())
     ids = np.frombuffer(b"".join(coded), np.uint32)
     sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     place = packed.indices.to_numpy(zero_copy_only=False)
@@ -168,25 +231,6 @@ def token_ids(texts: pa.Array, path: str, by_words: bool) -> tuple[np.ndarray, n
     return out, ends[np.concatenate(([0], np.cumsum(counts)))]
 
 
-def drops_white_space(path: str) -> bool:
-    """Whether the tokenizer's words may be encoded apart: white space only separates, and no token holds any."""
-    import json
-
-    with open(path) as file:
-        rules = json.load(file)
-    text = json.dumps(rules["pre_tokenizer"] or {})
-    normal = json.dumps(rules["normalizer"] or {})
-    only = all(k in ("NFC", "Replace", "Lowercase", "Sequence") for k in _types(rules["normalizer"]))
-    plain = not any(t["lstrip"] or t["rstrip"] or t["normalized"] or " " in t["content"] for t in rules["added_tokens"])
-    return only and plain and '"\\\\s+"' in normal and '"Removed"' in text and "[^\\\\s" in text
-
-
-def _types(rule: dict | None) -> list[str]:
-    if not rule:
-        return []
-    return [rule["type"], *(t for r in rule.get("normalizers", []) for t in _types(r))]
-
-
 def _token_blocks(path: str, end_id: int, kind: pa.DataType, wide: str, by_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, start = TaskContext.get().partitionId(), 0, 0
@@ -276,7 +320,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, k
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "key", "th").sortWithinPartitions("key", "th").drop("th")
     tokens = written(ordered.mapInArrow(
-        _token_blocks(tokenizer, end_id, arrow, wide, drops_white_space(tokenizer)),
+        _token_blocks(tokenizer, end_id, arrow, wide, words_apart(tokenizer)),
         f"part long, block int, start long, n long, keys array<{kind}>, counts array<int>, ids binary"), "tokens")
     counted = (tokens.select("ids").mapInArrow(_count(wide, max(vocabulary, end_id + 1)), "id long, n long")
                .groupBy("id").agg(F.sum("n").alias("n")).toPandas())          # at most one row per token id
