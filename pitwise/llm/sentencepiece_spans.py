@@ -26,7 +26,7 @@ from pitwise.llm.words import blocks, text_buffer
 
 SPACE_SYMBOL = "▁".encode()
 #: Text bytes encoded at once (one longer text is encoded alone).
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 
 # --- the model file: the few fields that matter here ---
