@@ -107,7 +107,7 @@ def windows(texts: pa.Array, size: int) -> Windows:
 
 def units(w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, anchor, and content of each unit; its first and last window cover all its words."""
-    last = np.append(w.unit[1:], len(w.start)) - 1
+    last = np.append(w.unit[1:], len(w.start))[: len(w.unit)] - 1
     count = (last - w.unit).astype(np.uint64)
     content = mix(w.hash[w.unit] * _UNIT ^ mix(w.hash[last] + count))
     return w.doc[w.unit], w.anchor[w.unit], content

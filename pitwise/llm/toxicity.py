@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.llm.storage import cut
+from pitwise.llm.storage import cut, fresh
 from pitwise.llm.words import Words, blocks, mix, split_words, word_hashes
 
 #: Labelled rows of each class that the model is learnt from, at most.
@@ -285,15 +285,15 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 # --- scoring ---
 
-def _score(model: Model, key: str):
+def _score(model: Model, into: str, body: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "body"):
-            w = letters(batch.column("body"))
+        for batch in blocks(batches, body):
+            w = letters(batch.column(body))
             found = [evidence(model, n, segs) for _, n, segs in _text_segments(model, w)]
             x = model.weight * np.log1p(np.array(found)) + model.bias
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "body"],
-                                              pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))],
-                                             names=[*[c for c in batch.schema.names if c != "body"], key])
+            kept = [c for c in batch.schema.names if c != body]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))],
+                                             names=[*kept, into])
 
     return run
 
@@ -301,12 +301,13 @@ def _score(model: Model, key: str):
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """All columns and rows of ``docs`` with the toxicity score (0 to 1) of the whole text in ``into``; no shuffle.
 
-    Input columns named body or like ``into`` are left out.
+    An input column named like ``into`` is left out.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("body", into.lower())]
-    rows = docs.select(*kept, F.col(text).alias("body"))
+    body, = fresh(docs.columns, "body")
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
+    rows = docs.select(*kept, F.col(text).alias(body))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]
-    return rows.mapInArrow(_score(model, into), ", ".join([*fields, f"`{into}` double"]))
+    return rows.mapInArrow(_score(model, into, body), ", ".join([*fields, f"`{into}` double"]))
 
 
 def _passages(model: Model):
@@ -339,5 +340,5 @@ def passages(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    scored = score(docs, model, text, "toxicity_score_")
-    return scored.where(F.col("toxicity_score_") < threshold).select(*docs.columns)
+    into, = fresh(docs.columns, "score")
+    return score(docs, model, text, into).where(F.col(into) < threshold).select(*docs.columns)
