@@ -21,7 +21,9 @@ PAYLOAD_FIELDS = [
     "inventory_units",
 ]
 
-PAYLOAD_SCHEMA = T.StructType([T.StructField(f, T.DoubleType()) for f in PAYLOAD_FIELDS])
+# Fields are read as text and cast where used, so that quoted numbers count and
+# anything that is no number takes the rule's default.
+PAYLOAD_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in PAYLOAD_FIELDS])
 
 # Scenario parameter fields (branch_params); new_terms is text.
 PARAM_FIELDS = [
@@ -30,10 +32,7 @@ PARAM_FIELDS = [
     "contract_value", "duration_months", "old_terms", "new_terms",
     "min_order_qty", "new_lead_time_days", "cost_change_pct",
 ]
-_TEXT_PARAMS = {"direction", "old_terms", "new_terms"}
-PARAM_SCHEMA = T.StructType([
-    T.StructField(f, T.StringType() if f in _TEXT_PARAMS else T.DoubleType())
-    for f in PARAM_FIELDS])
+PARAM_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in PARAM_FIELDS])
 
 
 def _c(c) -> Column:
@@ -46,11 +45,17 @@ def parse_payload(payload, schema: T.StructType = PAYLOAD_SCHEMA) -> Column:
 
 
 def json_valid(payload) -> Column:
-    """True iff the text parses as JSON ('{}' yes; '', '{bad', NULL no)."""
-    return F.get_json_object(_c(payload), "$").isNotNull()
+    """True iff the text is strict JSON ('{}' yes; '', '{bad', single quotes, text after the value, NULL no).
+
+    The parser stops after the first value, so the text is also parsed as the only element of an array."""
+    p = _c(payload)
+    whole = F.try_parse_json(F.concat(F.lit("["), p, F.lit("]")))
+    second = F.try_variant_get(whole, "$[1]", "string")
+    return p.isNotNull() & F.try_parse_json(p).isNotNull() & whole.isNotNull() & second.isNull()
 
 
 def field(parsed, name: str, default=None) -> Column:
-    """Typed field of a parsed payload with the rule's default."""
-    v = _c(parsed).getField(name)
+    """Numeric field of a parsed payload with the rule's default (P6); NaN and non-numbers count as missing."""
+    v = _c(parsed).getField(name).try_cast("double")
+    v = F.when(~F.isnan(v), v)
     return v if default is None else F.coalesce(v, F.lit(default))

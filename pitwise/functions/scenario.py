@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pitwise.functions.payload import PARAM_SCHEMA, parse_payload
+from pitwise.functions.payload import PARAM_SCHEMA, field, parse_payload
 
 # Payment-terms deltas in days (unknown -> 0), baseline NET30.
 TERMS_DAYS = {"NET15": -15, "NET30": 0, "NET45": 15, "NET60": 30}
@@ -52,7 +52,7 @@ def scenario_magnitudes(branch_type, params, hist_avg_price_change,
     p = _c(params)
 
     def num(name):
-        return F.coalesce(p.getField(name), F.lit(0.0))
+        return field(p, name, 0.0)
 
     zero = F.lit(0.0)
     pct = num("pct_change")

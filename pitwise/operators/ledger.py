@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pitwise.functions.payload import field, parse_payload
 from pitwise.functions.timecols import CENTS, DAY_US, MICRO_UNITS, floor_div, from_scaled, micros, to_scaled
+from pitwise.operators.lookback import with_seq
 from pitwise.operators.scan import segmented_scan
 
 
@@ -22,7 +23,7 @@ def ledger_deltas(commits: DataFrame) -> DataFrame:
     +quantity on ORDER_CANCELLED, +quantity_added on INVENTORY_RESTOCK
     (applied at receipt). Missing fields count 0."""
     et = F.col("event_type")
-    c = commits.select("commit_id", "business_id", "seq", "timestamp", et,
+    c = with_seq(commits).select("commit_id", "business_id", "seq", "timestamp", et,
                        micros(F.col("timestamp")).alias("t"), parse_payload("payload").alias("_p"))
     p = F.col("_p")
     cash = (F.when(et == "ORDER_RECEIVED", to_scaled(field(p, "revenue", 0.0), CENTS))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwise.functions.payload import field, json_valid, parse_payload
 from pitwise.functions.timecols import CENTS, DAY_US, MICRO_UNITS, floor_days, from_scaled, micros, to_scaled
-from pitwise.operators.scan import DEFAULT_PERIOD_US, point, probe_scan
+from pitwise.operators.scan import point, probe_scan
 
 # Lookback windows (days), decay half-life (days).
 WINDOWS = (7, 30, 90)
@@ -42,9 +42,14 @@ SUMS = ["n_all", "n_order", "rev", "n_cancel", "n_blocked", "n_restock", "n_pric
 POINTS = ["cash_pt", "inv_pt"]
 
 
+def with_seq(commits: DataFrame) -> DataFrame:
+    """Commits with their order within one instant: ``seq``, or the commit id where the source has none."""
+    return commits if "seq" in commits.columns else commits.withColumn("seq", F.col("commit_id"))
+
+
 def commit_events(commits: DataFrame) -> DataFrame:
     """The commit columns the lookback needs: key, t (micros), seq, type, payload."""
-    return commits.select(F.col("business_id"), micros(F.col("timestamp")).alias("t"),
+    return with_seq(commits).select(F.col("business_id"), micros(F.col("timestamp")).alias("t"),
                           F.col("seq"), F.col("event_type"), F.col("payload"))
 
 
@@ -110,8 +115,7 @@ def scenario_probes(scenarios: DataFrame, windows=WINDOWS) -> DataFrame:
             .withColumn("t", F.col("b") - F.col("which").cast("long") * F.lit(DAY_US)))
 
 
-def lookback_raw(commits: DataFrame, scenarios: DataFrame, windows=WINDOWS,
-                 period_us: int = DEFAULT_PERIOD_US) -> DataFrame:
+def lookback_raw(commits: DataFrame, scenarios: DataFrame, windows=WINDOWS) -> DataFrame:
     """Per scenario: prefix sums and points at b and at each b - w.
 
     Columns: branch_id, b, ``{sum}@{w}`` for w in (0, *windows),
@@ -122,8 +126,7 @@ def lookback_raw(commits: DataFrame, scenarios: DataFrame, windows=WINDOWS,
     ev = commit_events(commits)
     pr = scenario_probes(scenarios, windows)
     at = probe_scan(ev, pr, "business_id", "t", ["seq"], sums=SUMS, lasts=POINTS,
-                    firsts=POINTS, first_t="first_t", period_us=period_us,
-                    derive=add_contributions)
+                    firsts=POINTS, first_t="first_t", derive=add_contributions)
     whiches = [0, *windows]
     aggs = ["max(b) AS b"]
     for w in whiches:

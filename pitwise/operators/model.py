@@ -29,6 +29,7 @@ MAPE_EPS = 1e-6
 BINARY_PREFIXES = ("bt_", "cat_", "is_")
 NON_FEATURES = set(ID_COLS) | set(LABELS) | {"source", "split", "n_prior"}
 
+NO_TIME = 400_000_000_000_000_000       # microseconds; beyond year 9999
 _LEVELS = [DAY_US, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1]
 
 
@@ -41,7 +42,8 @@ def temporal_cutoff(df: DataFrame, ts: str = "committed_at", train_ratio: float
     k = int(n * train_ratio)
     if n == 0 or k >= n:
         raise ValueError(f"train_ratio={train_ratio} leaves no test rows (n={n})")
-    t = df.select(micros(F.col(ts)).alias("_t"))
+    # rows without a time come last, after every other
+    t = df.select(F.coalesce(micros(F.col(ts)), F.lit(NO_TIME)).alias("_t"))
     lo, hi, r = None, None, k          # search range [lo, hi) and rank inside it
     for g in _LEVELS:
         sub = t if lo is None else t.filter((F.col("_t") >= lo) & (F.col("_t") < hi))
@@ -63,7 +65,8 @@ def temporal_split(df: DataFrame, ts: str = "committed_at", train_ratio: float =
     """M1: ``split`` = 'train' for ts < cutoff, 'test' otherwise (ties at the
     cutoff all go to test)."""
     cutoff_us = temporal_cutoff(df, ts, train_ratio)
-    return df.withColumn("split", F.when(micros(F.col(ts)) < F.lit(cutoff_us), "train").otherwise("test"))
+    t = F.coalesce(micros(F.col(ts)), F.lit(NO_TIME))
+    return df.withColumn("split", F.when(t < F.lit(cutoff_us), "train").otherwise("test"))
 
 
 def feature_columns(df: DataFrame) -> list[str]:

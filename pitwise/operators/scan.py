@@ -2,26 +2,21 @@
 
 Every ordered per-key computation in the library (running balances, row
 index, lag, point-in-time lookbacks) reduces to *prefix aggregates in
-(t, order...) order within a key*. A plain ``Window.partitionBy(key)`` puts a
-whole key into one task, which fails when one key holds a third of all rows.
-So the scan is split by (key, period):
-
-1. Hot keys are found with one cheap aggregate (rows and time span per
-   key); the set of keys with more than ``heavy_rows`` rows is bounded by
-   rows / heavy_rows and is broadcast. A hot key's time axis is cut into
-   periods sized for ~``target_rows`` rows each; every other key is one
-   period. A window partitioned by (key, period) computes the running value
-   *inside* the period.
-2. The rows are also pre-aggregated to one row per (key, period), and a
-   window over that small table gives the *carried-in* value of all earlier
-   periods (or, for suffix minima, all later periods).
-3. result = carried-in (+) partial; joined on (key, period). The big side is
-   already hash-partitioned on (key, period) by step 1, so only the small
-   carried table moves.
-
-A hot key is therefore spread over as many tasks as it has periods, and each
-task sorts only one period of one key; ordinary keys pay one sort.
-``heavy_rows=None`` splits every key by fixed ``period_us`` periods instead.
+(t, order...) order within a key*.
+
+Ordinary keys take one window partitioned by the key: one read, one shuffle,
+one sort. A key with very many rows would be one long task, so hot keys (found
+by one count over the key column, at most ``HOT_KEYS`` of them, which bounds
+the broadcast) take another path:
+
+1. Their rows are cut by a range partitioning on (key, t, order...). The cuts
+   are quantiles of the rows themselves, so bursts, outliers and rows at one
+   instant split evenly. The cut rows are checkpointed, so both steps below see
+   the same cuts.
+2. A window partitioned by (key, period) computes the running value inside a
+   period; one aggregate row per (key, period), combined before its shuffle,
+   and a window over that small table give the value carried in.
+3. result = carried-in (+) partial, joined on (key, period).
 
 Aggregates:
 * ``sums``  - running sum of a numeric column (NULL contributes nothing);
@@ -30,23 +25,21 @@ Aggregates:
 * ``firsts`` - ``min`` of such a struct over the rows at or after the current
   one (evaluated with a descending window, never an unbounded-following
   frame, which Spark recomputes per row);
-* ``first_t`` - min ``t`` over all rows of the key in periods up to the
-  current one (the key's first time when it lies before the current row).
+* ``first_t`` - min of a time column over the key's rows up to the current one
+  (in a hot key: up to the end of the current period).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pitwise.functions.timecols import DAY_US, floor_div
+from pitwise.session import materialize
 
-DEFAULT_PERIOD_US = DAY_US
-PERSIST_SHUFFLED = False         # persist the (key, period)-shuffled input once
-HEAVY_KEY_ROWS = 2_000_000       # keys with more rows are split into periods
-TARGET_PERIOD_ROWS = 1_000_000   # rows aimed at per (hot key, period)
+HEAVY_KEY_ROWS = 2_000_000       # keys with more rows are cut into periods
+HOT_KEYS = 1_000                 # ... the largest so many of them
+TARGET_PERIOD_ROWS = 1_000_000   # rows aimed at per period
 
 P = "_period"
 
@@ -59,79 +52,98 @@ def _cols(xs) -> list[str]:
     return list(xs)
 
 
+def hot_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame | None, int]:
+    """The keys with more than ``HEAVY_KEY_ROWS`` rows (at most ``HOT_KEYS``, the largest) and their rows."""
+    st = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HEAVY_KEY_ROWS)
+    top = st.orderBy(F.col("_n").desc(), *keys).limit(HOT_KEYS).dropna(subset=keys).collect()
+    if not top:
+        return None, 0
+    schema = df.select(*keys).schema
+    rows = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in top], schema)
+    return rows, sum(r["_n"] for r in top)
+
+
 def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
                    sums: Sequence[str] = (), lasts: Sequence[str] = (),
                    firsts: Sequence[str] = (), first_t: tuple[str, str] | None = None,
                    inclusive: bool = True, target: str | None = None,
-                   period_us: int = DEFAULT_PERIOD_US,
-                   prefix: str = "run_", persist: bool | None = None,
-                   derive=None, heavy_rows: int | None | str = "auto",
-                   target_rows: int | None = None,
-                   stats_from: DataFrame | None = None) -> DataFrame:
+                   prefix: str = "run_", derive=None) -> DataFrame:
     """Prefix aggregates per key in ``(t, *order)`` order.
 
     ``t`` is a long (microseconds). For each row that is a target (all rows
     when ``target`` is None) adds ``{prefix}{name}`` for every name in sums
-    and lasts, ``{prefix}first_{name}`` for every name in firsts, and, when ``first_t = (src, name)``, ``name`` = the min
-    of column ``src`` over the key's periods up to the current one. ``inclusive`` decides
-    whether sums/lasts include the current row (firsts always do). ``derive``
-    (DataFrame -> DataFrame, row-local) runs after the exchange and may add
-    the aggregated columns.
+    and lasts, ``{prefix}first_{name}`` for every name in firsts, and, when
+    ``first_t = (src, name)``, ``name`` = the min of column ``src`` so far.
+    ``inclusive`` decides whether sums/lasts include the current row (firsts
+    always do). ``derive`` (DataFrame -> DataFrame, row-local) runs after the
+    exchange and may add the aggregated columns.
     """
-    keys = _cols(keys)
-    order = _cols(order)
+    keys, order = _cols(keys), _cols(order)
     sums, lasts, firsts = _cols(sums), _cols(lasts), _cols(firsts)
-    if heavy_rows == "auto":
-        heavy_rows = HEAVY_KEY_ROWS
-    if persist is None:
-        persist = PERSIST_SHUFFLED
-    if target_rows is None:
-        target_rows = TARGET_PERIOD_ROWS
-
-    # One explicit shuffle on (key, period), persisted: the window below and
-    # the per-period aggregate both read it, so the input is scanned, its
-    # expressions evaluated and shuffled once (column pruning would otherwise
-    # give the two branches different exchanges). MEMORY_AND_DISK spills;
-    # lost blocks are recomputed from lineage.
-    d = with_periods(df, keys, t, heavy_rows, target_rows, period_us,
-                     stats_from).repartition(*keys, P)
+    hot, n_hot = hot_keys(df, keys)
+    args = (keys, t, order, sums, lasts, firsts, first_t, inclusive, target, prefix)
+    if hot is None:
+        return _scan_keys(df, derive, *args)
+    cold = _scan_keys(df.join(F.broadcast(hot), keys, "left_anti"), derive, *args)
+    rows = df.join(F.broadcast(hot), keys, "left_semi")
     if derive is not None:
-        # Row-local work (e.g. payload parsing) placed after the exchange
-        # runs in every shuffle partition, not only in the scan tasks.
-        d = derive(d)
-    if persist:
-        d = d.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = derive(rows)
+    return cold.unionByName(_scan_periods(rows, -(-n_hot // TARGET_PERIOD_ROWS), *args))
+
 
-    def q(c):
-        return f"`{c}`"
+def _q(c: str) -> str:
+    return f"`{c}`"
 
-    part_by = ", ".join(q(k) for k in [*keys, P])
-    asc = ", ".join([q(t)] + [q(o) for o in order])
-    desc = ", ".join([f"{q(t)} DESC"] + [f"{q(o)} DESC" for o in order])
+
+def _frames(by: list[str], t: str, order: list[str], inclusive: bool) -> tuple[str, str]:
+    part_by = ", ".join(_q(k) for k in by)
+    asc = ", ".join([_q(t)] + [_q(o) for o in order])
+    desc = ", ".join([f"{_q(t)} DESC"] + [f"{_q(o)} DESC" for o in order])
     hi = "CURRENT ROW" if inclusive else "1 PRECEDING"
-    w_in = f"(PARTITION BY {part_by} ORDER BY {asc} ROWS BETWEEN UNBOUNDED PRECEDING AND {hi})"
-    w_desc = f"(PARTITION BY {part_by} ORDER BY {desc} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-
-    # -- step 1: running values inside (key, period) --------------------------
-    part_cols = ([F.expr(f"sum({q(x)}) OVER {w_in} AS `_ps_{x}`") for x in sums]
-                 + [F.expr(f"max({q(x)}) OVER {w_in} AS `_pl_{x}`") for x in lasts]
-                 + [F.expr(f"min({q(x)}) OVER {w_desc} AS `_pf_{x}`") for x in firsts])
-    part = d.select("*", *part_cols)
+    return (f"(PARTITION BY {part_by} ORDER BY {asc} ROWS BETWEEN UNBOUNDED PRECEDING AND {hi})",
+            f"(PARTITION BY {part_by} ORDER BY {desc} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+
+
+def _scan_keys(df, derive, keys, t, order, sums, lasts, firsts, first_t, inclusive, target, prefix) -> DataFrame:
+    """Whole keys: one exchange, then windows partitioned by the key."""
+    if derive is not None:
+        # Row-local work (e.g. payload parsing) placed after the exchange
+        # runs in every shuffle partition, not only in the scan tasks.
+        df = derive(df.repartition(*keys))
+    w_in, w_desc = _frames(keys, t, order, inclusive)
+    cols = ([f"coalesce(sum({_q(x)}) OVER {w_in}, 0) AS `{prefix}{x}`" for x in sums]
+            + [f"max({_q(x)}) OVER {w_in} AS `{prefix}{x}`" for x in lasts]
+            + [f"min({_q(x)}) OVER {w_desc} AS `{prefix}first_{x}`" for x in firsts])
+    if first_t:
+        cols.append(f"min({_q(first_t[0])}) OVER {w_in} AS `{first_t[1]}`")
+    out = df.select("*", *[F.expr(c) for c in cols])
+    return out if target is None else out.filter(F.col(target))
+
+
+def _scan_periods(rows, periods, keys, t, order, sums, lasts, firsts, first_t, inclusive, target, prefix) -> DataFrame:
+    """Hot keys: running values inside periods, and carried-in values of the other periods."""
+    cut = rows.repartitionByRange(max(periods, 2), *keys, t, *order).withColumn(P, F.spark_partition_id())
+    d = materialize(cut)
+
+    # -- running values inside (key, period) ----------------------------------
+    w_in, w_desc = _frames([*keys, P], t, order, inclusive)
+    part = d.select("*", *[F.expr(c) for c in (
+        [f"sum({_q(x)}) OVER {w_in} AS `_ps_{x}`" for x in sums]
+        + [f"max({_q(x)}) OVER {w_in} AS `_pl_{x}`" for x in lasts]
+        + [f"min({_q(x)}) OVER {w_desc} AS `_pf_{x}`" for x in firsts])])
     if target is not None:
         part = part.filter(F.col(target))
 
-    # -- step 2: carried-in values from the per-(key, period) table -----------
-    aggs = ([f"sum({q(x)}) AS `_AS_{x}`" for x in sums]
-            + [f"max({q(x)}) AS `_AL_{x}`" for x in lasts]
-            + [f"min({q(x)}) AS `_AF_{x}`" for x in firsts])
+    # -- carried-in values from the per-(key, period) table -------------------
+    aggs = ([f"sum({_q(x)}) AS `_AS_{x}`" for x in sums]
+            + [f"max({_q(x)}) AS `_AL_{x}`" for x in lasts]
+            + [f"min({_q(x)}) AS `_AF_{x}`" for x in firsts])
     if first_t:
-        aggs.append(f"min({q(first_t[0])}) AS `_mint`")
-    if target is not None:
-        aggs.append(f"max(CAST({q(target)} AS INT)) AS `_tgt`")
+        aggs.append(f"min({_q(first_t[0])}) AS `_mint`")
     if not aggs:
         aggs.append("count(1) AS `_n`")
     per = d.groupBy(*keys, P).agg(*[F.expr(a) for a in aggs])
-    kb = ", ".join(q(k) for k in keys)
+    kb = ", ".join(_q(k) for k in keys)
     before = f"(PARTITION BY {kb} ORDER BY `{P}` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     upto = f"(PARTITION BY {kb} ORDER BY `{P}` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     after = f"(PARTITION BY {kb} ORDER BY `{P}` DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -140,55 +152,22 @@ def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
                 + [f"min(`_AF_{x}`) OVER {after} AS `_cf_{x}`" for x in firsts])
     if first_t:
         car_cols.append(f"min(`_mint`) OVER {upto} AS `_cmint`")
-    sel = [*keys, P] + (["_tgt"] if target is not None else [])
-    carried = per.select(*[F.col(c) for c in sel], *[F.expr(c) for c in car_cols])
-    if target is not None:
-        carried = carried.filter(F.col("_tgt") == 1).drop("_tgt")
+    carried = per.select(*[F.col(c) for c in [*keys, P]], *[F.expr(c) for c in car_cols])
 
-    # -- step 3: combine ------------------------------------------------------
+    # -- combine --------------------------------------------------------------
     out = part.join(carried, on=[*keys, P], how="left")
-    final = []
-    for x in sums:
-        final.append(f"coalesce(`_cs_{x}`, 0) + coalesce(`_ps_{x}`, 0) AS `{prefix}{x}`")
-    for x in lasts:
-        final.append(f"greatest(`_cl_{x}`, `_pl_{x}`) AS `{prefix}{x}`")
-    for x in firsts:
-        final.append(f"least(`_cf_{x}`, `_pf_{x}`) AS `{prefix}first_{x}`")
+    final = ([f"coalesce(`_cs_{x}`, 0) + coalesce(`_ps_{x}`, 0) AS `{prefix}{x}`" for x in sums]
+             + [f"greatest(`_cl_{x}`, `_pl_{x}`) AS `{prefix}{x}`" for x in lasts]
+             + [f"least(`_cf_{x}`, `_pf_{x}`) AS `{prefix}first_{x}`" for x in firsts])
     if first_t:
         final.append(f"`_cmint` AS `{first_t[1]}`")
-    drop = set([P, "_cmint"] + [c for c in out.columns
-                                if c.startswith(("_ps_", "_pl_", "_pf_", "_cs_", "_cl_", "_cf_"))])
-    keep = [F.col(q(c)) for c in out.columns if c not in drop]
-    return out.select(*keep, *[F.expr(f) for f in final])
-
-
-def with_periods(df: DataFrame, keys: list[str], t: str, heavy_rows: int | None,
-                 target_rows: int, period_us: int, stats_from: DataFrame | None = None) -> DataFrame:
-    """Adds the period column (see module doc). Key statistics come from
-    ``stats_from`` when given (e.g. only the event side of a probe union, so
-    the statistics stage does not wait for the probes)."""
-    if heavy_rows is None:
-        return df.withColumn(P, floor_div(F.col(t), period_us))
-    st = (stats_from if stats_from is not None else df).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"),
-                               F.max(t).alias("_t1"))
-    width = F.greatest(F.lit(1), ((F.col("_t1") - F.col("_t0") + 1).cast("double")
-                                  * F.lit(float(target_rows)) / F.col("_n")).cast("long"))
-    # At most rows / heavy_rows keys: a provably small broadcast.
-    hot = st.filter(F.col("_n") > heavy_rows).select(*keys, width.alias("_pw"))
-    d = df.join(F.broadcast(hot), on=keys, how="left")
-    # floor(t / width) is monotone in t, which is all the split needs.
-    per = F.when(F.col("_pw").isNull(), F.lit(0).cast("long")) \
-        .otherwise(F.floor(F.col(t).cast("double") / F.col("_pw").cast("double")).cast("long"))
-    return d.withColumn(P, per).drop("_pw")
+    return out.select(*[F.col(_q(c)) for c in rows.columns], *[F.expr(f) for f in final])
 
 
 def probe_scan(events: DataFrame, probes: DataFrame, keys, t: str,
                order: Sequence[str] = (), *, sums: Sequence[str] = (),
                lasts: Sequence[str] = (), firsts: Sequence[str] = (),
-               first_t: str | None = None, period_us: int = DEFAULT_PERIOD_US,
-               prefix: str = "at_", derive=None,
-               heavy_rows: int | None | str = "auto",
-               target_rows: int | None = None) -> DataFrame:
+               first_t: str | None = None, prefix: str = "at_", derive=None) -> DataFrame:
     """Point-in-time lookups for probe rows (design "probe-union prefix").
 
     ``events`` carry keys, ``t``, ``order`` and the aggregate columns;
@@ -208,9 +187,7 @@ def probe_scan(events: DataFrame, probes: DataFrame, keys, t: str,
     u = u.withColumn("_is_probe", F.col("_kind") == 0)
     res = segmented_scan(u, keys, t, ["_kind", *_cols(order)], sums=sums, lasts=lasts,
                          firsts=firsts, first_t=("_evt_t", first_t) if first_t else None,
-                         inclusive=True, derive=derive, heavy_rows=heavy_rows,
-                         target_rows=target_rows, stats_from=events,
-                         target="_is_probe", period_us=period_us, prefix=prefix)
+                         inclusive=True, derive=derive, target="_is_probe", prefix=prefix)
     drop = set(_cols(order)) | {"_kind", "_is_probe", "_evt_t"} | set(_cols(sums)) | set(_cols(lasts)) | set(_cols(firsts))
     return res.select(*[c for c in res.columns if c not in drop])
 

@@ -20,7 +20,6 @@ Shape of the work:
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwise.functions.encode import BT_COLS, CAT_COLS, infer_category, map_category, onehot_category
@@ -28,14 +27,13 @@ from pitwise.functions.season import SEASON_COLS, season_shop
 from pitwise.functions.timecols import (CENTS, DAY_US, MICRO_UNITS, coerce_num, floor_days, from_scaled,
                                         micros, to_scaled)
 from pitwise.operators.scan import probe_scan, segmented_scan
-from pitwise.sources.schemas import LABELS
+from pitwise.sources.schemas import FILE_ORDER, LABELS
 
 WINDOWS = (7, 30, 90)
 HORIZON_DAYS = 14
 FIRST_SAMPLE = 30
 SAMPLE_EVERY = 7
 MIN_SHOP_ROWS = 45
-PERSIST_SHARED = False
 
 SHOP_ROLL = ["order_count", "order_velocity", "revenue_total", "revenue_per_day", "cancel_rate",
              "blocked_rate", "restock_count", "price_change_count", "avg_price_change_pct",
@@ -77,7 +75,7 @@ def prepare_shop_orders(df: DataFrame, tie: list[str] | None = None) -> DataFram
     ca = dict(df.dtypes).get("created_at")
     created = utc_normalize(F.col("created_at")) if ca == "string" else _ts(df, "created_at", False)
     if tie is None:
-        tie = ["tie"] if "tie" in df.columns else []
+        tie = [c for c in ("tie", FILE_ORDER) if c in df.columns][:1]
     out = df.select(
         F.col("shop_id").cast("string").alias("shop_id"),
         created.alias("created_at"),
@@ -96,15 +94,26 @@ def prepare_shop_orders(df: DataFrame, tie: list[str] | None = None) -> DataFram
 def _running_cash(df: DataFrame, pos: str, order: list[str]) -> DataFrame:
     """Per-shop running total of total_price in file order (exact, in cents)."""
     d = df.withColumn("_amt", to_scaled(F.col("total_price"), CENTS))
-    run = segmented_scan(d, "shop_id", pos, order, sums=["_amt"], inclusive=True,
-                         period_us=1 << 20, prefix="cum")
+    run = segmented_scan(d, "shop_id", pos, order, sums=["_amt"], inclusive=True, prefix="cum")
     return run.withColumn("cash_balance", from_scaled(F.col("cum_amt"), CENTS)).drop("_amt", "cum_amt")
 
 
+def _file_order(df: DataFrame, pos: str, order: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """The numeric position ``pos`` (0 where the source has none) and the order of rows at one position:
+    ``order``, or the readers' file-order column."""
+    if order is None:
+        order = [FILE_ORDER] if FILE_ORDER in df.columns else []
+    if pos not in df.columns:
+        if not order:
+            raise ValueError(f"no file order: neither {pos!r} nor {FILE_ORDER!r} is a column")
+        df = df.withColumn(pos, F.lit(0).cast("long"))
+    return df, order
+
+
 def normalize_retail(df: DataFrame, pos: str = "pos", order: list[str] | None = None) -> DataFrame:
     """Retail transactions -> shop frame. ``pos``/``order`` give the
     file order (numeric position + tie) used by the running cash proxy."""
-    order = order if order is not None else []
+    df, order = _file_order(df, pos, order)
     d = df.select(
         F.col("store_id").cast("string").alias("shop_id"),
         _ts(df, "date", True).alias("created_at"),
@@ -123,7 +132,7 @@ def normalize_retail(df: DataFrame, pos: str = "pos", order: list[str] | None =
 def normalize_fashion(df: DataFrame, pos: str = "pos", order: list[str] | None = None) -> DataFrame:
     """Fashion sales -> shop frame; Returns > 0 marks the row cancelled at
     its own date."""
-    order = order if order is not None else []
+    df, order = _file_order(df, pos, order)
     created = _ts(df, "Date", True)
     if "Returns" in df.columns:
         returns = coerce_num(F.col("Returns"))
@@ -310,15 +319,10 @@ def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
                  horizon_days: int = HORIZON_DAYS) -> DataFrame:
     """Shared body of T2/T3 on a prepared shop frame.
 
-    The shop frame and its indexed form each feed several consumers (stats,
-    sampling, pairs, labels); they are persisted (memory, spilling to disk)
-    so the export is scanned and sorted once."""
-    if PERSIST_SHARED:
-        shops = shops.persist(StorageLevel.MEMORY_AND_DISK)
+    The shop frame and its indexed form feed several consumers (stats,
+    sampling, pairs, labels); each reads only the columns it needs."""
     stats = shop_stats(shops)
     ix = indexed(shops)
-    if PERSIST_SHARED:
-        ix = ix.persist(StorageLevel.MEMORY_AND_DISK)
     probes = sample_points(ix, stats, min_rows=min_rows,
                            horizon_days=horizon_days if horizon_check else None)
     # One point-in-time lookup per probe gives both the labels and the latest

@@ -230,10 +230,15 @@ def category_models(spark, d):
     """One global model vs one model per category, metrics per category."""
     fits, pred, z, sc = _baseline(spark, d)
     out = [M.metrics(pred, ["target", "category"]).withColumn("scope", F.lit("global"))]
-    for cat in ("retail", "apparel", "b2b"):
-        zc = z.filter(F.col("category") == cat)
+    sizes = z.groupBy("category").agg(F.count(F.when(F.col("split") == "train", 1)).alias("n_train"),
+                                      F.count(F.when(F.col("split") == "test", 1)).alias("n_test"))
+    for cat, n_train, n_test in sorted(sizes.collect(), key=str):     # one fit a category: as many as the schema names
+        zc = z.filter(F.col("category").eqNullSafe(cat))
         tr = zc.filter(F.col("split") == "train")
-        if tr.limit(2).count() < 2:
+        if n_train < 2:                # too few rows to fit: the category stays, without metrics
+            out.append(z.sparkSession.createDataFrame(
+                [(t, cat, None, None, None, n_test, "per_category") for t in M.TARGETS],
+                "target string, category string, mape double, coverage double, mpiw double, n_test long, scope string"))
             continue
         for t in M.TARGETS:
             f = M.fit_ridge(tr, sc.order, t)

@@ -10,10 +10,10 @@ from pitwise.functions.season import SEASON_COLS, season_core
 from pitwise.functions.timecols import from_micros
 from pitwise.operators.lookback import (ROLL_COLS, WINDOWS, history_columns, lookback_raw,
                                         normalize_monetary, rolling_columns)
-from pitwise.operators.scan import DEFAULT_PERIOD_US
 from pitwise.sources.schemas import ID_COLS, LABELS
 
 MIN_PRIOR_COMMITS = 10
+HORIZON_DAYS = 14
 
 DELTA_COLS = MAG_COLS + ["history_depth_days", "n_past_price_changes", "hist_avg_price_change"]
 ROLLING_OUT = [f"w{w}_{c}" for w in WINDOWS for c in ROLL_COLS]
@@ -36,11 +36,16 @@ def dedup_outcomes(outcomes: DataFrame, order: list[str] | None = None) -> DataF
 
 def committed_with_outcome(branches: DataFrame, outcomes: DataFrame) -> DataFrame:
     """F1 + J2 (+ J3): committed scenarios that have an outcome, with labels."""
-    o = dedup_outcomes(outcomes).select(
-        "branch_id",
-        F.col("inventory_delta").cast("double").alias("label_inventory_delta"),
-        F.col("cashflow_delta").cast("double").alias("label_cashflow_delta"),
-        F.col("order_velocity_delta").cast("double").alias("label_order_velocity_delta"))
+    o = dedup_outcomes(outcomes)
+    labels = {"label_inventory_delta": "inventory_delta", "label_cashflow_delta": "cashflow_delta",
+              "label_order_velocity_delta": "order_velocity_delta"}
+    values = {k: F.col(v).cast("double") for k, v in labels.items()}
+    if "horizon_days" in o.columns:
+        wrong = F.raise_error(F.concat(F.lit(f"an outcome's horizon is not {HORIZON_DAYS} days: "),
+                                       F.col("horizon_days").cast("string"))).cast("double")
+        values = {k: F.when(F.coalesce(F.col("horizon_days"), F.lit(HORIZON_DAYS)) != HORIZON_DAYS, wrong).otherwise(v)
+                  for k, v in values.items()}
+    o = o.select("branch_id", *[v.alias(k) for k, v in values.items()])
     b = branches.filter(F.col("status") == "committed").select(
         "branch_id", "business_id", "category", "branch_type", "branch_params", "committed_at")
     return b.join(o, "branch_id", "inner")
@@ -65,14 +70,13 @@ def scenario_feature_columns(raw: DataFrame, rounded: bool) -> dict[str, Column]
 
 def training_rows(commits: DataFrame, branches: DataFrame, outcomes: DataFrame, *,
                   rounded: bool = True, min_prior: int = MIN_PRIOR_COMMITS,
-                  period_us: int = DEFAULT_PERIOD_US, keep_n_prior: bool = False) -> DataFrame:
+                  keep_n_prior: bool = False) -> DataFrame:
     """T1 flagship. Columns in :data:`TRAINING_COLS` order.
 
     ``rounded=True`` rounds where the reference rounds; ``rounded=False``
     keeps full precision everywhere (used by the SQL cross-checks)."""
     sel = committed_with_outcome(branches, outcomes)
-    raw = lookback_raw(commits, sel.select("branch_id", "business_id", "committed_at"),
-                       period_us=period_us)
+    raw = lookback_raw(commits, sel.select("branch_id", "business_id", "committed_at"))
     rows = sel.join(raw, "branch_id", "inner")
     feats = scenario_feature_columns(rows, rounded)
     rows = rows.filter(feats["n_prior"] >= min_prior)

@@ -54,8 +54,8 @@ def apply_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a scratch folder is created.
+    ``spark.checkpoint.dir`` is read from the session; where it is unset, a
+    local session gets a scratch folder and a cluster's raises.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -63,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by the driver and all executors")
         d = tempfile.mkdtemp(prefix="pitwise-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

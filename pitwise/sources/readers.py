@@ -39,6 +39,38 @@ def load_outcomes(spark, path):
     return read_table(spark, path, schemas.OUTCOMES)
 
 
+def _with_file_order(df: DataFrame) -> DataFrame:
+    """Adds the row's place: file, start of its split in the file, row in the split (ids grow with it)."""
+    return df.withColumn(schemas.FILE_ORDER, F.struct(
+        F.input_file_name().alias("file"), F.input_file_block_start().alias("start"),
+        F.monotonically_increasing_id().alias("row")))
+
+
+def load_shop_orders(spark, path):
+    return _with_file_order(read_table(spark, path, schemas.SHOP_ORDERS_RAW))
+
+
+def load_retail(spark, path):
+    return _with_file_order(read_table(spark, path, schemas.RETAIL_TXN_RAW))
+
+
+def load_fashion(spark, path):
+    return _with_file_order(read_table(spark, path, schemas.FASHION_SALES_RAW))
+
+
+EXPORTS = {"shop": load_shop_orders, "retail": load_retail, "fashion": load_fashion}
+
+
+def load_export(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """The shop frame of an order export, by the name of its kind (shop, retail or fashion)."""
+    from pitwise.operators import shops
+
+    if kind not in EXPORTS:
+        raise ValueError(f"unknown export {kind!r}; known: {', '.join(sorted(EXPORTS))}")
+    prepare = {"shop": shops.prepare_shop_orders, "retail": shops.normalize_retail, "fashion": shops.normalize_fashion}
+    return prepare[kind](EXPORTS[kind](spark, path))
+
+
 def load_features(spark: SparkSession, path: str) -> DataFrame:
     """A training table written by :func:`write_training_rows`."""
     if path.endswith(".csv"):

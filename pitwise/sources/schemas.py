@@ -39,5 +39,8 @@ FASHION_SALES_RAW = _schema(("Order_ID", S), ("Customer_ID", S), ("Date", S),
                             ("Product_Type", S), ("Quantity", S), ("Price", S),
                             ("Total_Sales", S), ("Returns", S))
 
+#: Column in which the readers of exports keep a row's place in its file.
+FILE_ORDER = "file_order"
+
 LABELS = ["label_inventory_delta", "label_cashflow_delta", "label_order_velocity_delta"]
 ID_COLS = ["branch_id", "business_id", "category", "branch_type", "committed_at"]

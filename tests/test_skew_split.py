@@ -14,7 +14,7 @@ from tests.conftest import SF_SMALL
 @pytest.fixture
 def forced_split(monkeypatch):
     monkeypatch.setattr(scan, "HEAVY_KEY_ROWS", 0)
-    monkeypatch.setattr(scan, "TARGET_PERIOD_ROWS", 3)
+    monkeypatch.setattr(scan, "TARGET_PERIOD_ROWS", 60)
 
 
 def _rows(df):
@@ -24,7 +24,7 @@ def _rows(df):
 def _run(spark, monkeypatch, fn):
     plain = _rows(fn())
     monkeypatch.setattr(scan, "HEAVY_KEY_ROWS", 0)
-    monkeypatch.setattr(scan, "TARGET_PERIOD_ROWS", 3)
+    monkeypatch.setattr(scan, "TARGET_PERIOD_ROWS", 60)
     split = _rows(fn())
     return plain, split
 
@@ -66,3 +66,35 @@ def test_ledger_split_invariant(spark, monkeypatch):
                         lambda: running_balances(V.commits(spark, SF_SMALL)).select(
                             "commit_id", "cash_balance", "inventory_units"))
     assert plain == split
+
+
+def _largest_period(spark, monkeypatch, times):
+    """Rows of the largest period of one hot key with these times."""
+    seen = []
+    keep = scan.materialize
+    monkeypatch.setattr(scan, "materialize", lambda d: seen.append(keep(d)) or seen[-1])
+    monkeypatch.setattr(scan, "HEAVY_KEY_ROWS", 1000)
+    monkeypatch.setattr(scan, "TARGET_PERIOD_ROWS", 2000)
+    df = times.withColumn("k", F.lit("a")).withColumn("v", F.lit(1).cast("long"))
+    out = scan.segmented_scan(df, "k", "t", ["seq"], sums=["v"], prefix="s_")
+    n = df.count()
+    assert out.agg(F.sum("s_v")).first()[0] == n * (n + 1) // 2
+    return seen[0].groupBy(scan.P).count().agg(F.max("count")).first()[0]
+
+
+def test_uneven_times_split_evenly(spark, monkeypatch):
+    even = spark.range(0, 40_000).select((F.col("id") * 1_000_000).alias("t"), F.col("id").alias("seq"))
+    outlier = even.unionByName(spark.range(1).select(F.lit(-10**17).alias("t"), F.lit(-1).cast("long").alias("seq")))
+    burst = even.withColumn("t", F.when(F.col("seq") % 2 == 0, F.lit(7)).otherwise(F.col("t")))
+    for times in (even, outlier, burst):
+        assert _largest_period(spark, monkeypatch, times) <= 6000
+
+
+def test_probe_heavy_key_is_hot(spark, monkeypatch):
+    monkeypatch.setattr(scan, "HEAVY_KEY_ROWS", 100)
+    events = spark.createDataFrame([("a", 5, 1, 2)], "k string, t long, seq long, v long")
+    probes = spark.range(0, 500).select(F.lit("a").alias("k"), F.col("id").alias("t"))
+    u = events.select("k").unionByName(probes.select("k"))
+    assert scan.hot_keys(u, ["k"])[1] == 501
+    got = scan.probe_scan(events, probes, "k", "t", ["seq"], sums=["v"])
+    assert {(r.t, r.at_v) for r in got.collect()} == {(t, 2 if t > 5 else 0) for t in range(500)}
