@@ -1,7 +1,7 @@
 """Ledger reconciliation from the event log (L1-L4).
 
 Balances are running sums in (timestamp, seq) order per business computed
-with the skew-safe :func:`segmented_scan`; money is summed as scaled integers (cents) so
+with the skew-safe :func:`segmented_scan`; money is summed in two longs (whole part, 1e-9) so
 results do not depend on the order partial sums are combined.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pitwise.functions.payload import field, parse_payload
-from pitwise.functions.timecols import CENTS, DAY_US, MICRO_UNITS, floor_div, from_scaled, micros, to_scaled
+from pitwise.functions.timecols import DAY_US, floor_div, from_parts, micros, parts
 from pitwise.operators.lookback import with_seq
 from pitwise.operators.scan import segmented_scan
 
@@ -26,34 +26,34 @@ def ledger_deltas(commits: DataFrame) -> DataFrame:
     c = with_seq(commits).select("commit_id", "business_id", "seq", "timestamp", et,
                        micros(F.col("timestamp")).alias("t"), parse_payload("payload").alias("_p"))
     p = F.col("_p")
-    cash = (F.when(et == "ORDER_RECEIVED", to_scaled(field(p, "revenue", 0.0), CENTS))
-             .when(et == "ORDER_CANCELLED", -to_scaled(field(p, "revenue_reversed", 0.0), CENTS))
-             .when(et == "SUPPLIER_PO_CREATED", -to_scaled(field(p, "cost", 0.0), CENTS))
-             .otherwise(F.lit(0).cast("long")))
-    units = (F.when(et == "ORDER_RECEIVED", -to_scaled(field(p, "quantity", 0.0), MICRO_UNITS))
-              .when(et == "ORDER_CANCELLED", to_scaled(field(p, "quantity", 0.0), MICRO_UNITS))
-              .when(et == "INVENTORY_RESTOCK", to_scaled(field(p, "quantity_added", 0.0), MICRO_UNITS))
-              .otherwise(F.lit(0).cast("long")))
+    cash = (F.when(et == "ORDER_RECEIVED", field(p, "revenue", 0.0))
+             .when(et == "ORDER_CANCELLED", -field(p, "revenue_reversed", 0.0))
+             .when(et == "SUPPLIER_PO_CREATED", -field(p, "cost", 0.0))
+             .otherwise(F.lit(0.0)))
+    units = (F.when(et == "ORDER_RECEIVED", -field(p, "quantity", 0.0))
+              .when(et == "ORDER_CANCELLED", field(p, "quantity", 0.0))
+              .when(et == "INVENTORY_RESTOCK", field(p, "quantity_added", 0.0))
+              .otherwise(F.lit(0.0)))
     return c.select("commit_id", "business_id", "seq", "timestamp", "t",
-                    cash.alias("d_cash"), units.alias("d_units"))
+                    *parts(cash, "d_cash"), *parts(units, "d_units"))
 
 
 def running_balances(commits: DataFrame, opening_cash: float = 0.0,
                      opening_units: float = 0.0) -> DataFrame:
     """L1 + L2: cash and unit balance after each commit."""
     d = ledger_deltas(commits)
-    r = segmented_scan(d, "business_id", "t", ["seq"], sums=["d_cash", "d_units"], inclusive=True,
-                       prefix="bal_")
+    r = segmented_scan(d, "business_id", "t", ["seq"], sums=["d_cash", "d_cash_f", "d_units", "d_units_f"],
+                       inclusive=True, prefix="bal_")
     return r.select("commit_id", "business_id", "seq", "timestamp", "t",
-                    (from_scaled(F.col("bal_d_cash"), CENTS) + F.lit(float(opening_cash))).alias("cash_balance"),
-                    (from_scaled(F.col("bal_d_units"), MICRO_UNITS) + F.lit(float(opening_units))).alias("inventory_units"))
+                    (from_parts("bal_d_cash", "bal_d_cash_f") + F.lit(float(opening_cash))).alias("cash_balance"),
+                    (from_parts("bal_d_units", "bal_d_units_f") + F.lit(float(opening_units))).alias("inventory_units"))
 
 
 def weekly_snapshot(commits: DataFrame) -> DataFrame:
     """L3: balance at the last commit of each 7-day period counted from the
     business's first day (max_by on (t, seq) is a partial aggregate)."""
     b = running_balances(commits)
-    first = b.groupBy("business_id").agg(F.min("t").alias("_t0"))
+    first = commits.groupBy("business_id").agg(F.min(micros(F.col("timestamp"))).alias("_t0"))
     day = floor_div(F.col("t"), DAY_US)
     day0 = floor_div(F.col("_t0"), DAY_US)
     w = b.join(first, "business_id").withColumn("week", floor_div(day - day0, 7))

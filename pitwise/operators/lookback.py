@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwise.functions.payload import field, json_valid, parse_payload
-from pitwise.functions.timecols import CENTS, DAY_US, MICRO_UNITS, floor_days, from_scaled, micros, to_scaled
+from pitwise.functions.timecols import DAY_US, floor_days, from_parts, micros, parts
 from pitwise.operators.scan import point, probe_scan
 
 # Lookback windows (days), decay half-life (days).
@@ -38,7 +38,7 @@ HIST_COLS = ["n_prior", "hist_avg_price_change", "n_past_price_changes", "avg_re
 
 SUMS = ["n_all", "n_order", "rev", "n_cancel", "n_blocked", "n_restock", "n_price",
         "price_sum", "n_price_valid", "price_valid_sum", "n_rs_valid", "rs_sum",
-        "w_order", "n_cash", "n_inv"]
+        "w_order", "n_cash", "n_inv", "rev_f", "price_sum_f", "price_valid_sum_f", "rs_sum_f"]
 POINTS = ["cash_pt", "inv_pt"]
 
 
@@ -84,16 +84,16 @@ def add_contributions(c: DataFrame) -> DataFrame:
         *[x for x in c.columns if x != "_p"],
         F.when(is_ev, F.lit(1).cast("long")).alias("n_all"),
         flag(is_order).alias("n_order"),
-        F.when(is_order, to_scaled(field(p, "revenue", 0.0), CENTS)).alias("rev"),
+        *parts(F.when(is_order, field(p, "revenue", 0.0)), "rev"),
         flag(et == "ORDER_CANCELLED").alias("n_cancel"),
         flag(et == "FULFILLMENT_BLOCKED").alias("n_blocked"),
         flag(et.isin("INVENTORY_RESTOCK", "SUPPLIER_PO_CREATED")).alias("n_restock"),
         flag(is_price).alias("n_price"),
-        F.when(is_price, to_scaled(pct, MICRO_UNITS)).alias("price_sum"),
+        *parts(F.when(is_price, pct), "price_sum"),
         flag(is_price & valid).alias("n_price_valid"),
-        F.when(is_price & valid, to_scaled(pct, MICRO_UNITS)).alias("price_valid_sum"),
+        *parts(F.when(is_price & valid, pct), "price_valid_sum"),
         flag(is_rs & valid).alias("n_rs_valid"),
-        F.when(is_rs & valid, to_scaled(field(p, "quantity_added", 0.0), MICRO_UNITS)).alias("rs_sum"),
+        *parts(F.when(is_rs & valid, field(p, "quantity_added", 0.0)), "rs_sum"),
         F.when(is_order, F.exp((F.col("t") - F.lit(T0_US)).cast("double") * F.lit(LAMBDA_PER_US)))
          .alias("w_order"),
         flag(is_ledger).alias("n_cash"),
@@ -163,7 +163,7 @@ def rolling_columns(raw: DataFrame, windows=WINDOWS, rounded: bool = False) -> d
             return F.col(f"{s}@0") - F.col(f"{s}@{w}")
 
         orders = win("n_order")
-        rev = from_scaled(win("rev"), CENTS)
+        rev = from_parts(win("rev"), win("rev_f"))
         n_price = win("n_price")
         n_cash = win("n_cash")
         n_inv = win("n_inv")
@@ -178,7 +178,7 @@ def rolling_columns(raw: DataFrame, windows=WINDOWS, rounded: bool = False) -> d
         out[f"w{w}_restock_count"] = win("n_restock")
         out[f"w{w}_price_change_count"] = n_price
         out[f"w{w}_avg_price_change_pct"] = r(
-            F.when(n_price > 0, from_scaled(win("price_sum"), MICRO_UNITS) / n_price).otherwise(F.lit(0.0)), 4)
+            F.when(n_price > 0, from_parts(win("price_sum"), win("price_sum_f")) / n_price).otherwise(F.lit(0.0)), 4)
         out[f"w{w}_latest_cash_balance"] = r(
             F.when(n_cash >= 1, last_cash.getField("v")).otherwise(F.lit(0.0)), 2)
         out[f"w{w}_cash_trend"] = r(_trend(last_cash, F.col(f"first_cash@{w}"), n_cash), 4)
@@ -219,9 +219,9 @@ def history_columns(raw: DataFrame) -> dict[str, Column]:
     nrs = F.col("n_rs_valid@0")
     return {
         "n_prior": n_prior,
-        "hist_avg_price_change": F.when(npv > 0, from_scaled(F.col("price_valid_sum@0"), MICRO_UNITS) / npv).otherwise(F.lit(0.0)),
+        "hist_avg_price_change": F.when(npv > 0, from_parts(F.col("price_valid_sum@0"), F.col("price_valid_sum_f@0")) / npv).otherwise(F.lit(0.0)),
         "n_past_price_changes": npv,
-        "avg_restock": F.when(nrs > 0, from_scaled(F.col("rs_sum@0"), MICRO_UNITS) / nrs),
+        "avg_restock": F.when(nrs > 0, from_parts(F.col("rs_sum@0"), F.col("rs_sum_f@0")) / nrs),
         "history_depth_days": F.when(n_prior > 0, floor_days(F.col("b") - F.col("first_t")))
                                .otherwise(F.lit(0).cast("long")),
     }

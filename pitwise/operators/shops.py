@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwise.functions.encode import BT_COLS, CAT_COLS, infer_category, map_category, onehot_category
 from pitwise.functions.season import SEASON_COLS, season_shop
-from pitwise.functions.timecols import (CENTS, DAY_US, MICRO_UNITS, coerce_num, floor_days, from_scaled,
-                                        micros, to_scaled)
+from pitwise.functions.timecols import DAY_US, coerce_num, floor_days, from_parts, micros, parts
 from pitwise.operators.scan import probe_scan, segmented_scan
 from pitwise.sources.schemas import FILE_ORDER, LABELS
 
@@ -92,10 +91,10 @@ def prepare_shop_orders(df: DataFrame, tie: list[str] | None = None) -> DataFram
 
 
 def _running_cash(df: DataFrame, pos: str, order: list[str]) -> DataFrame:
-    """Per-shop running total of total_price in file order (exact, in cents)."""
-    d = df.withColumn("_amt", to_scaled(F.col("total_price"), CENTS))
-    run = segmented_scan(d, "shop_id", pos, order, sums=["_amt"], inclusive=True, prefix="cum")
-    return run.withColumn("cash_balance", from_scaled(F.col("cum_amt"), CENTS)).drop("_amt", "cum_amt")
+    """Per-shop running total of total_price in file order."""
+    d = df.select("*", *parts("total_price", "_amt"))
+    run = segmented_scan(d, "shop_id", pos, order, sums=["_amt", "_amt_f"], inclusive=True, prefix="cum")
+    return run.withColumn("cash_balance", from_parts("cum_amt", "cum_amt_f")).drop("_amt", "_amt_f", "cum_amt", "cum_amt_f")
 
 
 def _file_order(df: DataFrame, pos: str, order: list[str] | None) -> tuple[DataFrame, list[str]]:
@@ -235,11 +234,11 @@ def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS,
         lookups = shop_lookups(ix, probes)
     bk = F.floor(F.col("t") / F.lit(wmax)).cast("long")
     rows = (ix.select("shop_id", F.col("pos").alias("t"), F.col("total_price").alias("price"),
-                      to_scaled(F.col("total_price"), CENTS).alias("price_c"),
+                      *parts("total_price", "price_w"),
                       F.col("cancelled_at").isNotNull().alias("canc"),
                       F.col("prev.t").alias("prev_t"),
-                      (to_scaled(F.col("cash_balance"), MICRO_UNITS)
-                       - to_scaled(F.col("prev.cash"), MICRO_UNITS)).alias("d_cash_u"),
+                      *[(a - b).alias(n) for a, b, n in zip(
+                          parts("cash_balance", "c"), parts("prev.cash", "p"), ("d_cash_w", "d_cash_n"))],
                       (F.col("inventory_qty") - F.col("prev.inv")).alias("d_inv"))
             .withColumn("_bk", F.explode(F.array(bk, bk + 1))))
     pr = probes.select("shop_id", "idx", "a", F.floor(F.col("a") / F.lit(wmax)).cast("long").alias("_bk"))
@@ -255,12 +254,14 @@ def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS,
         prev_in = c & (F.col("prev_t") >= F.col("a") - F.lit(w * DAY_US))
         aggs += [
             F.count(F.when(c, F.lit(1))).alias(f"w{w}_order_count"),
-            F.sum(F.when(c, F.col("price_c"))).alias(f"_rev{w}"),
+            F.sum(F.when(c, F.col("price_w"))).alias(f"_rev{w}"),
+            F.sum(F.when(c, F.col("price_w_f"))).alias(f"_rev_f{w}"),
             F.avg(F.when(c, F.col("canc").cast("double"))).alias(f"w{w}_cancel_rate"),
             F.avg(F.when(c, (F.col("canc") & (F.col("price") > F.col(f"_q{w}"))).cast("double")))
              .alias(f"w{w}_blocked_rate"),
-            # mean consecutive cash difference, summed exactly in millionths
-            (F.avg(F.when(prev_in, F.col("d_cash_u"))) / F.lit(float(MICRO_UNITS))).alias(f"_ct{w}"),
+            # mean consecutive cash difference, summed in two parts
+            (from_parts(F.sum(F.when(prev_in, F.col("d_cash_w"))), F.sum(F.when(prev_in, F.col("d_cash_n"))))
+             / F.count(F.when(prev_in, F.col("d_cash_w")))).alias(f"_ct{w}"),
             F.avg(F.when(prev_in, F.col("d_inv"))).alias(f"_it{w}"),
             F.sum(F.when(c, F.lit(1.0) / F.greatest(floor_days(F.col("a") - F.col("t")), F.lit(1))))
              .alias(f"w{w}_weighted_order_count"),
@@ -274,7 +275,7 @@ def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS,
     out = [F.col("shop_id"), F.col("idx")]
     for w in windows:
         n = F.coalesce(F.col(f"w{w}_order_count"), F.lit(0)).cast("long")
-        rev = F.coalesce(from_scaled(F.col(f"_rev{w}"), CENTS), F.lit(0.0))
+        rev = F.coalesce(from_parts(F.col(f"_rev{w}"), F.col(f"_rev_f{w}")), F.lit(0.0))
         out += [
             n.alias(f"w{w}_order_count"),
             (n / F.lit(float(w))).alias(f"w{w}_order_velocity"),

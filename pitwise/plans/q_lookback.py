@@ -146,14 +146,9 @@ def window_bounds(spark, d):
 def asof_range_join(spark, d):
     """Business equi + [b - w, b) interval join, x3 windows (long form)."""
     raw = _all_raw(spark, d)
-    parts = [raw.select("branch_id", F.lit(w).alias("w"),
-                        (F.col("n_all@0") - F.col(f"n_all@{w}")).alias("n_commits"),
-                        (F.col("n_order@0") - F.col(f"n_order@{w}")).alias("n_orders"))
-             for w in WINDOWS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    wide = F.array(*[F.struct(F.lit(w).alias("w"), (F.col("n_all@0") - F.col(f"n_all@{w}")).alias("n_commits"),
+                              (F.col("n_order@0") - F.col(f"n_order@{w}")).alias("n_orders")) for w in WINDOWS])
+    return raw.select("branch_id", F.inline(wide))
 
 
 @query("commits_by_business", with_views(

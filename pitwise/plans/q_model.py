@@ -262,9 +262,10 @@ def linear_attribution(spark, d):
     tr_mean = z.filter(F.col("split") == "train").agg(
         *[F.avg(c).alias(c) for c in sc.order]).collect()[0].asDict()
     test = z.filter(F.col("split") == "test")
-    stack = "stack({}, {}) AS (feature, dz)".format(
-        len(sc.order), ", ".join(f"'{c}', `{c}` - {float(tr_mean[c] or 0.0)!r}" for c in sc.order))
-    long = test.select("branch_id", "category", F.expr(stack))
-    return (long.join(F.broadcast(coefs), "feature")
-            .groupBy("target", "category", "feature")
-            .agg(F.avg(F.abs(F.col("coef") * F.col("dz"))).alias("mean_abs_attribution")))
+    # |coef| is constant within a feature: one mean per feature and category, then the small result is unpivoted
+    means = test.groupBy("category").agg(*[
+        F.avg(F.abs(F.col(c) - F.lit(float(tr_mean[c] or 0.0)))).alias(c) for c in sc.order])
+    long = means.select("category", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("m")) for c in sc.order])))
+    return long.join(coefs, "feature").select(
+        "target", "category", "feature", (F.abs("coef") * F.col("m")).alias("mean_abs_attribution"))

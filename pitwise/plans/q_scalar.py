@@ -180,20 +180,16 @@ def round_out(spark, d):
                                   + map_category_sql("product_type") + " AS category FROM li_typed"))
 def map_category_q(spark, d):
     """Ordered substring match of product types (first hit wins)."""
-    so = V.shop_orders(spark, d)
-    return so.select(F.col("tie.l_orderkey").alias("l_orderkey"), F.col("tie.l_linenumber").alias("l_linenumber"),
-                     F.col("tie.l_partkey").alias("l_partkey"), "product_type",
-                     E.map_category("product_type").alias("category"))
+    li = V.lineitem_types(spark, d)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "product_type", E.map_category("product_type").alias("category"))
 
 
 @query("infer_category", with_views(["li_typed"], "SELECT l_orderkey, l_linenumber, l_partkey, product_type, "
                                     + infer_category_sql("product_type") + " AS category FROM li_typed"))
 def infer_category_q(spark, d):
     """Keyword-list category of transaction product types."""
-    so = V.shop_orders(spark, d)
-    return so.select(F.col("tie.l_orderkey").alias("l_orderkey"), F.col("tie.l_linenumber").alias("l_linenumber"),
-                     F.col("tie.l_partkey").alias("l_partkey"), "product_type",
-                     E.infer_category("product_type").alias("category"))
+    li = V.lineitem_types(spark, d)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "product_type", E.infer_category("product_type").alias("category"))
 
 
 # -- X11-X18: scenario magnitudes (need history aggregates) -----------------

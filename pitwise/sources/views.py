@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pitwise.functions.timecols import CENTS, from_scaled, micros, to_scaled
+from pitwise.functions.timecols import from_parts, micros, parts
 from pitwise.operators.scan import segmented_scan
 
 
@@ -177,15 +177,20 @@ def shop_orders(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("inventory_qty"),
         F.struct(*[F.col(c) for c in LINEITEM_TIE]).alias("tie"),
         micros(F.col("l_shipdate")).alias("_t"),
-        to_scaled(F.col("l_extendedprice"), CENTS).alias("_amt"),
+        *parts("l_extendedprice", "_amt"),
     )
-    run = segmented_scan(base, "shop_id", "_t", ["tie"], sums=["_amt"], inclusive=True,
+    run = segmented_scan(base, "shop_id", "_t", ["tie"], sums=["_amt", "_amt_f"], inclusive=True,
                          prefix="cum")
     return run.select("shop_id", "created_at", "total_price", "cancelled_at", "product_type",
-                      "inventory_qty", from_scaled(F.col("cum_amt"), CENTS).alias("cash_balance"),
+                      "inventory_qty", from_parts("cum_amt", "cum_amt_f").alias("cash_balance"),
                       "tie")
 
 
+def lineitem_types(spark, d) -> DataFrame:
+    """Line keys and product types (no running balances)."""
+    return _lineitem_typed(spark, d).select(*LINEITEM_TIE[:3], product_type_of(F.col("p_type")).alias("product_type"))
+
+
 def _file_seq() -> Column:
     # "File order" of the transaction exports: lineitem's natural order.
     return F.struct(*[F.col(c) for c in LINEITEM_TIE], F.col("l_shipdate"))

@@ -55,3 +55,10 @@ def test_fulfilment_before_order_e27(spark, make_commits, make_branch):
     rb = training_rows(b, br, o).first()
     assert ra["w7_order_count"] == rb["w7_order_count"] == 1
     assert ra["w7_revenue_total"] == rb["w7_revenue_total"]
+
+
+def test_sums_keep_small_and_large_amounts(spark, make_commits):
+    rows = [(f"2024-01-{i + 1:02d} 00:00:00", "ORDER_RECEIVED", '{"revenue": 0.004, "quantity": 1}') for i in range(28)]
+    rows.append(("2024-01-30 00:00:00", "ORDER_RECEIVED", '{"revenue": 1e13, "quantity": 1}'))
+    got = [r.cash_balance for r in running_balances(make_commits(rows)).orderBy("seq").collect()]
+    assert got[27] == 0.112 and got[28] == 10_000_000_000_000.112
