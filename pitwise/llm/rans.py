@@ -29,8 +29,8 @@ from pitwise.llm.storage import shared_dir, small, worker_cache, written
 from pitwise.llm.words import blocks
 
 SCALE = 18                       # frequencies add up to 2^SCALE
-LANES = 2048
-STEPS = 64
+LANES = 1024
+STEPS = 128
 BLOCK = 1 << 18                  # ids after which a block ends (a longer document is a block of its own)
 _LOW = np.uint64(1 << 31)        # states are in [2^31, 2^63)
 #: Words a Python worker remembers with their ids: as many that it has met lately, and as many from before.
