@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwise.llm.storage import shared_dir, small, worker_cache, written
-from pitwise.llm.words import blocks
+from pitwise.llm.words import blocks, text_buffer
 
 SCALE = 18                       # frequencies add up to 2^SCALE
 LANES = 1024
@@ -150,6 +150,12 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: Token ids that end a word (none where the model does not mark them).
+        self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -161,16 +167,17 @@ class WordCoder:
         return cache["tokenizer", path]
 
     def _together(self, words: list[str]) -> None:
-        """Words of letters only, each of which is one unit of the pre-tokenizer: many in one call."""
+        """Words of letters only, each of which is one unit of the pre-tokenizer: many in one call, cut after the tokens that
+        end a word."""
         for at in range(0, len(words), 2000):
             some = words[at:at + 2000]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            units = np.array(found.word_ids, np.int64)
-            if len(units) and (units[-1] + 1 != len(some) or (np.diff(units) < 0).any()):
+            found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, np.uint32)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(ends) != len(some) or ends[-1] != 4 * len(ids):
                 self._apart(some)
                 continue
-            data = np.array(found.ids, np.uint32).tobytes()
-            ends = np.cumsum(np.bincount(units, minlength=len(some)) * 4).tolist()
+            data = ids.tobytes()
             self.young.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def _apart(self, words: list[str]) -> None:
@@ -183,27 +190,49 @@ class WordCoder:
         """The ids of each of the distinct words, as little-endian 32-bit integers."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        cores, tails = [], []
-        for w in words:
-            core = w.rstrip(".,;:!?")
-            if core and core[-1] < "\u0250" and core[-1].lower().isalpha():
-                cores.append(core.lower() if core.isascii() and core.isalpha() else core)
-                tails.append(w[len(core):])
-            else:
-                cores.append(w)
-                tails.append("")
         young, old = self.young, self.old
-        new = [w for w in {*cores, *tails} if w not in young]
         unknown = []
-        for w in new:
-            if w in old:
-                young[w] = old[w]
-            else:
-                unknown.append(w)
-        plain = [w.isalpha() and max(w) < "\u0250" for w in unknown]
-        self._together([w for w, p in zip(unknown, plain, strict=True) if p])
-        self._apart([w for w, p in zip(unknown, plain, strict=True) if not p])
-        return [young[c] + young[t] if t else young[c] for c, t in zip(cores, tails, strict=True)]
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    unknown.append(w)
+        if unknown:
+            letters = pc.match_substring_regex(pa.array(unknown), f"^{LETTER}+$").to_pylist()
+            self._together([w for w, one in zip(unknown, letters, strict=True) if one])
+            self._apart([w for w, one in zip(unknown, letters, strict=True) if not one])
+        return list(map(young.__getitem__, words))
+
+
+#: Letters that neither combine nor change their number when made lower case apart from other letters.
+LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
+
+
+def cores_and_tails(words: pa.StringArray) -> tuple[pa.Array, pa.Array]:
+    """Words in two: what comes before the last run of ``.,;:!?`` if it ends with a letter, A-Z in lower case where the word
+    holds nothing that combines, and that run (or the whole word and nothing).  Both have the ids of the word together."""
+    ends = pc.match_substring_regex(words, LETTER + "[.,;:!?]*$")
+    cores = pc.if_else(ends, pc.ascii_rtrim(words, ".,;:!?"), words)
+    plain = pc.match_substring_regex(cores, "^[\\x{0}-\\x{24f}]*$")
+    raw, offsets = text_buffer(words)
+    size = pc.subtract(pc.binary_length(words), pc.binary_length(cores)).to_numpy(zero_copy_only=False).astype(np.int64)
+    to = np.concatenate(([0], np.cumsum(size)))
+    data = raw[np.repeat(offsets[1:] - size - to[:-1], size) + np.arange(int(to[-1]))]
+    tails = pa.StringArray.from_buffers(len(words), pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data.tobytes()))
+    return pc.if_else(plain, pc.ascii_lower(cores), cores), tails
+
+
+def spread(ids: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ids (``sizes`` long each) at ``place``, one after the other, and their widths."""
+    width = sizes[place]
+    start = (np.cumsum(sizes) - sizes)[place]
+    ends = np.cumsum(width)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+    at = np.repeat((start - ends + width).astype(kind), width)
+    at += np.arange(total, dtype=kind)
+    return ids[at], width
 
 
 def token_ids(texts: pa.Array, path: str, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -219,14 +248,15 @@ def token_ids(texts: pa.Array, path: str, by_words: bool) -> tuple[np.ndarray, n
         return np.fromiter((i for x in lists for i in x), np.uint32, int(first[-1])), first
     split = pc.ascii_split_whitespace(texts)
     packed = split.flatten().dictionary_encode()
-    coded = coder.ids(packed.dictionary.to_pylist())
-    ids = np.frombuffer(b"".join(coded), np.uint32)
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    place = packed.indices.to_numpy(zero_copy_only=False)
-    width = sizes[place]
-    start = (np.cumsum(sizes) - sizes)[place]
+    pairs = [half.dictionary_encode() for half in cores_and_tails(packed.dictionary)]
+    coded = coder.ids([w for half in pairs for w in half.dictionary.to_pylist()])
+    ids, sizes = np.frombuffer(b"".join(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    halves = np.empty((len(packed.dictionary), 2), np.int64)
+    halves[:, 0] = pairs[0].indices.to_numpy(zero_copy_only=False)
+    halves[:, 1] = pairs[1].indices.to_numpy(zero_copy_only=False) + len(pairs[0].dictionary)
+    ids, sizes = spread(ids, sizes, halves.ravel())
+    out, width = spread(ids, sizes.reshape(-1, 2).sum(1), packed.indices.to_numpy(zero_copy_only=False))
     ends = np.concatenate(([0], np.cumsum(width)))
-    out = ids[np.repeat(start - ends[:-1], width) + np.arange(int(ends[-1]))]
     counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
     return out, ends[np.concatenate(([0], np.cumsum(counts)))]
 
@@ -245,7 +275,7 @@ def _token_blocks(path: str, end_id: int, kind: pa.DataType, wide: str, by_words
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns],
                                               names=["part", "block", "start", "n", "keys", "counts", "ids"])
 
-        for batch in blocks(batches, "text", 4 << 20):
+        for batch in blocks(batches, "text", 8 << 20):
             ids, first = token_ids(batch.column("text"), path, by_words)
             ids = np.insert(ids, first[1:], end_id).astype(wide)
             first = first + np.arange(len(first))
