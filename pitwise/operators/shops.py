@@ -5,17 +5,16 @@ Shape of the work:
 
 * row index, lag and running balances per shop come from the skew-safe
   :func:`segmented_scan` (no whole-shop window partition);
-* labels are point-in-time lookups (:func:`probe_scan`) at as_of and
-  as_of + horizon;
-* the window features need the rows of each probe's window: the exact
-  75th percentile (B5) and the harmonic recency weight (B8) are not prefix
-  sums. They come from a *bucketed range join*: shop rows are bucketed by
-  90-day periods and copied into their own and the next bucket, probes look
-  in their own bucket, and an exact range predicate keeps
-  ``t in [as_of - 90d, as_of)``. The 7/30-day windows are conditional
-  aggregates over the same pairs. Output is probes x rows-in-window (bounded
-  by the window, never all pairs of a shop); AQE splits a hot
-  (shop, bucket) join partition.
+* labels and the additive window features (B1-B4, B6, B7) are point-in-time
+  lookups: each sampled row asks at as_of, as_of + horizon and as_of - w for
+  every window, in one :func:`probe_scan`; a window is the difference of two
+  prefixes, less the first row's difference to the row before the window (B7);
+* the recency weight (B8) needs the time of each row of a window, but only the
+  number of rows at each distinct time: rows are counted per (shop, time) and
+  the counts joined with the probes in 90-day buckets (exact range predicate);
+* the 75th percentile (B5) needs the prices of a window; it is only looked at
+  for probes that have a cancelled row in reach (all else is 0), with the same
+  bucketed join. AQE splits hot (shop, bucket) join partitions.
 """
 
 from __future__ import annotations
@@ -195,124 +194,154 @@ def sample_points(ix: DataFrame, stats: DataFrame | None = None, *, min_rows: in
     return s.select("shop_id", "idx", F.col("pos").alias("a"), F.col("created_at").alias("as_of"))
 
 
-def shop_lookups(shops: DataFrame, probes: DataFrame, horizon_days: int = HORIZON_DAYS) -> DataFrame:
-    """Point-in-time lookups per probe at a and a + h (one probe scan):
+def shop_lookups(shops: DataFrame, probes: DataFrame, horizon_days: int = HORIZON_DAYS,
+                 windows: tuple[int, ...] = ()) -> DataFrame:
+    """Point-in-time lookups per probe (shop_id, idx, a[, as_of]) in one probe scan:
     ``n_pre`` rows before a, ``n_hi`` rows before a + h, ``pre`` / ``post`` the
-    last row (t, tie, cash, inv) before a / before a + h, ``first_t``."""
-    ev = shops.select("shop_id", F.col("pos").alias("t"), "tie",
-                      F.lit(1).cast("long").alias("_one"),
-                      F.struct(F.col("pos").alias("t"), F.col("tie").alias("o0"),
-                               F.col("cash_balance").alias("cash"),
-                               F.col("inventory_qty").alias("inv")).alias("_pt"))
-    h = horizon_days * DAY_US
-    pr = (probes.select("shop_id", "idx", "a")
-          .withColumn("which", F.explode(F.array(F.lit(0), F.lit(1))))
-          .withColumn("t", F.col("a") + F.col("which").cast("long") * F.lit(h)))
-    at = probe_scan(ev, pr, "shop_id", "t", ["tie"], sums=["_one"], lasts=["_pt"],
-                    first_t="first_t")
-    return at.groupBy("shop_id", "idx").agg(
-        F.max("a").alias("a"),
-        F.max(F.when(F.col("which") == 0, F.col("at__one"))).alias("n_pre"),
-        F.max(F.when(F.col("which") == 1, F.col("at__one"))).alias("n_hi"),
-        F.max(F.when(F.col("which") == 0, F.col("at__pt"))).alias("pre"),
-        F.max(F.when(F.col("which") == 1, F.col("at__pt"))).alias("post"),
-        F.max(F.when(F.col("which") == 0, F.col("first_t"))).alias("first_t"))
-
-
-def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS,
-                    lookups: DataFrame | None = None, with_latest: bool = True) -> DataFrame:
-    """B1-B8 per probe (shop_id, idx, a) for each window.
-
-    Additive parts and the non-additive q75 (B5), consecutive differences
-    (B7) and harmonic recency weight (B8) come from the bucketed range join
-    of probes with the shop's rows in [a - max(w), a); only the narrow
-    columns those aggregates need are shuffled. The latest cash (B6) is the
-    last row before a (from the point-in-time lookup) when the window is not
-    empty."""
-    wmax = max(windows) * DAY_US
-    if lookups is None and with_latest:
-        lookups = shop_lookups(ix, probes)
-    bk = F.floor(F.col("t") / F.lit(wmax)).cast("long")
-    rows = (ix.select("shop_id", F.col("pos").alias("t"), F.col("total_price").alias("price"),
-                      *parts("total_price", "price_w"),
-                      F.col("cancelled_at").isNotNull().alias("canc"),
-                      F.col("prev.t").alias("prev_t"),
-                      *[(a - b).alias(n) for a, b, n in zip(
-                          parts("cash_balance", "c"), parts("prev.cash", "p"), ("d_cash_w", "d_cash_n"))],
-                      (F.col("inventory_qty") - F.col("prev.inv")).alias("d_inv"))
-            .withColumn("_bk", F.explode(F.array(bk, bk + 1))))
-    pr = probes.select("shop_id", "idx", "a", F.floor(F.col("a") / F.lit(wmax)).cast("long").alias("_bk"))
-    pairs = (pr.join(rows, ["shop_id", "_bk"], "inner")
-               .filter((F.col("t") < F.col("a")) & (F.col("t") >= F.col("a") - F.lit(wmax))))
-    inw = {w: F.col("t") >= F.col("a") - F.lit(w * DAY_US) for w in windows}
-    q = {w: F.expr(f"percentile(CASE WHEN t >= a - {w * DAY_US} THEN price END, 0.75) "
-                   f"OVER (PARTITION BY shop_id, idx)") for w in windows}
-    pairs = pairs.select("*", *[q[w].alias(f"_q{w}") for w in windows])
-    aggs = []
+    last row (t, tie, cash, inv) before a / before a + h, ``first_t``.
+
+    For ``windows`` (the frame then needs ``prev``, see :func:`indexed`) also
+    ``at`` and ``lo{w}``: prefix sums before a and before a - w days, and
+    ``in{w}``: the first row at or after a - w days."""
+    sums, firsts = ["_one"], []
+    ev = [F.col("pos").alias("t"), F.col("tie"), F.lit(1).cast("long").alias("_one"),
+          F.struct(F.col("pos").alias("t"), F.col("tie").alias("o0"), F.col("cash_balance").alias("cash"),
+                   F.col("inventory_qty").alias("inv")).alias("_pt")]
+    offsets = {"pre": 0, "post": horizon_days}
+    if windows:
+        steps = _steps("cash_balance", "prev.cash", "cash") + _steps("inventory_qty", "prev.inv", "inv")
+        ev += [*parts("total_price", "rev"), F.col("cancelled_at").isNotNull().cast("long").alias("canc"), *steps,
+               F.struct(F.col("pos").alias("t"), F.col("tie").alias("o0"), *steps).alias("_in")]
+        sums += ["rev", "rev_f", "canc", *STEPS]
+        firsts = ["_in"]
+        offsets |= {f"w{w}": -w for w in windows}
+    carried = [c for c in ("a", "as_of") if c in probes.columns]
+    pr = probes.select("shop_id", "idx", *carried, F.inline(F.array(*[
+        F.struct(F.lit(k).alias("which"), (F.col("a") + F.lit(v * DAY_US)).alias("t")) for k, v in offsets.items()])))
+    at = probe_scan(shops.select("shop_id", *ev), pr, "shop_id", "t", ["tie"], sums=sums, lasts=["_pt"],
+                    firsts=firsts, first_t="first_t")
+
+    def of(which: str, value: Column) -> Column:
+        return F.max(F.when(F.col("which") == which, value))
+
+    every = F.struct(*[F.col(f"at_{x}").alias(x.lstrip("_")) for x in sums])
+    aggs = [F.max(c).alias(c) for c in carried]
+    aggs += [of("pre", F.col("at__one")).alias("n_pre"), of("post", F.col("at__one")).alias("n_hi"),
+             of("pre", F.col("at__pt")).alias("pre"), of("post", F.col("at__pt")).alias("post"),
+             of("pre", F.col("first_t")).alias("first_t")]
+    if windows:
+        aggs.append(of("pre", every).alias("at"))
+        for w in windows:
+            aggs += [of(f"w{w}", every).alias(f"lo{w}"), of(f"w{w}", F.col("at_first__in")).alias(f"in{w}")]
+    return at.groupBy("shop_id", "idx").agg(*aggs)
+
+
+#: Differences to the row before, in parts, and whether there is one (cash, then inventory).
+STEPS = [f"d_{x}{part}" for x in ("cash", "inv") for part in ("", "_f", "_n")]
+
+
+def _steps(now: str, before: str, name: str) -> list[Column]:
+    """W3 in parts, which add up exactly: whole part, 1e-9 part, 1 where both rows have a value."""
+    pairs = list(zip(parts(now, "n"), parts(before, "b"), strict=True))
+    whole, rest = [x - y for x, y in pairs]
+    return [whole.alias(f"d_{name}"), rest.alias(f"d_{name}_f"), whole.isNotNull().cast("long").alias(f"d_{name}_n")]
+
+
+def _buckets(probes: DataFrame, days: int) -> DataFrame:
+    return probes.select("shop_id", "idx", "a", F.floor(F.col("a") / F.lit(days * DAY_US)).cast("long").alias("_bk"))
+
+
+def _in_reach(probes: DataFrame, rows: DataFrame, days: int) -> DataFrame:
+    """Rows (shop_id, t, ...) in [a - days, a) of each probe: rows are copied into their own and the next bucket."""
+    bk = F.floor(F.col("t") / F.lit(days * DAY_US)).cast("long")
+    rows = rows.withColumn("_bk", F.explode(F.array(bk, bk + 1)))
+    return (probes.join(rows, ["shop_id", "_bk"])
+            .filter((F.col("t") < F.col("a")) & (F.col("t") >= F.col("a") - F.lit(days * DAY_US))))
+
+
+def recency_weights(ix: DataFrame, probes: DataFrame, windows=WINDOWS) -> DataFrame:
+    """Sum of 1 / max(whole days before a, 1) over each window; one pair per probe and distinct time in its reach."""
+    times = ix.groupBy("shop_id", F.col("pos").alias("t")).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = _in_reach(_buckets(probes, max(windows)), times, max(windows))
+    weight = F.col("_n") / F.greatest(floor_days(F.col("a") - F.col("t")), F.lit(1))
+    return pairs.groupBy("shop_id", "idx").agg(*[
+        F.sum(F.when(F.col("t") >= F.col("a") - F.lit(w * DAY_US), weight)).alias(f"_wt{w}") for w in windows])
+
+
+def blocked_counts(ix: DataFrame, probes: DataFrame, windows=WINDOWS) -> DataFrame:
+    """Cancelled rows above their window's 75th percentile of price, for probes with a cancelled row in reach."""
+    days = max(windows)
+    rows = ix.select("shop_id", F.col("pos").alias("t"), F.col("total_price").alias("price"),
+                     F.col("cancelled_at").isNotNull().alias("canc"))
+    bk = F.floor(F.col("t") / F.lit(days * DAY_US)).cast("long")
+    near = rows.filter("canc").select("shop_id", F.explode(F.array(bk, bk + 1)).alias("_bk")).distinct()
+    pairs = _in_reach(_buckets(probes, days).join(near, ["shop_id", "_bk"], "left_semi"), rows, days)
+    pairs = pairs.select("*", *[
+        F.expr(f"percentile(CASE WHEN t >= a - {w * DAY_US} THEN price END, 0.75) OVER (PARTITION BY shop_id, idx)")
+        .alias(f"_q{w}") for w in windows])
+    return pairs.filter("canc").groupBy("shop_id", "idx").agg(*[
+        F.count(F.when((F.col("t") >= F.col("a") - F.lit(w * DAY_US)) & (F.col("price") > F.col(f"_q{w}")), 1))
+        .alias(f"_bl{w}") for w in windows])
+
+
+def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS, lookups: DataFrame | None = None,
+                    keep: tuple = ()) -> DataFrame:
+    """B1-B8 per probe (shop_id, idx, a) for each window, and ``keep``: more columns of the lookups.
+
+    Counts, revenue, cancellations, trends and the latest cash come from
+    :func:`shop_lookups`; B5 and B8 from the two joins above."""
+    if lookups is None:
+        lookups = shop_lookups(ix, probes, windows=windows)
+    g = (lookups.join(recency_weights(ix, probes, windows), ["shop_id", "idx"], "left")
+         .join(blocked_counts(ix, probes, windows), ["shop_id", "idx"], "left"))
+    out = [F.col("shop_id"), F.col("idx"), *keep]
     for w in windows:
-        c = inw[w]
-        prev_in = c & (F.col("prev_t") >= F.col("a") - F.lit(w * DAY_US))
-        aggs += [
-            F.count(F.when(c, F.lit(1))).alias(f"w{w}_order_count"),
-            F.sum(F.when(c, F.col("price_w"))).alias(f"_rev{w}"),
-            F.sum(F.when(c, F.col("price_w_f"))).alias(f"_rev_f{w}"),
-            F.avg(F.when(c, F.col("canc").cast("double"))).alias(f"w{w}_cancel_rate"),
-            F.avg(F.when(c, (F.col("canc") & (F.col("price") > F.col(f"_q{w}"))).cast("double")))
-             .alias(f"w{w}_blocked_rate"),
-            # mean consecutive cash difference, summed in two parts
-            (from_parts(F.sum(F.when(prev_in, F.col("d_cash_w"))), F.sum(F.when(prev_in, F.col("d_cash_n"))))
-             / F.count(F.when(prev_in, F.col("d_cash_w")))).alias(f"_ct{w}"),
-            F.avg(F.when(prev_in, F.col("d_inv"))).alias(f"_it{w}"),
-            F.sum(F.when(c, F.lit(1.0) / F.greatest(floor_days(F.col("a") - F.col("t")), F.lit(1))))
-             .alias(f"w{w}_weighted_order_count"),
-        ]
-    g = pairs.groupBy("shop_id", "idx").agg(*aggs)
-    if with_latest:
-        g = lookups.select("shop_id", "idx", F.col("pre.cash").alias("_pre_cash")).join(
-            g, ["shop_id", "idx"], "left")
-    else:
-        g = probes.select("shop_id", "idx").join(g, ["shop_id", "idx"], "left")
-    out = [F.col("shop_id"), F.col("idx")]
-    for w in windows:
-        n = F.coalesce(F.col(f"w{w}_order_count"), F.lit(0)).cast("long")
-        rev = F.coalesce(from_parts(F.col(f"_rev{w}"), F.col(f"_rev_f{w}")), F.lit(0.0))
+        def total(name: str, w=w) -> Column:
+            return F.col(f"at.{name}") - F.col(f"lo{w}.{name}")
+
+        def step(name: str, w=w) -> Column:
+            # the first row's difference reaches out of the window
+            return total(name) - F.when(n > 0, F.coalesce(F.col(f"in{w}.{name}"), F.lit(0))).otherwise(F.lit(0))
+
+        n = total("one")
+        rev = from_parts(total("rev"), total("rev_f"))
+        rate = F.when(n > 0, F.lit(1.0) / n).otherwise(F.lit(0.0))
+        trend = {x: F.coalesce(F.try_divide(from_parts(step(f"d_{x}"), step(f"d_{x}_f")), step(f"d_{x}_n")), F.lit(0.0))
+                 for x in ("cash", "inv")}
         out += [
             n.alias(f"w{w}_order_count"),
             (n / F.lit(float(w))).alias(f"w{w}_order_velocity"),
             rev.alias(f"w{w}_revenue_total"),
             (rev / F.lit(float(w))).alias(f"w{w}_revenue_per_day"),
-            F.coalesce(F.col(f"w{w}_cancel_rate"), F.lit(0.0)).alias(f"w{w}_cancel_rate"),
-            F.coalesce(F.col(f"w{w}_blocked_rate"), F.lit(0.0)).alias(f"w{w}_blocked_rate"),
+            (total("canc") * rate).alias(f"w{w}_cancel_rate"),
+            (F.coalesce(F.col(f"_bl{w}"), F.lit(0)) * rate).alias(f"w{w}_blocked_rate"),
             F.lit(0).cast("long").alias(f"w{w}_restock_count"),
             F.lit(0).cast("long").alias(f"w{w}_price_change_count"),
             F.lit(0.0).alias(f"w{w}_avg_price_change_pct"),
-            (F.when(n > 0, F.col("_pre_cash")).otherwise(F.lit(0.0)) if with_latest
-             else n.alias(f"_n{w}")).alias(f"w{w}_latest_cash_balance"),
-            F.coalesce(F.col(f"_ct{w}"), F.lit(0.0)).alias(f"w{w}_cash_trend"),
-            F.coalesce(F.col(f"_it{w}"), F.lit(0.0)).alias(f"w{w}_inventory_trend"),
-            F.coalesce(F.col(f"w{w}_weighted_order_count"), F.lit(0.0)).alias(f"w{w}_weighted_order_count"),
+            F.when(n > 0, F.col("pre.cash")).otherwise(F.lit(0.0)).alias(f"w{w}_latest_cash_balance"),
+            trend["cash"].alias(f"w{w}_cash_trend"),
+            trend["inv"].alias(f"w{w}_inventory_trend"),
+            F.coalesce(F.col(f"_wt{w}"), F.lit(0.0)).alias(f"w{w}_weighted_order_count"),
         ]
     return g.select(*out)
 
 
-def labels(shops: DataFrame, probes: DataFrame, horizon_days: int = HORIZON_DAYS,
-           lookups: DataFrame | None = None, keep_pre_cash: bool = False) -> DataFrame:
-    """14-day outcome labels by point-in-time lookups at a and a + h.
-
-    pre = rows before a, post = rows in [a, a + h); NULL when either is
-    empty (those rows are dropped later, F8)."""
-    g = lookups if lookups is not None else shop_lookups(shops, probes, horizon_days)
+def label_columns(horizon_days: int = HORIZON_DAYS) -> list[Column]:
+    """B12 from the columns of :func:`shop_lookups`: pre = rows before a, post = rows in [a, a + h); NULL when
+    either is empty (those rows are dropped later, F8)."""
     n_pre = F.coalesce(F.col("n_pre"), F.lit(0))
     n_post = F.coalesce(F.col("n_hi"), F.lit(0)) - n_pre
     ok = (n_pre > 0) & (n_post > 0)
     pre_v = n_pre / F.greatest(floor_days(F.col("a") - F.col("first_t")), F.lit(1))
     post_v = n_post / F.lit(float(horizon_days))
-    return g.select(
-        "shop_id", "idx",
-        F.when(ok, F.col("post.inv") - F.col("pre.inv")).alias("label_inventory_delta"),
-        F.when(ok, F.col("post.cash") - F.col("pre.cash")).alias("label_cashflow_delta"),
-        F.when(ok, post_v - pre_v).alias("label_order_velocity_delta"),
-        *([F.col("pre.cash").alias("_pre_cash")] if keep_pre_cash else []))
+    return [F.when(ok, F.col("post.inv") - F.col("pre.inv")).alias("label_inventory_delta"),
+            F.when(ok, F.col("post.cash") - F.col("pre.cash")).alias("label_cashflow_delta"),
+            F.when(ok, post_v - pre_v).alias("label_order_velocity_delta")]
+
+
+def labels(shops: DataFrame, probes: DataFrame, horizon_days: int = HORIZON_DAYS) -> DataFrame:
+    """14-day outcome labels by point-in-time lookups at a and a + h."""
+    return shop_lookups(shops, probes, horizon_days).select("shop_id", "idx", *label_columns(horizon_days))
 
 
 def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
@@ -326,14 +355,11 @@ def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
     ix = indexed(shops)
     probes = sample_points(ix, stats, min_rows=min_rows,
                            horizon_days=horizon_days if horizon_check else None)
-    # One point-in-time lookup per probe gives both the labels and the latest
-    # cash of each window (the last row before as_of, when the window has rows).
-    labs = labels(shops, probes, horizon_days, keep_pre_cash=True)
-    feats = window_features(ix, probes, with_latest=False)
+    # One scan of lookups gives the labels and the additive window features.
+    look = shop_lookups(ix, probes, horizon_days, WINDOWS)
+    feats = window_features(ix, probes, lookups=look, keep=(F.col("a"), F.col("as_of"), *label_columns(horizon_days)))
     cat = categorize(F.col("mode_type"))
-    p = (probes.join(stats.select("shop_id", "first_t", "mode_type"), "shop_id")
-         .join(feats, ["shop_id", "idx"], "left")
-         .join(labs, ["shop_id", "idx"], "left"))
+    p = feats.join(stats.select("shop_id", F.col("first_t").alias("_t0"), "mode_type"), "shop_id")
     p = p.withColumn("category", cat)
     season = season_shop(F.col("as_of"))
     cols = {
@@ -343,21 +369,12 @@ def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
         "branch_type": F.lit(branch_type),
         "committed_at": F.col("as_of"),
     }
-    for w in WINDOWS:
-        for c in SHOP_ROLL:
-            name = f"w{w}_{c}"
-            zero = F.lit(0).cast("long") if c in ("order_count", "restock_count", "price_change_count") \
-                else F.lit(0.0)
-            cols[name] = F.coalesce(F.col(name), zero)
-        # feats carries the window's row count in this slot (with_latest=False)
-        cols[f"w{w}_latest_cash_balance"] = F.when(
-            F.coalesce(F.col(f"w{w}_latest_cash_balance"), F.lit(0)) > 0,
-            F.col("_pre_cash")).otherwise(F.lit(0.0))
+    cols.update({f"w{w}_{c}": F.col(f"w{w}_{c}") for w in WINDOWS for c in SHOP_ROLL})
     cols.update(season)
     cols.update({
         "scenario_magnitude": F.lit(0.0),
         "deviation_from_norm": F.lit(0.0),
-        "history_depth_days": floor_days(F.col("a") - F.col("first_t")),
+        "history_depth_days": floor_days(F.col("a") - F.col("_t0")),
         "n_past_price_changes": F.lit(0).cast("long"),
         "hist_avg_price_change": F.lit(0.0),
     })

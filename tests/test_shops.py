@@ -1,7 +1,9 @@
 """Order-export adapter edges (E17-E20) and sampling rules."""
 
+import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,57 @@ def test_missing_optional_columns_p9(spark):
     assert r["cash_balance"] == 0.0 and r["inventory_qty"] == 0.0 and r["cancelled_at"] is None
     assert r["product_type"] is None
     assert F is not None
+
+
+def _brute_windows(rows, a, w):
+    """B1-B8 of one window from its rows, sorted by time and tie: (t, price, cancelled, inventory, cash)."""
+    lo = a - timedelta(days=w)
+    inside = [r for r in rows if lo <= r[0] < a]
+    n = len(inside)
+    if not n:
+        return [0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    q = float(np.percentile([r[1] for r in inside], 75))
+    steps = [[y[k] - x[k] for x, y in zip(inside, inside[1:]) if x[k] is not None and y[k] is not None] for k in (4, 3)]
+    mean = [sum(x) / len(x) if x else 0.0 for x in steps]
+    return [n, sum(r[1] for r in inside), sum(r[2] for r in inside) / n, sum(r[2] and r[1] > q for r in inside) / n,
+            inside[-1][4], mean[0], mean[1], sum(1 / max((a - r[0]).days, 1) for r in inside)]
+
+
+def test_window_features_equal_brute_force(spark):
+    """Times inside days, ties, long gaps, cancelled rows, missing cash and amounts below a cent."""
+    rnd = random.Random(5)
+    data, t = {"a": [], "b": []}, {}
+    for shop, gap in (("a", 30), ("b", 3000)):
+        now = datetime(2024, 1, 1)
+        for i in range(160):
+            now += timedelta(minutes=rnd.choice([0, rnd.randrange(1, gap), 1440, 7 * 1440 if i % 40 == 0 else 1]))
+            data[shop].append((now, rnd.choice([0.004, 12.5, rnd.uniform(0, 90), 1e13]), rnd.random() < (0.2 if shop == "a" else 0.0),
+                               rnd.randrange(100) * 1.0, None if rnd.random() < 0.1 else round(rnd.uniform(-9, 9), 3)))
+    df = spark.createDataFrame([(s, r[0], r[1], r[0] if r[2] else None, "x", r[3], r[4], i)
+                                for s in data for i, r in enumerate(data[s])],
+                               "shop_id string, created_at timestamp_ntz, total_price double, cancelled_at timestamp_ntz, "
+                               "product_type string, inventory_qty double, cash_balance double, seq long")
+    ix = S.indexed(S.prepare_shop_orders(df, tie=["seq"]))
+    got = S.window_features(ix, S.sample_points(ix)).collect()
+    assert len(got) == 2 * len(range(30, 160, 7))
+    names = ["order_count", "revenue_total", "cancel_rate", "blocked_rate", "latest_cash_balance", "cash_trend",
+             "inventory_trend", "weighted_order_count"]
+    for r in got:
+        rows = data[r["shop_id"]]
+        for w in S.WINDOWS:
+            want = _brute_windows(rows, rows[r["idx"]][0], w)
+            have = [r[f"w{w}_{c}"] for c in names]
+            assert [x is None for x in have] == [x is None for x in want]
+            assert [x or 0.0 for x in have] == pytest.approx([x or 0.0 for x in want], rel=1e-9, abs=1e-9), (r["shop_id"], r["idx"], w)
+
+
+def test_recency_pairs_stay_bounded_when_density_grows(spark):
+    """Ten times the orders a day: each probe still meets each distinct time of its reach once."""
+    for a_day in (1, 10):
+        rows = [("s", datetime(2024, 1, 1) + timedelta(days=i // a_day), 1.0, i) for i in range(120 * a_day)]
+        df = spark.createDataFrame(rows, "shop_id string, created_at timestamp_ntz, total_price double, seq long")
+        ix = S.indexed(S.prepare_shop_orders(df, tie=["seq"]))
+        probes = S.sample_points(ix)
+        times = ix.groupBy("shop_id", F.col("pos").alias("t")).agg(F.count(F.lit(1)).alias("_n"))
+        pairs = S._in_reach(S._buckets(probes, 90), times, 90).groupBy("shop_id", "idx").count()
+        assert pairs.agg(F.max("count")).first()[0] <= 90
