@@ -191,18 +191,18 @@ class WordCoder:
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        unknown = []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    unknown.append(w)
+        found = list(map(young.get, words))
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if not new:
+            return found
+        before = list(map(old.get, new))
+        young.update((w, ids) for w, ids in zip(new, before, strict=True) if ids is not None)
+        unknown = [w for w, ids in zip(new, before, strict=True) if ids is None]
         if unknown:
             letters = pc.match_substring_regex(pa.array(unknown), f"^{LETTER}+$").to_pylist()
             self._together([w for w, one in zip(unknown, letters, strict=True) if one])
             self._apart([w for w, one in zip(unknown, letters, strict=True) if not one])
-        return list(map(young.__getitem__, words))
+        return [young[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
 
 
 #: Letters that neither combine nor change their number when made lower case apart from other letters.
@@ -249,7 +249,7 @@ def token_ids(texts: pa.Array, path: str, by_words: bool) -> tuple[np.ndarray, n
     split = pc.ascii_split_whitespace(texts)
     packed = split.flatten().dictionary_encode()
     pairs = [half.dictionary_encode() for half in cores_and_tails(packed.dictionary)]
-    coded = coder.ids([w for half in pairs for w in half.dictionary.to_pylist()])
+    coded = coder.ids([w for half in pairs for w in half.dictionary.to_numpy(zero_copy_only=False).tolist()])
     ids, sizes = np.frombuffer(b"".join(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     halves = np.empty((len(packed.dictionary), 2), np.int64)
     halves[:, 0] = pairs[0].indices.to_numpy(zero_copy_only=False)
