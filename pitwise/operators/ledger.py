@@ -7,7 +7,7 @@ results do not depend on the order partial sums are combined.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pitwise.functions.payload import field, parse_payload
 from pitwise.functions.timecols import DAY_US, floor_div, from_parts, micros, parts
@@ -50,18 +50,24 @@ def running_balances(commits: DataFrame, opening_cash: float = 0.0,
 
 
 def weekly_snapshot(commits: DataFrame) -> DataFrame:
-    """L3: balance at the last commit of each 7-day period counted from the
-    business's first day (max_by on (t, seq) is a partial aggregate)."""
+    """L3: balance at the end of each 7-day period from the business's first day to its last commit (max_by on (t, seq)
+    is a partial aggregate); a period without a commit repeats the balances before it, with ``n_commits`` 0."""
     b = running_balances(commits)
     first = commits.groupBy("business_id").agg(F.min(micros(F.col("timestamp"))).alias("_t0"))
     day = floor_div(F.col("t"), DAY_US)
     day0 = floor_div(F.col("_t0"), DAY_US)
     w = b.join(first, "business_id").withColumn("week", floor_div(day - day0, 7))
     key = F.struct("t", "seq")
-    return w.groupBy("business_id", "week").agg(
+    ends = w.groupBy("business_id", "week").agg(
         F.max_by("cash_balance", key).alias("cash_balance"),
         F.max_by("inventory_units", key).alias("inventory_units"),
         F.count(F.lit(1)).alias("n_commits"))
+    # one row per business and week with commits: as many weeks as there are up to the next such row
+    following = F.lead("week").over(Window.partitionBy("business_id").orderBy("week"))
+    weeks = ends.select("*", F.col("week").alias("_at"), F.coalesce(following - 1, F.col("week")).alias("_to")).withColumn(
+        "week", F.explode(F.sequence("_at", "_to")))
+    return weeks.select("business_id", "week", "cash_balance", "inventory_units",
+                        F.when(F.col("week") == F.col("_at"), F.col("n_commits")).otherwise(F.lit(0)).alias("n_commits"))
 
 
 def price_pct_change(prices: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ bal AS (SELECT commit_id, business_id, seq, ts,
 """
 
 
-def _lsql(body: str) -> str:
-    return with_views(["commits", "pc"], body, _DELTAS)
+def _lsql(body: str, more: str = "") -> str:
+    return with_views(["commits", "pc"], body, _DELTAS.rstrip() + more)
 
 
 @query("running_cash", _lsql("SELECT commit_id, business_id, cash_balance FROM bal"))
@@ -49,14 +49,17 @@ def running_inventory(spark, d):
 
 
 @query("weekly_snapshot", _lsql("""
-SELECT business_id, week, arg_max(cash_balance, {'t': ts, 's': seq}) AS cash_balance,
-       arg_max(inventory_units, {'t': ts, 's': seq}) AS inventory_units, count(*) AS n_commits
-FROM (SELECT b.*, CAST(floor((floor(epoch_us(ts) / 86400000000.0)
-                              - floor(epoch_us(min(ts) OVER (PARTITION BY business_id)) / 86400000000.0)) / 7) AS BIGINT) AS week
-      FROM bal b)
-GROUP BY business_id, week"""))
+SELECT g.business_id, g.week, arg_max(b.cash_balance, {'t': b.ts, 's': b.seq}) AS cash_balance,
+       arg_max(b.inventory_units, {'t': b.ts, 's': b.seq}) AS inventory_units,
+       count(*) FILTER (WHERE b.week = g.week) AS n_commits
+FROM (SELECT business_id, unnest(range(max(week) + 1)) AS week FROM wk GROUP BY business_id) g
+JOIN wk b ON b.business_id = g.business_id AND b.week <= g.week
+GROUP BY g.business_id, g.week""", """,
+wk AS (SELECT b.*, CAST(floor((floor(epoch_us(ts) / 86400000000.0)
+                               - floor(epoch_us(min(ts) OVER (PARTITION BY business_id)) / 86400000000.0)) / 7) AS BIGINT) AS week
+       FROM bal b)"""))
 def weekly_snapshot(spark, d):
-    """L3: last balances of every 7-day period from the business's first day."""
+    """L3: balances at the end of every 7-day period from the business's first day; carried forward where none."""
     return L.weekly_snapshot(V.commits(spark, d))
 
 

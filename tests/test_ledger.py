@@ -26,10 +26,13 @@ def test_weekly_snapshot_last_of_period(make_commits):
         ("2024-01-01T09:00:00", "ORDER_RECEIVED", '{"revenue": 1}'),
         ("2024-01-07T23:00:00", "ORDER_RECEIVED", '{"revenue": 2}'),
         ("2024-01-08T01:00:00", "ORDER_RECEIVED", '{"revenue": 4}'),
+        ("2024-02-01T01:00:00", "ORDER_RECEIVED", '{"revenue": 8}'),
     ])
     w = {x["week"]: x for x in weekly_snapshot(c).collect()}
     assert w[0]["cash_balance"] == pytest.approx(3.0) and w[0]["n_commits"] == 2
     assert w[1]["cash_balance"] == pytest.approx(7.0)
+    assert sorted(w) == [0, 1, 2, 3, 4]                  # weeks without a commit repeat the balance
+    assert [(w[k]["cash_balance"], w[k]["n_commits"]) for k in (2, 3, 4)] == [(7.0, 0), (7.0, 0), (15.0, 1)]
 
 
 def test_price_pct_change_first_row_null(spark):
