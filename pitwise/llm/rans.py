@@ -210,11 +210,11 @@ LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
 
 
 def cores_and_tails(words: pa.StringArray) -> tuple[pa.Array, pa.Array]:
-    """Words in two: what comes before the last run of ``.,;:!?`` if it ends with a letter, A-Z in lower case where the word
-    holds nothing that combines, and that run (or the whole word and nothing).  Both have the ids of the word together."""
+    """Words in two: what comes before the last run of ``.,;:!?`` if it ends with a letter, A-Z in lower case where it is
+    letters only, and that run (or the whole word and nothing).  Both have the ids of the word together."""
     ends = pc.match_substring_regex(words, LETTER + "[.,;:!?]*$")
     cores = pc.if_else(ends, pc.ascii_rtrim(words, ".,;:!?"), words)
-    plain = pc.match_substring_regex(cores, "^[\\x{0}-\\x{24f}]*$")
+    plain = pc.match_substring_regex(cores, f"^{LETTER}+$")       # never what may become a special token
     raw, offsets = text_buffer(words)
     size = pc.subtract(pc.binary_length(words), pc.binary_length(cores)).to_numpy(zero_copy_only=False).astype(np.int64)
     to = np.concatenate(([0], np.cumsum(size)))
