@@ -8,10 +8,13 @@ with each other there, and each keeps its best ``LIST``.  Rounds end when hardly
 any list changes.  A sample of queries is compared with all rows to audit the
 recall of links; below the goal, more orders and rounds follow.
 
-A list that is full of links is saturated: there may be more.  All nodes that
-links connect to a saturated one are then compared block by block (each pair of
-blocks in one place, only counts come back), so lists are enlarged to the whole
-group without emitting its pairs.
+A list that is full of links is saturated: there may be more, also to nodes
+that no list leads to.  All nodes that links connect to a saturated one are then
+compared block by block with each other and with all such nodes of their label
+(each pair of blocks in one place; counts come back, and one link for two
+components that turn out to be one), so lists are enlarged to all of these
+without emitting their pairs.  A pair of blocks is skipped only if their centres
+and radii rule out a link.
 
 Cosines are in double precision.  Defined cases: vectors that are null, empty or
 zero, have null, non-finite or missing components, or whose label is null link
@@ -38,12 +41,16 @@ ROUNDS = 4
 NEAR = 192                       # rows of an order that are compared with each other
 MEET = 128                       # members of a node that are compared with each other
 BLOCK = 512                      # rows of a block in saturated groups
+WHOLE = 8 * BLOCK                # rows that no block reaches (blocks are cut by hash)
+PACK = 1024                      # block centres that are compared with each other in one place
+SLACK = 1e-6                     # of angles, for rounding
 SETTLED = 0.02                   # share of changed list entries at which rounds end
 AUDITED = 256                    # queries of the audit
 RECALL = 0.99
 MORE = 3                         # times that an audit may ask for more
 
 EDGES = "u long, v long, s double"
+CENTRES = "label string, component long, part long, n long, centre binary, radius double"
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -298,40 +305,136 @@ def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD, keep: int =
     return graph, recall
 
 
+def _blocks(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(label, component, part, id, vec, weight): components of ``members`` (id, component), those of over BLOCK nodes in parts by hash."""
+    large = cut(members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("parts > 1"))
+    rows = members.join(small(large, large.count()), "component", "left").join(nodes.select("id", "label", "vec", "weight"), "id")
+    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0).cast("long"))
+    return rows.select("label", "component", part.alias("part"), "id", "vec", "weight")
+
+
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's size, centre on the unit sphere, and largest angle from it."""
+    out = []
+    for rows, a, b in _streamed_groups(batches, ["component", "part"], WHOLE):
+        block = rows.slice(a, b - a).combine_chunks()
+        x = _unit(block.column("vec").combine_chunks())
+        centre = x.sum(axis=0)
+        size = np.sqrt(centre @ centre)
+        centre = centre / size if size > 1e-9 else x[0]
+        out.append((block.column("label")[0].as_py(), block.column("component")[0].as_py(), block.column("part")[0].as_py(), b - a,
+                    centre.tobytes(), float(np.arccos(np.clip(x @ centre, -1, 1)).max())))
+        if len(out) == 1000:
+            yield _batch_of(out, CENTRES)
+            out = []
+    if out:
+        yield _batch_of(out, CENTRES)
+
+
+def _batch_of(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+    names, types = zip(*(f.split() for f in fields.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
+
+
+def _close_blocks(threshold: float):
+    """Pairs of blocks that may hold a link: by the triangle inequality of angles, no pair that does is left out."""
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, a, b in _streamed_groups(batches, ["label", "i", "j"], 8 * PACK):
+            group = rows.slice(a, b - a).combine_chunks()
+            x = np.frombuffer(b"".join(group.column("centre").to_pylist()), np.float64).reshape(b - a, -1)
+            side, radius, n, component, part = (group.column(c).to_numpy() for c in ("side", "radius", "n", "component", "part"))
+            own = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+            left = np.flatnonzero(side == 0)
+            right = left if own else np.flatnonzero(side == 1)
+            if not len(right):
+                continue
+            for at in range(0, len(left), BLOCK):
+                some = left[at:at + BLOCK]
+                angle = np.arccos(np.clip(x[some] @ x[right].T, -1, 1))
+                k, m = np.nonzero(angle <= radius[some][:, None] + radius[right] + reach)
+                u, v = some[k], right[m]
+                if own:                                          # each pair once; a block with itself if it holds any pair
+                    once = (u < v) | ((u == v) & (n[u] > 1))
+                    u, v = u[once], v[once]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (component[u], part[u], component[v], part[v])], names=["ca", "pa", "cb", "pb"])
+
+    return run
+
+
 def _count_links(threshold: float):
-    """Links of each row within one pair of blocks (columns side 0 and 1; a block with itself has side 0 only)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        side, ids, weight = (table.column(c).to_numpy() for c in ("side", "id", "weight"))
-        x = _unit(table.column("vec").combine_chunks())
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        own = not len(right) and table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        right = left if own else right
-        counts = np.zeros(len(ids), np.int64)
-        for at in range(0, len(left), BLOCK):
-            some = left[at:at + BLOCK]
-            near = (x[some] @ x[right].T >= threshold).astype(np.int64)
-            if own:
-                near[np.arange(len(some)), at + np.arange(len(some))] = 0
-            else:
-                counts[right] += weight[some] @ near
-            counts[some] += near @ weight[right]
-        return pa.table({"id": ids, "n": counts})
+    """Links of each row with the other rows of one pair of blocks (a block with itself has side 0 only) as (u, null, n), and one
+    link (u, v, 0) if the blocks are of two components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs, ns, held = [], [], [], 0
+        for rows, a, b in _streamed_groups(batches, ["ca", "pa", "cb", "pb"], 2 * WHOLE):
+            pair = rows.slice(a, b - a).combine_chunks()
+            side, ids, weight = (pair.column(c).to_numpy() for c in ("side", "id", "weight"))
+            ca, pa_, cb, pb = (pair.column(c)[0].as_py() for c in ("ca", "pa", "cb", "pb"))
+            x = _unit(pair.column("vec").combine_chunks())
+            own = (ca, pa_) == (cb, pb)
+            left = np.flatnonzero(side == 0)
+            right = left if own else np.flatnonzero(side == 1)
+            counts, seen = np.zeros(len(ids), np.int64), ca == cb
+            for at in range(0, len(left), BLOCK):
+                some = left[at:at + BLOCK]
+                near = x[some] @ x[right].T >= threshold
+                if own:
+                    near[np.arange(len(some)), at + np.arange(len(some))] = False
+                else:
+                    counts[right] += weight[some] @ near
+                counts[some] += near @ weight[right]
+                if not seen and near.any():
+                    k, m = np.unravel_index(near.argmax(), near.shape)
+                    us.append(ids[some[k:k + 1]])
+                    vs.append(ids[right[m:m + 1]])
+                    ns.append(np.zeros(1, np.int64))
+                    seen = True
+            some = np.flatnonzero(counts)
+            us.append(ids[some])
+            vs.append(np.full(len(some), -1))
+            ns.append(counts[some])
+            held += len(some) + 1
+            if held > 50_000:
+                yield _counted(us, vs, ns)
+                us, vs, ns, held = [], [], [], 0
+        if us:
+            yield _counted(us, vs, ns)
 
     return run
 
 
-def saturated_counts(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """(id, n): links of each node of ``members`` (id, component) with the other nodes of its component, copies counted."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    rows = members.join(sizes, "component").join(nodes.select("id", "vec", "weight"), "id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                       (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "vec", "weight")
-    counted = rows.groupBy("component", "i", "j").applyInArrow(_count_links(threshold), "id long, n long")
-    return counted.groupBy("id").agg(F.sum("n").alias("n"))
+def _counted(us: list[np.ndarray], vs: list[np.ndarray], ns: list[np.ndarray]) -> pa.RecordBatch:
+    n = np.concatenate(ns)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs), mask=n > 0), pa.array(n)], names=["u", "v", "n"])
+
+
+def block_links(nodes: DataFrame, members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of all links between nodes of ``members`` (id, component; connected by links), whatever their components: (id, n), how many
+    each node has, copies counted, and (u, v), one link for each pair of blocks of two components that are linked.
+
+    Blocks of one label are compared unless their centres are further apart than their radii and the threshold's angle.
+    """
+    rows = cut(_blocks(nodes, members))
+    centres = cut(rows.repartition("component", "part").sortWithinPartitions("component", "part").mapInArrow(_centres, CENTRES))
+    packs = centres.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs"))
+    packed = centres.join(packs, "label").withColumn("own", F.pmod(F.xxhash64("component", "part"), F.col("packs")))
+    packed = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("packs") - 1)))
+    packed = packed.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                           (F.col("own") > F.col("other")).cast("int").alias("side"), "component", "part", "n", "centre", "radius")
+    pairs = cut(packed.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+                .mapInArrow(_close_blocks(threshold), "ca long, pa long, cb long, pb long"))
+    left = rows.join(pairs, (F.col("component") == F.col("ca")) & (F.col("part") == F.col("pa"))).withColumn("side", F.lit(0))
+    right = rows.join(pairs.where("ca != cb or pa != pb"),
+                      (F.col("component") == F.col("cb")) & (F.col("part") == F.col("pb"))).withColumn("side", F.lit(1))
+    met = left.unionByName(right).select("ca", "pa", "cb", "pb", "side", "id", "vec", "weight")
+    key = ["ca", "pa", "cb", "pb"]
+    found = cut(met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_count_links(threshold), "u long, v long, n long"))
+    return (found.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n")),
+            found.where("v is not null").select("u", "v"))
 
 
 def link_vectors(vectors: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding",
@@ -348,7 +451,10 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", label: str = "label",
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     sparse = (both.join(inside.select(F.col("id").alias("u")), "u", "left_anti").join(weights, "v")
               .groupBy(F.col("u").alias("id")).agg(F.sum("weight").alias("n")))
-    counts = sparse.unionByName(saturated_counts(nodes, inside, threshold))
+    dense_counts, crossing = block_links(nodes, inside, threshold)
+    counts = sparse.unionByName(dense_counts)
+    if not crossing.isEmpty():
+        classes = cut(connected_components(links.select("u", "v").unionByName(crossing)))
     told = (nodes.join(counts, "id", "left").join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
             .select("label", "vec", (F.coalesce("n", F.lit(0).cast("long")) + F.col("weight") - 1).alias("n_links"),
                     F.coalesce("component", "id").alias("component_id")))
