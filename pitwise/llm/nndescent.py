@@ -5,16 +5,20 @@ with lists from a few random-hyperplane orders (rows that are close in an order
 are compared in blocks) and is refined by rounds of neighbours-of-neighbours
 joins: every node's neighbours, both ways, meet at the node and are compared
 with each other there, and each keeps its best ``LIST``.  Rounds end when hardly
-any list changes.  A sample of queries is compared with all rows to audit the
-recall of links; below the goal, more orders and rounds follow.
+any list changes.
 
 A list that is full of links is saturated: there may be more, also to nodes
-that no list leads to.  All nodes that links connect to a saturated one are then
-compared block by block with each other and with all such nodes of their label
-(each pair of blocks in one place; counts come back, and one link for two
-components that turn out to be one), so lists are enlarged to all of these
-without emitting their pairs.  A pair of blocks is skipped only if their centres
-and radii rule out a link.
+that no list leads to.  So all nodes that have any link are then compared block
+by block with each other and with all such nodes of their label (each pair of
+blocks in one place; counts come back, and one link for two components that turn
+out to be one), which enlarges lists to all of these without emitting their
+pairs.  A pair of blocks is skipped only if their centres and radii rule out a
+link.
+
+The links counted are audited: sampled nodes, as many as it takes to see a
+stated number of links, are compared with all rows.  Links that turn out to be
+missing are added; below the goal, more orders and rounds follow, and then all
+nodes of a label are compared.
 
 Cosines are in double precision.  Defined cases: vectors that are null, empty or
 zero, have null, non-finite or missing components, or whose label is null link
@@ -45,9 +49,11 @@ WHOLE = 8 * BLOCK                # rows that no block reaches (blocks are cut by
 PACK = 1024                      # block centres that are compared with each other in one place
 SLACK = 1e-6                     # of angles, for rounding
 SETTLED = 0.02                   # share of changed list entries at which rounds end
-AUDITED = 256                    # queries of the audit
+AUDITED = 256                    # queries of the audit that have links, at least (or all nodes are asked)
+AUDITED_LINKS = 1_000            # links that the audit sees, at least (or all nodes are asked)
+ASKED = 4_096                    # queries of one step of the audit, about
 RECALL = 0.99
-MORE = 3                         # times that an audit may ask for more
+MORE = 3                         # times that an audit may ask for more orders, before all nodes are compared
 
 EDGES = "u long, v long, s double"
 CENTRES = "label string, component long, part long, n long, centre binary, radius double"
@@ -220,9 +226,9 @@ def ordered_neighbours(nodes: DataFrame, seeds: list[int], keep: int = LIST) ->
     return ordered.mapInArrow(_near(keep), EDGES)
 
 
-def refine(nodes: DataFrame, graph: DataFrame, rounds: int = ROUNDS, keep: int = LIST) -> DataFrame:
-    """NN-descent: rounds of neighbours-of-neighbours joins until lists settle."""
-    for _ in range(rounds):
+def refine(nodes: DataFrame, graph: DataFrame, rounds: int = ROUNDS, keep: int = LIST, first: int = 0) -> DataFrame:
+    """NN-descent: rounds (numbered from ``first``) of neighbours-of-neighbours joins until lists settle."""
+    for turn in range(first, first + rounds):
         worst = graph.groupBy("u").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("n"))
         told = nodes.select("id", "vec").join(
             worst.select(F.col("u").alias("id"), F.when(F.col("n") >= keep, F.col("worst")).otherwise(-2.0).alias("worst")), "id", "left")
@@ -230,13 +236,13 @@ def refine(nodes: DataFrame, graph: DataFrame, rounds: int = ROUNDS, keep: int =
         both = graph.select(F.col("u").alias("mid"), F.col("v").alias("id")).union(
             graph.select(F.col("v").alias("mid"), F.col("u").alias("id"))).union(
             nodes.select(F.col("id").alias("mid"), "id")).distinct()
-        # a node to which very many point is met in parts, each with its share of them
+        # a node to which very many point is met in parts, each with its share of them, another one each round
         size = both.groupBy("mid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MEET)
         hubs = cut(size)
         count = hubs.count()
         members = both.join(small(hubs, count), "mid", "left").withColumn(
-            "salt", F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / MEET)), F.lit(0).cast("long"))).drop("n")
-        met = (members.join(told, "id").repartition("mid", "salt").sortWithinPartitions("mid", "salt", "id")
+            "salt", F.coalesce(F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("n") / MEET)), F.lit(0).cast("long"))).drop("n")
+        met = (members.join(told, "id").repartition("mid", "salt").sortWithinPartitions("mid", "salt", F.xxhash64("id", F.lit(turn)), "id")
                .mapInArrow(_meet(keep), EDGES))
         new = cut(_best(graph.unionByName(met), keep))
         changed = new.join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
@@ -247,64 +253,6 @@ def refine(nodes: DataFrame, graph: DataFrame, rounds: int = ROUNDS, keep: int =
     return graph
 
 
-def _against(queries, threshold: float):
-    """Links of the audited vectors with the rows of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = queries.value
-        for batch in batches:
-            labels, ids, vec = batch.column("label").to_pylist(), batch.column("id").to_numpy(), batch.column("vec")
-            at: dict[str, list[int]] = {}
-            for k, label in enumerate(labels):
-                at.setdefault(label, []).append(k)
-            for label, (own, q) in asked.items():
-                if label in at:
-                    mine = np.array(at[label])
-                    s = q @ _unit(vec.take(pa.array(mine))).T
-                    i, j = np.nonzero(s >= threshold)
-                    new = own[i] != ids[mine[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[i[new]]), pa.array(ids[mine[j[new]]])], names=["u", "v"])
-
-    return run
-
-
-def audit(nodes: DataFrame, classes: DataFrame, threshold: float, queries: int = AUDITED) -> float:
-    """Share of the true links of a fixed number of nodes, compared with all rows, whose ends are in one class of ``classes``
-    (node, component); 1 if there are none.
-
-    Links that saturated lists have no room for are found later, so a link counts as found if links connect its ends.
-    """
-    some = nodes.orderBy(F.xxhash64("id"), "id").limit(queries).select("label", "id", "vec").toArrow()
-    asked: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for label in set(some.column("label").to_pylist()):
-        part = some.filter(pa.compute.equal(some.column("label"), label)).combine_chunks()
-        asked[label] = part.column("id").to_numpy(), _unit(part.column("vec").combine_chunks())
-    shared = nodes.sparkSession.sparkContext.broadcast(asked)
-    true = cut(nodes.select("label", "id", "vec").mapInArrow(_against(shared, threshold), "u long, v long"))
-    total = true.count()
-    if not total:
-        return 1.0
-    a = classes.select(F.col("node").alias("u"), F.col("component").alias("a"))
-    b = classes.select(F.col("node").alias("v"), F.col("component").alias("b"))
-    return true.join(a, "u").join(b, "v").where("a = b").count() / total
-
-
-def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD, keep: int = LIST) -> tuple[DataFrame, float]:
-    """The refined graph (u, v, s) and the audited recall of its links."""
-    graph, recall = None, 0.0
-    for turn in range(1 + MORE):
-        seeds = list(range(turn * ORDERS, (turn + 1) * ORDERS))
-        found = ordered_neighbours(nodes, seeds, keep)
-        graph = cut(_best(found if graph is None else graph.unionByName(found), keep))
-        graph = refine(nodes, graph, keep=keep)
-        links = graph.where(F.col("s") >= threshold)
-        classes = cut(connected_components(links.select("u", "v")))
-        recall = audit(nodes, classes, threshold)
-        if recall >= RECALL:
-            break
-    return graph, recall
-
-
 def _blocks(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """(label, component, part, id, vec, weight): components of ``members`` (id, component), those of over BLOCK nodes in parts by hash."""
     large = cut(members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("parts > 1"))
@@ -437,24 +385,122 @@ def block_links(nodes: DataFrame, members: DataFrame, threshold: float) -> tuple
             found.where("v is not null").select("u", "v"))
 
 
+def _against(queries, threshold: float):
+    """Of the audited vectors with the rows of a batch: (u, null, null, n), links with copies counted, and (u, v, s, 0), links to
+    other components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = queries.value
+        for batch in batches:
+            labels, vec = batch.column("label").to_pylist(), batch.column("vec")
+            ids, weight, component = (batch.column(c).to_numpy() for c in ("id", "weight", "component"))
+            at: dict[str, list[int]] = {}
+            for k, label in enumerate(labels):
+                at.setdefault(label, []).append(k)
+            for label, (own, parts, q) in asked.items():
+                rows = np.array(at.get(label, []), np.int64)
+                step = max(1, 2_000_000 // len(own))
+                for k in range(0, len(rows), step):
+                    mine = rows[k:k + step]
+                    s = q @ _unit(vec.take(pa.array(mine))).T
+                    near = (s >= threshold) & (own[:, None] != ids[mine])
+                    n = near @ weight[mine]
+                    some = np.flatnonzero(n)
+                    i, j = np.nonzero(near & (parts[:, None] != component[mine]))
+                    none = np.zeros(len(some), np.int64)
+                    v, score = np.concatenate((none, ids[mine[j]])), np.concatenate((none.astype(float), s[i, j]))
+                    blank = np.arange(len(v)) < len(some)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate((own[some], own[i]))), pa.array(v, mask=blank), pa.array(score, mask=blank),
+                         pa.array(np.concatenate((n[some], np.zeros(len(i), np.int64))))], names=["u", "v", "s", "n"])
+
+    return run
+
+
+def audit(nodes: DataFrame, classes: DataFrame, counts: DataFrame, threshold: float) -> tuple[float, DataFrame]:
+    """(recall, missing): the share of the true links of sampled nodes, compared with all rows, that ``counts`` (id, n) holds, and
+    those (u, v, s) whose ends are in two ``classes`` (node, component).
+
+    Nodes are asked in the order of a hash until AUDITED of them have links and AUDITED_LINKS links are seen, or there are no
+    more.  The recall is the lower one of that of all links and the mean of that of nodes, so that a few nodes of very many
+    links do not hide the others; 1 if no node has a link.
+    """
+    rows = cut(nodes.join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
+               .select("label", "id", "vec", "weight", F.coalesce("component", "id").alias("component")))
+    steps = max(1, -(-rows.count() // AUDITED))
+    place = F.pmod(F.xxhash64("id", F.lit(AUDITED)), F.lit(steps))
+    links = kept = linked = 0
+    shares, missing, done, width = 0.0, None, 0, 1
+    while done < steps and (links < AUDITED_LINKS or linked < AUDITED):
+        some = rows.where((place >= done) & (place < done + width)).select("label", "id", "vec", "component").toArrow()
+        done, width = done + width, min(max(done + width, 1), ASKED // AUDITED)
+        asked: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for label in set(some.column("label").to_pylist()):
+            part = some.filter(pa.compute.equal(some.column("label"), label)).combine_chunks()
+            asked[label] = part.column("id").to_numpy(), part.column("component").to_numpy(), _unit(part.column("vec").combine_chunks())
+        shared = rows.sparkSession.sparkContext.broadcast(asked)
+        seen = cut(rows.mapInArrow(_against(shared, threshold), f"{EDGES}, n long"))
+        shared.unpersist()
+        true = seen.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("true"))
+        share = F.least(F.coalesce("n", F.lit(0).cast("long")), F.col("true"))
+        total = true.join(counts, "id", "left").agg(F.sum("true"), F.sum(share), F.count(F.lit(1)), F.sum(share / F.col("true"))).first()
+        links, kept, linked, shares = links + (total[0] or 0), kept + (total[1] or 0), linked + total[2], shares + (total[3] or 0.0)
+        lost = seen.where("v is not null").select("u", "v", "s")
+        missing = lost if missing is None else missing.unionByName(lost)
+    return (min(kept / links, shares / linked) if links else 1.0), missing
+
+
+def linked_classes(nodes: DataFrame, threshold: float = THRESHOLD, keep: int = LIST) -> tuple[DataFrame, DataFrame, float]:
+    """(node, component) of nodes with links, (id, n) of their links, copies counted, and the audited recall of links.
+
+    While the recall is below RECALL, more orders and rounds follow; if that is not enough, all nodes of a label are compared.
+    Links that an audit has found missing are always added.
+    """
+    graph, recall = None, 0.0
+    for turn in range(1 + MORE):
+        seeds = list(range(turn * ORDERS, (turn + 1) * ORDERS))
+        found = ordered_neighbours(nodes, seeds, keep)
+        graph = cut(_best(found if graph is None else graph.unionByName(found), keep))
+        graph = refine(nodes, graph, keep=keep, first=turn * ROUNDS)
+        links = graph.where(F.col("s") >= threshold).select("u", "v")
+        classes, counts = _whole(nodes, cut(connected_components(links)), threshold)
+        recall, missing = audit(nodes, classes, counts, threshold)
+        lost = missing.count()
+        if recall >= RECALL:
+            if lost:
+                known = links.unionByName(classes.select(F.col("node").alias("u"), F.col("component").alias("v")))
+                classes, counts = _whole(nodes, cut(connected_components(known.unionByName(missing.select("u", "v")))), threshold)
+            return classes, counts, recall
+        graph = cut(_best(graph.unionByName(missing).unionByName(missing.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")), keep))
+    alone = nodes.select("id").join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
+    classes, counts = _whole(nodes, alone.select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component")), threshold)
+    recall, _ = audit(nodes, classes, counts, threshold)
+    if recall < RECALL:
+        raise RuntimeError(f"recall of links {recall:.4f} is below {RECALL}")
+    return classes, counts, recall
+
+
+def _whole(nodes: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``classes`` (node, component) merged where block_links finds them linked, and its counts (id, n)."""
+    counts, crossing = block_links(nodes, classes.select(F.col("node").alias("id"), "component"), threshold)
+    if not crossing.isEmpty():
+        held = classes.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        merged = connected_components(held.unionByName(crossing))
+        classes = cut(classes.select("node").join(merged, "node"))
+    return classes, cut(counts)
+
+
 def link_vectors(vectors: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding",
                  threshold: float = THRESHOLD, keep: int = LIST) -> DataFrame:
     """One row per row of ``vectors``: key, n_links, component_id, kept."""
+    return audited_links(vectors, key, label, vector, threshold, keep)[0]
+
+
+def audited_links(vectors: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding",
+                  threshold: float = THRESHOLD, keep: int = LIST) -> tuple[DataFrame, float]:
+    """The rows of link_vectors and the audited recall of their links."""
     nodes = cut(nodes_of(vectors, key, label, vector))
-    graph, _ = neighbour_graph(nodes, threshold, keep)
-    links = cut(graph.where(F.col("s") >= threshold).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "s").distinct())
-    classes = cut(connected_components(links.select("u", "v")))
-    full = graph.groupBy("u").agg(F.count(F.when(F.col("s") >= threshold, 1)).alias("n")).where(F.col("n") >= keep)
-    dense = classes.join(full.select(F.col("u").alias("node")), "node").select("component").distinct()
-    inside = cut(classes.join(dense, "component").select(F.col("node").alias("id"), "component"))
-    weights = nodes.select(F.col("id").alias("v"), F.col("weight"))
-    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    sparse = (both.join(inside.select(F.col("id").alias("u")), "u", "left_anti").join(weights, "v")
-              .groupBy(F.col("u").alias("id")).agg(F.sum("weight").alias("n")))
-    dense_counts, crossing = block_links(nodes, inside, threshold)
-    counts = sparse.unionByName(dense_counts)
-    if not crossing.isEmpty():
-        classes = cut(connected_components(links.select("u", "v").unionByName(crossing)))
+    classes, counts, recall = linked_classes(nodes, threshold, keep)
     told = (nodes.join(counts, "id", "left").join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
             .select("label", "vec", (F.coalesce("n", F.lit(0).cast("long")) + F.col("weight") - 1).alias("n_links"),
                     F.coalesce("component", "id").alias("component_id")))
@@ -465,5 +511,6 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", label: str = "label",
     found = cut(keyed.join(told, ["label", "vec"]).select(F.col("id").alias("found"), "n_links", "component_id").distinct())
     out = vectors.select(F.col(key).alias("own")).join(found, F.col("own") == F.col("found"), "left")
     component = F.coalesce("component_id", F.col("own").cast("long"))
-    return out.select(F.col("own").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+    out = out.select(F.col("own").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
                       component.alias("component_id"), (F.col("own") == component).alias("kept"))
+    return out, recall

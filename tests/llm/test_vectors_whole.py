@@ -49,3 +49,31 @@ def test_linked_clumps_that_fill_their_lists(spark, monkeypatch, block):
     want = brute(rows)
     assert want[1][1:] == (0, False) and want[0][0] > 45         # the first two clumps are one component
     assert told(nndescent.link_vectors(frame(spark, rows))) == want
+
+
+def sparse(rng, nodes, pairs):
+    """Vectors far from each other, of which few have a near copy."""
+    base = rng.standard_normal((nodes, 32))
+    rows = [(i, v, i % 2) for i, v in enumerate(base)]
+    return rows + [(10_000 + i, base[i] + 0.01 * rng.standard_normal(32), i % 2) for i in range(pairs)]
+
+
+def test_links_that_the_graph_misses_are_noticed(spark, monkeypatch):
+    rows = sparse(np.random.default_rng(12), 3000, 12)           # most queries have no link
+    monkeypatch.setattr(nndescent, "ordered_neighbours", lambda nodes, seeds, keep=8: nodes.sparkSession.createDataFrame([], nndescent.EDGES))
+    monkeypatch.setattr(nndescent, "MORE", 0)
+    out, recall = nndescent.audited_links(frame(spark, rows))
+    assert recall >= nndescent.RECALL
+    assert told(out) == brute(rows)
+
+
+def test_audit_counts_direct_links(spark):
+    rows = sparse(np.random.default_rng(13), 1500, 20)
+    nodes = nndescent.cut(nndescent.nodes_of(frame(spark, rows), "vec_id", "label", "embedding"))
+    pairs = [(i, 10_000 + i) for i in range(20)]
+    classes = spark.createDataFrame([(x, a) for a, b in pairs for x in (a, b)], "node long, component long")
+    count = spark.createDataFrame([(x, 1) for a, b in pairs[:15] for x in (a, b)], "id long, n long")
+    recall, missing = nndescent.audit(nodes, classes, count, 0.98)
+    assert recall == pytest.approx(0.75) and missing.count() == 0     # in one component, but not counted
+    recall, missing = nndescent.audit(nodes, classes.where("component < 10"), count.where("id % 10000 < 10"), 0.98)
+    assert recall == pytest.approx(0.5) and {(r.u, r.v) for r in missing.collect()} == {p for a, b in pairs[10:] for p in ((a, b), (b, a))}
