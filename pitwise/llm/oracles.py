@@ -110,5 +110,89 @@ left_ AS (SELECT rn, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FRO
 SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN left_ USING (rn)"""
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls,
+         sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+e AS (
+  SELECT *, len(ls) AS n, ('0x' || h[1:8])::UBIGINT % (len(ls) + 1) AS one, ('0x' || h[9:16])::UBIGINT % (len(ls) + 1) AS two,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::UBIGINT % 100 >= 100
+              THEN 'plain' WHEN ('0x' || h[25:32])::UBIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+f AS (
+  SELECT *, array_to_string(ls[1:least(one, two)::BIGINT], '') AS p, array_to_string(ls[least(one, two)::BIGINT + 1:greatest(one, two)::BIGINT], '') AS m,
+         array_to_string(ls[greatest(one, two)::BIGINT + 1:], '') AS s FROM e)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f"""
+
+OP12 = rf"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT doc_id, r, count(*) AS c FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+    FROM documents) GROUP BY ALL),
+marked AS (
+  SELECT r, c, xor(list_reduce([4294967295::UBIGINT] || list_transform(range(0, strlen(k)), lambda p: ('0x' || substr(hex(encode(k)), (2 * p + 1)::BIGINT, 2))::UBIGINT),
+      lambda c, b: xor(c >> 8, t[((xor(c, b)) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS h
+  FROM (SELECT r, c, coalesce(doc_id::VARCHAR, '') || ':' || r AS k FROM runs WHERE length(r) >= 5), crc_table),
+words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT c, CASE WHEN h % 97 = 0 THEN substr(r, 1, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS word FROM marked)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+gaps AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT x.word AS u, y.word AS v, y.n FROM gaps x JOIN gaps y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON w.word = g.a || g.b
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON w.word = g.a || g.b),
+best AS (SELECT u, count(*) AS n_near, first(v ORDER BY n DESC, v) AS v, max(n) AS most FROM near GROUP BY u),
+told AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 2 * n THEN v END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n
+  FROM words LEFT JOIN best ON word = u),
+walk AS (
+  SELECT word, word AS here, 0 AS step FROM told
+  UNION ALL SELECT k.word, t.form, step + 1 FROM walk k JOIN told t ON k.here = t.word WHERE t.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, step) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM told JOIN ends USING (word)"""
+
+
+def _level(rows: str, above: str) -> str:
+    """Prior strength of a level by moments; ``above`` is the mean above each member."""
+    spread = f"sum((k - n * {above}) ** 2) - sum(n * {above} * (1 - {above}))"
+    return f"(SELECT 1 / least(greatest(coalesce(({spread}) / nullif(sum(n * (n - 1) * {above} * (1 - {above})), 0), 1.0), 1e-4), 0.5) - 1 FROM {rows} WHERE n > 0)"
+
+
+OP13 = rf"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)),
+rules(verdict, rule) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
+parted AS (SELECT verdict, rule, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS r FROM rules),
+g AS (SELECT doc_id, CASE WHEN quality = 1 AND coalesce(toxic, 0) <> 1 THEN 1 WHEN quality IS NULL AND coalesce(toxic, 0) <> 1 THEN NULL ELSE 0 END AS good FROM labels),
+hosts AS (
+  SELECT *, string_split(name, '.') AS parts FROM (
+    SELECT host, regexp_replace(host, '^.*@|:[0-9]*$|\.$', '', 'g') AS name, count(good) AS n, coalesce(sum(good), 0) AS k
+    FROM p LEFT JOIN g ON page_id = doc_id GROUP BY host)),
+named AS (
+  SELECT host, n, k, CASE WHEN digits THEN name ELSE array_to_string(parts[-1 - deep:], '.') END AS domain,
+         CASE WHEN digits THEN '' ELSE array_to_string(parts[-deep:], '.') END AS suffix
+  FROM (SELECT *, regexp_matches(name, '^[0-9.]+$|^\[') AS digits,
+               CASE WHEN array_to_string(parts[-2:], '.') IN ('ac.uk', 'co.uk', 'gov.uk', 'org.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'ne.jp',
+                    'or.jp', 'co.nz', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'co.in', 'co.kr', 'co.za') THEN 2 ELSE 1 END AS deep FROM hosts)),
+top AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS m FROM named),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM named, top GROUP BY suffix),
+s1 AS (SELECT suffix, (k + w * m) / (n + w) AS m FROM s0, (SELECT {_level('s0', 'm')} AS w)),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM named JOIN s1 USING (suffix) GROUP BY domain, suffix),
+d1 AS (SELECT domain, suffix, (k + w * m) / (n + w) AS m FROM d0, (SELECT {_level('d0', 'm')} AS w)),
+h0 AS (SELECT host, n, k, m FROM named JOIN d1 USING (domain, suffix)),
+h1 AS (SELECT host, (k + w * m) / (n + w) AS rate, n + w AS weight FROM h0, (SELECT {_level('h0', 'm')} AS w)),
+h2 AS (SELECT host, least(rate + least(sqrt(rate * (1 - rate) / (weight + 1) * (0.95 / 0.05)), sqrt(ln(1 / 0.05) / (2 * (weight + 1)))), 1) AS bound FROM h1),
+fits AS (
+  SELECT DISTINCT host, path, first(rule) OVER w AS rule, first(verdict) OVER w AS verdict
+  FROM (SELECT DISTINCT host, path FROM p) JOIN parted ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r)
+  WINDOW w AS (PARTITION BY host, path ORDER BY length(rule) DESC, rule))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bound < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN h2 USING (host) LEFT JOIN fits USING (host, path)"""
+
 SQL: dict[str, str] = {"op1_sharding": OP1, "op2_nn_descent": OP2, "op3_exact_dedup": OP3, "op7_mixing": OP7, "op8_chat": OP8,
-                       "op10_substring": OP10}
+                       "op10_substring": OP10, "op11_fim": OP11, "op12_spelling": OP12, "op13_url_filter": OP13}
