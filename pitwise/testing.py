@@ -19,7 +19,7 @@ def duck(sql: str, sf_dir: str) -> pd.DataFrame:
 
 
 def _norm(v, digits):
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return None
     if isinstance(v, float):
         if math.isnan(v):
