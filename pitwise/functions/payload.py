@@ -1,9 +1,15 @@
 """JSON payload parsing.
 
 A payload is parsed once per row with ``from_json`` into one nullable struct
-holding every field any event type uses. Validity ("the text is JSON") is a
-separate test, evaluated only where a rule needs it (history rules A16-A18).
-NULL and '' payloads both mean "no payload".
+holding every field any event type uses. Rolling and history rules share one
+validity rule: the whole text is JSON, as strict as the reference's parser (names
+may repeat, the last one counts; NaN and Infinity are numbers; nothing may follow
+the value). Spark's parser stops after the first value, so the text is parsed as
+the first element of an array whose second element holds the text's md5: only if
+the first element ends where the text ends is the second one found there.
+
+NULL and '' payloads both mean "no payload"; a JSON text that is no object has no
+fields either (the reference fails on it).
 """
 
 from __future__ import annotations
@@ -39,19 +45,35 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_MARK = "_md5_of_text"
+_STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+
+
+def _marked(p: Column) -> Column:
+    return F.concat(F.lit("["), p, F.lit(f',{{"{_MARK}":"'), F.md5(p.cast("binary")), F.lit('"}]'))
+
+
+def _odd_numbers(p: Column) -> Column:
+    """Spark's spellings of infinity that are not JSON's usual ones (INF, +Infinity), outside strings."""
+    return (p.contains("INF") | p.contains("+I")) & F.regexp_replace(
+        p, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "").rlike(r"INF|\+I")
+
+
 def parse_payload(payload, schema: T.StructType = PAYLOAD_SCHEMA) -> Column:
-    """Lenient parse: malformed or empty text gives all-NULL fields."""
-    return F.from_json(_c(payload), schema, {"mode": "PERMISSIVE"})
+    """The fields of a valid JSON object; NULL for anything else."""
+    p = _c(payload)
+    both = T.ArrayType(T.StructType([*schema.fields, T.StructField(_MARK, T.StringType())]))
+    two = F.from_json(_marked(p), both, _STRICT)
+    whole = (F.size(two) == 2) & (F.get(two, F.lit(1)).getField(_MARK) == F.md5(p.cast("binary"))) & ~_odd_numbers(p)
+    return F.when(whole, F.get(two, F.lit(0)))
 
 
 def json_valid(payload) -> Column:
-    """True iff the text is strict JSON ('{}' yes; '', '{bad', single quotes, text after the value, NULL no).
-
-    The parser stops after the first value, so the text is also parsed as the only element of an array."""
+    """True iff the text is strict JSON ('{}' yes; '', '{bad', single quotes, text after the value, NULL no)."""
     p = _c(payload)
-    whole = F.try_parse_json(F.concat(F.lit("["), p, F.lit("]")))
-    second = F.try_variant_get(whole, "$[1]", "string")
-    return p.isNotNull() & F.try_parse_json(p).isNotNull() & whole.isNotNull() & second.isNull()
+    two = F.from_json(_marked(p), T.ArrayType(T.StringType()), _STRICT)
+    whole = (F.size(two) == 2) & (F.get(two, F.lit(1)) == F.concat(F.lit(f'{{"{_MARK}":"'), F.md5(p.cast("binary")), F.lit('"}')))
+    return F.coalesce(p.isNotNull() & whole & ~_odd_numbers(p), F.lit(False))
 
 
 def field(parsed, name: str, default=None) -> Column:

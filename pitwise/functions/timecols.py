@@ -71,20 +71,3 @@ def iso_text(ts) -> Column:
                   F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")) \
         .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
-
-# Sums that do not depend on their order and lose nothing above 1e-9: the whole
-# part and the rest (in 1e-9) are added as two longs, which stays in generated
-# code (decimal sums past 18 digits go through BigDecimal for every row).
-NANO = 1_000_000_000
-
-
-def parts(x, name: str) -> list[Column]:
-    """``name`` and ``name_f``: the whole part of a double and the rest in 1e-9 (NULL stays NULL)."""
-    whole = F.floor(_c(x))
-    return [whole.alias(name), F.rint((_c(x) - whole.cast("double")) * F.lit(float(NANO))).cast("long").alias(f"{name}_f")]
-
-
-def from_parts(whole, rest) -> Column:
-    """The double nearest to a sum of parts."""
-    w, f = _c(whole).cast("decimal(20,0)"), _c(rest).cast("decimal(20,0)")
-    return (w + f * F.lit("0.000000001").cast("decimal(9,9)")).cast("double")

@@ -1,7 +1,7 @@
 """Ledger reconciliation from the event log (L1-L4).
 
 Balances are running sums in (timestamp, seq) order per business computed
-with the skew-safe :func:`segmented_scan`; money is summed in two longs (whole part, 1e-9) so
+with the skew-safe :func:`segmented_scan`; amounts are summed exactly (``functions/exactsum.py``), so
 results do not depend on the order partial sums are combined.
 """
 
@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pitwise.functions import exactsum
 from pitwise.functions.payload import field, parse_payload
-from pitwise.functions.timecols import DAY_US, floor_div, from_parts, micros, parts
+from pitwise.functions.timecols import DAY_US, floor_div, micros
 from pitwise.operators.lookback import with_seq
 from pitwise.operators.scan import segmented_scan
 
@@ -34,19 +35,19 @@ def ledger_deltas(commits: DataFrame) -> DataFrame:
               .when(et == "ORDER_CANCELLED", field(p, "quantity", 0.0))
               .when(et == "INVENTORY_RESTOCK", field(p, "quantity_added", 0.0))
               .otherwise(F.lit(0.0)))
-    return c.select("commit_id", "business_id", "seq", "timestamp", "t",
-                    *parts(cash, "d_cash"), *parts(units, "d_units"))
+    deltas = c.select("commit_id", "business_id", "seq", "timestamp", "t", cash.alias("d_cash"), units.alias("d_units"))
+    return exactsum.split(deltas, "d_cash", "d_units")
 
 
 def running_balances(commits: DataFrame, opening_cash: float = 0.0,
                      opening_units: float = 0.0) -> DataFrame:
     """L1 + L2: cash and unit balance after each commit."""
     d = ledger_deltas(commits)
-    r = segmented_scan(d, "business_id", "t", ["seq"], sums=["d_cash", "d_cash_f", "d_units", "d_units_f"],
+    r = segmented_scan(d, "business_id", "t", ["seq"], sums=exactsum.names("d_cash") + exactsum.names("d_units"),
                        inclusive=True, prefix="bal_")
     return r.select("commit_id", "business_id", "seq", "timestamp", "t",
-                    (from_parts("bal_d_cash", "bal_d_cash_f") + F.lit(float(opening_cash))).alias("cash_balance"),
-                    (from_parts("bal_d_units", "bal_d_units_f") + F.lit(float(opening_units))).alias("inventory_units"))
+                    (exactsum.total("bal_d_cash") + F.lit(float(opening_cash))).alias("cash_balance"),
+                    (exactsum.total("bal_d_units") + F.lit(float(opening_units))).alias("inventory_units"))
 
 
 def weekly_snapshot(commits: DataFrame) -> DataFrame:

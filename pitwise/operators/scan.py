@@ -1,13 +1,13 @@
-"""Skew-safe ordered scans: running sums, latest-before and first-at-or-after.
+"""Skew-safe ordered scans: running sums, latest-before, first-at-or-after, values at time offsets.
 
 Every ordered per-key computation in the library (running balances, row
 index, lag, point-in-time lookbacks) reduces to *prefix aggregates in
 (t, order...) order within a key*.
 
-Ordinary keys take one window partitioned by the key: one read, one shuffle,
-one sort. A key with very many rows would be one long task, so hot keys (found
-by one count over the key column, at most ``HOT_KEYS`` of them, which bounds
-the broadcast) take another path:
+Ordinary keys take windows partitioned by the key: one read, one shuffle, one
+sort. A key with very many rows would be one long task, so hot keys (found by
+one count over the key column; they stay a table, whatever their number, and a
+NULL key may be one) take another path:
 
 1. Their rows are cut by a range partitioning on (key, t, order...). The cuts
    are quantiles of the rows themselves, so bursts, outliers and rows at one
@@ -27,19 +27,26 @@ Aggregates:
   frame, which Spark recomputes per row);
 * ``first_t`` - min of a time column over the key's rows up to the current one
   (in a hot key: up to the end of the current period).
+
+:func:`offset_scan` gives the aggregates of all rows before *t + offset* for any
+number of offsets. For ordinary keys these are range frames that begin at the
+first row, which Spark moves forward only, so each offset costs one more pass
+over the sorted rows and no row is copied. Rows of hot keys ask by one probe row
+for each offset instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwise.session import materialize
 
-HEAVY_KEY_ROWS = 2_000_000       # keys with more rows are cut into periods
-HOT_KEYS = 1_000                 # ... the largest so many of them
-TARGET_PERIOD_ROWS = 1_000_000   # rows aimed at per period
+HEAVY_KEY_ROWS = 1_000_000       # keys with more rows are cut into periods
+TARGET_PERIOD_ROWS = 500_000     # rows aimed at per period
+HOT_BROADCAST = 100_000          # most hot keys that are broadcast
 
 P = "_period"
 
@@ -52,22 +59,44 @@ def _cols(xs) -> list[str]:
     return list(xs)
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame | None, int]:
-    """The keys with more than ``HEAVY_KEY_ROWS`` rows (at most ``HOT_KEYS``, the largest) and their rows."""
-    st = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HEAVY_KEY_ROWS)
-    top = st.orderBy(F.col("_n").desc(), *keys).limit(HOT_KEYS).dropna(subset=keys).collect()
-    if not top:
-        return None, 0
-    schema = df.select(*keys).schema
-    rows = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in top], schema)
-    return rows, sum(r["_n"] for r in top)
+class KeySizes(NamedTuple):
+    """What one count over the key column tells."""
+
+    keys: list[str]
+    hot: DataFrame | None       # the keys of more than HEAVY_KEY_ROWS rows, or None
+    hot_rows: int               # their rows
+    most: int                   # rows of the largest other key
+
+    def periods(self) -> int:
+        return max(-(-self.hot_rows // TARGET_PERIOD_ROWS), 2)
+
+    def part(self, df: DataFrame, hot: bool) -> DataFrame:
+        """The rows of hot keys, or all others."""
+        if self.hot is None:
+            return df.where("false") if hot else df
+        own = [f"_hot_{k}" for k in self.keys]
+        table = self.hot.select(*[F.col(k).alias(o) for k, o in zip(self.keys, own, strict=True)])
+        same = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(self.keys, own, strict=True)]
+        return df.join(table, on=same, how="left_semi" if hot else "left_anti")
+
+
+def key_sizes(df: DataFrame, keys) -> KeySizes:
+    """Count the rows of each key of ``df`` (combined before the shuffle); the list of hot ones is never collected."""
+    keys = _cols(keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = F.col("_n") > HEAVY_KEY_ROWS
+    n, rows, most = counts.agg(F.count_if(heavy), F.sum(F.when(heavy, F.col("_n"))), F.max(F.when(~heavy, F.col("_n")))).first()
+    if not n:
+        return KeySizes(keys, None, 0, most or 0)
+    hot = materialize(counts.where(heavy).select(*keys))
+    return KeySizes(keys, F.broadcast(hot) if n <= HOT_BROADCAST else hot, rows, most or 0)
 
 
 def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
                    sums: Sequence[str] = (), lasts: Sequence[str] = (),
                    firsts: Sequence[str] = (), first_t: tuple[str, str] | None = None,
                    inclusive: bool = True, target: str | None = None,
-                   prefix: str = "run_", derive=None) -> DataFrame:
+                   prefix: str = "run_", derive=None, sizes: KeySizes | None = None) -> DataFrame:
     """Prefix aggregates per key in ``(t, *order)`` order.
 
     ``t`` is a long (microseconds). For each row that is a target (all rows
@@ -76,19 +105,20 @@ def segmented_scan(df: DataFrame, keys, t: str, order: Sequence[str] = (), *,
     ``first_t = (src, name)``, ``name`` = the min of column ``src`` so far.
     ``inclusive`` decides whether sums/lasts include the current row (firsts
     always do). ``derive`` (DataFrame -> DataFrame, row-local) runs after the
-    exchange and may add the aggregated columns.
+    exchange and may add the aggregated columns. ``sizes``: key sizes that are
+    known already.
     """
     keys, order = _cols(keys), _cols(order)
     sums, lasts, firsts = _cols(sums), _cols(lasts), _cols(firsts)
-    hot, n_hot = hot_keys(df, keys)
+    sizes = sizes or key_sizes(df, keys)
     args = (keys, t, order, sums, lasts, firsts, first_t, inclusive, target, prefix)
-    if hot is None:
-        return _scan_keys(df, derive, *args)
-    cold = _scan_keys(df.join(F.broadcast(hot), keys, "left_anti"), derive, *args)
-    rows = df.join(F.broadcast(hot), keys, "left_semi")
+    cold = _scan_keys(sizes.part(df, hot=False), derive, *args)
+    if sizes.hot is None:
+        return cold
+    rows = sizes.part(df, hot=True)
     if derive is not None:
         rows = derive(rows)
-    return cold.unionByName(_scan_periods(rows, -(-n_hot // TARGET_PERIOD_ROWS), *args))
+    return cold.unionByName(_scan_periods(rows, sizes.periods(), *args))
 
 
 def _q(c: str) -> str:
@@ -116,7 +146,7 @@ def _scan_keys(df, derive, keys, t, order, sums, lasts, firsts, first_t, inclusi
             + [f"min({_q(x)}) OVER {w_desc} AS `{prefix}first_{x}`" for x in firsts])
     if first_t:
         cols.append(f"min({_q(first_t[0])}) OVER {w_in} AS `{first_t[1]}`")
-    out = df.select("*", *[F.expr(c) for c in cols])
+    out = df.selectExpr("*", *cols)
     return out if target is None else out.filter(F.col(target))
 
 
@@ -152,10 +182,11 @@ def _scan_periods(rows, periods, keys, t, order, sums, lasts, firsts, first_t, i
                 + [f"min(`_AF_{x}`) OVER {after} AS `_cf_{x}`" for x in firsts])
     if first_t:
         car_cols.append(f"min(`_mint`) OVER {upto} AS `_cmint`")
-    carried = per.select(*[F.col(c) for c in [*keys, P]], *[F.expr(c) for c in car_cols])
+    own = [f"_car_{c}" for c in [*keys, P]]
+    carried = per.select(*[F.col(c).alias(o) for c, o in zip([*keys, P], own, strict=True)], *[F.expr(c) for c in car_cols])
 
     # -- combine --------------------------------------------------------------
-    out = part.join(carried, on=[*keys, P], how="left")
+    out = part.join(carried, on=[F.col(c).eqNullSafe(F.col(o)) for c, o in zip([*keys, P], own, strict=True)], how="left")
     final = ([f"coalesce(`_cs_{x}`, 0) + coalesce(`_ps_{x}`, 0) AS `{prefix}{x}`" for x in sums]
              + [f"greatest(`_cl_{x}`, `_pl_{x}`) AS `{prefix}{x}`" for x in lasts]
              + [f"least(`_cf_{x}`, `_pf_{x}`) AS `{prefix}first_{x}`" for x in firsts])
@@ -164,32 +195,48 @@ def _scan_periods(rows, periods, keys, t, order, sums, lasts, firsts, first_t, i
     return out.select(*[F.col(_q(c)) for c in rows.columns], *[F.expr(f) for f in final])
 
 
-def probe_scan(events: DataFrame, probes: DataFrame, keys, t: str,
-               order: Sequence[str] = (), *, sums: Sequence[str] = (),
-               lasts: Sequence[str] = (), firsts: Sequence[str] = (),
-               first_t: str | None = None, prefix: str = "at_", derive=None) -> DataFrame:
-    """Point-in-time lookups for probe rows (design "probe-union prefix").
-
-    ``events`` carry keys, ``t``, ``order`` and the aggregate columns;
-    ``probes`` carry keys, ``t`` and any payload columns. For every probe at
-    time x the result holds, over the events of its key:
-      * sums / lasts over events with t < x (strictly before),
-      * firsts over events with t >= x (at or after),
-      * ``first_t``: the key's first event time when it lies before x
-        (otherwise some time >= x, or NULL).
-    Probes sort before events at an equal instant, which gives exactly these
-    half-open bounds; a window [lo, hi) is ``at(hi) - at(lo)``.
+def _bound(offset: int, descending: bool = False) -> str:
+    """Range frame bound at ``offset`` from the current value, in the direction of the order."""
+    ahead = -offset if descending else offset
+    return "CURRENT ROW" if not ahead else f"{abs(ahead)}L {'FOLLOWING' if ahead > 0 else 'PRECEDING'}"
+
+
+def offset_scan(df: DataFrame, keys, t: str, at: dict, *, ids: Sequence[str], sums: Sequence[str] = (),
+                lasts: Sequence[str] = (), firsts: Sequence[str] = (), periods: int = 0) -> DataFrame:
+    """Every row with its key's aggregates at time offsets: ``at`` maps a name to microseconds.
+
+    For a row at time x and an offset o the columns ``{c}@{name}`` hold, over the rows of its key,
+    the sum (``sums``) or the greatest (``lasts``) of c where t < x + o, and ``first_{c}@{name}``
+    the least c (``firsts``) where t >= x + o. Rows of ``df`` whose contributions are NULL only ask.
+    With ``periods`` the rows belong to hot keys and are cut; then only rows with a column ``_asks``
+    that is true are returned, and ``ids`` tell the rows of a key apart.
     """
     keys = _cols(keys)
-    ev = events.withColumn("_kind", F.lit(1)).withColumn("_evt_t", F.col(t))
-    pr = probes.withColumn("_kind", F.lit(0))
-    u = ev.unionByName(pr, allowMissingColumns=True)
-    u = u.withColumn("_is_probe", F.col("_kind") == 0)
-    res = segmented_scan(u, keys, t, ["_kind", *_cols(order)], sums=sums, lasts=lasts,
-                         firsts=firsts, first_t=("_evt_t", first_t) if first_t else None,
-                         inclusive=True, derive=derive, target="_is_probe", prefix=prefix)
-    drop = set(_cols(order)) | {"_kind", "_is_probe", "_evt_t"} | set(_cols(sums)) | set(_cols(lasts)) | set(_cols(firsts))
-    return res.select(*[c for c in res.columns if c not in drop])
+    sums, lasts, firsts = _cols(sums), _cols(lasts), _cols(firsts)
+    if not periods:
+        by, time = ", ".join(_q(k) for k in keys), _q(t)
+        cols = []
+        for name, offset in at.items():
+            upto = f"(PARTITION BY {by} ORDER BY {time} RANGE BETWEEN UNBOUNDED PRECEDING AND {_bound(offset - 1)})"
+            down = f"(PARTITION BY {by} ORDER BY {time} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND {_bound(offset, True)})"
+            cols += [f"coalesce(sum({_q(c)}) OVER {upto}, 0) AS `{c}@{name}`" for c in sums]
+            cols += [f"max({_q(c)}) OVER {upto} AS `{c}@{name}`" for c in lasts]
+            cols += [f"min({_q(c)}) OVER {down} AS `first_{c}@{name}`" for c in firsts]
+        return df.selectExpr("*", *cols)
+    own = [*keys, *ids]
+    asks = df.where("_asks").select(*own, F.struct(*df.columns).alias("_row"), F.col(t).alias("_x"))
+    asks = asks.select(*own, F.inline(F.array(*[
+        F.struct(F.lit(str(name)).alias("_at"), (F.col("_x") + F.lit(offset)).alias(t),
+                 (F.col("_row") if not i else F.when(F.lit(False), F.col("_row"))).alias("_row"))
+        for i, (name, offset) in enumerate(at.items())])))
+    points = df.select(*own, t, *sums, *lasts, *[c for c in firsts if c not in lasts]).withColumn("_kind", F.lit(1))
+    rows = points.unionByName(asks.withColumn("_kind", F.lit(0)), allowMissingColumns=True).withColumn("_ask", F.col("_kind") == 0)
+    got = _scan_periods(rows, periods, keys, t, ["_kind"], sums, lasts, firsts, None, True, "_ask", "_v_")
+    value = [(name, c, f"_v_{c}", f"{c}@{name}") for name in at for c in [*sums, *lasts]]
+    value += [(name, c, f"_v_first_{c}", f"first_{c}@{name}") for name in at for c in firsts]
+    back = got.groupBy(*own).agg(F.any_value("_row", True).alias("_row"), *[
+        F.max(F.when(F.col("_at") == str(name), F.col(src))).alias(out) for name, _, src, out in value])
+    return back.select("_row.*", *[_q(out) for *_, out in value])
 
 
 def point(t: str, order: Sequence[str], value: Column, when: Column) -> Column:

@@ -1,30 +1,34 @@
 """Order-export adapters: normalisation, sampling, window features, labels
 (P7-P10, F5-F9, W1-W4, B1-B13, T2, T3).
 
-Shape of the work:
-
-* row index, lag and running balances per shop come from the skew-safe
-  :func:`segmented_scan` (no whole-shop window partition);
-* labels and the additive window features (B1-B4, B6, B7) are point-in-time
-  lookups: each sampled row asks at as_of, as_of + horizon and as_of - w for
-  every window, in one :func:`probe_scan`; a window is the difference of two
-  prefixes, less the first row's difference to the row before the window (B7);
-* the recency weight (B8) needs the time of each row of a window, but only the
-  number of rows at each distinct time: rows are counted per (shop, time) and
-  the counts joined with the probes in 90-day buckets (exact range predicate);
-* the 75th percentile (B5) needs the prices of a window; it is only looked at
-  for probes that have a cancelled row in reach (all else is 0), with the same
-  bucketed join. AQE splits hot (shop, bucket) join partitions.
+Shape of the work (:func:`sampled_rows`): rows are shuffled once, by shop, and
+
+* row index, previous and next row, shop extent are windows in that layout;
+* labels and the additive window features (B1-B4, B6, B7) are values at time
+  offsets (:func:`offset_scan`): sums over all rows before a, a - w and a + h; a
+  window is the difference of two sums.
+
+Two features look at each row of a window: the rows above its 75th percentile of
+price (B5) and the age weights (B8). They are answered by rank descent and binary
+search over a shop's rows in time order (``operators/dense.py``), after one more
+shuffle of three narrow columns. Shops too large for one task take the same steps
+over rows cut into periods: one prefix count per level of price digits (B5) and
+prefix counts at 90 day offsets (B8).
+
+No pair of a sampled row and another row is made anywhere.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pitwise.functions import exactsum
 from pitwise.functions.encode import BT_COLS, CAT_COLS, infer_category, map_category, onehot_category
 from pitwise.functions.season import SEASON_COLS, season_shop
-from pitwise.functions.timecols import DAY_US, coerce_num, floor_days, from_parts, micros, parts
-from pitwise.operators.scan import probe_scan, segmented_scan
+from pitwise.functions.timecols import DAY_US, coerce_num, floor_days, micros
+from pitwise.operators.dense import dense_features
+from pitwise.operators.scan import KeySizes, key_sizes, offset_scan, segmented_scan
+from pitwise.session import materialize
 from pitwise.sources.schemas import FILE_ORDER, LABELS
 
 WINDOWS = (7, 30, 90)
@@ -36,6 +40,8 @@ MIN_SHOP_ROWS = 45
 SHOP_ROLL = ["order_count", "order_velocity", "revenue_total", "revenue_per_day", "cancel_rate",
              "blocked_rate", "restock_count", "price_change_count", "avg_price_change_pct",
              "latest_cash_balance", "cash_trend", "inventory_trend", "weighted_order_count"]
+#: Features that look at each row of a window.
+DENSE = ("blocked_rate", "weighted_order_count")
 SHOP_DELTA = ["scenario_magnitude", "deviation_from_norm", "history_depth_days",
               "n_past_price_changes", "hist_avg_price_change"]
 ADAPTER_COLS = (["branch_id", "business_id", "category", "branch_type", "committed_at"]
@@ -89,11 +95,11 @@ def prepare_shop_orders(df: DataFrame, tie: list[str] | None = None) -> DataFram
     return out.withColumn("pos", micros(F.col("created_at")))
 
 
-def _running_cash(df: DataFrame, pos: str, order: list[str]) -> DataFrame:
+def _running_cash(df: DataFrame, pos: str, order: list[str], sizes: KeySizes | None) -> DataFrame:
     """Per-shop running total of total_price in file order."""
-    d = df.select("*", *parts("total_price", "_amt"))
-    run = segmented_scan(d, "shop_id", pos, order, sums=["_amt", "_amt_f"], inclusive=True, prefix="cum")
-    return run.withColumn("cash_balance", from_parts("cum_amt", "cum_amt_f")).drop("_amt", "_amt_f", "cum_amt", "cum_amt_f")
+    d = exactsum.split(df.withColumn("_amt", F.col("total_price")), "_amt")
+    run = segmented_scan(d, "shop_id", pos, order, sums=exactsum.names("_amt"), inclusive=True, prefix="cum", sizes=sizes)
+    return run.select(*df.columns, exactsum.total("cum_amt").alias("cash_balance"))
 
 
 def _file_order(df: DataFrame, pos: str, order: list[str] | None) -> tuple[DataFrame, list[str]]:
@@ -108,7 +114,8 @@ def _file_order(df: DataFrame, pos: str, order: list[str] | None) -> tuple[DataF
     return df, order
 
 
-def normalize_retail(df: DataFrame, pos: str = "pos", order: list[str] | None = None) -> DataFrame:
+def normalize_retail(df: DataFrame, pos: str = "pos", order: list[str] | None = None,
+                     sizes: KeySizes | None = None) -> DataFrame:
     """Retail transactions -> shop frame. ``pos``/``order`` give the
     file order (numeric position + tie) used by the running cash proxy."""
     df, order = _file_order(df, pos, order)
@@ -121,13 +128,14 @@ def normalize_retail(df: DataFrame, pos: str = "pos", order: list[str] | None =
         (coerce_num(F.col("quantity")) if "quantity" in df.columns else F.lit(0.0)).alias("inventory_qty"),
         F.col(pos).alias("_pos"), *[F.col(o) for o in order],
     ).filter(F.col("shop_id").isNotNull())
-    d = _running_cash(d, "_pos", order)
+    d = _running_cash(d, "_pos", order, sizes)
     d = d.filter(F.col("created_at").isNotNull())
     return d.select(*SHOP_COLS[:-2], micros(F.col("created_at")).alias("pos"),
                     F.struct(*([F.col(o) for o in order] or [F.col("_pos")])).alias("tie"))
 
 
-def normalize_fashion(df: DataFrame, pos: str = "pos", order: list[str] | None = None) -> DataFrame:
+def normalize_fashion(df: DataFrame, pos: str = "pos", order: list[str] | None = None,
+                      sizes: KeySizes | None = None) -> DataFrame:
     """Fashion sales -> shop frame; Returns > 0 marks the row cancelled at
     its own date."""
     df, order = _file_order(df, pos, order)
@@ -146,7 +154,7 @@ def normalize_fashion(df: DataFrame, pos: str = "pos", order: list[str] | None =
         (coerce_num(F.col("Quantity")) if "Quantity" in df.columns else F.lit(0.0)).alias("inventory_qty"),
         F.col(pos).alias("_pos"), *[F.col(o) for o in order],
     ).filter(F.col("shop_id").isNotNull())
-    d = _running_cash(d, "_pos", order)
+    d = _running_cash(d, "_pos", order, sizes)
     d = d.filter(F.col("created_at").isNotNull())
     return d.select(*SHOP_COLS[:-2], micros(F.col("created_at")).alias("pos"),
                     F.struct(*([F.col(o) for o in order] or [F.col("_pos")])).alias("tie"))
@@ -163,7 +171,7 @@ def shop_stats(shops: DataFrame) -> DataFrame:
         F.mode(F.col("product_type"), True).alias("mode_type"))
 
 
-def indexed(shops: DataFrame) -> DataFrame:
+def indexed(shops: DataFrame, sizes: KeySizes | None = None) -> DataFrame:
     """Row index after the time sort and the previous row's values.
 
     Adds ``idx`` (0-based, (created_at, tie) order), ``prev`` = struct of
@@ -172,7 +180,7 @@ def indexed(shops: DataFrame) -> DataFrame:
         "_pt", F.struct(F.col("pos").alias("t"), F.col("tie").alias("o0"),
                         F.col("cash_balance").alias("cash"), F.col("inventory_qty").alias("inv")))
     run = segmented_scan(d, "shop_id", "pos", ["tie"], sums=["_one"], lasts=["_pt"],
-                         inclusive=False, prefix="b4")
+                         inclusive=False, prefix="b4", sizes=sizes)
     return run.select(*[c for c in run.columns if c not in ("_one", "_pt", "b4_one", "b4_pt")],
                       F.col("b4_one").alias("idx"), F.col("b4_pt").alias("prev"))
 
@@ -194,172 +202,220 @@ def sample_points(ix: DataFrame, stats: DataFrame | None = None, *, min_rows: in
     return s.select("shop_id", "idx", F.col("pos").alias("a"), F.col("created_at").alias("as_of"))
 
 
-def shop_lookups(shops: DataFrame, probes: DataFrame, horizon_days: int = HORIZON_DAYS,
-                 windows: tuple[int, ...] = ()) -> DataFrame:
-    """Point-in-time lookups per probe (shop_id, idx, a[, as_of]) in one probe scan:
-    ``n_pre`` rows before a, ``n_hi`` rows before a + h, ``pre`` / ``post`` the
-    last row (t, tie, cash, inv) before a / before a + h, ``first_t``.
-
-    For ``windows`` (the frame then needs ``prev``, see :func:`indexed`) also
-    ``at`` and ``lo{w}``: prefix sums before a and before a - w days, and
-    ``in{w}``: the first row at or after a - w days."""
-    sums, firsts = ["_one"], []
-    ev = [F.col("pos").alias("t"), F.col("tie"), F.lit(1).cast("long").alias("_one"),
-          F.struct(F.col("pos").alias("t"), F.col("tie").alias("o0"), F.col("cash_balance").alias("cash"),
-                   F.col("inventory_qty").alias("inv")).alias("_pt")]
-    offsets = {"pre": 0, "post": horizon_days}
-    if windows:
-        steps = _steps("cash_balance", "prev.cash", "cash") + _steps("inventory_qty", "prev.inv", "inv")
-        ev += [*parts("total_price", "rev"), F.col("cancelled_at").isNotNull().cast("long").alias("canc"), *steps,
-               F.struct(F.col("pos").alias("t"), F.col("tie").alias("o0"), *steps).alias("_in")]
-        sums += ["rev", "rev_f", "canc", *STEPS]
-        firsts = ["_in"]
-        offsets |= {f"w{w}": -w for w in windows}
-    carried = [c for c in ("a", "as_of") if c in probes.columns]
-    pr = probes.select("shop_id", "idx", *carried, F.inline(F.array(*[
-        F.struct(F.lit(k).alias("which"), (F.col("a") + F.lit(v * DAY_US)).alias("t")) for k, v in offsets.items()])))
-    at = probe_scan(shops.select("shop_id", *ev), pr, "shop_id", "t", ["tie"], sums=sums, lasts=["_pt"],
-                    firsts=firsts, first_t="first_t")
-
-    def of(which: str, value: Column) -> Column:
-        return F.max(F.when(F.col("which") == which, value))
-
-    every = F.struct(*[F.col(f"at_{x}").alias(x.lstrip("_")) for x in sums])
-    aggs = [F.max(c).alias(c) for c in carried]
-    aggs += [of("pre", F.col("at__one")).alias("n_pre"), of("post", F.col("at__one")).alias("n_hi"),
-             of("pre", F.col("at__pt")).alias("pre"), of("post", F.col("at__pt")).alias("post"),
-             of("pre", F.col("first_t")).alias("first_t")]
-    if windows:
-        aggs.append(of("pre", every).alias("at"))
-        for w in windows:
-            aggs += [of(f"w{w}", every).alias(f"lo{w}"), of(f"w{w}", F.col("at_first__in")).alias(f"in{w}")]
-    return at.groupBy("shop_id", "idx").agg(*aggs)
-
-
-#: Differences to the row before, in parts, and whether there is one (cash, then inventory).
-STEPS = [f"d_{x}{part}" for x in ("cash", "inv") for part in ("", "_f", "_n")]
-
-
-def _steps(now: str, before: str, name: str) -> list[Column]:
-    """W3 in parts, which add up exactly: whole part, 1e-9 part, 1 where both rows have a value."""
-    pairs = list(zip(parts(now, "n"), parts(before, "b"), strict=True))
-    whole, rest = [x - y for x, y in pairs]
-    return [whole.alias(f"d_{name}"), rest.alias(f"d_{name}_f"), whole.isNotNull().cast("long").alias(f"d_{name}_n")]
-
-
-def _buckets(probes: DataFrame, days: int) -> DataFrame:
-    return probes.select("shop_id", "idx", "a", F.floor(F.col("a") / F.lit(days * DAY_US)).cast("long").alias("_bk"))
-
-
-def _in_reach(probes: DataFrame, rows: DataFrame, days: int) -> DataFrame:
-    """Rows (shop_id, t, ...) in [a - days, a) of each probe: rows are copied into their own and the next bucket."""
-    bk = F.floor(F.col("t") / F.lit(days * DAY_US)).cast("long")
-    rows = rows.withColumn("_bk", F.explode(F.array(bk, bk + 1)))
-    return (probes.join(rows, ["shop_id", "_bk"])
-            .filter((F.col("t") < F.col("a")) & (F.col("t") >= F.col("a") - F.lit(days * DAY_US))))
-
-
-def recency_weights(ix: DataFrame, probes: DataFrame, windows=WINDOWS) -> DataFrame:
-    """Sum of 1 / max(whole days before a, 1) over each window; one pair per probe and distinct time in its reach."""
-    times = ix.groupBy("shop_id", F.col("pos").alias("t")).agg(F.count(F.lit(1)).alias("_n"))
-    pairs = _in_reach(_buckets(probes, max(windows)), times, max(windows))
-    weight = F.col("_n") / F.greatest(floor_days(F.col("a") - F.col("t")), F.lit(1))
-    return pairs.groupBy("shop_id", "idx").agg(*[
-        F.sum(F.when(F.col("t") >= F.col("a") - F.lit(w * DAY_US), weight)).alias(f"_wt{w}") for w in windows])
-
-
-def blocked_counts(ix: DataFrame, probes: DataFrame, windows=WINDOWS) -> DataFrame:
-    """Cancelled rows above their window's 75th percentile of price, for probes with a cancelled row in reach."""
-    days = max(windows)
-    rows = ix.select("shop_id", F.col("pos").alias("t"), F.col("total_price").alias("price"),
-                     F.col("cancelled_at").isNotNull().alias("canc"))
-    bk = F.floor(F.col("t") / F.lit(days * DAY_US)).cast("long")
-    near = rows.filter("canc").select("shop_id", F.explode(F.array(bk, bk + 1)).alias("_bk")).distinct()
-    pairs = _in_reach(_buckets(probes, days).join(near, ["shop_id", "_bk"], "left_semi"), rows, days)
-    pairs = pairs.select("*", *[
-        F.expr(f"percentile(CASE WHEN t >= a - {w * DAY_US} THEN price END, 0.75) OVER (PARTITION BY shop_id, idx)")
-        .alias(f"_q{w}") for w in windows])
-    return pairs.filter("canc").groupBy("shop_id", "idx").agg(*[
-        F.count(F.when((F.col("t") >= F.col("a") - F.lit(w * DAY_US)) & (F.col("price") > F.col(f"_q{w}")), 1))
-        .alias(f"_bl{w}") for w in windows])
-
-
-def window_features(ix: DataFrame, probes: DataFrame, windows=WINDOWS, lookups: DataFrame | None = None,
-                    keep: tuple = ()) -> DataFrame:
-    """B1-B8 per probe (shop_id, idx, a) for each window, and ``keep``: more columns of the lookups.
-
-    Counts, revenue, cancellations, trends and the latest cash come from
-    :func:`shop_lookups`; B5 and B8 from the two joins above."""
-    if lookups is None:
-        lookups = shop_lookups(ix, probes, windows=windows)
-    g = (lookups.join(recency_weights(ix, probes, windows), ["shop_id", "idx"], "left")
-         .join(blocked_counts(ix, probes, windows), ["shop_id", "idx"], "left"))
-    out = [F.col("shop_id"), F.col("idx"), *keep]
+#: Digits of a price number in hot shops: each level of the descent tells so many apart.
+DIGITS = 16
+def _numbered(shops: DataFrame, sizes: KeySizes, periods: int) -> DataFrame:
+    """Shop rows with idx, the shop's n_rows, first_t, last_t, mode_type, the steps to the row before (``d_``) and to the
+    row after (``e_``), and, for hot shops, ``code``: numbers in the order of the shop's prices, equal for equal ones."""
+    price = F.when(~F.isnan("total_price"), F.col("total_price"))
+    rows = shops.withColumn("price", price)
+    rows = exactsum.split(rows.select("*", F.col("price").alias("rev"), F.col("cash_balance").alias("cash"),
+                                      F.col("inventory_qty").cast("double").alias("inv")), "rev", "cash", "inv")
+    near = [*exactsum.limbs("cash"), *exactsum.limbs("inv")]
+    by, order = "PARTITION BY shop_id", "PARTITION BY shop_id ORDER BY pos, tie"
+    if not periods:
+        rows = rows.selectExpr("*", f"count(1) OVER ({by}) AS n_rows", f"min(pos) OVER ({by}) AS first_t", f"max(pos) OVER ({by}) AS last_t",
+                               f"mode() WITHIN GROUP (ORDER BY product_type) OVER ({by}) AS mode_type")
+        rows = rows.selectExpr("*", f"CAST(row_number() OVER ({order}) - 1 AS BIGINT) AS idx",
+                               *[f"lag({x}) OVER ({order}) AS _b_{x}" for x in near], *[f"lead({x}) OVER ({order}) AS _a_{x}" for x in near])
+        rows = rows.withColumn("code", F.lit(None).cast("long"))
+    else:
+        rows = indexed(rows, sizes).drop("prev")
+        for name, shift in (("_b_", 1), ("_a_", -1)):
+            other = rows.select(F.col("shop_id").alias("_s"), (F.col("idx") + shift).alias("_i"), *[F.col(x).alias(name + x) for x in near])
+            rows = rows.join(other, (F.col("shop_id") == F.col("_s")) & (F.col("idx") == F.col("_i")), "left").drop("_s", "_i")
+        prices = rows.where("price IS NOT NULL").select("shop_id", "price").distinct().withColumn("_one", F.lit(1).cast("long"))
+        codes = segmented_scan(prices, "shop_id", "price", sums=["_one"], inclusive=False, prefix="c", sizes=sizes)
+        rows = rows.join(codes.select("shop_id", "price", F.col("c_one").alias("code")), ["shop_id", "price"], "left")
+        rows = rows.join(shop_stats(shops), "shop_id")
+    # Differences to the row before (d) and from this row to the next (e), where both have a finite value
+    steps = [f"{x} - _b_{x} AS d_{x}" for x in near] + [f"_a_{x} - {x} AS e_{x}" for x in near]
+    steps += [f"CASE WHEN {x}_0 IS NOT NULL AND _{k}_{x}_0 IS NOT NULL THEN 1L END AS {p}_{x}_n"
+              for x in ("cash", "inv") for k, p in (("b", "d"), ("a", "e"))]
+    return rows.selectExpr(
+        "shop_id", "idx", "pos", "created_at", "price", "code", "n_rows", "first_t", "last_t", "mode_type", "1L AS one",
+        "CAST(cancelled_at IS NOT NULL AS BIGINT) AS canc", *exactsum.names("rev"), *steps,
+        "struct(pos AS t, tie AS o0, cash_balance AS cash, inventory_qty AS inv) AS last")
+
+
+def _sampled(min_rows: int | None, horizon_days: int | None) -> Column:
+    """F6 (+F5, F7) over the columns of :func:`_numbered`."""
+    cond = (F.col("idx") >= FIRST_SAMPLE) & (F.pmod(F.col("idx") - FIRST_SAMPLE, F.lit(SAMPLE_EVERY)) == 0)
+    if min_rows is not None:
+        cond = cond & (F.col("n_rows") >= min_rows)
+    if horizon_days is not None:
+        cond = cond & (F.col("pos") + F.lit(horizon_days * DAY_US) <= F.col("last_t"))
+    return cond
+
+
+def _blocked_hot(rows: DataFrame, codes: int, windows: tuple[int, ...], periods: int) -> DataFrame:
+    """The asking rows of ``rows`` (shop_id, idx, pos, code, canc, _asks) with ``bl{w}``: cancelled rows of the window above its 75th percentile of price.
+
+    With n prices in a window the percentile lies between order statistics k = floor(0.75 (n - 1)) and k + 1, and a price
+    is above it exactly if it is above statistic k. ``codes``: a number above all price numbers. Each asking row becomes
+    one row per window, which moves through the digits of the code of its statistic k; rows move through those of their own.
+    """
+    levels, span = 1, DIGITS
+    while span < codes:
+        levels, span = levels + 1, span * DIGITS
+    # the row itself (w = 0), and for an asking row one more for each window
+    point = "struct(0 AS w, code AS c, canc AS cc)"
+    asks = ", ".join(f"struct({w} AS w, CAST(NULL AS BIGINT) AS c, CAST(NULL AS BIGINT) AS cc)" for w in windows)
+    now = rows.selectExpr("shop_id", "idx", "pos", f"inline(if(_asks, array({point}, {asks}), array({point})))")
+    now = now.selectExpr("*", "0L AS path", "CAST(NULL AS BIGINT) AS k", "0L AS above")
+    at = {0: 0} | {w: -w * DAY_US for w in windows}
+    every = range(DIGITS)
+    counts = [f"n{j}" for j in every] + [f"x{j}" for j in every]
+    for level in range(levels):
+        span //= DIGITS
+        base = now.columns
+        points = now.selectExpr("*", "w > 0 AS _asks", f"CAST(floor(c / {span}) % {DIGITS} AS INT) AS _d")
+        # rows, and cancelled rows, of a digit of at most j
+        points = points.selectExpr("*", *[f"if(_d <= {j}, 1L, NULL) AS n{j}" for j in every], *[f"if(_d <= {j}, cc, NULL) AS x{j}" for j in every])
+        seen = offset_scan(points, ["shop_id", "path"], "pos", at, ids=["idx", "w"], sums=counts, periods=periods)
+        before = {x: f"CASE w {' '.join(f'WHEN {w} THEN `{x}@{w}`' for w in windows)} END" for x in counts}
+        seen = seen.selectExpr(*base, "_d", *[f"`{x}@0` - {before[x]} AS {x}" for x in counts])
+        seen = seen.unionByName(points.where("w = 0").select(*base, "_d"), allowMissingColumns=True)
+        if not level:
+            seen = seen.withColumn("k", F.expr(f"if(w > 0, CAST(floor((n{DIGITS - 1} - 1) * 0.75D) AS BIGINT), NULL)"))
+        # the digit of statistic k: as many digits lie below it as have a running count of at most k
+        seen = seen.selectExpr(*base, "_d", f"array({', '.join(f'x{j}' for j in every)}) AS _x", f"x{DIGITS - 1} AS _all",
+                               " + ".join(f"if(n{j} <= k, 1, 0)" for j in every) + " AS _s",
+                               f"greatest({', '.join(f'if(n{j} <= k, n{j}, 0L)' for j in every)}) AS _below")
+        # an empty window has k = -1 and goes nowhere (path -1), like a row without price (-2)
+        now = seen.selectExpr(
+            *[c for c in base if c not in ("path", "k", "above")],
+            f"CASE WHEN w = 0 THEN coalesce(path * {DIGITS} + _d, -2L) WHEN k >= 0 THEN path * {DIGITS} + _s ELSE -1L END AS path",
+            "CASE WHEN k >= 0 THEN k - _below ELSE k END AS k",
+            "CASE WHEN w > 0 AND k >= 0 THEN above + _all - get(_x, _s) ELSE above END AS above")
+    return now.where("w > 0").groupBy("shop_id", "idx").agg(*[F.max(F.when(F.col("w") == w, F.col("above"))).alias(f"bl{w}") for w in windows])
+
+
+def sampled_rows(shops: DataFrame, *, min_rows: int | None = None, horizon_check: bool = False, horizon_days: int = HORIZON_DAYS,
+                 windows: tuple[int, ...] = WINDOWS, dense: bool = True, sizes: KeySizes | None = None) -> DataFrame:
+    """One row per sampled row (F6; F5 and F7 with ``min_rows`` / ``horizon_check``): shop_id, idx, a (micros), as_of,
+    first_t, mode_type, n_rows, the labels B12 and the window features B1-B9 (B5 and B8 only if ``dense``)."""
+    sizes = sizes or key_sizes(shops, "shop_id")
+    args = (min_rows, horizon_days if horizon_check else None, horizon_days, windows, dense)
+    out = _sampled_part(sizes.part(shops, hot=False), sizes, 0, *args)
+    if sizes.hot is not None:
+        out = out.unionByName(_sampled_part(sizes.part(shops, hot=True), sizes, sizes.periods(), *args))
+    return out
+
+
+def _dense_cold(shops: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """(shop_id, idx, bl{w}, wt{w}) of sampled rows; the rows of a shop in one task, in time order."""
+    rows = shops.selectExpr("shop_id", "pos", "total_price AS price", "cancelled_at IS NOT NULL AS canc")
+    rows = rows.repartition("shop_id").sortWithinPartitions("shop_id", "pos")
+    fields = [f"bl{w} long" for w in windows] + [f"wt{w} double" for w in windows]
+    return rows.mapInArrow(dense_features(windows, FIRST_SAMPLE, SAMPLE_EVERY, DAY_US), f"shop_id string, idx long, {', '.join(fields)}")
+
+
+def _sampled_part(shops: DataFrame, sizes: KeySizes, periods: int, min_rows: int | None, until: int | None, horizon_days: int,
+                  windows: tuple[int, ...], dense: bool) -> DataFrame:
+    rows = _numbered(shops, sizes, periods).withColumn("_asks", _sampled(min_rows, until))
+    parts = exactsum.names("rev") + [n for x in ("cash", "inv") for p in "de" for n in [*exactsum.limbs(f"{p}_{x}"), f"{p}_{x}_n"]]
+    at = {"now": 0, "post": horizon_days * DAY_US} | {f"lo{w}": -w * DAY_US for w in windows}
+    if periods:
+        rows = materialize(rows)
+    seen = offset_scan(rows, "shop_id", "pos", at, ids=["idx"], sums=["one", "canc", *parts], lasts=["last"], periods=periods).where("_asks")
+    feats = seen.select("shop_id", "idx", "pos", "created_at", "first_t", "n_rows", "mode_type", *_window_columns(windows),
+                        *label_columns(horizon_days))
+    if not dense:
+        found = None
+    elif not periods:
+        found = _dense_cold(shops, windows)
+    else:
+        # rows at most d days old, counted before a - d days and including that instant
+        days = {f"d{d}": -d * DAY_US + 1 for d in range(1, max(windows) + 1)} | {k: v for k, v in at.items() if k != "post"}
+        aged = offset_scan(rows.select("shop_id", "idx", "pos", "one", "_asks"), "shop_id", "pos", days, ids=["idx"], sums=["one"], periods=periods)
+        aged = aged.selectExpr("shop_id", "idx", *[f"CAST({x} AS DOUBLE) AS wt{w}" for w, x in _weights(windows).items()])
+        blocked = _blocked_hot(rows.select("shop_id", "idx", "pos", "code", "canc", "_asks"), sizes.hot_rows, windows, periods)
+        found = blocked.join(aged, ["shop_id", "idx"])
+    if found is None:
+        feats = feats.select("*", *[F.lit(None).cast(t).alias(f"{c}{w}") for c, t in (("bl", "long"), ("wt", "double")) for w in windows])
+    else:
+        feats = feats.join(found, ["shop_id", "idx"], "left")
+    late = [c for w in windows for c in (
+        f"bl{w} * if(w{w}_order_count > 0, 1D / w{w}_order_count, 0D) AS w{w}_blocked_rate", f"wt{w} AS w{w}_weighted_order_count")]
+    return feats.selectExpr("shop_id", "idx", "pos AS a", "created_at AS as_of", "first_t", "n_rows", "mode_type",
+                            *[f"w{w}_{c}" for w in windows for c in SHOP_ROLL if c not in DENSE], *late, *LABELS)
+
+
+def _weights(windows: tuple[int, ...]) -> dict[int, str]:
+    """A row is d days old if it lies after a - (d + 1) days and not after a - d days; ages below one day weigh as one."""
+    out, terms = {}, ["(`one@now` - `one@d1`)"]
+    for d in range(1, max(windows) + 1):
+        if d in windows:
+            out[d] = " + ".join([*terms, f"(`one@d{d}` - `one@lo{d}`) / {float(d)}D"])
+        terms.append(f"(`one@d{d}` - `one@d{d + 1}`) / {float(d)}D")
+    return out
+
+
+def _window_columns(windows: tuple[int, ...]) -> list[Column]:
+    """B1-B4 and B6-B9 of each window from the sums at offsets."""
+    out = []
     for w in windows:
-        def total(name: str, w=w) -> Column:
-            return F.col(f"at.{name}") - F.col(f"lo{w}.{name}")
-
-        def step(name: str, w=w) -> Column:
-            # the first row's difference reaches out of the window
-            return total(name) - F.when(n > 0, F.coalesce(F.col(f"in{w}.{name}"), F.lit(0))).otherwise(F.lit(0))
+        def total(name: str, before: str | None = None, w=w) -> str:
+            return f"(`{name}@now` - `{before or name}@lo{w}`)"
 
-        n = total("one")
-        rev = from_parts(total("rev"), total("rev_f"))
+        n = F.expr(total("one"))
+        rev = exactsum.total("rev", total)
         rate = F.when(n > 0, F.lit(1.0) / n).otherwise(F.lit(0.0))
-        trend = {x: F.coalesce(F.try_divide(from_parts(step(f"d_{x}"), step(f"d_{x}_f")), step(f"d_{x}_n")), F.lit(0.0))
-                 for x in ("cash", "inv")}
+        trend = {}
+        for x in ("cash", "inv"):
+            # the steps into rows before a, less those out of rows before a - w (the first one reaches into the window)
+            def step(part: str) -> str:
+                return "0L" if part.endswith("_i") else total(part, "e" + part[1:])
+
+            mean = F.try_divide(exactsum.total(f"d_{x}", step), F.expr(step(f"d_{x}_n")))
+            trend[x] = F.when(n > 0, F.coalesce(mean, F.lit(0.0))).otherwise(F.lit(0.0))
         out += [
             n.alias(f"w{w}_order_count"),
             (n / F.lit(float(w))).alias(f"w{w}_order_velocity"),
             rev.alias(f"w{w}_revenue_total"),
             (rev / F.lit(float(w))).alias(f"w{w}_revenue_per_day"),
-            (total("canc") * rate).alias(f"w{w}_cancel_rate"),
-            (F.coalesce(F.col(f"_bl{w}"), F.lit(0)) * rate).alias(f"w{w}_blocked_rate"),
+            (F.expr(total("canc")) * rate).alias(f"w{w}_cancel_rate"),
             F.lit(0).cast("long").alias(f"w{w}_restock_count"),
             F.lit(0).cast("long").alias(f"w{w}_price_change_count"),
             F.lit(0.0).alias(f"w{w}_avg_price_change_pct"),
-            F.when(n > 0, F.col("pre.cash")).otherwise(F.lit(0.0)).alias(f"w{w}_latest_cash_balance"),
+            F.when(n > 0, F.col("`last@now`.cash")).otherwise(F.lit(0.0)).alias(f"w{w}_latest_cash_balance"),
             trend["cash"].alias(f"w{w}_cash_trend"),
             trend["inv"].alias(f"w{w}_inventory_trend"),
-            F.coalesce(F.col(f"_wt{w}"), F.lit(0.0)).alias(f"w{w}_weighted_order_count"),
         ]
-    return g.select(*out)
+    return out
+
+
+def window_features(shops: DataFrame, windows: tuple[int, ...] = WINDOWS, dense: bool = True, sizes: KeySizes | None = None) -> DataFrame:
+    """B1-B9 of every sampled row (shop_id, idx); B5 and B8 only if ``dense``."""
+    return sampled_rows(shops, windows=windows, dense=dense, sizes=sizes).select(
+        "shop_id", "idx", *[f"w{w}_{c}" for w in windows for c in SHOP_ROLL])
 
 
 def label_columns(horizon_days: int = HORIZON_DAYS) -> list[Column]:
-    """B12 from the columns of :func:`shop_lookups`: pre = rows before a, post = rows in [a, a + h); NULL when
+    """B12 from the values at offsets: pre = rows before a, post = rows in [a, a + h); NULL when
     either is empty (those rows are dropped later, F8)."""
-    n_pre = F.coalesce(F.col("n_pre"), F.lit(0))
-    n_post = F.coalesce(F.col("n_hi"), F.lit(0)) - n_pre
+    n_pre = F.col("`one@now`")
+    n_post = F.col("`one@post`") - n_pre
     ok = (n_pre > 0) & (n_post > 0)
-    pre_v = n_pre / F.greatest(floor_days(F.col("a") - F.col("first_t")), F.lit(1))
+    pre_v = n_pre / F.greatest(floor_days(F.col("pos") - F.col("first_t")), F.lit(1))
     post_v = n_post / F.lit(float(horizon_days))
-    return [F.when(ok, F.col("post.inv") - F.col("pre.inv")).alias("label_inventory_delta"),
-            F.when(ok, F.col("post.cash") - F.col("pre.cash")).alias("label_cashflow_delta"),
+    return [F.when(ok, F.col("`last@post`.inv") - F.col("`last@now`.inv")).alias("label_inventory_delta"),
+            F.when(ok, F.col("`last@post`.cash") - F.col("`last@now`.cash")).alias("label_cashflow_delta"),
             F.when(ok, post_v - pre_v).alias("label_order_velocity_delta")]
 
 
-def labels(shops: DataFrame, probes: DataFrame, horizon_days: int = HORIZON_DAYS) -> DataFrame:
-    """14-day outcome labels by point-in-time lookups at a and a + h."""
-    return shop_lookups(shops, probes, horizon_days).select("shop_id", "idx", *label_columns(horizon_days))
+def labels(shops: DataFrame, horizon_days: int = HORIZON_DAYS, sizes: KeySizes | None = None) -> DataFrame:
+    """14-day outcome labels of every sampled row, from the values at a and a + h."""
+    return sampled_rows(shops, horizon_days=horizon_days, dense=False, sizes=sizes).select("shop_id", "idx", *LABELS)
 
 
 def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
                  min_rows: int | None = None, horizon_check: bool = False,
-                 horizon_days: int = HORIZON_DAYS) -> DataFrame:
-    """Shared body of T2/T3 on a prepared shop frame.
-
-    The shop frame and its indexed form feed several consumers (stats,
-    sampling, pairs, labels); each reads only the columns it needs."""
-    stats = shop_stats(shops)
-    ix = indexed(shops)
-    probes = sample_points(ix, stats, min_rows=min_rows,
-                           horizon_days=horizon_days if horizon_check else None)
-    # One scan of lookups gives the labels and the additive window features.
-    look = shop_lookups(ix, probes, horizon_days, WINDOWS)
-    feats = window_features(ix, probes, lookups=look, keep=(F.col("a"), F.col("as_of"), *label_columns(horizon_days)))
+                 horizon_days: int = HORIZON_DAYS, sizes: KeySizes | None = None) -> DataFrame:
+    """Shared body of T2/T3 on a prepared shop frame."""
+    p = sampled_rows(shops, min_rows=min_rows, horizon_check=horizon_check, horizon_days=horizon_days, sizes=sizes)
     cat = categorize(F.col("mode_type"))
-    p = feats.join(stats.select("shop_id", F.col("first_t").alias("_t0"), "mode_type"), "shop_id")
     p = p.withColumn("category", cat)
     season = season_shop(F.col("as_of"))
     cols = {
@@ -374,7 +430,7 @@ def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
     cols.update({
         "scenario_magnitude": F.lit(0.0),
         "deviation_from_norm": F.lit(0.0),
-        "history_depth_days": floor_days(F.col("a") - F.col("_t0")),
+        "history_depth_days": floor_days(F.col("a") - F.col("first_t")),
         "n_past_price_changes": F.lit(0).cast("long"),
         "hist_avg_price_change": F.lit(0.0),
     })
@@ -386,14 +442,14 @@ def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
     return out.dropna(subset=LABELS)
 
 
-def shop_training_rows(shops: DataFrame, horizon_days: int = HORIZON_DAYS) -> DataFrame:
+def shop_training_rows(shops: DataFrame, horizon_days: int = HORIZON_DAYS, sizes: KeySizes | None = None) -> DataFrame:
     """Order export -> training rows (category by ordered substring map)."""
     return adapter_rows(shops, "shopify", "shopify_order", map_category,
-                        horizon_days=horizon_days)
+                        horizon_days=horizon_days, sizes=sizes)
 
 
-def txn_training_rows(shops: DataFrame, horizon_days: int = HORIZON_DAYS) -> DataFrame:
+def txn_training_rows(shops: DataFrame, horizon_days: int = HORIZON_DAYS, sizes: KeySizes | None = None) -> DataFrame:
     """Normalised transactions -> training rows (>= 45 rows per shop,
     future horizon available, category by keyword lists)."""
     return adapter_rows(shops, "kaggle", "kaggle_transaction", infer_category,
-                        min_rows=MIN_SHOP_ROWS, horizon_check=True, horizon_days=horizon_days)
+                        min_rows=MIN_SHOP_ROWS, horizon_check=True, horizon_days=horizon_days, sizes=sizes)

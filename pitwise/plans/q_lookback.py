@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pitwise.functions.timecols import from_micros, micros
-from pitwise.operators.lookback import (ROLL_COLS, WINDOWS, history_columns, lookback_raw,
+from pitwise.operators.lookback import (NEEDS, ROLL_COLS, WINDOWS, history_columns, lookback_raw,
                                         normalize_monetary, rolling_columns)
 from pitwise.plans.oracle_lookback import lookback_ctes, training_rows_sql
 from pitwise.plans.oracle_views import with_views
@@ -14,15 +14,15 @@ from pitwise.plans.training import committed_with_outcome, dedup_outcomes, train
 from pitwise.sources import views as V
 
 
-def _all_raw(spark, d) -> DataFrame:
+def _all_raw(spark, d, needs: list[str] | None = None) -> DataFrame:
     """Lookback prefix table for every scenario (all branches)."""
     b = V.branches(spark, d)
-    return lookback_raw(V.commits(spark, d), b.select("branch_id", "business_id", "committed_at"))
+    return lookback_raw(V.commits(spark, d), b.select("branch_id", "business_id", "committed_at"), needs=needs)
 
 
 def _roll_query(spark, d, feature: str) -> DataFrame:
-    raw = _all_raw(spark, d)
-    cols = rolling_columns(raw, rounded=False)
+    raw = _all_raw(spark, d, NEEDS[feature])
+    cols = rolling_columns(raw, rounded=False, only=[feature])
     return raw.select("branch_id", *[cols[f"w{w}_{feature}"].alias(f"w{w}_{feature}") for w in WINDOWS])
 
 

@@ -16,8 +16,8 @@ from pitwise.sources import views as V
 W3 = (7, 30, 90)
 
 
-def shops(spark, d) -> DataFrame:
-    return S.prepare_shop_orders(V.shop_orders(spark, d))
+def shops(spark, d, sizes=None) -> DataFrame:
+    return S.prepare_shop_orders(V.shop_orders(spark, d, sizes))
 
 
 def _with_pos(df: DataFrame) -> DataFrame:
@@ -26,15 +26,15 @@ def _with_pos(df: DataFrame) -> DataFrame:
     return df.withColumn("pos", F.col("row_seq.l_orderkey"))
 
 
-def retail(spark, d) -> DataFrame:
-    return S.normalize_retail(_with_pos(V.retail_txn(spark, d)), pos="pos", order=["row_seq"])
+def retail(spark, d, sizes=None) -> DataFrame:
+    return S.normalize_retail(_with_pos(V.retail_txn(spark, d)), pos="pos", order=["row_seq"], sizes=sizes)
 
 
-def fashion(spark, d, drop: tuple[str, ...] = ()) -> DataFrame:
+def fashion(spark, d, drop: tuple[str, ...] = (), sizes=None) -> DataFrame:
     df = _with_pos(V.fashion_sales(spark, d))
     if drop:
         df = df.drop(*drop)
-    return S.normalize_fashion(df, pos="pos", order=["row_seq"])
+    return S.normalize_fashion(df, pos="pos", order=["row_seq"], sizes=sizes)
 
 
 _NORM_COLS = ["shop_id", "created_at", "total_price", "cancelled_at", "product_type",
@@ -44,19 +44,22 @@ _NORM_COLS = ["shop_id", "created_at", "total_price", "cancelled_at", "product_t
 @query("shop_training_rows", adapter_sql("shop"))
 def shop_training_rows(spark, d):
     """Order export -> 77-column training rows."""
-    return S.shop_training_rows(shops(spark, d))
+    sizes = V.shop_sizes(spark, d)
+    return S.shop_training_rows(shops(spark, d, sizes=sizes), sizes=sizes)
 
 
 @query("txn_training_rows", adapter_sql("retail"))
 def txn_training_rows(spark, d):
     """T3 (retail transactions): normalise, >= 45 rows, horizon check, features."""
-    return S.txn_training_rows(retail(spark, d))
+    sizes = V.shop_sizes(spark, d)
+    return S.txn_training_rows(retail(spark, d, sizes=sizes), sizes=sizes)
 
 
 @query("txn_training_rows_fashion", adapter_sql("fashion"))
 def txn_training_rows_fashion(spark, d):
     """T3 (fashion sales): same transform on the fashion normaliser."""
-    return S.txn_training_rows(fashion(spark, d))
+    sizes = V.shop_sizes(spark, d)
+    return S.txn_training_rows(fashion(spark, d, sizes=sizes), sizes=sizes)
 
 
 @query("norm_retail", so_sql(f"SELECT {', '.join(_NORM_COLS)} FROM so", "retail"))
@@ -126,7 +129,7 @@ def drop_null_labels(spark, d):
     """F8: sampled rows vs rows kept after dropping NULL labels, per shop."""
     sh = shops(spark, d)
     sp = S.sample_points(S.indexed(sh))
-    lab = S.labels(sh, sp)
+    lab = S.labels(sh)
     kept = F.col("label_inventory_delta").isNotNull() & F.col("label_cashflow_delta").isNotNull() \
         & F.col("label_order_velocity_delta").isNotNull()
     return (sp.join(lab, ["shop_id", "idx"], "left").groupBy("shop_id")
@@ -200,9 +203,9 @@ def sort_group(spark, d):
 
 # -- B family: window features of every sampled shop row (before F8) --------
 
-def _bfeat(spark, d) -> DataFrame:
-    ix = S.indexed(shops(spark, d))
-    return S.window_features(ix, S.sample_points(ix))
+def _bfeat(spark, d, dense: bool) -> DataFrame:
+    sizes = V.shop_sizes(spark, d)
+    return S.window_features(shops(spark, d, sizes), dense=dense, sizes=sizes)
 
 
 def _bsql(cols: list[str]) -> str:
@@ -214,7 +217,7 @@ def _bsql(cols: list[str]) -> str:
 
 def _register_b(key: str, cols: list[str], doc: str) -> None:
     def _q(spark, d):
-        f = _bfeat(spark, d)
+        f = _bfeat(spark, d, cols[0] in S.DENSE)
         return f.select("shop_id", "idx", *[f"w{w}_{c}" for c in cols for w in W3])
     _q.__doc__ = doc
     query(key, _bsql(cols))(_q)
@@ -269,8 +272,8 @@ def shop_history_depth(spark, d):
                                "label_order_velocity_delta FROM labc"))
 def shop_labels(spark, d):
     """14-day labels (NULL when the pre or post window is empty)."""
-    sh = shops(spark, d)
-    return S.labels(sh, S.sample_points(S.indexed(sh)))
+    sizes = V.shop_sizes(spark, d)
+    return S.labels(shops(spark, d, sizes), sizes=sizes)
 
 
 @query("adapter_counts",
@@ -279,7 +282,7 @@ def shop_labels(spark, d):
 def adapter_counts(spark, d):
     """Training rows produced and distinct shops in the input."""
     sh = shops(spark, d)
-    t2 = S.shop_training_rows(sh)
+    t2 = S.labels(sh).dropna(subset=S.LABELS)
     n_rows = t2.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("_k", F.lit(1))
     n_shops = sh.agg(F.count_distinct("shop_id").alias("n_shops")).withColumn("_k", F.lit(1))
     return n_rows.join(n_shops, "_k").drop("_k")

@@ -76,7 +76,7 @@ def training_rows(commits: DataFrame, branches: DataFrame, outcomes: DataFrame,
     ``rounded=True`` rounds where the reference rounds; ``rounded=False``
     keeps full precision everywhere (used by the SQL cross-checks)."""
     sel = committed_with_outcome(branches, outcomes)
-    raw = lookback_raw(commits, sel.select("branch_id", "business_id", "committed_at"))
+    raw = lookback_raw(commits, sel.select("branch_id", "business_id", "committed_at"), counted=branches)
     rows = sel.join(raw, "branch_id", "inner")
     feats = scenario_feature_columns(rows, rounded)
     rows = rows.filter(feats["n_prior"] >= min_prior)
@@ -94,7 +94,7 @@ def skip_report(commits: DataFrame, branches: DataFrame, outcomes: DataFrame,
                 min_prior: int = MIN_PRIOR_COMMITS) -> DataFrame:
     """F4 / A21 side report: kept vs skipped scenarios (insufficient history)."""
     sel = committed_with_outcome(branches, outcomes)
-    raw = lookback_raw(commits, sel.select("branch_id", "business_id", "committed_at"))
+    raw = lookback_raw(commits, sel.select("branch_id", "business_id", "committed_at"), counted=branches)
     return (raw.select(F.when(F.col("n_all@0") >= min_prior, "kept").otherwise("skipped").alias("status"))
             .groupBy("status").agg(F.count(F.lit(1)).alias("n")))
 

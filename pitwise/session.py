@@ -16,6 +16,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Methods of more bytecode are not compiled by the JVM: plans of very wide
+    # rows then run operator by operator, with expressions in methods of their own.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # Static (builder-time) settings. Plans here are wide (dozens of feature

@@ -17,8 +17,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pitwise.functions.timecols import from_parts, micros, parts
-from pitwise.operators.scan import segmented_scan
+from pitwise.functions import exactsum
+from pitwise.functions.timecols import micros
+from pitwise.operators.scan import KeySizes, key_sizes, segmented_scan
 
 
 # Tie key of lineitem rows within one supplier and ship date; unique at all
@@ -164,7 +165,12 @@ def _lineitem_typed(spark: SparkSession, d: str) -> DataFrame:
     return li.join(part, li.l_partkey == part.p_partkey, "left")
 
 
-def shop_orders(spark: SparkSession, d: str) -> DataFrame:
+def shop_sizes(spark: SparkSession, d: str) -> KeySizes:
+    """Rows of each shop, counted on the key column of the line items alone."""
+    return key_sizes(_read(spark, d, "lineitem").select(_s(F.col("l_suppkey")).alias("shop_id")), "shop_id")
+
+
+def shop_orders(spark: SparkSession, d: str, sizes: KeySizes | None = None) -> DataFrame:
     """Order export view; ``tie`` orders rows of one shop at one timestamp;
     ``cash_balance`` is the running total of ``total_price`` per shop."""
     li = _lineitem_typed(spark, d)
@@ -177,12 +183,13 @@ def shop_orders(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("inventory_qty"),
         F.struct(*[F.col(c) for c in LINEITEM_TIE]).alias("tie"),
         micros(F.col("l_shipdate")).alias("_t"),
-        *parts("l_extendedprice", "_amt"),
+        F.col("l_extendedprice").alias("_amt"),
     )
-    run = segmented_scan(base, "shop_id", "_t", ["tie"], sums=["_amt", "_amt_f"], inclusive=True,
-                         prefix="cum")
+    base = exactsum.split(base, "_amt")
+    run = segmented_scan(base, "shop_id", "_t", ["tie"], sums=exactsum.names("_amt"), inclusive=True,
+                         prefix="cum", sizes=sizes or shop_sizes(spark, d))
     return run.select("shop_id", "created_at", "total_price", "cancelled_at", "product_type",
-                      "inventory_qty", from_parts("cum_amt", "cum_amt_f").alias("cash_balance"),
+                      "inventory_qty", exactsum.total("cum_amt").alias("cash_balance"),
                       "tie")
 
 

@@ -1,5 +1,6 @@
 """Order-export adapter edges (E17-E20) and sampling rules."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitwise.operators import shops as S
+from pitwise.operators import dense, scan, shops as S
 
 
 def _shop(spark, n, shop="s1", start=datetime(2024, 1, 1), step_days=1, ptypes=None, cash=True):
@@ -45,8 +46,7 @@ def test_horizon_equal_kept_e18(spark):
 
 def test_single_row_window_trend_zero_e19(spark):
     sh = _shop(spark, 40, step_days=5)        # exactly one row in each 7-day window
-    ix = S.indexed(sh)
-    f = S.window_features(ix, S.sample_points(ix)).first()
+    f = S.window_features(sh).first()
     assert f["w7_order_count"] == 1
     assert f["w7_cash_trend"] == 0.0 and f["w7_inventory_trend"] == 0.0
 
@@ -59,8 +59,7 @@ def test_mode_tie_smallest_e20(spark):
 
 def test_labels_and_velocity(spark):
     sh = _shop(spark, 50)
-    ix = S.indexed(sh)
-    lab = {r["idx"]: r for r in S.labels(sh, S.sample_points(ix)).collect()}
+    lab = {r["idx"]: r for r in S.labels(sh).collect()}
     r = lab[30]          # pre = days 0..29 (30 rows), post = days 30..43 (14 rows)
     assert r["label_order_velocity_delta"] == pytest.approx(14 / 14 - 30 / 30)
     assert r["label_inventory_delta"] == (100 - 43) - (100 - 29)
@@ -99,7 +98,8 @@ def _brute_windows(rows, a, w):
             inside[-1][4], mean[0], mean[1], sum(1 / max((a - r[0]).days, 1) for r in inside)]
 
 
-def test_window_features_equal_brute_force(spark):
+@pytest.mark.parametrize("cut", [False, True])
+def test_window_features_equal_brute_force(spark, monkeypatch, cut):
     """Times inside days, ties, long gaps, cancelled rows, missing cash and amounts below a cent."""
     rnd = random.Random(5)
     data, t = {"a": [], "b": []}, {}
@@ -113,8 +113,10 @@ def test_window_features_equal_brute_force(spark):
                                 for s in data for i, r in enumerate(data[s])],
                                "shop_id string, created_at timestamp_ntz, total_price double, cancelled_at timestamp_ntz, "
                                "product_type string, inventory_qty double, cash_balance double, seq long")
-    ix = S.indexed(S.prepare_shop_orders(df, tie=["seq"]))
-    got = S.window_features(ix, S.sample_points(ix)).collect()
+    if cut:
+        monkeypatch.setattr(scan, "HEAVY_KEY_ROWS", 0)
+        monkeypatch.setattr(scan, "TARGET_PERIOD_ROWS", 50)
+    got = S.window_features(S.prepare_shop_orders(df, tie=["seq"])).collect()
     assert len(got) == 2 * len(range(30, 160, 7))
     names = ["order_count", "revenue_total", "cancel_rate", "blocked_rate", "latest_cash_balance", "cash_trend",
              "inventory_trend", "weighted_order_count"]
@@ -127,13 +129,65 @@ def test_window_features_equal_brute_force(spark):
             assert [x or 0.0 for x in have] == pytest.approx([x or 0.0 for x in want], rel=1e-9, abs=1e-9), (r["shop_id"], r["idx"], w)
 
 
-def test_recency_pairs_stay_bounded_when_density_grows(spark):
-    """Ten times the orders a day: each probe still meets each distinct time of its reach once."""
-    for a_day in (1, 10):
-        rows = [("s", datetime(2024, 1, 1) + timedelta(days=i // a_day), 1.0, i) for i in range(120 * a_day)]
-        df = spark.createDataFrame(rows, "shop_id string, created_at timestamp_ntz, total_price double, seq long")
-        ix = S.indexed(S.prepare_shop_orders(df, tie=["seq"]))
-        probes = S.sample_points(ix)
-        times = ix.groupBy("shop_id", F.col("pos").alias("t")).agg(F.count(F.lit(1)).alias("_n"))
-        pairs = S._in_reach(S._buckets(probes, 90), times, 90).groupBy("shop_id", "idx").count()
-        assert pairs.agg(F.max("count")).first()[0] <= 90
+def test_work_is_linear_in_density(spark):
+    """Ten times the orders in the same days: ten times the rows of every operator, no pairs of rows."""
+    import time
+    rng = np.random.default_rng(2)
+    spent = []
+    for n in (20_000, 200_000):
+        t = np.sort(rng.integers(0, 200 * 86_400_000_000, n))
+        price, gone = rng.uniform(0, 90, n), rng.random(n) < 0.3
+        picked = np.arange(30, n, 7)
+        start = time.perf_counter()
+        dense.shop_features(t, price, gone, picked, (7, 30, 90), 86_400_000_000)
+        spent.append(time.perf_counter() - start)
+    assert spent[1] <= 30 * spent[0]          # a window of 90 days holds 90,000 rows: pairs would be 100 times
+    plan = S.window_features(_shop(spark, 400))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.count("Generate") == 0
+
+
+def test_order_statistics_equal_sorting():
+    rng = np.random.default_rng(4)
+    for n, kinds in ((0, 1), (1, 1), (40, 3), (300, 10**6), (257, 200)):
+        price = np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, kinds, n) / 7)
+        gone = rng.random(n) < 0.4
+        ends = np.sort(rng.integers(0, n + 1, (60, 2)), axis=1)
+        got = dense.blocked_rows(price, gone, ends[:, 0], ends[:, 1])
+        for (a, b), have in zip(ends, got, strict=True):
+            known = price[a:b][~np.isnan(price[a:b])]
+            assert have == (sum(gone[a:b] & (price[a:b] > np.percentile(known, 75))) if len(known) else 0)
+
+
+def test_huge_and_tiny_prices(spark):
+    """One order of 1e19, infinite or 1e-10: no abort, windows without it are exact."""
+    for odd in (1e19, 9.3e18, float("inf"), -float("inf"), 1e-10, float("nan")):
+        rows = [("s", datetime(2024, 1, 1) + timedelta(days=i), odd if i == 3 else 0.1, float(i), i) for i in range(60)]
+        df = spark.createDataFrame(rows, "shop_id string, created_at timestamp_ntz, total_price double, cash_balance double, seq long")
+        got = {r["idx"]: r for r in S.window_features(S.prepare_shop_orders(df, tie=["seq"])).collect()}
+        assert got[51]["w30_revenue_total"] == pytest.approx(30 * 0.1, rel=1e-12)
+        extra = 0.0 if odd != odd else odd
+        assert got[51]["w90_revenue_total"] == pytest.approx(50 * 0.1 + extra, rel=1e-12)
+
+
+def test_running_revenue_of_huge_and_tiny_amounts(spark):
+    rows = [(i, "a", "2024-01-01", x, i) for i, x in enumerate(["1e-10", "1e-10", "1e-10", "1e19", "9.3e18", "-1e19", "-9.3e18", "2.5", "Infinity", "1", "-Infinity"])]
+    df = spark.createDataFrame(rows, "transaction_id long, store_id string, date string, total_amount string, seq long")
+    got = [r["cash_balance"] for r in S.normalize_retail(df.withColumnRenamed("seq", "pos"), order=["transaction_id"]).orderBy("pos").collect()]
+    assert got[:8] == pytest.approx([1e-10, 2e-10, 3e-10, 1e19, 1.93e19, 9.3e18, 3e-10, 2.5 + 3e-10], rel=1e-12)
+    assert got[8:10] == [float("inf")] * 2 and math.isnan(got[10])
+
+
+def test_many_hot_shops_and_equal_bits(spark, monkeypatch):
+    """More hot shops than are ever collected, each cut into periods: the same rows as uncut."""
+    rows = [(f"s{k}", datetime(2024, 1, 1) + timedelta(hours=7 * i + k % 5), (i * 37 + k) % 91 / 7, i % 3 == 0, i) for k in range(150) for i in range(40)]
+    df = spark.createDataFrame(rows, "shop_id string, created_at timestamp_ntz, total_price double, gone boolean, seq long")
+    df = df.withColumn("cancelled_at", F.expr("if(gone, created_at, NULL)"))
+    shops = S.prepare_shop_orders(df, tie=["seq"])
+    plain = sorted(map(tuple, S.window_features(shops).collect()))
+    monkeypatch.setattr(scan, "HEAVY_KEY_ROWS", 0)
+    monkeypatch.setattr(scan, "TARGET_PERIOD_ROWS", 500)
+    assert scan.key_sizes(shops, "shop_id").hot.count() == 150
+    cut = sorted(map(tuple, S.window_features(shops).collect()))
+    assert len(plain) == 300 and [r[:2] for r in plain] == [r[:2] for r in cut]
+    for a, b in zip(plain, cut, strict=True):
+        assert a[2:] == pytest.approx(b[2:], rel=1e-12, abs=1e-12)

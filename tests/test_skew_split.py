@@ -79,7 +79,7 @@ def _largest_period(spark, monkeypatch, times):
     out = scan.segmented_scan(df, "k", "t", ["seq"], sums=["v"], prefix="s_")
     n = df.count()
     assert out.agg(F.sum("s_v")).first()[0] == n * (n + 1) // 2
-    return seen[0].groupBy(scan.P).count().agg(F.max("count")).first()[0]
+    return seen[-1].groupBy(scan.P).count().agg(F.max("count")).first()[0]
 
 
 def test_uneven_times_split_evenly(spark, monkeypatch):
@@ -90,11 +90,64 @@ def test_uneven_times_split_evenly(spark, monkeypatch):
         assert _largest_period(spark, monkeypatch, times) <= 6000
 
 
-def test_probe_heavy_key_is_hot(spark, monkeypatch):
+def test_scenario_heavy_key_is_hot(spark, monkeypatch):
+    """A business of few commits and very many scenarios is cut too, and so is a null business."""
+    from pitwise.operators import lookback
+    from pyspark.sql import DataFrame
+    commits = spark.createDataFrame([(f"c{i}", i, b, "ORDER_RECEIVED", '{"revenue": 1.5}') for i, b in enumerate(["a", "a", "b", None])],
+                                    "commit_id string, seq long, business_id string, event_type string, payload string")
+    commits = commits.withColumn("timestamp", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, CAST(seq AS INT))"))
+    scenarios = spark.range(0, 400).select(F.col("id").cast("string").alias("branch_id"), F.expr("if(id % 2 = 0, 'a', NULL)").alias("business_id"),
+                                           F.expr("TIMESTAMP_NTZ'2023-12-31 00:00:00' + make_interval(0, 0, 0, CAST(id % 60 AS INT))").alias("committed_at"))
+
+    def run() -> list:
+        raw = lookback.lookback_raw(commits, scenarios)
+        cols = lookback.rolling_columns(raw)
+        return sorted(map(tuple, raw.select("branch_id", "first_t", *[c.alias(n) for n, c in cols.items()]).collect()))
+    plain = run()
     monkeypatch.setattr(scan, "HEAVY_KEY_ROWS", 100)
-    events = spark.createDataFrame([("a", 5, 1, 2)], "k string, t long, seq long, v long")
-    probes = spark.range(0, 500).select(F.lit("a").alias("k"), F.col("id").alias("t"))
-    u = events.select("k").unionByName(probes.select("k"))
-    assert scan.hot_keys(u, ["k"])[1] == 501
-    got = scan.probe_scan(events, probes, "k", "t", ["seq"], sums=["v"])
-    assert {(r.t, r.at_v) for r in got.collect()} == {(t, 2 if t > 5 else 0) for t in range(500)}
+    monkeypatch.setattr(scan, "TARGET_PERIOD_ROWS", 60)
+    sizes = []
+    keep = lookback.key_sizes
+    monkeypatch.setattr(lookback, "key_sizes", lambda *a: sizes.append(keep(*a)) or sizes[-1])
+    assert run() == plain and len(plain) == 400
+    assert isinstance(sizes[0].hot, DataFrame) and {r.business_id for r in sizes[0].hot.collect()} == {"a", None}
+
+
+def test_null_key_and_many_hot_keys_are_cut(spark, monkeypatch):
+    df = spark.range(0, 60_000).select(F.expr("if(id % 3 = 0, NULL, CAST(id % 2000 AS STRING))").alias("k"), (F.col("id") * 7919 % 60_000).alias("t"),
+                                       F.col("id").alias("seq"), F.lit(1).cast("long").alias("v"))
+    expect = _rows(df.select("seq", F.expr("sum(v) OVER (PARTITION BY k ORDER BY t, seq)").alias("s")))
+    monkeypatch.setattr(scan, "HEAVY_KEY_ROWS", 10)
+    monkeypatch.setattr(scan, "TARGET_PERIOD_ROWS", 3_000)
+    seen = []
+    keep = scan.materialize
+    monkeypatch.setattr(scan, "materialize", lambda d: seen.append(keep(d)) or seen[-1])
+    assert _rows(scan.segmented_scan(df, "k", "t", ["seq"], sums=["v"], prefix="s_").select("seq", F.col("s_v").alias("s"))) == expect
+    hot, cut = seen
+    assert hot.count() == 2001                                   # beside the null key, which holds a third of all rows
+    assert cut.groupBy(scan.P).count().agg(F.max("count")).first()[0] <= 9_000
+
+
+@pytest.mark.parametrize("offsets", [{"a": 0, "b": -50, "c": 30, "d": 1}])
+def test_offset_scan_equals_brute_force(spark, monkeypatch, offsets):
+    import random
+    rnd = random.Random(1)
+    data = [(rnd.choice("xy"), rnd.randrange(200), i, rnd.randrange(9)) for i in range(300)]
+    df = spark.createDataFrame(data, "k string, t long, id long, v long").withColumn("p", F.struct("t", "id")).withColumn("_asks", F.expr("id % 3 = 0"))
+    names = [f"{c}@{n}" for n in offsets for c in ("v", "p", "first_p")]
+
+    def run(periods):
+        got = scan.offset_scan(df, "k", "t", offsets, ids=["id"], sums=["v"], lasts=["p"], firsts=["p"], periods=periods).where("_asks")
+        return {r["id"]: tuple(tuple(r[n]) if isinstance(r[n], tuple) else r[n] for n in names) for r in got.collect()}
+    want = {}
+    for k, t, i, _ in data:
+        if i % 3 == 0:
+            out = []
+            for off in offsets.values():
+                own = [x for x in data if x[0] == k]
+                before = [x for x in own if x[1] < t + off]
+                after = [x for x in own if x[1] >= t + off]
+                out += [sum(x[3] for x in before), max(((x[1], x[2]) for x in before), default=None), min(((x[1], x[2]) for x in after), default=None)]
+            want[i] = tuple(out)
+    assert run(0) == want and run(5) == want
