@@ -10,7 +10,9 @@ over its significant segments, and a logistic curve turns it into a score.
 
 The model is learnt on a bounded sample of the labelled rows (``SAMPLE`` of each
 class, by a hash of the key); scoring covers every word of every text.  Labels
-are joined to texts only for that sample.
+are joined to texts only for that sample, which is written once.  All its rows are
+learnt from: copies weigh as one text together, and a passage that many different
+texts share takes no weight from them unless it is most of a text.
 
 Defined cases: null and empty texts have no words and score as texts without
 evidence; rows whose label is null are not learnt from, and a key that is
@@ -28,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.llm.storage import cut, fresh
+from pitwise.llm.storage import cut, fresh, written
 from pitwise.llm.words import Words, blocks, mix, split_words, word_hashes
 
 #: Labelled rows of each class that the model is learnt from, at most.
 SAMPLE = 20_000
-#: Words and stems in the model, at most (those that stand out most).
-FEATURES = 50_000
 STEMS = (4, 5, 6)                # bytes
 PRIOR = 0.1                      # weight of the prior, as a share of the counts
-SIGNATURES = 4                   # of runs of RUN words, by which copies in the sample are found
+SIGNATURES = 16                  # least hashes of runs of RUN words, by which copies in the sample are found
+AGREE = 12                       # of them must be shared by copies
+UNIT = 1 << 20                   # weights of rows are whole numbers of this part, so sums do not depend on their order
 RUN = 5
 STANDS_OUT = 3.5                 # standard errors of the log-odds
 DRIFT = 0.1                      # score of other words, negated
@@ -134,10 +136,10 @@ def held_out(key: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int) -> DataFrame:
-    """(y, text): texts of at most ``sample`` labelled rows of each class that are not held out, one of each group of copies.
+    """(y, weight, text): texts of at most ``sample`` labelled rows of each class that are not held out.
 
-    Copies would count their words many times over.  Texts that share one of a few least hashes of word runs
-    (as near copies nearly surely do) are taken for copies; the first by key is learnt from.
+    A row's weight is UNIT / n, n being the rows of its class that share at least AGREE of its SIGNATURES least hashes
+    with it, place by place (as near copies nearly surely do): the AGREE-th largest of its places' groups.
     """
     known = (labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
              .groupBy(key).agg(F.max("toxic").alias("y")))
@@ -145,13 +147,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, sampl
     some = known.where("y = 1").orderBy(*order).limit(sample).unionByName(known.where("y = 0").orderBy(*order).limit(sample))
     some = cut(some.withColumnRenamed(key, "labelled"))          # at most 2 * sample narrow rows
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(
-        F.broadcast(some), F.col("k") == F.col("labelled")).select("k", F.col("y").cast("int").alias("y"), "text")
+        F.broadcast(some), F.col("k") == F.col("labelled")).select("k", F.xxhash64("text").alias("h"), F.col("y").cast("int").alias("y"), "text")
+    rows = written(rows, "toxicity-sample")
     kind = docs.schema[key].dataType.simpleString()
-    marks = cut(rows.select("k", "text").mapInArrow(_signatures, f"k {kind}, place int, mark long"))
-    first = marks.groupBy("place", "mark").agg(F.min("k").alias("first"))
-    other = marks.join(first, ["place", "mark"]).where("k != first").select("k").distinct()
-    other = cut(other)                                           # at most 2 * sample keys
-    return rows.join(F.broadcast(other), "k", "left_anti").select("y", "text")
+    marks = cut(rows.mapInArrow(_signatures, f"k {kind}, h long, y int, place int, mark long"))
+    sizes = marks.groupBy("y", "place", "mark").agg(F.count(F.lit(1)).alias("n"))
+    # rows of one key and text are one row here, as often as they are repeated
+    group = marks.join(sizes, ["y", "place", "mark"]).groupBy("k", "h").agg(F.sort_array(F.collect_list("n"), False).alias("n"))
+    weights = group.select(F.col("k").alias("k2"), F.col("h").alias("h2"),
+                           F.element_at("n", F.ceil(F.size("n") * F.lit(AGREE / SIGNATURES)).cast("int")).alias("n"))
+    told = rows.join(weights, (F.col("k") == F.col("k2")) & F.col("h").eqNullSafe(F.col("h2")), "left")
+    weight = F.greatest(F.round(F.lit(float(UNIT)) / F.coalesce("n", F.lit(1))), F.lit(1)).cast("long")
+    return cut(told.select("y", weight.alias("weight"), "text"))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,16 +178,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, at = runs[own], np.searchsorted(doc[: len(own)][own], some)
         for place in range(SIGNATURES):
             least = np.minimum.reduceat(mix(runs + np.uint64(place)), at)
-            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(some)), pa.array(np.full(len(some), place), pa.int32()),
-                                              pa.array(least.view(np.int64))], names=["k", "place", "mark"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(some)) for c in ("k", "h", "y")],
+                                              pa.array(np.full(len(some), place), pa.int32()), pa.array(least.view(np.int64))],
+                                             names=["k", "h", "y", "place", "mark"])
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and clean texts each feature occurs (once a text: words recur within a text)."""
+    """The weight of toxic and clean texts in which each feature occurs (once a text: words recur within a text)."""
     for batch in blocks(batches, "text"):
         w = letters(batch.column("text"))
         doc = np.repeat(np.arange(batch.num_rows), np.diff(w.first))
-        toxic = batch.column("y").to_numpy(zero_copy_only=False)
+        toxic, weight = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "weight"))
         both, owner = features(w).ravel(), np.tile(doc, 1 + len(STEMS))
         order = np.lexsort((owner, both))
         both, owner = both[order], owner[order]
@@ -188,8 +196,8 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         both, owner = both[new], owner[new]
         if len(both):
             at = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-            bad = np.add.reduceat(toxic[owner].astype(np.int64), at)
-            total = np.diff(np.append(at, len(both)))
+            bad = np.add.reduceat((toxic * weight)[owner], at)
+            total = np.add.reduceat(weight[owner], at)
             yield pa.RecordBatch.from_arrays([pa.array(both[at].view(np.int64)), pa.array(bad), pa.array(total - bad)],
                                              names=["feature", "toxic", "clean"])
 
@@ -215,14 +223,14 @@ def _rate(values: np.ndarray, share: np.ndarray) -> float:
     return max(low, 1e-6)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """weight (not negative) and bias of a logistic curve by Newton's method, slightly ridged."""
+def _logistic(x: np.ndarray, y: np.ndarray, of: np.ndarray) -> tuple[float, float]:
+    """weight (not negative) and bias of a logistic curve of rows that weigh ``of``, by Newton's method, slightly ridged."""
     w = np.zeros(2)
     data = np.stack((x, np.ones(len(x))), 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(data @ w, -30, 30)))
-        grad = data.T @ (y - p) - 1e-3 * w
-        hess = (data * (p * (1 - p))[:, None]).T @ data + 1e-3 * np.eye(2)
+        grad = data.T @ (of * (y - p)) - 1e-3 * w
+        hess = (data * (of * p * (1 - p))[:, None]).T @ data + 1e-3 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
@@ -230,16 +238,26 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
-def _profile(model: Model):
-    """Per text of the sample: label, words, positive words and their scores, and segments."""
+def _clean_segments(model: Model):
+    """Words and segments of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            w = letters(batch.column("text"))
-            found = list(_text_segments(model, w))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), pa.array([n for _, n, _ in found], pa.int64()),
-                 pa.array([[s for *_, s in segs] for _, _, segs in found], pa.list_(pa.float64()))], names=["y", "words", "segments"])
+            found = [(n, len(segs)) for _, n, segs in _text_segments(model, letters(batch.column("text")))]
+            weight = batch.column("weight").to_numpy(zero_copy_only=False)
+            words, segments = (np.array(x, np.int64) * weight for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([words.sum()]), pa.array([segments.sum()])], names=["words", "segments"])
+
+    return run
+
+
+def _evidence(model: Model):
+    """Label, weight and evidence of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            x = [float(np.log1p(evidence(model, n, segs))) for _, n, segs in _text_segments(model, letters(batch.column("text")))]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("weight"), pa.array(x, pa.float64())], names=["y", "weight", "x"])
 
     return run
 
@@ -247,39 +265,42 @@ def _profile(model: Model):
 def _positive_scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            scores = word_scores(model, letters(batch.column("text")))
-            values, counts = np.unique(scores, return_counts=True)
+            w = letters(batch.column("text"))
+            weight = np.repeat(batch.column("weight").to_numpy(zero_copy_only=False), np.diff(w.first))
+            values, place = np.unique(word_scores(model, w), return_inverse=True)
+            counts = np.zeros(len(values), np.int64)
+            np.add.at(counts, place, weight)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["score", "n"])
 
     return run
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    """The model of the labelled rows that are not held out; what reaches the driver is bounded by FEATURES and ``sample``."""
+    """The model of the labelled rows that are not held out. What reaches the driver are the words that stand out in the
+    sample, and three numbers for each of its rows."""
     none = np.zeros(0)
     rows = training_rows(docs, labels, key, text, sample)
     counts = cut(rows.mapInArrow(_feature_counts, "feature long, toxic long, clean long")
-                 .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+                 .groupBy("feature").agg((F.sum("toxic") / UNIT).alias("toxic"), (F.sum("clean") / UNIT).alias("clean")))
     empty = Model(none.astype(np.uint64), none, 1.0, 1.0, 0.0, -5.0)
     totals = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not totals[0] or not totals[1]:
         return empty
-    told = log_odds(counts, totals[0], totals[1]).where(F.col("z") >= STANDS_OUT).orderBy(F.col("z").desc(), "feature")
-    top = told.limit(FEATURES).toPandas()
+    top = log_odds(counts, totals[0], totals[1]).where(F.col("z") >= STANDS_OUT).toPandas()
     values = top["feature"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
     model = empty._replace(features=values[order], odds=top["odds"].to_numpy(float)[order])
     clean = (rows.where("y = 0").mapInArrow(_positive_scores(model), "score double, n long")
-             .groupBy("score").agg(F.sum("n").alias("n")).toPandas())          # at most one row per feature
+             .groupBy("score").agg((F.sum("n") / UNIT).alias("n")).orderBy("score").toPandas())          # at most one row per feature
     # one more word of the highest score, for clean text may hold it though the sample does not
     scores = np.append(clean["score"].to_numpy(float), model.odds.max() if len(model.odds) else 1.0)
     share = np.append(clean["n"].to_numpy(float), 1.0)
     model = model._replace(rate=_rate(scores, share / share.sum()))
-    seen = rows.mapInArrow(_profile(model), "y int, words long, segments array<double>").toPandas()
-    chance = (1 + sum(map(len, seen.loc[seen["y"] == 0, "segments"]))) / (1 + seen.loc[seen["y"] == 0, "words"].sum())
-    model = model._replace(chance=float(min(chance, 1.0)))
-    x = np.array([np.log1p(evidence(model, n, [(0, 0, s) for s in segs])) for n, segs in zip(seen["words"], seen["segments"], strict=True)])
-    weight, bias = _logistic(x, seen["y"].to_numpy(float))
+    words, segments = (rows.where("y = 0").mapInArrow(_clean_segments(model), "words long, segments long")
+                       .agg(F.sum("words") / UNIT, F.sum("segments") / UNIT).first())
+    model = model._replace(chance=float(min((1 + (segments or 0)) / (1 + (words or 0)), 1.0)))
+    seen = rows.mapInArrow(_evidence(model), "y int, weight long, x double").toPandas().sort_values(["y", "x", "weight"])
+    weight, bias = _logistic(seen["x"].to_numpy(float), seen["y"].to_numpy(float), seen["weight"].to_numpy(float) / UNIT)
     return model._replace(weight=weight, bias=bias)
 
 
