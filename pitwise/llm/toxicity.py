@@ -42,6 +42,7 @@ AGREE = 12                       # of them must be shared by copies
 UNIT = 1 << 20                   # weights of rows are whole numbers of this part, so sums do not depend on their order
 RUN = 5
 STANDS_OUT = 3.5                 # standard errors of the log-odds
+BLOCK = 2 << 20                  # text bytes worked on at once (each word has four features and their sort)
 DRIFT = 0.1                      # score of other words, negated
 THRESHOLD = 0.7
 
@@ -163,7 +164,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, sampl
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A few least hashes of each text's runs of RUN words; none for shorter texts."""
-    for batch in blocks(batches, "text"):
+    for batch in blocks(batches, "text", BLOCK):
         w = letters(batch.column("text"))
         h = word_hashes(w)
         counts = np.diff(w.first)
@@ -185,7 +186,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The weight of toxic and clean texts in which each feature occurs (once a text: words recur within a text)."""
-    for batch in blocks(batches, "text"):
+    for batch in blocks(batches, "text", BLOCK):
         w = letters(batch.column("text"))
         doc = np.repeat(np.arange(batch.num_rows), np.diff(w.first))
         toxic, weight = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "weight"))
@@ -242,7 +243,7 @@ def _clean_segments(model: Model):
     """Words and segments of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK):
             found = [(n, len(segs)) for _, n, segs in _text_segments(model, letters(batch.column("text")))]
             weight = batch.column("weight").to_numpy(zero_copy_only=False)
             words, segments = (np.array(x, np.int64) * weight for x in zip(*found, strict=True))
@@ -255,7 +256,7 @@ def _evidence(model: Model):
     """Label, weight and evidence of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK):
             x = [float(np.log1p(evidence(model, n, segs))) for _, n, segs in _text_segments(model, letters(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("weight"), pa.array(x, pa.float64())], names=["y", "weight", "x"])
 
@@ -264,7 +265,7 @@ def _evidence(model: Model):
 
 def _positive_scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK):
             w = letters(batch.column("text"))
             weight = np.repeat(batch.column("weight").to_numpy(zero_copy_only=False), np.diff(w.first))
             values, place = np.unique(word_scores(model, w), return_inverse=True)
@@ -308,7 +309,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def _score(model: Model, into: str, body: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, body):
+        for batch in blocks(batches, body, BLOCK):
             w = letters(batch.column(body))
             found = [evidence(model, n, segs) for _, n, segs in _text_segments(model, w)]
             x = model.weight * np.log1p(np.array(found)) + model.bias
@@ -333,7 +334,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
 def _passages(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "body"):
+        for batch in blocks(batches, "body", BLOCK):
             w = letters(batch.column("body"))
             data = w.buf.tobytes()
             rows = []
