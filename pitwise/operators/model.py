@@ -6,19 +6,25 @@
   row-level data reaches the driver.
 * Scaling statistics are one aggregate row (mean, population std per
   continuous column) - a fixed-size broadcast of 2 x n_features numbers.
-* Ridge uses Spark ML's normal-equation solver (one distributed pass that
-  aggregates X'X); ``regParam = alpha * std_pop(y) / n`` makes its objective
-  equal to ||y - Xb - c||^2 + alpha ||b||^2 with an unpenalised intercept.
-* Predictions are plain column expressions (intercept + sum coef * z).
+* Ridge minimises ||y - Xb - c||^2 + alpha ||b||^2 with an unpenalised intercept.
+  One pass over the rows aggregates the products of all columns (``gram``) per
+  category: the models of all categories and targets, and the global ones, are
+  solved from these sums, each in one small task. The number of jobs depends
+  neither on categories nor on targets.
+* Predictions are column expressions (intercept + sum coef * z).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwise.functions.timecols import DAY_US, floor_div, micros
+from pitwise.session import materialize
 from pitwise.sources.schemas import ID_COLS, LABELS
 
 TARGETS = list(LABELS)
@@ -26,6 +32,10 @@ TRAIN_RATIO = 0.80
 CONFIDENCE_Z = 1.28
 ALPHA = 1.0
 MAPE_EPS = 1e-6
+NOISE = 1e-9                # relative range below which a column counts as constant
+HELD_GRAMS = 256            # categories whose products one task holds before it passes them on
+SMALL_MODELS = 10_000       # models (rows) up to which they are broadcast
+TIE_DIGITS = 9              # coefficients equal to this many decimals tie
 BINARY_PREFIXES = ("bt_", "cat_", "is_")
 NON_FEATURES = set(ID_COLS) | set(LABELS) | {"source", "split", "n_prior"}
 
@@ -108,10 +118,14 @@ class Scaler:
 
 
 def fit_scaler(train: DataFrame, cols: list[str]) -> Scaler:
-    """M3: population mean/std of continuous columns on the training rows."""
+    """M3: population mean/std of continuous columns on the training rows. A
+    column whose values differ by rounding noise alone (range within 1e-9 of the
+    largest magnitude) has std 0: scaled noise would pass for a feature."""
     cont, binary = split_binary(cols)
+    std = [F.when(F.max(c) - F.min(c) <= F.greatest(F.abs(F.min(c)), F.abs(F.max(c))) * NOISE, 0.0)
+            .otherwise(F.stddev_pop(c)) for c in cont]
     row = train.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cont)],
-                    *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cont)]).collect()[0]
+                    *[s.alias(f"s_{i}") for i, s in enumerate(std)]).collect()[0]
     sc = Scaler(cont, binary)
     for i, c in enumerate(cont):
         sc.mean[c] = row[f"m_{i}"]
@@ -135,27 +149,125 @@ class RidgeFit:
         return expr
 
 
+def gram(df: DataFrame, columns: list[str], by: Column) -> DataFrame:
+    """(key, i, j, s): per key the sum of the products of columns i and j, i <= j.
+
+    Column 0 is the constant 1, so that s(0, 0) counts rows and s(0, j) sums
+    columns. Tasks add up their own rows first; what is shuffled is one row per
+    task, key and pair of columns."""
+    width = len(columns) + 1
+    upper = np.triu_indices(width)
+
+    def rows(held: dict) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"key": key, "i": upper[0], "j": upper[1], "s": g[upper]})
+                          for key, g in held.items()], ignore_index=True).astype({"key": object})
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            x = np.column_stack([np.ones(len(pdf)), pdf.iloc[:, 1:].to_numpy(float)])
+            codes, keys = pd.factorize(pdf.iloc[:, 0])
+            for code in np.unique(codes):
+                part = x[codes == code]
+                key = None if code < 0 else keys[code]
+                held[key] = held.get(key, 0.0) + part.T @ part
+            if len(held) >= HELD_GRAMS:
+                yield rows(held)
+                held = {}
+        if held:
+            yield rows(held)
+
+    narrow = df.select(by.cast("string").alias("key"),
+                       *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    return (narrow.mapInPandas(partial, "key string, i int, j int, s double")
+            .groupBy("key", "i", "j").agg(F.sum("s").alias("s")))
+
+
+def ridge_models(train_z: DataFrame, features: list[str], targets: list[str], alpha: float = ALPHA,
+                 by: str | None = None) -> DataFrame:
+    """M4/M5: (scope, key, target, n, intercept, coef array, resid_std), a row
+    per target for scope 'global' (key NULL) and, with ``by``, per value of that
+    column for scope 'per_category'. Rows with a label that is NULL or not
+    finite are not learnt from; a scope without rows has no model, nor has a
+    value of ``by`` with a single row."""
+    usable = F.lit(True)
+    for t in targets:
+        usable = usable & F.coalesce(F.abs(F.col(t).cast("double")) < float("inf"), F.lit(False))
+    train = train_z.filter(usable)
+    # products are taken about the labels' means: a large common offset does not cost digits
+    shift = train.agg(*[F.avg(F.col(t).cast("double")).alias(t) for t in targets]).collect()[0]
+    offset = [shift[t] or 0.0 for t in targets]
+    shifted = train.select(*([F.col(by).alias("_by")] if by else []), *features,
+                           *[(F.col(t).cast("double") - F.lit(o)).alias(t) for t, o in zip(targets, offset)])
+    products = gram(shifted, [*features, *targets], F.col("_by") if by else F.lit(None))
+    whole = products.groupBy("i", "j").agg(F.sum("s").alias("s")).select(
+        F.lit("global").alias("scope"), F.lit(None).cast("string").alias("key"), "i", "j", "s")
+    if by:
+        products = materialize(products)
+        whole = (products.groupBy("i", "j").agg(F.sum("s").alias("s"))
+                 .select(F.lit("global").alias("scope"), F.lit(None).cast("string").alias("key"), "i", "j", "s")
+                 .unionByName(products.select(F.lit("per_category").alias("scope"), "key", "i", "j", "s")))
+    p = len(features)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = np.zeros((p + len(targets) + 1,) * 2)
+        g[pdf["i"], pdf["j"]] = pdf["s"]
+        g[pdf["j"], pdf["i"]] = pdf["s"]
+        n, scope = g[0, 0], pdf["scope"].iat[0]
+        if scope == "per_category" and n < 2:
+            return pd.DataFrame(columns=["scope", "key", "target", "n", "intercept", "coef", "resid_std"])
+        mean = g[0, 1:] / n
+        c = g[1:, 1:] - n * np.outer(mean, mean)
+        coef = np.linalg.solve(c[:p, :p] + alpha * np.eye(p), c[:p, p:])
+        # the residuals' products, from those of the columns
+        sse = c[p:, p:].diagonal() - 2 * (coef * c[:p, p:]).sum(0) + (coef * (c[:p, :p] @ coef)).sum(0)
+        return pd.DataFrame({"scope": scope, "key": pdf["key"].iat[0], "target": targets, "n": int(n),
+                             "intercept": mean[p:] - mean[:p] @ coef + np.array(offset),
+                             "coef": list(coef.T), "resid_std": np.sqrt(np.maximum(sse, 0.0) / n)}
+                            ).astype({"key": object})
+
+    return whole.groupBy("scope", "key").applyInPandas(
+        solve, "scope string, key string, target string, n long, intercept double, coef array<double>, resid_std double")
+
+
+def global_fits(models: DataFrame, features: list[str]) -> dict[str, RidgeFit]:
+    """The global models on the driver: targets x features numbers."""
+    rows = models.filter(F.col("scope") == "global").collect()
+    if not rows:
+        raise ValueError("no row to learn from")
+    return {r["target"]: RidgeFit(r["target"], list(features), list(r["coef"]), r["intercept"], r["resid_std"])
+            for r in rows}
+
+
+def fit_ridges(train_z: DataFrame, features: list[str], targets: list[str],
+               alpha: float = ALPHA) -> dict[str, RidgeFit]:
+    """M4: the global model of every target."""
+    return global_fits(ridge_models(train_z, features, targets, alpha), features)
+
+
 def fit_ridge(train_z: DataFrame, features: list[str], target: str, alpha: float = ALPHA) -> RidgeFit:
-    """M4: ridge with an unpenalised intercept via Spark ML (normal solver)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    st = train_z.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("sy"),
-                     *[F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(features)]).collect()[0]
-    n, sy = st["n"], st["sy"] or 0.0
-    # A zero-variance column is all zeros once centred: its ridge coefficient
-    # is exactly 0. Leaving it out keeps the normal equations non-singular.
-    used = [c for i, c in enumerate(features) if (st[f"_s{i}"] or 0.0) > 0.0]
-    va = VectorAssembler(inputCols=used, outputCol="_x", handleInvalid="keep")
-    data = va.transform(train_z.select(*used, F.col(target).cast("double").alias("_y")))
-    lr = LinearRegression(featuresCol="_x", labelCol="_y", regParam=alpha * sy / max(n, 1),
-                          elasticNetParam=0.0, standardization=False, solver="normal",
-                          fitIntercept=True)
-    m = lr.fit(data)
-    got = dict(zip(used, (float(x) for x in m.coefficients.toArray())))
-    fit = RidgeFit(target, list(features), [got.get(c, 0.0) for c in features], float(m.intercept))
-    res = train_z.agg(F.stddev_pop(F.col(target) - fit.predict()).alias("r")).collect()[0]["r"]
-    fit.resid_std = float(res or 0.0)                        # M5
-    return fit
+    """M4: ridge with an unpenalised intercept for one target."""
+    return fit_ridges(train_z, features, [target], alpha)[target]
+
+
+def category_predictions(z: DataFrame, features: list[str], targets: list[str], models: DataFrame) -> DataFrame:
+    """Predictions of the models of each row's own category (NULL where it
+    has none), in the columns of :func:`train_baseline`'s table."""
+    own = materialize(models.filter(F.col("scope") == "per_category").groupBy(F.col("key").alias("_key")).agg(
+        F.collect_list(F.struct("target", "intercept", "coef", "resid_std")).alias("_models")))
+    if own.count() <= SMALL_MODELS:
+        own = F.broadcast(own)
+    rows = z.select("branch_id", "category", "split", F.array(*features).alias("_x"),
+                    F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y"))
+                              for t in targets]).alias("_t"))
+    rows = (rows.join(own, F.col("category").eqNullSafe(F.col("_key")), "left")
+            .select("branch_id", "category", "split", "_x", "_models", F.inline("_t"))
+            .withColumn("_m", F.get(F.filter("_models", lambda m: m["target"] == F.col("target")), F.lit(0))))
+    scored = rows.withColumn("y_pred", F.col("_m.intercept") + F.aggregate(
+        F.zip_with("_x", "_m.coef", lambda x, b: x * b), F.lit(0.0), lambda a, v: a + v))
+    half = F.lit(CONFIDENCE_Z) * F.col("_m.resid_std")
+    return scored.select("target", "branch_id", "category", "split", "y", "y_pred",
+                         (F.col("y_pred") - half).alias("lower"), (F.col("y_pred") + half).alias("upper"))
 
 
 def mape_expr(y: Column, p: Column) -> Column:
@@ -185,24 +297,24 @@ def prepare(df: DataFrame, train_ratio: float = TRAIN_RATIO):
     return z, sc
 
 
+def global_predictions(z: DataFrame, fits: dict[str, RidgeFit]) -> DataFrame:
+    """M6: (target, branch_id, category, split, y, y_pred, lower, upper), a row per
+    row of z and target; z is read once."""
+    parts = [F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y"), f.predict().alias("y_pred"),
+                      F.lit(CONFIDENCE_Z * f.resid_std).alias("half")) for t, f in fits.items()]
+    long = z.select("branch_id", "category", "split", F.inline(F.array(*parts)))
+    return long.select("target", "branch_id", "category", "split", "y", "y_pred",
+                       (F.col("y_pred") - F.col("half")).alias("lower"),
+                       (F.col("y_pred") + F.col("half")).alias("upper"))
+
+
 def train_baseline(df: DataFrame, alpha: float = ALPHA, targets=TARGETS,
                    train_ratio: float = TRAIN_RATIO):
     """M4-M6 for every target: fits and a long prediction table
     (target, branch_id, category, split, y, y_pred, lower, upper)."""
     z, sc = prepare(df, train_ratio)
-    train = z.filter(F.col("split") == "train")
-    fits = {t: fit_ridge(train, sc.order, t, alpha) for t in targets}
-    parts = []
-    for t, f in fits.items():
-        p = f.predict()
-        parts.append(z.select(F.lit(t).alias("target"), "branch_id", "category", "split",
-                              F.col(t).cast("double").alias("y"), p.alias("y_pred"),
-                              (p - F.lit(CONFIDENCE_Z * f.resid_std)).alias("lower"),
-                              (p + F.lit(CONFIDENCE_Z * f.resid_std)).alias("upper")))
-    pred = parts[0]
-    for p in parts[1:]:
-        pred = pred.unionByName(p)
-    return fits, pred, z, sc
+    fits = fit_ridges(z.filter(F.col("split") == "train"), sc.order, list(targets), alpha)
+    return fits, global_predictions(z, fits), z, sc
 
 
 def metrics(pred: DataFrame, by: list[str]) -> DataFrame:
@@ -215,6 +327,18 @@ def metrics(pred: DataFrame, by: list[str]) -> DataFrame:
                  F.count(F.lit(1)).alias("n_test")))
 
 
+def category_comparison(df: DataFrame, targets=TARGETS) -> DataFrame:
+    """Metrics per category and target of the global model and of the
+    category's own, all solved from one pass (NULL for a category with fewer
+    than two training rows)."""
+    z, sc = prepare(df)
+    models = materialize(ridge_models(z.filter(F.col("split") == "train"), sc.order, list(targets), by="category"))
+    fits = global_fits(models, sc.order)
+    whole = metrics(global_predictions(z, fits), ["target", "category"]).withColumn("scope", F.lit("global"))
+    own = metrics(category_predictions(z, sc.order, list(targets), models), ["target", "category"])
+    return whole.unionByName(own.withColumn("scope", F.lit("per_category"))).select("scope", "category", "target", "mape", "coverage", "mpiw", "n_test")
+
+
 def coefficients(fits: dict[str, RidgeFit], spark) -> DataFrame:
     rows = [(t, f, float(b), float(fit.intercept)) for t, fit in fits.items()
             for f, b in zip(fit.features, fit.coef)]
@@ -222,8 +346,8 @@ def coefficients(fits: dict[str, RidgeFit], spark) -> DataFrame:
 
 
 def top_coefficients(coefs: DataFrame, n: int = 10) -> DataFrame:
-    """Top-n features by |coef| per target (ties by feature name)."""
+    """Top-n features by |coef| per target (to nine decimals; ties by feature name)."""
     from pyspark.sql import Window
-    w = Window.partitionBy("target").orderBy(F.abs("coef").desc(), F.col("feature"))
+    w = Window.partitionBy("target").orderBy(F.round(F.abs("coef"), TIE_DIGITS).desc(), F.col("feature"))
     return (coefs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
             .select("target", "rank", "feature", "coef"))

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pitwise.operators import model as M
+from pitwise.plans import oracle_model as O
 from pitwise.plans.oracle_lookback import training_rows_sql
+from pitwise.plans.oracle_model import CONT, FEATURES
 from pitwise.plans.oracle_views import with_views
 from pitwise.plans.registry import query
-from pitwise.plans.training import TRAINING_COLS, dedup_outcomes
+from pitwise.plans.training import dedup_outcomes
 from pitwise.session import materialize
 from pitwise.sources import views as V
-from pitwise.sources.schemas import ID_COLS, LABELS
-
-FEATURES = [c for c in TRAINING_COLS if c not in set(ID_COLS) | set(LABELS)]
-CONT, BINARY = M.split_binary(FEATURES)
 
 
 def _t1(spark, d, rounded=False) -> DataFrame:
@@ -23,10 +21,7 @@ def _t1(spark, d, rounded=False) -> DataFrame:
 
 
 def _t1_sql_with(body: str, extra: str = "") -> str:
-    cut = ("cut AS (SELECT committed_at AS cutoff FROM (SELECT committed_at, "
-           "row_number() OVER (ORDER BY committed_at) - 1 AS rn FROM t1) "
-           "WHERE rn = (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM t1))")
-    return f"WITH t1 AS ({training_rows_sql()}), {cut}{extra}\n{body}"
+    return f"WITH t1 AS ({training_rows_sql()}), {O.CUT}{extra}\n{body}"
 
 
 @query("temporal_split", _t1_sql_with(
@@ -36,15 +31,12 @@ def temporal_split_q(spark, d):
     return M.temporal_split(_t1(spark, d)).select("branch_id", "split")
 
 
-@query("feature_matrix", f"WITH t1 AS ({training_rows_sql()}) SELECT branch_id, {len(FEATURES)} AS n_features, "
-       + " + ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0)" for c in FEATURES) + " AS feature_sum FROM t1")
+@query("feature_matrix", f"WITH t1 AS ({training_rows_sql()}) SELECT branch_id, "
+       + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in FEATURES) + " FROM t1")
 def feature_matrix_q(spark, d):
     """M2: every non-id, non-label column as a NULL-free double."""
-    x = M.feature_matrix(_t1(spark, d), FEATURES)
-    s = F.col(FEATURES[0])
-    for c in FEATURES[1:]:
-        s = s + F.col(c)
-    return x.select("branch_id", F.lit(len(FEATURES)).alias("n_features"), s.alias("feature_sum"))
+    t1 = _t1(spark, d)
+    return M.feature_matrix(t1, M.feature_columns(t1)).select("branch_id", *FEATURES)
 
 
 _UNPIV = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in CONT)
@@ -57,12 +49,9 @@ _UNPIV = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in CONT)
 def scale_continuous(spark, d):
     """M3: population mean / std of every continuous feature on the train rows."""
     x = M.temporal_split(M.feature_matrix(_t1(spark, d), FEATURES))
-    tr = x.filter(F.col("split") == "train")
-    row = tr.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(CONT)],
-                 *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(CONT)])
-    stack = "stack({}, {}) AS (feature, mean, std)".format(
-        len(CONT), ", ".join(f"'{c}', m{i}, s{i}" for i, c in enumerate(CONT)))
-    return row.select(F.expr(stack))
+    sc = M.fit_scaler(x.filter(F.col("split") == "train"), FEATURES)
+    return spark.createDataFrame([(c, sc.mean[c], sc.std[c]) for c in sc.cont],
+                                 "feature string, mean double, std double")
 
 
 # -- metrics on a SQL-checkable predictor ------------------------------------
@@ -83,14 +72,13 @@ def simple_predictions(spark, d) -> DataFrame:
     lg = base.select("branch_id", "category", "x", "split", F.explode(F.array(*[
         F.struct(F.lit(t).alias("target"), F.col(src).cast("double").alias("y"))
         for t, src in _TARGET_SRC.items()])).alias("_t")).select("*", "_t.*").drop("_t")
-    # One row per (target, category): bounded by the schema, safe to broadcast.
     cf = (lg.filter(F.col("split") == "train").groupBy("target", "category")
           .agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("icpt")))
-    pr = lg.join(F.broadcast(cf), ["target", "category"]).withColumn(
+    pr = lg.join(cf, ["target", "category"]).withColumn(
         "y_pred", F.col("icpt") + F.col("slope") * F.col("x"))
     rs = (pr.filter(F.col("split") == "train").groupBy("target", "category")
           .agg(F.stddev_pop(F.col("y") - F.col("y_pred")).alias("resid_std")))
-    pr = pr.join(F.broadcast(rs), ["target", "category"])
+    pr = pr.join(rs, ["target", "category"])
     return pr.select("target", "category", "branch_id", "split", "y", "y_pred", "resid_std",
                      (F.col("y_pred") - F.lit(M.CONFIDENCE_Z) * F.col("resid_std")).alias("lower"),
                      (F.col("y_pred") + F.lit(M.CONFIDENCE_Z) * F.col("resid_std")).alias("upper"))
@@ -179,20 +167,20 @@ def picp_mpiw(spark, d):
         F.avg(F.col("upper") - F.col("lower")).alias("mpiw"))
 
 
-# -- ridge on the training rows (rows-only checks; verified against NumPy in tests)
+# -- ridge on the training rows
 
 def _baseline(spark, d):
-    return M.train_baseline(_t1(spark, d, rounded=True))
+    return M.train_baseline(_t1(spark, d))
 
 
-@query("ridge_fit")
+@query("ridge_fit", O.RIDGE_FIT)
 def ridge_fit(spark, d):
     """M4: ridge coefficients per target (scaled continuous + binary features)."""
     fits, _, _, _ = _baseline(spark, d)
     return M.coefficients(fits, spark)
 
 
-@query("top_coefficients")
+@query("top_coefficients", O.TOP_COEFFICIENTS)
 def top_coefficients(spark, d):
     """The 10 largest |coef| per target."""
     fits, _, _, _ = _baseline(spark, d)
@@ -225,36 +213,13 @@ def model_comparison(spark, d):
     return res.select("model", "target", "mape", "coverage", "mpiw", "n_test")
 
 
-@query("category_models")
+@query("category_models", O.CATEGORY_MODELS)
 def category_models(spark, d):
     """One global model vs one model per category, metrics per category."""
-    fits, pred, z, sc = _baseline(spark, d)
-    out = [M.metrics(pred, ["target", "category"]).withColumn("scope", F.lit("global"))]
-    sizes = z.groupBy("category").agg(F.count(F.when(F.col("split") == "train", 1)).alias("n_train"),
-                                      F.count(F.when(F.col("split") == "test", 1)).alias("n_test"))
-    for cat, n_train, n_test in sorted(sizes.collect(), key=str):     # one fit a category: as many as the schema names
-        zc = z.filter(F.col("category").eqNullSafe(cat))
-        tr = zc.filter(F.col("split") == "train")
-        if n_train < 2:                # too few rows to fit: the category stays, without metrics
-            out.append(z.sparkSession.createDataFrame(
-                [(t, cat, None, None, None, n_test, "per_category") for t in M.TARGETS],
-                "target string, category string, mape double, coverage double, mpiw double, n_test long, scope string"))
-            continue
-        for t in M.TARGETS:
-            f = M.fit_ridge(tr, sc.order, t)
-            p = f.predict()
-            pc = zc.select(F.lit(t).alias("target"), "branch_id", "category", "split",
-                           F.col(t).cast("double").alias("y"), p.alias("y_pred"),
-                           (p - F.lit(M.CONFIDENCE_Z * f.resid_std)).alias("lower"),
-                           (p + F.lit(M.CONFIDENCE_Z * f.resid_std)).alias("upper"))
-            out.append(M.metrics(pc, ["target", "category"]).withColumn("scope", F.lit("per_category")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res.select("scope", "category", "target", "mape", "coverage", "mpiw", "n_test")
+    return M.category_comparison(_t1(spark, d))
 
 
-@query("linear_attribution")
+@query("linear_attribution", O.LINEAR_ATTRIBUTION)
 def linear_attribution(spark, d):
     """Mean |coef * (z - mean_train z)| per feature, target and category."""
     fits, _, z, sc = _baseline(spark, d)

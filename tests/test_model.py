@@ -85,3 +85,72 @@ def test_top_coefficients_order(spark):
     fits = {"y": M.RidgeFit("y", ["a", "b", "c"], [0.5, -2.0, 0.5], 0.0)}
     top = M.top_coefficients(M.coefficients(fits, spark), 2).orderBy("rank").collect()
     assert [r["feature"] for r in top] == ["b", "a"]
+
+
+def _closed_form(X, y, alpha=1.0):
+    Xc, yc = X - X.mean(0), y - y.mean()
+    beta = np.linalg.solve(Xc.T @ Xc + alpha * np.eye(X.shape[1]), Xc.T @ yc)
+    icpt = y.mean() - X.mean(0) @ beta
+    return beta, icpt, (y - X @ beta - icpt).std()
+
+
+def _categories(spark, n, names):
+    c = F.element_at(F.array(*[F.lit(x) for x in names]),
+                     (F.substring("branch_id", 2, 9).cast("int") % len(names) + 1).cast("int"))
+    return _frame(spark, n=n).withColumn("category", c)
+
+
+def test_models_of_all_categories_match_closed_form(spark):
+    """One pass gives the global model and each category's; a NULL category is one of them, a category of one
+    training row has none, a row without a finite label is not learnt from."""
+    df = _categories(spark, 120, ["a", "b", None]).withColumn(
+        "category", F.when(F.col("branch_id") == "b7", "alone").otherwise(F.col("category"))).withColumn(
+        "label_cashflow_delta", F.when(F.col("branch_id") == "b3", None).when(F.col("branch_id") == "b4", float("inf"))
+        .otherwise(1e9 + F.col("f1") + F.col("f2") * F.col("f2")))
+    z, sc = M.prepare(df)
+    train = z.filter(F.col("split") == "train")
+    got = {(r["scope"], r["key"], r["target"]): r
+           for r in M.ridge_models(train, sc.order, M.TARGETS, by="category").collect()}
+    pdf = train.toPandas()
+    pdf = pdf[~pdf["branch_id"].isin(["b3", "b4"])]
+    assert {k[:2] for k in got} == {("global", None), ("per_category", "a"), ("per_category", "b"),
+                                    ("per_category", None)}
+    for (scope, key, target), r in got.items():
+        part = pdf if scope == "global" else pdf[pdf["category"].isna()] if key is None else pdf[pdf["category"] == key]
+        beta, icpt, std = _closed_form(part[sc.order].to_numpy(float), part[target].to_numpy(float))
+        assert r["n"] == len(part)
+        assert np.allclose(r["coef"], beta, atol=1e-6)
+        assert r["intercept"] == pytest.approx(icpt, rel=1e-9, abs=1e-8)
+        assert r["resid_std"] == pytest.approx(std, rel=1e-6, abs=1e-7)
+
+
+def test_category_predictions_cover_every_row(spark):
+    df = _categories(spark, 90, ["a", "b", None]).withColumn(
+        "category", F.when(F.col("branch_id") == "b89", "unseen").otherwise(F.col("category")))
+    z, sc = M.prepare(df)
+    models = M.ridge_models(z.filter(F.col("split") == "train"), sc.order, M.TARGETS, by="category")
+    rows = M.category_predictions(z, sc.order, M.TARGETS, models).toPandas()
+    assert len(rows) == 90 * 3
+    assert rows[rows["category"] == "unseen"]["y_pred"].isna().all()
+    assert rows[rows["category"] != "unseen"]["y_pred"].notna().all()
+    t = M.category_comparison(df).toPandas()
+    unseen = t[(t["scope"] == "per_category") & (t["category"] == "unseen")]
+    assert len(unseen) == 3 and unseen["mape"].isna().all() and (unseen["n_test"] == 1).all()
+
+
+def test_jobs_do_not_grow_with_categories(spark):
+    def jobs(names):
+        group = f"categories-{len(names)}"
+        spark.sparkContext.setJobGroup(group, group)
+        M.category_comparison(_categories(spark, 240, names)).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    few = jobs(["a", "b"])
+    assert 0 < few and jobs([f"c{i}" for i in range(20)]) <= few + 2      # the cutoff's search may take a step more
+
+
+def test_rounding_noise_is_no_feature(spark):
+    df = _frame(spark, n=40).withColumn("f2", F.when(F.col("bt_x") == 1, 0.1 + 0.2).otherwise(0.3))
+    _, sc = M.prepare(df)
+    assert sc.std["f2"] == 0.0
+    assert sc.std["f1"] > 0.0
