@@ -4,25 +4,28 @@ Equal vectors of one label are one node with a weight.  A neighbour graph begins
 with lists from a few random-hyperplane orders (rows that are close in an order
 are compared in blocks) and is refined by rounds of neighbours-of-neighbours
 joins: every node's neighbours, both ways, meet at the node and are compared
-with each other there, and each keeps its best ``LIST``.  Rounds end when hardly
-any list changes.
+with each other there, and each keeps its best ``LIST``.  From the second round on,
+only nodes at which something changed are met at.  Rounds end when hardly any
+list changes.
 
-A list that is full of links is saturated: there may be more, also to nodes
+A list that is full of links is saturated: it gets twice the room, and its node
+meets its neighbours' neighbours again, until the list holds a neighbour below
+the threshold or ``WIDEST`` of them.  There may still be more, also to nodes
 that no list leads to.  So all nodes that have any link are then compared block
 by block with each other and with all such nodes of their label (each pair of
 blocks in one place; counts come back, and one link for two components that turn
-out to be one), which enlarges lists to all of these without emitting their
-pairs.  A pair of blocks is skipped only if their centres and radii rule out a
-link.
+out to be one), without emitting their pairs.  A pair of blocks is skipped only
+if their centres and radii rule out a link.
 
 The links counted are audited: sampled nodes, as many as it takes to see a
 stated number of links, are compared with all rows.  Links that turn out to be
 missing are added; below the goal, more orders and rounds follow, and then all
 nodes of a label are compared.
 
-Cosines are in double precision.  Defined cases: vectors that are null, empty or
-zero, have null, non-finite or missing components, or whose label is null link
-with nothing; repeated rows of one id are one vector each.
+Cosines are in double precision; vectors of floats travel as floats.  Defined
+cases: vectors that are null, empty or zero, have null, non-finite or missing
+components, or whose label or id is null link with nothing; repeated rows of one
+id, with equal or different vectors, are one vector and one result row each.
 """
 
 from __future__ import annotations
@@ -34,12 +37,14 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitwise.llm.components import connected_components
 from pitwise.llm.storage import cut, small
 
 THRESHOLD = 0.98
 LIST = 8
+WIDEST = 32                      # entries of the largest list; blocks find what is beyond
 ORDERS = 4
 ROUNDS = 4
 NEAR = 192                       # rows of an order that are compared with each other
@@ -60,36 +65,43 @@ CENTRES = "label string, component long, part long, n long, centre binary, radiu
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    """Binary rows of doubles as unit vectors, one a row."""
+    """Packed rows of one size as unit vectors of doubles, one a row."""
     if not len(column):
         return np.zeros((0, 1))
-    x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    x = np.ascontiguousarray(raw[:, 1:]).view(f"<f{raw[0, 0]}").astype(np.float64)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as binary doubles; those that link with nothing are left out."""
-    for batch in batches:
-        ids, labels, rows = [], [], []
-        for i, label, vector in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "vector")), strict=True):
-            if label is None or not vector or None in vector:
-                continue
-            x = np.array(vector, np.float64)
-            if np.isfinite(x).all() and x.any() and 0 < (x * x).sum() < np.inf:
-                ids.append(i)
-                labels.append(label)
-                rows.append((x + 0.0).tobytes())                 # -0.0 as 0.0
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(rows, pa.binary())],
-                                         names=["id", "label", "vec"])
+def _pack(width: int):
+    """Vectors as binary, the bytes of a number (``width``) first; null for those that link with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[bytes | None] = []
+            for i, label, vector in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "vector")), strict=True):
+                x = np.array(vector if i is not None and label is not None and vector and None not in vector else [], np.float64)
+                sound = x.any() and np.isfinite(x).all() and 0 < (x * x).sum() < np.inf
+                rows.append(bytes([width]) + (x + 0.0).astype(f"<f{width}").tobytes() if sound else None)      # -0.0 as 0.0
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(rows, pa.binary())], names=["id", "label", "vec"])
+
+    return run
+
+
+def packed_rows(vectors: DataFrame, key: str, label: str, vector: str) -> DataFrame:
+    """(id, label, vec) of every row; the label tells the size too, vec is null for vectors that link with nothing."""
+    kind = vectors.schema[vector].dataType
+    width = 4 if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else 8
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"),
+                          F.col(vector).cast("array<double>").alias("vector"))
+    rows = rows.mapInArrow(_pack(width), "id long, label string, vec binary")
+    return rows.withColumn("label", F.concat_ws(":", F.octet_length("vec"), "label"))
 
 
 def nodes_of(vectors: DataFrame, key: str, label: str, vector: str) -> DataFrame:
     """(id, label, vec, weight): distinct vectors of each label and size, by their least key."""
-    packed = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"),
-                         F.col(vector).cast("array<double>").alias("vector")).where("id is not null")
-    packed = packed.mapInArrow(_pack, "id long, label string, vec binary")
-    packed = packed.withColumn("label", F.concat_ws(":", F.octet_length("vec"), "label"))
-    return packed.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    rows = packed_rows(vectors, key, label, vector).where("vec is not null")
+    return rows.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
 
 
 def _top(u: np.ndarray, v: np.ndarray, s: np.ndarray, keep: int) -> pa.RecordBatch:
@@ -117,13 +129,13 @@ def _codes(seeds: list[int]):
         powers = 1 << np.arange(47, -1, -1, dtype=np.int64)
         for batch in batches:
             # rows of one batch may have vectors of several sizes
-            sizes = np.array([len(x.as_buffer()) // 8 for x in batch.column("vec")])
+            sizes = np.array([len(x.as_buffer()) for x in batch.column("vec")])
             for size in np.unique(sizes):
                 at = pa.array(np.flatnonzero(sizes == size))
                 ids, labels, vec = (batch.column(c).take(at) for c in ("id", "label", "vec"))
                 x = _unit(vec)
                 for seed in seeds:
-                    code = ((x @ _hyperplanes(seed, int(size))) > 0) @ powers
+                    code = ((x @ _hyperplanes(seed, x.shape[1])) > 0) @ powers
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), seed), pa.int32()), labels, pa.array(code), ids, vec],
                                                      names=["place", "label", "code", "id", "vec"])
 
@@ -226,30 +238,55 @@ def ordered_neighbours(nodes: DataFrame, seeds: list[int], keep: int = LIST) ->
     return ordered.mapInArrow(_near(keep), EDGES)
 
 
+def _both_ways(graph: DataFrame) -> DataFrame:
+    return graph.select(F.col("u").alias("mid"), F.col("v").alias("id")).union(graph.select(F.col("v").alias("mid"), F.col("u").alias("id")))
+
+
+def _met(nodes: DataFrame, graph: DataFrame, bars: DataFrame, keep: int, turn: int, mids: DataFrame | None) -> DataFrame:
+    """Edges from one round of meetings at ``mids`` (all nodes if none are given): each member takes pairs above its bar in ``bars``
+    (id, worst)."""
+    both = _both_ways(graph).union(nodes.select(F.col("id").alias("mid"), "id")).distinct()
+    if mids is not None:
+        both = both.join(mids.distinct(), "mid", "left_semi")
+    told = nodes.select("id", "vec").join(bars, "id")
+    # a node to which very many point is met in parts, each with its share of them, another one each round
+    hubs = cut(both.groupBy("mid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MEET))
+    members = both.join(small(hubs, hubs.count()), "mid", "left").withColumn(
+        "salt", F.coalesce(F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("n") / MEET)), F.lit(0).cast("long"))).drop("n")
+    return (members.join(told, "id").repartition("mid", "salt").sortWithinPartitions("mid", "salt", F.xxhash64("id", F.lit(turn)), "id")
+            .mapInArrow(_meet(keep), EDGES))
+
+
 def refine(nodes: DataFrame, graph: DataFrame, rounds: int = ROUNDS, keep: int = LIST, first: int = 0) -> DataFrame:
     """NN-descent: rounds (numbered from ``first``) of neighbours-of-neighbours joins until lists settle."""
+    mids = None
     for turn in range(first, first + rounds):
-        worst = graph.groupBy("u").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("n"))
-        told = nodes.select("id", "vec").join(
-            worst.select(F.col("u").alias("id"), F.when(F.col("n") >= keep, F.col("worst")).otherwise(-2.0).alias("worst")), "id", "left")
-        told = told.withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
-        both = graph.select(F.col("u").alias("mid"), F.col("v").alias("id")).union(
-            graph.select(F.col("v").alias("mid"), F.col("u").alias("id"))).union(
-            nodes.select(F.col("id").alias("mid"), "id")).distinct()
-        # a node to which very many point is met in parts, each with its share of them, another one each round
-        size = both.groupBy("mid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MEET)
-        hubs = cut(size)
-        count = hubs.count()
-        members = both.join(small(hubs, count), "mid", "left").withColumn(
-            "salt", F.coalesce(F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("n") / MEET)), F.lit(0).cast("long"))).drop("n")
-        met = (members.join(told, "id").repartition("mid", "salt").sortWithinPartitions("mid", "salt", F.xxhash64("id", F.lit(turn)), "id")
-               .mapInArrow(_meet(keep), EDGES))
+        full = graph.groupBy("u").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= keep)
+        bars = nodes.select("id").join(full.select(F.col("u").alias("id"), "worst"), "id", "left").select(
+            "id", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
+        met = _met(nodes, graph, bars, keep, turn, mids)
         new = cut(_best(graph.unionByName(met), keep))
-        changed = new.join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
-        total = new.count()
+        fresh = cut(new.join(graph.select("u", "v"), ["u", "v"], "left_anti"))
+        mids = _both_ways(fresh).select("mid")
         graph = new
-        if changed <= SETTLED * max(total, 1):
+        if fresh.count() <= SETTLED * max(new.count(), 1):
+            break
+    return graph
+
+
+def enlarge(nodes: DataFrame, graph: DataFrame, threshold: float, keep: int = LIST, widest: int = WIDEST, first: int = 0) -> DataFrame:
+    """``graph`` with twice the room, again and again up to ``widest``, in lists that are full of links: their nodes alone take the
+    neighbours of their neighbours, until they hold one below ``threshold``."""
+    while keep < widest:
+        full = cut(graph.groupBy("u").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("n"))
+                   .where((F.col("n") >= keep) & (F.col("worst") >= threshold)).select(F.col("u").alias("id")))
+        if full.isEmpty():
             break
+        keep, first = 2 * keep, first + 1
+        bars = nodes.select("id").join(full.withColumn("worst", F.lit(-2.0)), "id", "left").select(
+            "id", F.coalesce("worst", F.lit(2.0)).alias("worst"))
+        mids = _both_ways(graph).join(full, "id", "left_semi").select("mid")
+        graph = cut(_best(graph.unionByName(_met(nodes, graph, bars, keep, first, mids)), keep))
     return graph
 
 
@@ -462,6 +499,7 @@ def linked_classes(nodes: DataFrame, threshold: float = THRESHOLD, keep: int = L
         found = ordered_neighbours(nodes, seeds, keep)
         graph = cut(_best(found if graph is None else graph.unionByName(found), keep))
         graph = refine(nodes, graph, keep=keep, first=turn * ROUNDS)
+        graph = enlarge(nodes, graph, threshold, keep, first=(1 + MORE) * ROUNDS)
         links = graph.where(F.col("s") >= threshold).select("u", "v")
         classes, counts = _whole(nodes, cut(connected_components(links)), threshold)
         recall, missing = audit(nodes, classes, counts, threshold)
@@ -499,18 +537,18 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", label: str = "label",
 def audited_links(vectors: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding",
                   threshold: float = THRESHOLD, keep: int = LIST) -> tuple[DataFrame, float]:
     """The rows of link_vectors and the audited recall of their links."""
-    nodes = cut(nodes_of(vectors, key, label, vector))
-    classes, counts, recall = linked_classes(nodes, threshold, keep)
-    told = (nodes.join(counts, "id", "left").join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
+    numbered = nodes_of(vectors, key, label, vector).withColumnRenamed("id", "least").withColumn("id", F.monotonically_increasing_id())
+    nodes = cut(numbered)                                       # numbers are given once: an id may have several vectors
+    classes, counts, recall = linked_classes(nodes.drop("least"), threshold, keep)
+    joined = nodes.select(F.col("id").alias("node"), "least").join(classes, "node")
+    named = joined.groupBy("component").agg(F.min("least").alias("first"))
+    of = classes.join(named, "component").select(F.col("node").alias("id"), "first")
+    told = (nodes.join(counts, "id", "left").join(of, "id", "left")
             .select("label", "vec", (F.coalesce("n", F.lit(0).cast("long")) + F.col("weight") - 1).alias("n_links"),
-                    F.coalesce("component", "id").alias("component_id")))
-    packed = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"),
-                            F.col(vector).cast("array<double>").alias("vector"))
-    keyed = (packed.mapInArrow(_pack, "id long, label string, vec binary")
-             .withColumn("label", F.concat_ws(":", F.octet_length("vec"), "label")))
-    found = cut(keyed.join(told, ["label", "vec"]).select(F.col("id").alias("found"), "n_links", "component_id").distinct())
-    out = vectors.select(F.col(key).alias("own")).join(found, F.col("own") == F.col("found"), "left")
-    component = F.coalesce("component_id", F.col("own").cast("long"))
-    out = out.select(F.col("own").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-                      component.alias("component_id"), (F.col("own") == component).alias("kept"))
+                    F.coalesce("first", "least").alias("first")))
+    rows = packed_rows(vectors, key, label, vector).join(told, ["label", "vec"], "left")
+    own = F.col("id").cast(vectors.schema[key].dataType)
+    component = F.coalesce("first", "id")
+    out = rows.select(own.alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+                      component.alias("component_id"), (F.col("id") == component).alias("kept"))
     return out, recall

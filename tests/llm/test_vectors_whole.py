@@ -77,3 +77,37 @@ def test_audit_counts_direct_links(spark):
     assert recall == pytest.approx(0.75) and missing.count() == 0     # in one component, but not counted
     recall, missing = nndescent.audit(nodes, classes.where("component < 10"), count.where("id % 10000 < 10"), 0.98)
     assert recall == pytest.approx(0.5) and {(r.u, r.v) for r in missing.collect()} == {p for a, b in pairs[10:] for p in ((a, b), (b, a))}
+
+
+def test_repeated_ids_and_other_columns(spark):
+    """One row per row: ids may repeat with other vectors; columns with the names used inside do not matter."""
+    e = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = [(1, e[0], "a"), (1, e[1], "a"), (1, e[0], "a"), (2, e[0], "a"), (3, e[1], "a"), (4, e[2], "a"), (4, e[2], "b"), (5, e[2], "b"),
+            (5, None, "b"), (None, e[2], "b"), (None, None, None), (6, [], "a"), (7, e[2], "b")]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(*r, -1, -2, "x", 0.5) for r in rows],
+                                   f"vec_id int, embedding array<{kind}>, label string, id int, node int, vec string, s double")
+        out = nndescent.link_vectors(df)
+        assert dict(out.dtypes) == {"vec_id": "int", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"}
+        got = sorted((tuple(r) for r in out.collect()), key=str)
+        want = [(1, 2, 1, True), (1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True), (4, 2, 4, True),
+                (5, 2, 4, False), (5, 0, 5, True), (None, 0, None, None), (None, 0, None, None), (6, 0, 6, True), (7, 2, 4, False)]
+        assert got == sorted(want, key=str)
+
+
+def test_full_lists_grow(spark):
+    """Of 40 mutual near copies and some strangers: lists of 8 are full of links, and grow until they hold a stranger or 32 links."""
+    rng = np.random.default_rng(14)
+    base = rng.standard_normal((30, 32))
+    rows = [(i, v, 0) for i, v in enumerate(base)]
+    rows += [(100 + i, base[0] + 0.01 * rng.standard_normal(32), 0) for i in range(40)]
+    rows += [(200 + i, base[1] + 0.01 * rng.standard_normal(32), 0) for i in range(12)]
+    nodes = nndescent.cut(nndescent.nodes_of(frame(spark, rows), "vec_id", "label", "embedding"))
+    graph = nndescent.refine(nodes, nndescent.cut(nndescent._best(nndescent.ordered_neighbours(nodes, [0, 1, 2, 3]), 8)))
+    assert {n for (n,) in graph.groupBy("u").count().select("count").distinct().collect()} == {8}
+    grown = nndescent.enlarge(nodes, graph, 0.98)
+    size = {r.u: (r.n, r.worst) for r in grown.selectExpr("u", "s").groupBy("u").agg({"s": "min", "u": "count"}).toDF("u", "worst", "n").collect()}
+    assert all(size[100 + i][0] == 32 and size[100 + i][1] >= 0.98 for i in range(40))
+    assert all(size[200 + i][0] == 16 and size[200 + i][1] < 0.98 for i in range(12))
+    assert all(size[i][0] == 8 for i in range(2, 30))
+    assert told(nndescent.link_vectors(frame(spark, rows))) == brute(rows)
