@@ -35,7 +35,9 @@ MAPE_EPS = 1e-6
 NOISE = 1e-9                # relative range below which a column counts as constant
 HELD_GRAMS = 256            # categories whose products one task holds before it passes them on
 SMALL_MODELS = 10_000       # models (rows) up to which they are broadcast
-TIE_DIGITS = 9              # coefficients equal to this many decimals tie
+TIE_DIGITS = 9              # coefficients (and explained shares of trees) equal to this many decimals tie
+PARTS = 32                  # equal parts of a feature's range between which a tree may cut
+EDGE = 1e-9                 # of a part: values at an edge belong to the part above, whatever their last bits
 BINARY_PREFIXES = ("bt_", "cat_", "is_")
 NON_FEATURES = set(ID_COLS) | set(LABELS) | {"source", "split", "n_prior"}
 
@@ -149,6 +151,82 @@ class RidgeFit:
         return expr
 
 
+@dataclass
+class Stump:
+    """A regression tree of one cut: ``low`` up to ``part`` of the feature's range [lo, hi], ``high`` beyond."""
+    target: str
+    low: float
+    high: float
+    resid_std: float
+    feature: str | None = None      # None: no feature tells anything, low = high = the mean
+    part: int = 0
+    lo: float = 0.0
+    hi: float = 0.0
+
+    def predict(self) -> Column:
+        if self.feature is None:
+            return F.lit(self.low)
+        return F.when(part_of(self.feature, self.lo, self.hi) <= self.part, self.low).otherwise(self.high)
+
+
+def part_of(feature: str, lo: float | None, hi: float | None) -> Column:
+    """Which of PARTS equal parts of [lo, hi] a value lies in; values outside belong to the first or last one."""
+    if lo is None or hi is None or not hi > lo:
+        return F.lit(0)
+    place = (F.col(feature) - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(PARTS)) + F.lit(EDGE)
+    return F.floor(F.least(F.greatest(place, F.lit(0.0)), F.lit(PARTS - 1.0))).cast("int")
+
+
+def fit_stumps(train: DataFrame, features: list[str], targets: list[str]) -> dict[str, Stump]:
+    """Per target the cut that explains most of the variance (ties: feature name, then lower part).
+
+    Two passes for all targets and features together: ranges and means, then counts and sums per feature and
+    part, at most features x PARTS rows, whose prefix sums give the gain of every cut. Rows with a label that is
+    NULL or not finite are not learnt from."""
+    from pyspark.sql import Window
+
+    train = train.filter(learnable(targets))
+    seen = train.agg(F.count(F.lit(1)).alias("n"),
+                     *[f(c).alias(f"{k}_{i}") for i, c in enumerate(features) for k, f in (("lo", F.min), ("hi", F.max))],
+                     *[f(F.col(t).cast("double")).alias(f"{k}_{i}") for i, t in enumerate(targets)
+                       for k, f in (("mean", F.avg), ("var", F.var_pop))]).first()
+    n = seen["n"]
+    if not n:
+        raise ValueError("no row to learn from")
+    place = F.array(*[part_of(c, seen[f"lo_{i}"], seen[f"hi_{i}"]) for i, c in enumerate(features)])
+    rows = train.select(*[(F.col(t).cast("double") - F.lit(seen[f"mean_{i}"])).alias(f"_y{i}") for i, t in enumerate(targets)],
+                        F.posexplode(place).alias("f", "part"))
+    sums = rows.groupBy("f", "part").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_y{i}").alias(f"s{i}") for i in range(len(targets))])
+    told = [F.struct(F.lit(i).alias("t"), F.col(f"s{i}").alias("s"), F.lit(seen[f"var_{i}"] * n).alias("sst"))
+            for i in range(len(targets)) if seen[f"var_{i}"] > 0]
+    found = {}
+    if told:
+        upto = Window.partitionBy("t", "f").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+        cuts = sums.select("f", "part", "n", F.inline(F.array(*told))).select(
+            "t", "f", "part", "sst", F.sum("n").over(upto).alias("below"), F.sum("s").over(upto).alias("s"))
+        share = F.col("s") * F.col("s") * (F.try_divide(F.lit(1.0), "below") + F.try_divide(F.lit(1.0), F.lit(n) - F.col("below"))) / F.col("sst")
+        cuts = cuts.filter(F.col("below") < n).withColumn("share", share).withColumn("name", F.get(F.array(*map(F.lit, features)), F.col("f")))
+        best = F.row_number().over(Window.partitionBy("t").orderBy(F.round("share", TIE_DIGITS).desc(), "name", "part"))
+        found = {r["t"]: r for r in cuts.withColumn("rank", best).filter(F.col("rank") == 1).collect()}
+    out = {}
+    for i, t in enumerate(targets):
+        mean, var, r = seen[f"mean_{i}"], seen[f"var_{i}"], found.get(i)
+        if r is None:
+            out[t] = Stump(t, mean, mean, float(np.sqrt(var)))
+        else:
+            out[t] = Stump(t, mean + r["s"] / r["below"], mean - r["s"] / (n - r["below"]), float(np.sqrt(max(var * (1 - r["share"]), 0.0))),
+                           r["name"], r["part"], seen[f"lo_{r['f']}"], seen[f"hi_{r['f']}"])
+    return out
+
+
+def learnable(targets: list[str]) -> Column:
+    """Whether all labels are finite numbers."""
+    usable = F.lit(True)
+    for t in targets:
+        usable = usable & F.coalesce(F.abs(F.col(t).cast("double")) < float("inf"), F.lit(False))
+    return usable
+
+
 def gram(df: DataFrame, columns: list[str], by: Column) -> DataFrame:
     """(key, i, j, s): per key the sum of the products of columns i and j, i <= j.
 
@@ -190,10 +268,7 @@ def ridge_models(train_z: DataFrame, features: list[str], targets: list[str], al
     column for scope 'per_category'. Rows with a label that is NULL or not
     finite are not learnt from; a scope without rows has no model, nor has a
     value of ``by`` with a single row."""
-    usable = F.lit(True)
-    for t in targets:
-        usable = usable & F.coalesce(F.abs(F.col(t).cast("double")) < float("inf"), F.lit(False))
-    train = train_z.filter(usable)
+    train = train_z.filter(learnable(targets))
     # products are taken about the labels' means: a large common offset does not cost digits
     shift = train.agg(*[F.avg(F.col(t).cast("double")).alias(t) for t in targets]).collect()[0]
     offset = [shift[t] or 0.0 for t in targets]
@@ -297,7 +372,7 @@ def prepare(df: DataFrame, train_ratio: float = TRAIN_RATIO):
     return z, sc
 
 
-def global_predictions(z: DataFrame, fits: dict[str, RidgeFit]) -> DataFrame:
+def global_predictions(z: DataFrame, fits: dict[str, RidgeFit] | dict[str, Stump]) -> DataFrame:
     """M6: (target, branch_id, category, split, y, y_pred, lower, upper), a row per
     row of z and target; z is read once."""
     parts = [F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y"), f.predict().alias("y_pred"),

@@ -352,9 +352,17 @@ def _weights(windows: tuple[int, ...]) -> dict[int, str]:
     return out
 
 
+def constant_columns(windows: tuple[int, ...] = WINDOWS) -> dict[str, Column]:
+    """Columns of the training rows that an order export says nothing of."""
+    none, zero = F.lit(0).cast("long"), F.lit(0.0)
+    out = {f"w{w}_{c}": v for w in windows for c, v in (("restock_count", none), ("price_change_count", none), ("avg_price_change_pct", zero))}
+    out |= {"scenario_magnitude": zero, "deviation_from_norm": zero, "n_past_price_changes": none, "hist_avg_price_change": zero}
+    return out | {b: F.lit(0) for b in BT_COLS}
+
+
 def _window_columns(windows: tuple[int, ...]) -> list[Column]:
     """B1-B4 and B6-B9 of each window from the sums at offsets."""
-    out = []
+    out, constant = [], constant_columns(windows)
     for w in windows:
         def total(name: str, before: str | None = None, w=w) -> str:
             return f"(`{name}@now` - `{before or name}@lo{w}`)"
@@ -376,9 +384,7 @@ def _window_columns(windows: tuple[int, ...]) -> list[Column]:
             rev.alias(f"w{w}_revenue_total"),
             (rev / F.lit(float(w))).alias(f"w{w}_revenue_per_day"),
             (F.expr(total("canc")) * rate).alias(f"w{w}_cancel_rate"),
-            F.lit(0).cast("long").alias(f"w{w}_restock_count"),
-            F.lit(0).cast("long").alias(f"w{w}_price_change_count"),
-            F.lit(0.0).alias(f"w{w}_avg_price_change_pct"),
+            *[constant[f"w{w}_{c}"].alias(f"w{w}_{c}") for c in ("restock_count", "price_change_count", "avg_price_change_pct")],
             F.when(n > 0, F.col("`last@now`.cash")).otherwise(F.lit(0.0)).alias(f"w{w}_latest_cash_balance"),
             trend["cash"].alias(f"w{w}_cash_trend"),
             trend["inv"].alias(f"w{w}_inventory_trend"),
@@ -427,15 +433,9 @@ def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
     }
     cols.update({f"w{w}_{c}": F.col(f"w{w}_{c}") for w in WINDOWS for c in SHOP_ROLL})
     cols.update(season)
-    cols.update({
-        "scenario_magnitude": F.lit(0.0),
-        "deviation_from_norm": F.lit(0.0),
-        "history_depth_days": floor_days(F.col("a") - F.col("first_t")),
-        "n_past_price_changes": F.lit(0).cast("long"),
-        "hist_avg_price_change": F.lit(0.0),
-    })
+    cols["history_depth_days"] = floor_days(F.col("a") - F.col("first_t"))
     cols.update(onehot_category(F.col("category")))
-    cols.update({b: F.lit(0) for b in BT_COLS})
+    cols |= {c: v for c, v in constant_columns().items() if c not in cols}
     for lab in LABELS:
         cols[lab] = F.col(lab)
     out = p.select(*[cols[c].alias(c) for c in ADAPTER_COLS])

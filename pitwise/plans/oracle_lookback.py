@@ -7,6 +7,8 @@ plain aggregates. No prefix sums, no probes.
 
 from __future__ import annotations
 
+from pitwise.functions.encode import ALL_BRANCH_TYPES, CATEGORIES
+from pitwise.functions.season import SEASONAL_PEAKS
 from pitwise.plans.oracle_views import with_views
 
 FD = "CAST(floor(({a} - {b}) / 86400000000.0) AS BIGINT)"
@@ -155,9 +157,6 @@ def scenario_sql() -> dict[str, str]:
     }
 
 
-PEAKS = {"retail": [11, 12], "apparel": [3, 4, 9, 10], "b2b": [3, 6, 9, 12]}
-
-
 def season_sql(ts: str, cat: str) -> dict[str, str]:
     m = f"month({ts})"
     dow = f"(isodow({ts}) - 1)"
@@ -166,10 +165,10 @@ def season_sql(ts: str, cat: str) -> dict[str, str]:
     peak_case = "CASE " + " ".join(
         f"WHEN {cat} = '{c}' THEN least(365, " + ", ".join(
             f"least(abs({m} - {p}), 12 - abs({m} - {p})) * 30" for p in ps) + ")"
-        for c, ps in PEAKS.items()) + " ELSE 180 END"
+        for c, ps in SEASONAL_PEAKS.items()) + " ELSE 180 END"
     is_peak = "CASE " + " ".join(
         f"WHEN {cat} = '{c}' THEN CAST({m} IN ({', '.join(map(str, ps))}) AS INTEGER)"
-        for c, ps in PEAKS.items()) + " ELSE 0 END"
+        for c, ps in SEASONAL_PEAKS.items()) + " ELSE 0 END"
     del dist
 
     def sc(v, p):
@@ -190,11 +189,6 @@ def season_sql(ts: str, cat: str) -> dict[str, str]:
     }
 
 
-CATS = ["retail", "apparel", "b2b"]
-BTS = ["price_increase", "price_decrease", "bulk_restock", "promo_event", "new_collection",
-       "markdown", "contract_change", "net_terms_change", "volume_discount", "supplier_change"]
-
-
 def training_rows_sql(min_prior: int = 10) -> str:
     cols = ["s.branch_id", "s.business_id", "s.category", "s.branch_type", "s.committed_at"]
     joins = []
@@ -204,8 +198,8 @@ def training_rows_sql(min_prior: int = 10) -> str:
     cols += [f"{v} AS {k}" for k, v in season_sql("s.committed_at", "s.category").items()]
     cols += [f"{v} AS {k}" for k, v in scenario_sql().items()]
     cols += ["h.history_depth_days", "h.n_past_price_changes", "h.hist_avg_price_change"]
-    cols += [f"CAST(s.category = '{c}' AS INTEGER) AS cat_{c}" for c in CATS]
-    cols += [f"CAST(s.branch_type = '{b}' AS INTEGER) AS bt_{b}" for b in BTS]
+    cols += [f"CAST(s.category = '{c}' AS INTEGER) AS cat_{c}" for c in CATEGORIES]
+    cols += [f"CAST(s.branch_type = '{b}' AS INTEGER) AS bt_{b}" for b in ALL_BRANCH_TYPES]
     cols += ["s.label_inventory_delta", "s.label_cashflow_delta", "s.label_order_velocity_delta"]
     body = (f"SELECT {', '.join(cols)}\nFROM sel s\nJOIN histc h ON h.branch_id = s.branch_id\n"
             + "\n".join(joins) + f"\nWHERE h.n_prior >= {min_prior}")

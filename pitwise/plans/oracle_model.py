@@ -75,6 +75,43 @@ def ridge_sql(body: str) -> str:
     return f"WITH RECURSIVE t1 AS MATERIALIZED ({training_rows_sql()}), {CUT}, {RIDGE_CTES}\n{body}"
 
 
+def _part_sql(c: str) -> str:
+    place = f"(x.{c} - lo_{c}) / (hi_{c} - lo_{c}) * {float(M.PARTS)} + {M.EDGE}"
+    return f"CASE WHEN hi_{c} > lo_{c} THEN CAST(floor(least(greatest({place}, 0.0), {M.PARTS - 1.0})) AS INTEGER) ELSE 0 END AS {c}"
+
+
+_TARGET_ROWS = ", ".join(f"('{t}', {t})" for t in LABELS)
+
+#: tree: the best cut of each target; treed: predictions of all rows.
+TREE_CTES = f"""
+ranges AS (SELECT {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in _ORDER)} FROM x WHERE split = 'train'),
+parted AS (SELECT branch_id, split, {', '.join(map(_part_sql, _ORDER))} FROM x, ranges),
+lp AS MATERIALIZED (UNPIVOT parted ON {', '.join(_ORDER)} INTO NAME feature VALUE part),
+ty AS (SELECT x.branch_id, x.split, v.target, v.y FROM x, LATERAL (VALUES {_TARGET_ROWS}) v(target, y)),
+tm AS (SELECT target, avg(y) AS m, var_pop(y) * count(*) AS sst, count(*) AS n FROM ty WHERE split = 'train' GROUP BY target),
+tb AS (SELECT ty.target, lp.feature, lp.part, count(*) AS n, sum(ty.y - tm.m) AS s
+       FROM lp JOIN ty ON ty.branch_id = lp.branch_id JOIN tm ON tm.target = ty.target
+       WHERE lp.split = 'train' GROUP BY ty.target, lp.feature, lp.part),
+cuts AS (SELECT target, feature, part, CAST(sum(n) OVER w AS DOUBLE) AS below, sum(s) OVER w AS s FROM tb
+         WINDOW w AS (PARTITION BY target, feature ORDER BY part ROWS UNBOUNDED PRECEDING)),
+tree AS (SELECT * FROM (SELECT cuts.*, row_number() OVER (PARTITION BY cuts.target ORDER BY
+           round(s * s * (1.0 / below + 1.0 / (tm.n - below)) / sst, {M.TIE_DIGITS}) DESC, feature, part) AS rk
+         FROM cuts JOIN tm ON tm.target = cuts.target WHERE below < tm.n AND sst > 0) WHERE rk = 1),
+treed AS (SELECT ty.*, tm.m + CASE WHEN tree.feature IS NULL THEN 0.0 WHEN lp.part <= tree.part THEN tree.s / tree.below
+                 ELSE -tree.s / (tm.n - tree.below) END AS y_pred
+          FROM ty JOIN tm ON tm.target = ty.target LEFT JOIN tree ON tree.target = ty.target
+          LEFT JOIN lp ON lp.branch_id = ty.branch_id AND lp.feature = tree.feature),
+treer AS (SELECT target, stddev_pop(y - y_pred) AS r FROM treed WHERE split = 'train' GROUP BY target),
+both_models AS (SELECT 'ridge' AS model, target, y, y_pred, lower, upper FROM scored WHERE split = 'test' AND k = 'global'
+          UNION ALL SELECT 'tree', treed.target, y, y_pred, y_pred - {M.CONFIDENCE_Z} * r, y_pred + {M.CONFIDENCE_Z} * r
+          FROM treed JOIN treer ON treer.target = treed.target WHERE split = 'test')
+"""
+
+TREE_COMPARISON = (f"WITH RECURSIVE t1 AS MATERIALIZED ({training_rows_sql()}), {CUT}, {RIDGE_CTES}, {TREE_CTES}\n"
+                   f"SELECT model, target, avg(CASE WHEN abs(y) > {M.MAPE_EPS} THEN abs((y - y_pred) / y) END) * 100.0 AS mape, "
+                   "avg(CASE WHEN y >= lower AND y <= upper THEN 1.0 ELSE 0.0 END) AS coverage, avg(upper - lower) AS mpiw, "
+                   "count(*) AS n_test FROM both_models GROUP BY model, target")
+
 RIDGE_FIT = ridge_sql("SELECT o.target, o.feature, o.coef, i.intercept FROM models o "
                       "JOIN icpt i ON i.k = o.k AND i.target = o.target WHERE o.k = 'global'")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pitwise.functions.encode import (ALL_BRANCH_TYPES, CATEGORIES, SHOP_CATEGORY_PATTERNS, TXN_APPAREL_KEYWORDS,
+                                      TXN_B2B_KEYWORDS)
 from pitwise.plans.oracle_views import with_views
 
 TIE = "o1, o2, o3, o4, o5, o6"
@@ -48,24 +50,17 @@ so AS (SELECT "Customer_ID" AS shop_id, "Date" AS created_at,
        FROM fashion_sales WHERE "Customer_ID" IS NOT NULL AND "Date" IS NOT NULL)"""),
 }
 
-SHOP_PATTERNS = [("apparel", "apparel"), ("clothing", "apparel"), ("fashion", "apparel"),
-                 ("accessories", "apparel"), ("electronics", "retail"), ("home", "retail"),
-                 ("food", "retail"), ("beauty", "retail"), ("sports", "retail"),
-                 ("services", "b2b"), ("b2b", "b2b"), ("wholesale", "b2b"), ("consulting", "b2b")]
-TXN_APPAREL = ["apparel", "fashion", "clothing", "wear", "dress", "shoe"]
-TXN_B2B = ["service", "consult", "b2b", "wholesale", "software"]
-
 
 def map_category_sql(x: str) -> str:
     k = f"lower(trim({x}))"
-    return "CASE " + " ".join(f"WHEN contains({k}, '{p}') THEN '{c}'" for p, c in SHOP_PATTERNS) \
+    return "CASE " + " ".join(f"WHEN contains({k}, '{p}') THEN '{c}'" for p, c in SHOP_CATEGORY_PATTERNS) \
         + " ELSE 'retail' END"
 
 
 def infer_category_sql(x: str) -> str:
     k = f"lower({x})"
-    a = " OR ".join(f"contains({k}, '{w}')" for w in TXN_APPAREL)
-    b = " OR ".join(f"contains({k}, '{w}')" for w in TXN_B2B)
+    a = " OR ".join(f"contains({k}, '{w}')" for w in TXN_APPAREL_KEYWORDS)
+    b = " OR ".join(f"contains({k}, '{w}')" for w in TXN_B2B_KEYWORDS)
     return f"CASE WHEN coalesce({a}, false) THEN 'apparel' WHEN coalesce({b}, false) THEN 'b2b' ELSE 'retail' END"
 
 
@@ -150,9 +145,6 @@ labc AS (
 ROLL13 = ["order_count", "order_velocity", "revenue_total", "revenue_per_day", "cancel_rate",
           "blocked_rate", "restock_count", "price_change_count", "avg_price_change_pct",
           "latest_cash_balance", "cash_trend", "inventory_trend", "weighted_order_count"]
-CATS = ["retail", "apparel", "b2b"]
-BTS = ["price_increase", "price_decrease", "bulk_restock", "promo_event", "new_collection",
-       "markdown", "contract_change", "net_terms_change", "volume_discount", "supplier_change"]
 
 
 def _roll_expr(w: int, c: str) -> str:
@@ -180,8 +172,8 @@ def adapter_sql(source: str) -> str:
     cols += ["0.0 AS scenario_magnitude", "0.0 AS deviation_from_norm",
              f"{fd('sp.as_of', 'st.first_t')} AS history_depth_days",
              "CAST(0 AS BIGINT) AS n_past_price_changes", "0.0 AS hist_avg_price_change"]
-    cols += [f"CAST(({cat}) = '{c}' AS INTEGER) AS cat_{c}" for c in CATS]
-    cols += [f"0 AS bt_{b}" for b in BTS]
+    cols += [f"CAST(({cat}) = '{c}' AS INTEGER) AS cat_{c}" for c in CATEGORIES]
+    cols += [f"0 AS bt_{b}" for b in ALL_BRANCH_TYPES]
     cols += ["l.label_inventory_delta", "l.label_cashflow_delta", "l.label_order_velocity_delta"]
     joins = " ".join(f"JOIN agg a{w} ON a{w}.shop_id = sp.shop_id AND a{w}.idx = sp.idx AND a{w}.w = {w}"
                      for w in (7, 30, 90))

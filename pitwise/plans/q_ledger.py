@@ -76,7 +76,7 @@ def price_pct_change(spark, d):
                     "price", "pct_change")
 
 
-def _union_cols() -> list[str]:
+def union_columns() -> list[str]:
     cols = list(TRAINING_COLS)
     for c in S.ADAPTER_COLS:
         if c not in cols:
@@ -87,15 +87,15 @@ def _union_cols() -> list[str]:
 _TEXT = {"branch_id", "business_id", "category", "branch_type", "committed_at", "source"}
 
 
-def _union_sql() -> str:
-    cols = _union_cols()
+def union_sql() -> str:
+    cols = union_columns()
     sel = ", ".join(c if c in _TEXT else f"coalesce({c}, 0) AS {c}" for c in cols)
     return (f"WITH a AS ({training_rows_sql()}), b AS ({adapter_sql('shop')}), c AS ({adapter_sql('retail')}), "
             f"u AS (SELECT *, 'core' AS source FROM a UNION ALL BY NAME SELECT *, 'shopify' AS source FROM b "
             f"UNION ALL BY NAME SELECT *, 'kaggle' AS source FROM c) SELECT {sel}, source FROM u")
 
 
-@query("union_sources", _union_sql())
+@query("union_sources", union_sql())
 def union_sources(spark, d):
     """Core scenario rows + both adapters as one training set; columns a
     source lacks become 0; ``source`` marks the origin (not a feature)."""
@@ -105,5 +105,5 @@ def union_sources(spark, d):
     b = S.shop_training_rows(shops(spark, d)).withColumn("source", F.lit("shopify"))
     c = S.txn_training_rows(retail(spark, d)).withColumn("source", F.lit("kaggle"))
     u = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
-    feats = [x for x in _union_cols() if x not in _TEXT]
-    return u.na.fill(0, subset=feats).select(*_union_cols(), "source")
+    feats = [x for x in union_columns() if x not in _TEXT]
+    return u.na.fill(0, subset=feats).select(*union_columns(), "source")

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pitwise.operators import model as M
+from pitwise.operators import shops as S
 from pitwise.plans import oracle_model as O
+from pitwise.plans import q_ledger as L
 from pitwise.plans.oracle_lookback import training_rows_sql
 from pitwise.plans.oracle_model import CONT, FEATURES
+from pitwise.plans.oracle_shops import adapter_sql
 from pitwise.plans.oracle_views import with_views
+from pitwise.plans.q_shops import shops
 from pitwise.plans.registry import query
 from pitwise.plans.training import dedup_outcomes
 from pitwise.session import materialize
 from pitwise.sources import views as V
+from pitwise.sources.schemas import ID_COLS
 
 
 def _t1(spark, d, rounded=False) -> DataFrame:
@@ -54,6 +59,58 @@ def scale_continuous(spark, d):
                                  "feature string, mean double, std double")
 
 
+# -- the same on adapter rows and on the union of sources
+# (the last columns of the union are those that only one source has)
+
+ADAPTER_FEATURES = [c for c in S.ADAPTER_COLS if c not in M.NON_FEATURES]
+UNION_FEATURES = [c for c in L.union_columns() if c not in M.NON_FEATURES]
+
+
+def _matrix_sql(rows: str, ids: str, features: list[str]) -> str:
+    return f"WITH t1 AS ({rows}) SELECT {ids}, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in features) + " FROM t1"
+
+
+def _scale_sql(rows: str, features: list[str]) -> str:
+    cont, _ = M.split_binary(features)
+    filled = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in cont)
+    return (f"WITH t1 AS MATERIALIZED ({rows}), {O.CUT} SELECT feature, avg(v) AS mean, CASE WHEN max(v) - min(v) <= "
+            f"greatest(abs(min(v)), abs(max(v))) * {M.NOISE} THEN 0.0 ELSE stddev_pop(v) END AS std FROM "
+            f"(UNPIVOT (SELECT {filled} FROM t1 WHERE committed_at < (SELECT cutoff FROM cut)) "
+            f"ON {', '.join(cont)} INTO NAME feature VALUE v) GROUP BY feature")
+
+
+def _scaler_rows(spark, rows: DataFrame, features: list[str]) -> DataFrame:
+    x = M.temporal_split(materialize(M.feature_matrix(rows.select(*ID_COLS, *features), features)))
+    sc = M.fit_scaler(x.filter(F.col("split") == "train"), features)
+    return spark.createDataFrame([(c, sc.mean[c], sc.std[c]) for c in sc.cont], "feature string, mean double, std double")
+
+
+@query("feature_matrix_shop", _matrix_sql(adapter_sql("shop"), "branch_id", ADAPTER_FEATURES))
+def feature_matrix_shop(spark, d):
+    """M2: the 69 features of the rows of a shop export."""
+    rows = S.shop_training_rows(shops(spark, d))
+    return M.feature_matrix(rows, M.feature_columns(rows)).select("branch_id", *ADAPTER_FEATURES)
+
+
+@query("feature_matrix_union", _matrix_sql(L.union_sql(), "branch_id, source", UNION_FEATURES))
+def feature_matrix_union(spark, d):
+    """M2: the 77 features of the union of sources."""
+    rows = L.union_sources(spark, d)
+    return M.feature_matrix(rows, M.feature_columns(rows)).select("branch_id", "source", *UNION_FEATURES)
+
+
+@query("scale_continuous_shop", _scale_sql(adapter_sql("shop"), ADAPTER_FEATURES))
+def scale_continuous_shop(spark, d):
+    """M3: mean / std of the continuous features of a shop export's train rows (constant ones have std 0)."""
+    return _scaler_rows(spark, S.shop_training_rows(shops(spark, d)), ADAPTER_FEATURES)
+
+
+@query("scale_continuous_union", _scale_sql(L.union_sql(), UNION_FEATURES))
+def scale_continuous_union(spark, d):
+    """M3: mean / std of the continuous features of the union's train rows."""
+    return _scaler_rows(spark, L.union_sources(spark, d), UNION_FEATURES)
+
+
 # -- metrics on a SQL-checkable predictor ------------------------------------
 # Per (target, category): y ~ x (x = k + value of the scenario event) by least squares on the train rows (regr_slope /
 # regr_intercept), applied to every row. It exercises the same split, interval
@@ -213,6 +270,17 @@ def model_comparison(spark, d):
     return res.select("model", "target", "mape", "coverage", "mpiw", "n_test")
 
 
+@query("tree_comparison", O.TREE_COMPARISON)
+def tree_comparison(spark, d):
+    """Ridge vs the best regression tree of one cut on the same temporal split."""
+    t1 = _t1(spark, d)
+    _, ridge, _, _ = M.train_baseline(t1)
+    x = materialize(M.temporal_split(M.feature_matrix(t1, FEATURES)))
+    tree = M.global_predictions(x, M.fit_stumps(x.filter(F.col("split") == "train"), FEATURES, M.TARGETS))
+    pred = ridge.withColumn("model", F.lit("ridge")).unionByName(tree.withColumn("model", F.lit("tree")))
+    return M.metrics(pred, ["model", "target"])
+
+
 @query("category_models", O.CATEGORY_MODELS)
 def category_models(spark, d):
     """One global model vs one model per category, metrics per category."""

@@ -238,12 +238,11 @@ SELECT DISTINCT 0 AS w7_restock_count, 0 AS w7_price_change_count, 0.0 AS w7_avg
        0.0 AS scenario_magnitude, 0.0 AS deviation_from_norm, 0 AS n_bt_nonzero FROM shop_orders"""))
 def shop_const_cols(spark, d):
     """Constant columns of the adapter rows (distinct values over all rows)."""
-    t2 = S.shop_training_rows(shops(spark, d))
-    bt = sum(F.col(b) for b in S.BT_COLS)
-    return t2.select(F.col("w7_restock_count").cast("int").alias("w7_restock_count"),
-                     F.col("w7_price_change_count").cast("int").alias("w7_price_change_count"),
-                     "w7_avg_price_change_pct", "scenario_magnitude", "deviation_from_norm",
-                     bt.alias("n_bt_nonzero")).distinct()
+    c = S.constant_columns()
+    rows = S.prepare_shop_orders(V.shop_orders(spark, d))
+    return rows.select(c["w7_restock_count"].cast("int").alias("w7_restock_count"), c["w7_price_change_count"].cast("int").alias("w7_price_change_count"),
+                       *[c[n].alias(n) for n in ("w7_avg_price_change_pct", "scenario_magnitude", "deviation_from_norm")],
+                       sum(c[b] for b in S.BT_COLS).alias("n_bt_nonzero")).distinct()
 
 
 @query("shop_mode_category", shop_sql(

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pitwise.functions import exactsum
+from pitwise.functions.encode import ALL_BRANCH_TYPES
 from pitwise.functions.timecols import micros
 from pitwise.operators.scan import KeySizes, key_sizes, segmented_scan
 
@@ -87,12 +88,6 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_BRANCH_TYPES_BY_K = [
-    "price_increase", "price_decrease", "bulk_restock", "promo_event", "new_collection",
-    "markdown", "contract_change", "net_terms_change", "volume_discount", "supplier_change",
-]
-
-
 def _signups(spark: SparkSession, d: str) -> DataFrame:
     return ev(spark, d).filter(F.col("event_type") == "signup")
 
@@ -102,7 +97,7 @@ def branches(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
     k10 = k % 10
     bt = F.lit(None).cast("string")
-    for i, name in reversed(list(enumerate(_BRANCH_TYPES_BY_K))):
+    for i, name in reversed(list(enumerate(ALL_BRANCH_TYPES))):
         bt = F.when(k10 == i, F.lit(name)).otherwise(bt)
     terms_i = F.expr("(k div 10) % 4")
     terms = (F.when(terms_i == 0, "NET15").when(terms_i == 1, "NET45")

@@ -154,3 +154,36 @@ def test_rounding_noise_is_no_feature(spark):
     _, sc = M.prepare(df)
     assert sc.std["f2"] == 0.0
     assert sc.std["f1"] > 0.0
+
+
+def test_stumps_against_all_cuts(spark):
+    df = _frame(spark, n=90, seed=5)
+    features = ["f1", "f2", "bt_x", "const_feat"]
+    x = M.feature_matrix(df, features)
+    got = M.fit_stumps(x, features, M.TARGETS)
+    pdf = x.toPandas()
+    for t in M.TARGETS:
+        y = pdf[t].to_numpy(float)
+        best = (-1.0, None, None)
+        for c in sorted(features):
+            v = pdf[c].to_numpy(float)
+            width = v.max() - v.min()
+            part = np.clip(np.floor((v - v.min()) / width * M.PARTS + M.EDGE), 0, M.PARTS - 1) if width else np.zeros(len(v))
+            for p in sorted(set(part))[:-1]:
+                low = part <= p
+                sse = ((y[low] - y[low].mean()) ** 2).sum() + ((y[~low] - y[~low].mean()) ** 2).sum()
+                share = round(1 - sse / ((y - y.mean()) ** 2).sum(), M.TIE_DIGITS) if y.std() else -1.0
+                if share > best[0]:
+                    best = (share, c, int(p), np.where(low, y[low].mean(), y[~low].mean()))
+        s = got[t]
+        want = best[3] if best[1] else np.full(len(y), y.mean())
+        assert s.feature == best[1] and (s.feature is None or s.part == best[2])
+        pred = [r.y_pred for r in x.select(s.predict().alias("y_pred")).collect()]
+        assert np.allclose(pred, want) and s.resid_std == pytest.approx((y - want).std(), abs=1e-9)
+    with pytest.raises(ValueError):
+        M.fit_stumps(x.where("false"), features, M.TARGETS)
+
+
+def test_feature_counts():
+    from pitwise.plans import q_model as Q
+    assert (len(Q.FEATURES), len(Q.ADAPTER_FEATURES), len(Q.UNION_FEATURES)) == (73, 69, 77)

@@ -16,7 +16,7 @@ SUBSET = ["training_rows", "w_cash_trend", "history_depth", "outcome_join", "jso
           "season_core", "mag_restock", "shop_training_rows", "txn_training_rows", "shop_blocked_rate",
           "running_revenue", "running_cash", "weekly_snapshot", "price_pct_change",
           "coverage", "metrics_report", "temporal_split", "scale_continuous", "feature_matrix",
-          "ridge_fit", "category_models"]
+          "ridge_fit", "category_models", "tree_comparison", "feature_matrix_shop", "scale_continuous_shop", "shop_const_cols"]
 
 
 def test_every_query_has_oracle_or_is_rows_only():

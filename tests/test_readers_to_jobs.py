@@ -54,6 +54,16 @@ def test_export_to_rows(spark, kind, view, schema):
         R.load_export(spark, "other", path)
 
 
+def test_shop_export_to_rows(spark):
+    """The rows of a shop export in file order are those of the view it was written from."""
+    base = tempfile.mkdtemp(prefix="pitwise-test-")
+    raw = V.shop_orders(spark, SF_SMALL)
+    path = _csv(raw.orderBy("shop_id", "created_at", "tie"), schemas.SHOP_ORDERS_RAW, f"{base}/x.csv")
+    got = S.shop_training_rows(R.load_export(spark, "shop", path))
+    want = S.shop_training_rows(S.prepare_shop_orders(raw))
+    assert got.columns == want.columns and _rows(got) == _rows(want) != []
+
+
 def test_payload_rules(spark):
     texts = ['{"revenue": "12.5"}', '{"revenue": NaN}', '{"revenue": 2}', "{'revenue': 2}", '{"revenue": 1}xyz', "{bad", "", None,
              '{"revenue": "abc"}', "{}", "1,2"]
