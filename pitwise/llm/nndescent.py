@@ -224,8 +224,8 @@ def _meet(keep: int):
 
 
 def _best(edges: DataFrame, keep: int) -> DataFrame:
-    """Each node's ``keep`` best neighbours in (u, v, s)."""
-    distinct = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
+    """Each node's ``keep`` best neighbours in (u, v, s), with the largest value of any other column."""
+    distinct = edges.groupBy("u", "v").agg(*[F.max(c).alias(c) for c in edges.columns if c not in ("u", "v")])
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.col("s").desc(), "v"))
     return distinct.withColumn("rank", rank).where(F.col("rank") <= keep).drop("rank")
 
@@ -242,13 +242,13 @@ def _both_ways(graph: DataFrame) -> DataFrame:
     return graph.select(F.col("u").alias("mid"), F.col("v").alias("id")).union(graph.select(F.col("v").alias("mid"), F.col("u").alias("id")))
 
 
-def _met(nodes: DataFrame, graph: DataFrame, bars: DataFrame, keep: int, turn: int, mids: DataFrame | None) -> DataFrame:
+def _met(nodes: DataFrame, graph: DataFrame, bars: DataFrame, bar: float, keep: int, turn: int, mids: DataFrame | None) -> DataFrame:
     """Edges from one round of meetings at ``mids`` (all nodes if none are given): each member takes pairs above its bar in ``bars``
-    (id, worst)."""
+    (id, worst), or ``bar``."""
     both = _both_ways(graph).union(nodes.select(F.col("id").alias("mid"), "id")).distinct()
     if mids is not None:
         both = both.join(mids.distinct(), "mid", "left_semi")
-    told = nodes.select("id", "vec").join(bars, "id")
+    told = nodes.select("id", "vec").join(bars, "id", "left").withColumn("worst", F.coalesce("worst", F.lit(bar)))
     # a node to which very many point is met in parts, each with its share of them, another one each round
     hubs = cut(both.groupBy("mid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MEET))
     members = both.join(small(hubs, hubs.count()), "mid", "left").withColumn(
@@ -262,14 +262,11 @@ def refine(nodes: DataFrame, graph: DataFrame, rounds: int = ROUNDS, keep: int =
     mids = None
     for turn in range(first, first + rounds):
         full = graph.groupBy("u").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= keep)
-        bars = nodes.select("id").join(full.select(F.col("u").alias("id"), "worst"), "id", "left").select(
-            "id", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-        met = _met(nodes, graph, bars, keep, turn, mids)
-        new = cut(_best(graph.unionByName(met), keep))
-        fresh = cut(new.join(graph.select("u", "v"), ["u", "v"], "left_anti"))
-        mids = _both_ways(fresh).select("mid")
-        graph = new
-        if fresh.count() <= SETTLED * max(new.count(), 1):
+        met = _met(nodes, graph, full.select(F.col("u").alias("id"), "worst"), -2.0, keep, turn, mids)
+        new = cut(_best(graph.withColumn("old", F.lit(1)).unionByName(met.withColumn("old", F.lit(0))), keep))
+        total, kept = new.agg(F.count(F.lit(1)), F.coalesce(F.sum("old"), F.lit(0))).first()
+        mids, graph = _both_ways(new.where("old = 0")).select("mid"), new.drop("old")
+        if total - kept <= SETTLED * max(total, 1):
             break
     return graph
 
@@ -283,10 +280,9 @@ def enlarge(nodes: DataFrame, graph: DataFrame, threshold: float, keep: int = LI
         if full.isEmpty():
             break
         keep, first = 2 * keep, first + 1
-        bars = nodes.select("id").join(full.withColumn("worst", F.lit(-2.0)), "id", "left").select(
-            "id", F.coalesce("worst", F.lit(2.0)).alias("worst"))
         mids = _both_ways(graph).join(full, "id", "left_semi").select("mid")
-        graph = cut(_best(graph.unionByName(_met(nodes, graph, bars, keep, first, mids)), keep))
+        met = _met(nodes, graph, full.withColumn("worst", F.lit(-2.0)), 2.0, keep, first, mids)
+        graph = cut(_best(graph.unionByName(met), keep))
     return graph
 
 
@@ -467,7 +463,7 @@ def audit(nodes: DataFrame, classes: DataFrame, counts: DataFrame, threshold: fl
     steps = max(1, -(-rows.count() // AUDITED))
     place = F.pmod(F.xxhash64("id", F.lit(AUDITED)), F.lit(steps))
     links = kept = linked = 0
-    shares, missing, done, width = 0.0, None, 0, 1
+    shares, missing, done, width = 0.0, None, 0, 4
     while done < steps and (links < AUDITED_LINKS or linked < AUDITED):
         some = rows.where((place >= done) & (place < done + width)).select("label", "id", "vec", "component").toArrow()
         done, width = done + width, min(max(done + width, 1), ASKED // AUDITED)
