@@ -21,7 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitwise.functions import exactsum
-from pitwise.functions.encode import BT_COLS, CAT_COLS, infer_category, map_category, onehot_category
+from pitwise.functions.encode import (BT_COLS, CAT_COLS, category_of_shop_key, category_of_txn_key, onehot_category,
+                                      shop_key, txn_key)
 from pitwise.functions.season import SEASON_COLS, season_shop
 from pitwise.functions.timecols import DAY_US, coerce_num, floor_days, from_micros, micros
 from pitwise.operators.dense import sampled_features
@@ -411,13 +412,13 @@ def labels(shops: DataFrame, horizon_days: int = HORIZON_DAYS, sizes: KeySizes |
     return sampled_rows(shops, horizon_days=horizon_days, dense=False, sizes=sizes).select("shop_id", "idx", *LABELS)
 
 
-def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
+def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, key, categorize, *,
                  min_rows: int | None = None, horizon_check: bool = False,
                  horizon_days: int = HORIZON_DAYS, sizes: KeySizes | None = None) -> DataFrame:
     """Shared body of T2/T3 on a prepared shop frame."""
     p = sampled_rows(shops, min_rows=min_rows, horizon_check=horizon_check, horizon_days=horizon_days, sizes=sizes)
-    cat = categorize(F.col("mode_type"))
-    p = p.withColumn("category", cat)
+    # the key is a column of its own, so that a text is lower-cased once and not for every pattern
+    p = p.withColumn("_key", key("mode_type")).withColumn("category", categorize("_key"))
     season = season_shop(F.col("as_of"))
     cols = {
         "branch_id": F.concat(F.lit(f"{prefix}_"), F.col("shop_id"), F.lit("_"), F.col("idx").cast("string")),
@@ -439,12 +440,12 @@ def adapter_rows(shops: DataFrame, prefix: str, branch_type: str, categorize, *,
 
 def shop_training_rows(shops: DataFrame, horizon_days: int = HORIZON_DAYS, sizes: KeySizes | None = None) -> DataFrame:
     """Order export -> training rows (category by ordered substring map)."""
-    return adapter_rows(shops, "shopify", "shopify_order", map_category,
+    return adapter_rows(shops, "shopify", "shopify_order", shop_key, category_of_shop_key,
                         horizon_days=horizon_days, sizes=sizes)
 
 
 def txn_training_rows(shops: DataFrame, horizon_days: int = HORIZON_DAYS, sizes: KeySizes | None = None) -> DataFrame:
     """Normalised transactions -> training rows (>= 45 rows per shop,
     future horizon available, category by keyword lists)."""
-    return adapter_rows(shops, "kaggle", "kaggle_transaction", infer_category,
+    return adapter_rows(shops, "kaggle", "kaggle_transaction", txn_key, category_of_txn_key,
                         min_rows=MIN_SHOP_ROWS, horizon_check=True, horizon_days=horizon_days, sizes=sizes)

@@ -102,8 +102,9 @@ def union_sources(spark, d):
     from pitwise.plans.q_lookback import t1
     from pitwise.plans.q_shops import retail, shops
     a = t1(spark, d).withColumn("source", F.lit("core"))
-    b = S.shop_training_rows(shops(spark, d)).withColumn("source", F.lit("shopify"))
-    c = S.txn_training_rows(retail(spark, d)).withColumn("source", F.lit("kaggle"))
+    sizes = V.shop_sizes(spark, d)
+    b = S.shop_training_rows(shops(spark, d, sizes=sizes), sizes=sizes).withColumn("source", F.lit("shopify"))
+    c = S.txn_training_rows(retail(spark, d, sizes=sizes), sizes=sizes).withColumn("source", F.lit("kaggle"))
     u = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
     feats = [x for x in union_columns() if x not in _TEXT]
     return u.na.fill(0, subset=feats).select(*union_columns(), "source")
