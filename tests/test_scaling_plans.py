@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from pitwise.operators import scan, shops as S
@@ -60,3 +61,29 @@ def test_first_points_of_a_long_key(spark):
         assert r["v@back"] == max(r["id"] - 100, 0)
         assert (r["p@back"].x if r["p@back"] else None) == (before[-1] if before else None)
         assert (r["first_p@back"].x if r["first_p@back"] else None) == (after[0] if after else None)
+
+
+def test_model_queries_build_their_rows_by_narrow_sorts(spark, monkeypatch, tmp_path):
+    from pitwise.plans import q_model
+    from pitwise.plans.registry import QUERIES, load_all
+
+    class Built(Exception):
+        """Carries what a query starts from."""
+
+    def built(*args):
+        raise Built(*args)
+
+    kinds = ["view", "signup", "click", "error", "purchase"]
+    rows = [(i, T0 + dt.timedelta(hours=i), i % 2, kinds[i % 5], float(i), f'{{"k": {i % 100}}}') for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+                          ).write.parquet(str(tmp_path / "events.parquet"))
+    load_all()
+    monkeypatch.setattr(q_model, "materialize", built)
+    with pytest.raises(Built) as got:
+        q_model._t1(spark, str(tmp_path))
+    widths = [int(n) for n in re.findall(r"\n\(\d+\) Sort\s*\[?[^\n]*\nInput \[(\d+)\]", _formatted(got.value.args[0]))]
+    assert widths and max(widths) <= 20
+    monkeypatch.setattr(q_model, "_t1", built)
+    for name in ("feature_matrix", "linear_attribution", "model_comparison", "ridge_fit", "scale_continuous", "temporal_split"):
+        with pytest.raises(Built):
+            QUERIES[name](spark, str(tmp_path))
